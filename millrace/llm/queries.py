@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact, urls
+from millrace.llm import chat, exact, lines, packing, sharding, urls
 from millrace.llm.common import LOWER, UPPER
 
 _CONTROL = "</s>[INST] ok [/INST]"
@@ -15,6 +15,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """Path of an installed public tokenizer's file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of the formatted conversations, read back from the formatted text and its loss mask."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -76,6 +83,31 @@ FROM parts p LEFT JOIN (SELECT * FROM fits WHERE rn = 1) f
 """
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of at least ten code points that several documents hold stay in the smallest doc_id only."""
+    out = lines.line_dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP3_SQL = f"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents),
+lines AS (SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS pos FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '{UPPER}', '{LOWER}') AS key FROM lines),
+held AS (SELECT key, min(doc_id) AS first FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+marked AS (SELECT k.*, h.key IS NOT NULL AND k.doc_id <> h.first AS dropped FROM keyed k LEFT JOIN held h ON k.key = h.key)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards whose row counts differ by one at most."""
+    out = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts that are equal but for the case of A-Z; the largest doc_id stays."""
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
@@ -87,14 +119,23 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
+def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
+    "op3_line_dedup": op3_line_dedup,
+    "op5_shard": op5_shard,
     "op8_exact_dedup": op8_exact_dedup,
+    "op10_pack": op10_pack,
 }
 
 ORACLE_SQL = {
     "op1_chat_format": OP1_SQL,
     "op2_url_filter": OP2_SQL,
+    "op3_line_dedup": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
