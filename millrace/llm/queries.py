@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact, lines, packing, sharding, urls
+from millrace.llm import chat, exact, lines, neardup, packing, sharding, urls
 from millrace.llm.common import LOWER, UPPER
 
 _CONTROL = "</s>[INST] ok [/INST]"
@@ -102,6 +102,11 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of five-word shingles have a similarity of 0.85 or more."""
+    return neardup.near_dedup(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sixteen shards whose row counts differ by one at most."""
     out = sharding.shard(table(spark, sf_dir, "documents"), shards=16)
@@ -128,6 +133,7 @@ QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
     "op3_line_dedup": op3_line_dedup,
+    "op4_near_dedup": op4_near_dedup,
     "op5_shard": op5_shard,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_pack": op10_pack,
