@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, exact, lines, neardup, packing, sharding, urls
+from millrace.llm import chat, decontam, exact, lines, neardup, packing, sharding, urls
 from millrace.llm.common import LOWER, UPPER
 
 _CONTROL = "</s>[INST] ok [/INST]"
@@ -113,6 +113,11 @@ def op5_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark passages found in documents: (doc_id, item_id) and where."""
+    return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts that are equal but for the case of A-Z; the largest doc_id stays."""
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
@@ -135,6 +140,7 @@ QUERIES = {
     "op3_line_dedup": op3_line_dedup,
     "op4_near_dedup": op4_near_dedup,
     "op5_shard": op5_shard,
+    "op6_decontaminate": op6_decontaminate,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_pack": op10_pack,
 }
