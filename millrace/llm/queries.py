@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontam, exact, lines, neardup, packing, sharding, urls
+from millrace.llm import chat, decontam, exact, lines, neardup, packing, quality, sharding, urls
 from millrace.llm.common import LOWER, UPPER
 
 _CONTROL = "</s>[INST] ok [/INST]"
@@ -129,6 +129,14 @@ SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc
 FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), quality.score(model, F.col("text")).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.KEEP_FROM).cast("int"))
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
@@ -142,6 +150,7 @@ QUERIES = {
     "op5_shard": op5_shard,
     "op6_decontaminate": op6_decontaminate,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_quality": op9_quality,
     "op10_pack": op10_pack,
 }
 
