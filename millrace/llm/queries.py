@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontam, exact, lines, neardup, packing, quality, sharding, urls
+from millrace.llm import chat, decontam, exact, licenses, lines, neardup, packing, quality, sharding, urls
 from millrace.llm.common import LOWER, UPPER
 
 _CONTROL = "</s>[INST] ok [/INST]"
@@ -118,6 +118,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses found in documents."""
+    return licenses.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of texts that are equal but for the case of A-Z; the largest doc_id stays."""
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
@@ -149,6 +154,7 @@ QUERIES = {
     "op4_near_dedup": op4_near_dedup,
     "op5_shard": op5_shard,
     "op6_decontaminate": op6_decontaminate,
+    "op7_license_scan": op7_license_scan,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_pack": op10_pack,
