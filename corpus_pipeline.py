@@ -1,2 +1,62 @@
-ORACLE_SQL=None
-run=None
+"""From raw documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the docs of the next.
+All stages but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.llm import decontam, lines, neardup, packing, quality
+from millrace.llm.common import materialize
+from millrace.llm.queries import table, tokenizer_path
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.withColumn("__score", quality.score(model, F.col("text"))).where(F.col("__score") >= quality.KEEP_FROM).drop("__score")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines that several documents share stay in one of them; every document stays, though its text may be left empty."""
+    return lines.line_dedup(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    gone = neardup.near_dedup(docs, percent=80).where("not kept").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a passage of the benchmark go."""
+    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, packed into sequences of 2048 tokens."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("line_dedup", line_stage),
+    ("near_dedup", near_stage),
+    ("decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
+
+#: Learnt scores, sketches and tokens are beyond SQL; tests/llm holds the stages against plain versions.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written before the next reads it."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
