@@ -50,7 +50,7 @@ def fold_events(events: DataFrame) -> DataFrame:
     )
     order = Window.partitionBy("conv_id", "turn").orderBy("seq", "rank", "role", "text")
     whole = Window.partitionBy("conv_id", "turn")
-    e = e.withColumn("ord", F.row_number().over(order)).withColumn("part", F.sum((F.col("rank") < 3).cast("long")).over(order))
+    e = e.withColumn("ord", F.row_number().over(order)).withColumn("part", F.sum((F.col("rank") < 3).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
     e = e.withColumn("reset", F.max(F.when(F.col("rank").isin(1, 2), F.col("part"))).over(whole)).withColumn(
         "cut", F.max(F.when(F.col("rank") == 2, F.col("seq"))).over(whole)
     )
