@@ -7,7 +7,8 @@ full. Pieces are dealt to workers by a hash; each worker fills the sequences of
 (fewer than k pieces; in all less than capacity tokens a class) a worker packs by best fit, longest pieces first.
 
 Tokens come from a word cache: ids of a text are those of its words between white space, one after another, since the tokenizer
-drops white space and no rule reaches across it. Texts with other separators are encoded whole.
+drops white space and no rule reaches across it; nor across a letter with a stop behind it. Texts that may hold special tokens
+("<|") are encoded whole.
 
 Defined results: a null or empty text has the end id alone; repeated rows are packed each; a null id is returned as null; an
 empty table gives no rows; other columns are ignored.
@@ -16,7 +17,7 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import bisect
-import re
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,44 +27,90 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from millrace.llm import textkernel as tk
 from millrace.llm.common import NULL_ID, materialize
 
 CAPACITY = 2048
 END_ID = 1
-#: Separators of str.split() that the tokenizer does not take for white space.
-_ODD = re.compile("[\x1c-\x1f]")
-_CACHE_WORDS = 400_000
+_CACHE_WORDS = 600_000
+_MARK = np.zeros(256, bool)
+_MARK[list(b".,;:!?)")] = True
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Where a stop or the like follows a letter of ASCII or Latin-1: the tokenizer always parts them."""
+    if len(data) < 3:
+        return np.zeros(0, np.int64)
+    mark = np.flatnonzero(_MARK[data[2:]]) + 2
+    before, lead = data[mark - 1], data[mark - 2]
+    latin = (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+    return mark[((before >= 97) & (before <= 122)) | latin]
 
 
 class WordEncoder:
-    """Encodes texts as little-endian 32-bit ids, by way of a bounded cache of words."""
+    """Encodes texts by way of a bounded cache of words."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.row: dict[int, int] = {}
+        self.ids, self.first = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word. Words of letters are encoded as one text, for their last tokens tell where they end."""
+        out: list = [None] * len(words)
+        letters = [i for i, w in enumerate(words) if w.isalpha()]
+        for at in range(0, len(letters), 20_000):
+            some = letters[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words[i] for i in some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(some):
+                for i, x in zip(some, np.split(ids, ends[:-1]), strict=True):
+                    out[i] = x
+        others = [i for i, x in enumerate(out) if x is None]
+        for at in range(0, len(others), 2_000):
+            some = others[at : at + 2_000]
+            for i, e in zip(some, self.tokenizer.encode_batch_fast([words[i] for i in some], add_special_tokens=False), strict=True):
+                out[i] = np.array(e.ids, "<u4")
+        return out
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a few megabytes of text a call at most are wise."""
-        if len(self.cache) > _CACHE_WORDS:
-            self.cache.clear()
-        cache = self.cache
-        split = [None if _ODD.search(t) else t.split() for t in texts]
-        missing = {w for words in split if words for w in words if w not in cache}
-        if missing:
-            # A word of letters with stops or commas behind it falls into the two; the letters are likely known.
-            cores = {w: c for w in missing if (c := w.rstrip(".,")) != w and c.isalpha() and c.isascii()}
-            tails = {w[len(c):] for w, c in cores.items()}
-            plain = sorted((({*missing} - cores.keys()) | {*cores.values()} | tails) - cache.keys())
-            cache.update(zip(plain, self._encode(plain), strict=True))
-            for w, c in cores.items():
-                cache[w] = cache[c] + cache[w[len(c):]]
-        for t, words in zip(texts, split, strict=True):
-            yield self._encode([t])[0] if words is None else b"".join([cache[w] for w in words])
+        if len(self.row) > _CACHE_WORDS:
+            self._clear()
+        w = tk.words(texts, cuts=_cuts)
+        known, inverse = np.unique(w.hash, return_inverse=True)
+        rows = np.array([self.row.get(h, -1) for h in known.tolist()], np.int64)
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            sample = np.empty(len(known), np.int64)
+            sample[inverse] = np.arange(len(inverse))
+            at = sample[missing]
+            data = w.data.tobytes()
+            new = self._encode([data[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
+            rows[missing] = len(self.row) + np.arange(len(missing))
+            self.row.update(zip(known[missing].tolist(), rows[missing].tolist(), strict=True))
+            self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in new])])
+            self.ids = np.concatenate([self.ids, *new])
+        row = rows[inverse]
+        size = self.first[row + 1] - self.first[row]
+        total = np.concatenate([[0], np.cumsum(size)])
+        ids = self.ids[np.repeat(self.first[row] - total[:-1], size) + np.arange(total[-1])]
+        out = np.split(ids, total[w.first[1:-1]])[: len(texts)]
+        # Special tokens are told from the text as it is, before A-Z are lower-cased and across words.
+        raw, off = tk._buffers(texts)
+        special = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
+        for i in np.unique(np.searchsorted(off, special, "right") - 1).tolist():
+            out[i] = np.array(self.tokenizer.encode(texts[i].as_py(), add_special_tokens=False).ids, "<u4")
+        return out
 
 
 def cut(length: int, capacity: int = CAPACITY, slack: int = 128) -> list[int]:
@@ -85,13 +132,12 @@ def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
-        end = np.array([END_ID], "<u4").tobytes()
+        end = np.array([END_ID], "<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in tk.slices(batch, 1):
                 rows: tuple[list, ...] = ([], [], [], [], [])
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids = memoryview(ids + end)
+                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
+                    ids = memoryview(np.concatenate([ids, end]).view(np.uint8))
                     start, n = 0, len(ids) // 4
                     for size in cut(n, capacity):
                         for col, v in zip(rows, (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n), strict=True):

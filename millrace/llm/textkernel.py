@@ -6,7 +6,7 @@ lower-cased. A word's hash is a polynomial of its bytes modulo 2**64, mixed; a s
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -85,7 +85,8 @@ def _buffers(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
-def words(texts: pa.Array, spaces: bytes = WHITE) -> Words:
+def words(texts: pa.Array, spaces: bytes = WHITE, cuts: Callable[[np.ndarray], np.ndarray] | None = None) -> Words:
+    """cuts: given the lower-cased bytes, positions inside words where another word starts."""
     lower, space = _table(spaces)
     raw, off = _buffers(texts)
     data = lower[raw]
@@ -93,9 +94,9 @@ def words(texts: pa.Array, spaces: bytes = WHITE) -> Words:
     starts, ends = inside.copy(), inside.copy()
     starts[1:] &= ~inside[:-1]
     ends[:-1] &= ~inside[1:]
-    cuts = off[(off > 0) & (off < len(data))]
-    starts[cuts] = inside[cuts]
-    ends[cuts - 1] = inside[cuts - 1]
+    for at in (off[(off > 0) & (off < len(data))], *([cuts(data)] if cuts else [])):
+        starts[at] = inside[at]
+        ends[at - 1] = inside[at - 1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
     hashes = np.empty(len(start), U)
     with np.errstate(over="ignore"):
