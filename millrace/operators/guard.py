@@ -69,15 +69,14 @@ def mask_spans(text: Column, spans: Column) -> Column:
 
 def may_hold_pii(text: Column) -> Column:
     """False only where no detector can find anything."""
-    return text.rlike(r"[0-9@%가-힣０-９⓪-⑨①②③④⑤⑥⑦⑧⑨零〇一二三四五六七八九]|[A-Za-z0-9+/]{12}|(?i)\b(?:at|zero|oh|o|one|two|three|four|five|six|seven|eight|nine)\b")
+    return text.rlike(r"[0-9@%가-힣０-９⓪①②③④⑤⑥⑦⑧⑨零〇一二三四五六七八九]|[A-Za-z0-9+/]{12}|(?i)\b(?:at|zero|oh|o|one|two|three|four|five|six|seven|eight|nine)\b")
 
 
 def _udf(run, kind: str):
     @F.pandas_udf(kind)
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame if kind.startswith("struct") else pd.Series]:
+    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            rows = [run(t) if t is not None else None for t in texts]
-            yield pd.DataFrame(rows) if kind.startswith("struct") else pd.Series(rows, dtype=object)
+            yield pd.Series([run(t) if t is not None else None for t in texts], dtype=object)
 
     return apply
 

@@ -1,4 +1,47 @@
 """Names of all queries of the library, and the SQL they are held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    """Registers a function under its name, with the SQL of the same result."""
+
+    def register(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+class Tables:
+    """Tables of a folder by attribute."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder
+
+    def __getattr__(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from millrace.plans import context, evals, finance, guard, ingest, messaging, retrieval  # noqa: F401
+
+
+
+
+
+for _name in ("guard", "evals", "retrieval", "context", "finance", "ingest", "messaging"):
+    try:
+        __import__(f"millrace.plans.{_name}")
+    except ModuleNotFoundError as e:
+        if e.name != f"millrace.plans.{_name}": raise
