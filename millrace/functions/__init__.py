@@ -1 +1 @@
-
+"""Column expressions and the plain functions behind them."""

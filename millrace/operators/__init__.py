@@ -1 +1 @@
-
+"""DataFrame operators, by capability."""

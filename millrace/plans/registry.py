@@ -32,16 +32,3 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
-def load() -> None:
-    """Imports the modules that register queries."""
-    from millrace.plans import context, evals, finance, guard, ingest, messaging, retrieval  # noqa: F401
-
-
-
-
-
-for _name in ("guard", "evals", "retrieval", "context", "finance", "ingest", "messaging"):
-    try:
-        __import__(f"millrace.plans.{_name}")
-    except ModuleNotFoundError as e:
-        if e.name != f"millrace.plans.{_name}": raise

@@ -1 +1 @@
-
+"""Readers, writers and stores."""

@@ -1 +1 @@
-
+"""Structured Streaming operators and their batch twins."""
