@@ -5,8 +5,11 @@ borrow from a bin that a hash of (bin, attempt) names (optimal densification). B
 
 Texts with equal sets form classes, and only the smallest id of a class goes on, so copies never meet in a bucket. In a bucket all
 members are linked as candidates with one centre, a star: the member that shares most places with others. Candidates
-are confirmed on full sets, links give components. Then, for buckets whose members still lie in several components, the pairs
-between components that sizes and sketches allow are confirmed too, so that no link is lost to the choice of the centre.
+are confirmed on full sets, links give components. Then, in the group of each centre (all that share a bucket with it), members
+outside the centre's component are compared with the members of other components, block by block: first sketches (those that agree
+in fewer bins than five standard deviations under the threshold are passed over), then full sets. So no link is lost to the choice
+of the centre. That last step takes time with the number of members outside times the members of the group, but emits links only,
+and a block has a bounded number of rows and bytes.
 
 Only the number of documents a band shares bounds the recall: with five rows in 28 bands, a pair at similarity 0.85 is missed
 with a probability of 7e-8, at 0.8 of 1.5e-5.
@@ -22,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import textkernel as tk
@@ -83,46 +86,83 @@ def sketch_documents(docs: DataFrame, bands: int, rows: int, size: int) -> DataF
     return docs.mapInArrow(run, "id long, n long, digest binary, low binary, keys array<long>")
 
 
-def _texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
-    return docs.join(ids.select(F.col("id")).distinct(), "id", "left_semi")
+def _maybe_in(docs: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
+    """The docs whose id may be among ids, by a bitmap of hashed ids that has at most bits / 8 bytes and is broadcast; for a join to follow."""
+    h = F.pmod(F.xxhash64("id"), F.lit(bits))
+    maps = ids.groupBy(F.bitmap_bucket_number(h).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bitmap"))
+    spot = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("shiftright", byte, (spot % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(h) == F.col("bucket")).where(held).drop("bucket", "bitmap")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
+def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Of sorted distinct hashes."""
+    if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough; texts: (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, 3):
                 u, v = (part.column(i).to_numpy() for i in (0, 1))
-                ids, index, place = np.unique(u, return_index=True, return_inverse=True)
+                _, index, place = np.unique(u, return_index=True, return_inverse=True)
                 left, lf = tk.distinct(*tk.shingles(tk.words(part.column(2).take(pa.array(index))), size))
                 right, rf = tk.distinct(*tk.shingles(tk.words(part.column(3)), size))
-                ok = np.zeros(len(u), bool)
-                for i, p in enumerate(place):
-                    a, b = left[lf[p] : lf[p + 1]], right[rf[i] : rf[i + 1]]
-                    if min(len(a), len(b)) * 100 >= percent * max(len(a), len(b)):
-                        common = len(np.intersect1d(a, b, assume_unique=True))
-                        ok[i] = common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
+                ok = np.array([_similar(left[lf[p] : lf[p + 1]], right[rf[i] : rf[i + 1]], percent) for i, p in enumerate(place)], bool)
                 yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
 
-    needed = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id")))
-    texts = materialize(_texts_of(needed, docs), "texts")
     members = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("v_text")), "v")
     both = members.join(texts.select(F.col("id").alias("u"), F.col("text").alias("u_text")), "u")
     return both.select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
 
-def _alike(pairs: DataFrame, percent: int, bins: int) -> DataFrame:
-    """Pairs whose sketches agree in no fewer bins than five standard deviations under the threshold."""
+def _blocks(rows: DataFrame, prefix: str, most: int = 256, most_bytes: int = 8 << 20) -> DataFrame:
+    """Gathers (centre, id, label, low, text) into blocks of a bounded number of rows and bytes."""
+    w = Window.partitionBy("centre").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
+    place = rows.select("centre", "id", "label", F.octet_length("text").cast("long").alias("b")).withColumns(
+        {"p": F.floor((F.count("*").over(w) - 1) / most), "q": F.floor((F.sum("b").over(w) - F.col("b")) / most_bytes)}
+    )
+    row = F.struct("id", "label", "low", "text")
+    return (
+        rows.join(place.select("centre", "id", "label", "p", "q").distinct(), ["centre", "id", "label"])
+        .groupBy("centre", "p", "q")
+        .agg(F.collect_list(row).alias(prefix))
+        .select("centre", prefix)
+    )
+
+
+def _between_components(near: DataFrame, far: DataFrame, percent: int, size: int, bins: int) -> DataFrame:
+    """Links between rows of a centre's group that lie in different components: far with near, block by block."""
     share = percent / 100
-    least = share - 5 * (share * (1 - share) / bins) ** 0.5
+    least = (share - 5 * (share * (1 - share) / bins) ** 0.5) * bins
+
+    def unpack(column: pa.Array, i: int) -> tuple:
+        rows = column[i].values
+        low = np.frombuffer(b"".join(rows.field("low").to_pylist()), np.uint8).reshape(-1, bins)
+        sets, first = tk.distinct(*tk.shingles(tk.words(rows.field("text")), size))
+        return rows.field("id").to_numpy(), rows.field("label").to_numpy(), low, sets, first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, bins) for i in (2, 3))
-            yield batch.select([0, 1]).filter(pa.array((a == b).mean(axis=1) >= least))
+            found: set[tuple[int, int]] = set()
+            for i in range(batch.num_rows):
+                ids, labels, low, sets, first = unpack(batch.column(0), i)
+                ids2, labels2, low2, sets2, first2 = unpack(batch.column(1), i)
+                for a in range(len(ids)):
+                    alike = np.flatnonzero(((low2 == low[a]).sum(axis=1) >= least) & (labels2 != labels[a]))
+                    for b in alike.tolist():
+                        if _similar(sets[first[a] : first[a + 1]], sets2[first2[b] : first2[b + 1]], percent):
+                            found.add((min(ids[a], ids2[b]), max(ids[a], ids2[b])))
+            u, v = zip(*sorted(found), strict=True) if found else ([], [])
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return pairs.select("u", "v", "u_low", "v_low").mapInArrow(run, "u long, v long")
+    return _blocks(far, "far").join(_blocks(near, "near"), "centre").select("far", "near").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_dedup(
@@ -148,26 +188,22 @@ def near_dedup(
     scored = buckets.select("key", "id").join(score, "id")
     centre = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("c")).select("key", (-F.col("c.id")).alias("centre"))
     stars = materialize(buckets.join(centre, "key").where("id != centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "stars")
-    same = member.groupBy("id").agg(F.min("head").alias("u"), F.max("head").alias("v"), F.count("*").alias("c")).where("u < v")
+    same = member.groupBy("id").agg(F.min("head").alias("u"), F.max("head").alias("v")).where("u < v")
     same = member.join(same.select("id", "u"), "id").select("u", F.col("head").alias("v")).where("u != v").distinct()
-    links = materialize(confirm(stars, docs, percent, size).unionByName(same), "links")
-    labels = components(links)
-    # What the stars may have missed: pairs between the components of one bucket.
-    named = buckets.select("key", "id").join(labels, F.col("id") == F.col("node"), "left").select("key", "id", F.coalesce("component", "id").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-    named = materialize(named.join(mixed, "key").join(centre, "key"), "mixed")
-    main = named.where("id = centre").select("key", F.col("label").alias("main")).distinct()
-    named = named.join(main, "key").join(heads.select("id", "n", "low"), "id")
-    far = named.where("label != main").select("key", *(F.col(c).alias(f"u_{c}") for c in ("id", "label", "n", "low")))
-    near = named.where("id != centre").select("key", *(F.col(c).alias(f"v_{c}") for c in ("id", "label", "main", "n", "low")))
-    fits = (F.least("u_n", "v_n") * 100 >= percent * F.greatest("u_n", "v_n")) & (F.col("u_label") != F.col("v_label"))
-    once = (F.col("v_label") == F.col("v_main")) | (F.col("u_id") < F.col("v_id"))
-    pairs = far.join(near, "key").where(fits & once).select(F.least("u_id", "v_id").alias("u"), F.greatest("u_id", "v_id").alias("v"), "u_low", "v_low")
-    more = materialize(_alike(pairs, percent, bands * rows).distinct(), "pairs")
-    if not more.isEmpty():
-        late = materialize(confirm(more, docs, percent, size), "links")
-        if not late.isEmpty():
-            labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late))
+    needed = stars.select(F.col("u").alias("id")).union(stars.select("v")).distinct()
+    texts = materialize(_maybe_in(docs, needed).join(needed, "id", "left_semi"), "texts")
+    labels = components(materialize(confirm(stars, texts, percent, size).unionByName(same), "links"))
+    # What the stars may have missed: links between the components in the group of a centre.
+    group = stars.select(F.col("u").alias("centre"), F.col("v").alias("id")).union(stars.select("u", "u").distinct())
+    group = group.join(labels, F.col("id") == F.col("node"), "left").select("centre", "id", F.coalesce("component", "id").alias("label"))
+    main = group.where("id = centre").select("centre", F.col("label").alias("main"))
+    mixed = group.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("centre")
+    group = materialize(
+        group.join(mixed, "centre").join(main, "centre").where("id != centre").join(heads.select("id", "low"), "id").join(texts, "id"), "groups"
+    )
+    late = materialize(_between_components(group, group.where("label != main"), percent, size, bands * rows), "links")
+    if not late.isEmpty():
+        labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late))
     out = member.join(labels, member["head"] == labels["node"], "left").select("id", "n", F.coalesce("component", "head").alias("component"))
     real = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
     return out.select(real("id").alias(id_col), F.col("n").alias("n_shingles"), real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
