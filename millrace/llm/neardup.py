@@ -191,7 +191,8 @@ def near_dedup(
     same = member.groupBy("id").agg(F.min("head").alias("u"), F.max("head").alias("v")).where("u < v")
     same = member.join(same.select("id", "u"), "id").select("u", F.col("head").alias("v")).where("u != v").distinct()
     needed = stars.select(F.col("u").alias("id")).union(stars.select("v")).distinct()
-    texts = materialize(_maybe_in(docs, needed).join(needed, "id", "left_semi"), "texts")
+    # An inner join: a semi-join would be moved below the filter, and all texts be shuffled.
+    texts = materialize(_maybe_in(docs, needed).join(needed, "id"), "texts")
     labels = components(materialize(confirm(stars, texts, percent, size).unionByName(same), "links"))
     # What the stars may have missed: links between the components in the group of a centre.
     group = stars.select(F.col("u").alias("centre"), F.col("v").alias("id")).union(stars.select("u", "u").distinct())
