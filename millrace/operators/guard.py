@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -200,9 +201,7 @@ def _sanitised(col: Column, kind: T.DataType) -> Column:
     """Python cannot run inside a higher-order function, so a nested value goes to it as a whole."""
 
     @F.arrow_udf(kind)
-    def run(batches):
-        import pyarrow as pa
-
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for values in batches:
             yield pa.array([_plain(v, kind) for v in values.to_pylist(maps_as_pydicts="strict")], values.type)
 
@@ -219,9 +218,7 @@ def redact_attributes(df: DataFrame, col: str = "attributes") -> DataFrame:
     keys = F.map_keys(F.map_filter(col, lambda k, _: is_sensitive_key(k)))
 
     @F.arrow_udf("map<string,string>")
-    def run(batches):
-        import pyarrow as pa
-
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for maps, sensitive in batches:
             out = []
             for m, some in zip(maps.to_pylist(maps_as_pydicts="strict"), sensitive.to_pylist(), strict=True):
