@@ -100,12 +100,9 @@ class Benchmark:
         hashes, first = tk.shingles(w, SIZE)
         total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(hashes), axis=0, dtype=np.int32)])
         prints = fingerprints(total[first[1:]] - total[first[:-1]])[n > 0]
-        # By length in words: the items, their index, and by shingle size the sorted table of all shingles.
-        lengths = n[n > 0]
-        self.groups = []
-        for length in np.unique(lengths):
-            members = np.flatnonzero(lengths == length)
-            self.groups.append((int(length), members, HammingIndex(prints[members])))
+        # One index of all items, whose lengths in words tell which windows they are for; and by shingle size the sorted table of all shingles.
+        self.length = n[n > 0]
+        self.index = HammingIndex(prints)
         self.shingles = {}
         for size in range(1, SIZE + 1):
             pick = np.flatnonzero(n == size) if size < SIZE else np.flatnonzero(n >= SIZE)
@@ -162,8 +159,8 @@ def find(texts: pa.Array, bench: Benchmark, threshold: float) -> Iterator[tuple[
 def _find_in(w: tk.Words, every: np.ndarray, spots: np.ndarray, text: int, length: int, size: int, bench: Benchmark, threshold: float):
     base, spots = int(w.first[text]), spots - w.first[text]
     best: dict[int, tuple[float, int, int]] = {}
-    for need, members, index in bench.groups:
-        if (min(need, SIZE)) != size:
+    for need in np.unique(bench.length).tolist():
+        if min(need, SIZE) != size:
             continue
         take = min(need, length)
         span = take - size + 1  # shingles in a window
@@ -183,8 +180,9 @@ def _find_in(w: tk.Words, every: np.ndarray, spots: np.ndarray, text: int, lengt
                 a, b = int(piece[0]), int(piece[-1]) + span
                 total = np.zeros((b - a + 1, 64), np.int32)
                 np.cumsum(signs(every[base + a : base + b]), axis=0, out=total[1:])
-                which, item = index.search(fingerprints(total[piece + span - a] - total[piece - a]))
-                for p, m in zip(piece[which].tolist(), members[item].tolist(), strict=True):
+                which, item = bench.index.search(fingerprints(total[piece + span - a] - total[piece - a]))
+                fits = bench.length[item] == need
+                for p, m in zip(piece[which[fits]].tolist(), item[fits].tolist(), strict=True):
                     s = weighted_similarity(bag(w.text(base + p, base + p + take)), bench.bags[m])
                     if s >= threshold and (m not in best or s > best[m][0]):
                         best[m] = (s, p, take)

@@ -61,7 +61,8 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.row: dict[int, int] = {}
+        # Known hashes in order, and for each its row in the ids.
+        self.known, self.row = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         self.ids, self.first = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
@@ -84,11 +85,15 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; a few megabytes of text a call at most are wise."""
-        if len(self.row) > _CACHE_WORDS:
+        if len(self.known) > _CACHE_WORDS:
             self._clear()
         w = tk.words(texts, cuts=_cuts)
         known, inverse = np.unique(w.hash, return_inverse=True)
-        rows = np.array([self.row.get(h, -1) for h in known.tolist()], np.int64)
+        place = np.searchsorted(self.known, known)
+        rows = np.full(len(known), -1)
+        held = np.flatnonzero(np.append(self.known, np.uint64(0))[place] == known) if len(self.known) else np.zeros(0, np.int64)
+        held = held[place[held] < len(self.known)]
+        rows[held] = self.row[place[held]]
         missing = np.flatnonzero(rows < 0)
         if len(missing):
             sample = np.empty(len(known), np.int64)
@@ -96,8 +101,9 @@ class WordEncoder:
             at = sample[missing]
             data = w.data.tobytes()
             new = self._encode([data[a:b].decode() for a, b in zip(w.start[at].tolist(), w.end[at].tolist(), strict=True)])
-            rows[missing] = len(self.row) + np.arange(len(missing))
-            self.row.update(zip(known[missing].tolist(), rows[missing].tolist(), strict=True))
+            rows[missing] = len(self.known) + np.arange(len(missing))
+            self.row = np.insert(self.row, place[missing], rows[missing])
+            self.known = np.insert(self.known, place[missing], known[missing])
             self.first = np.concatenate([self.first, self.first[-1] + np.cumsum([len(x) for x in new])])
             self.ids = np.concatenate([self.ids, *new])
         row = rows[inverse]

@@ -222,7 +222,7 @@ class QualityModel:
         if self.network is None:
             return np.full(len(texts), 0.5)
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
-        return np.concatenate([np.zeros(0), *(self.network.scores(pool(p.column(0), self.vectors).astype(np.float64)) for p in tk.slices(batch, 0))])
+        return np.concatenate([np.zeros(0), *(self.network.scores(pool(p.column(0), self.vectors).astype(np.float64)) for p in tk.slices(batch, 0, 1 << 20))])
 
 
 def held_out(id_col: Column) -> Column:
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.slices(batch, 2):
+            for part in tk.slices(batch, 2, 1 << 20):
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in pool(part.column(2), vectors)], pa.binary())], ["id", "y", "x"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

@@ -6,6 +6,8 @@ lower-cased. A word's hash is a polynomial of its bytes modulo 2**64, mixed; a s
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -167,3 +169,11 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if b > a:
             yield batch.slice(a, b - a)
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system; a Python worker lives on for tasks of other kinds."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
