@@ -127,7 +127,7 @@ def markdown_to_text(text: Column) -> Column:
     for pattern, sign in (
         (r"!\[[^\]]*\]\([^)]+\)", ""),
         (r"\[([^\]]+)\]\([^)]+\)", "$1"),
-        (r"```[^\n`]*\n?", ""),
+        (r"(?s)```[^\n]*\n?(.*?)```", "$1"),
         (r"`([^`]+)`", "$1"),
         (r"(?m)^#{1,6}\s+", ""),
         (r"(?m)^\s*[-*+]\s+", ""),
@@ -277,9 +277,9 @@ def strip_bom(text: Column) -> Column:
 
 def loose(text: Column) -> Column:
     """Blanks at line ends, curly quotes, dashes and special blanks levelled."""
-    text = F.regexp_replace(to_lf(text), r"(?m)[ \t\f]+$", "")
     curly = QUOTES + DASHES + BLANKS
-    return F.translate(text, curly, "''''" + '""""' + "-" * len(DASHES) + " " * len(BLANKS))
+    text = F.translate(to_lf(text), curly, "''''" + '""""' + "-" * len(DASHES) + " " * len(BLANKS))
+    return F.regexp_replace(text, r"(?m)[ \t\f]+$", "")
 
 
 def find_loose(text: Column, needle: Column) -> Column:
@@ -301,7 +301,7 @@ def line_diff(old: Column, new: Column, context: int = 4) -> Column:
 def parse_table(text: Column) -> Column:
     """Markdown table to struct of headers and rows; null without a separator line."""
     lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = lambda x: F.transform(F.split(F.regexp_replace(F.trim(x), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     ok = (F.size(lines) >= 2) & F.get(lines, F.lit(1)).rlike(r"^\s*\|?\s*:?-+:?\s*(\|\s*:?-+:?\s*)*\|?\s*$")
     return F.when(ok, F.struct(cells(F.get(lines, F.lit(0))).alias("headers"), F.transform(F.slice(lines, F.lit(3), F.greatest(F.size(lines) - 2, F.lit(0))), cells).alias("rows")))
 

@@ -34,5 +34,5 @@ def flattened(df: DataFrame, null: str = "null") -> DataFrame:
 def unflattened(df: DataFrame, schema: dict[str, str]) -> DataFrame:
     """The inverse of flattened(), with the types of the columns; what cannot be read is null."""
     nested = ("struct", "array", "map")
-    cols = [F.from_json(c, t) if t.startswith(nested) else F.nullif(c, F.lit("null")).try_cast(t) for c, t in schema.items()]
+    cols = [F.from_json(F.nullif(c, F.lit("null")), t) if t.startswith(nested) else F.nullif(c, F.lit("null")).try_cast(t) for c, t in schema.items()]
     return df.select(*(x.alias(c) for x, c in zip(cols, schema, strict=True)))
