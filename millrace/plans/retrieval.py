@@ -68,7 +68,7 @@ def hybrid_search(spark, sf):
     return R.merge_scores(_vectors(spark, sf), R.keyword_topk(index, _queries(spark, sf), 10**9)).withColumn("score", F.round("score", 8))
 
 
-@query(f"""WITH {_SETUP}, p AS (SELECT *, CASE WHEN chunk_id % 3 = 0 THEN date '2024-01-01' + (chunk_id % 28)::INT WHEN chunk_id % 3 = 1 THEN date '2024-01-20' END AS since FROM top)
+@query(f"""WITH {_SETUP}, p AS (SELECT *, CASE WHEN chunk_id % 3 = 0 THEN date '2024-01-01' + (chunk_id % 28)::INT WHEN chunk_id % 3 = 1 THEN date '2024-01-20' END AS since FROM top WHERE chunk_id IN (SELECT doc_id FROM documents))
 SELECT query_id, chunk_id, round(CASE WHEN since IS NULL THEN score ELSE score * exp(-ln(2) / 30 * greatest(0, date_diff('day', since, date '2024-02-15'))) END, 5) AS score FROM p""")
 def decay_rank(spark, sf):
     """Scores decayed by the age of their file."""
