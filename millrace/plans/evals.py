@@ -201,7 +201,7 @@ def select_rows(spark, sf):
 
 
 @query("""WITH u AS (SELECT user_id, list(event_type ORDER BY event_id) AS calls, max(value) AS m FROM events GROUP BY 1)
-SELECT user_id, CASE WHEN user_id % 5 = 0 THEN (CASE WHEN list_contains(calls, 'error') THEN 0.5 ELSE 1.0 END) WHEN NOT list_contains(calls, 'signup') THEN 0.0
+SELECT user_id, CASE WHEN user_id % 5 = 0 THEN (CASE WHEN list_contains(calls, 'error') THEN 0.5 ELSE 1.0 END)::DOUBLE WHEN NOT list_contains(calls, 'signup') THEN 0.0
   WHEN user_id % 3 = 0 THEN 0.5 ELSE 1.0 END AS score FROM u""")
 def tool_correctness(spark, sf):
     """Whether a required call was made, about the right company."""
@@ -213,7 +213,7 @@ def tool_correctness(spark, sf):
     return u.select("user_id", E.tool_correctness(level, F.lit("search"), F.lit("AAPL"), F.col("calls"))["score"].alias("score"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_extendedprice / 1000 BETWEEN 20 AND 40 THEN 1.0 ELSE 0.0 END AS score FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 7 THEN NULL WHEN l_extendedprice / 1000 BETWEEN 20 AND 40 THEN 1.0::DOUBLE ELSE 0.0 END AS score FROM lineitem""")
 def factual_accuracy(spark, sf):
     """Numbers of an answer against a range."""
     li = Tables(spark, sf).lineitem

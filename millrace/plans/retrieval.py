@@ -37,7 +37,7 @@ def _vectors(spark, sf):
     return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 12")
 
 
-@query(f"WITH {_SETUP} SELECT * FROM top")
+@query(f"WITH {_SETUP} SELECT query_id, chunk_id, score, rank::INT AS rank FROM top")
 def vector_topk(spark, sf):
     """The twelve nearest vectors of five."""
     return _vectors(spark, sf)
@@ -49,7 +49,7 @@ dw AS (SELECT doc_id AS chunk_id, {_WORDS.format('text')} AS ws FROM documents),
 hit AS (SELECT query_id, chunk_id FROM qw JOIN dw ON list_has_all(dw.ws, qw.ws) WHERE len(qw.ws) > 0)"""
 
 
-@query(f"WITH {_KEY} SELECT query_id, chunk_id, 1.0 AS score FROM hit")
+@query(f"WITH {_KEY} SELECT query_id, chunk_id, 1.0::DOUBLE AS score FROM hit")
 def keyword_and_search(spark, sf):
     """Documents that hold all words of a query, through the inverted index."""
     index = R.inverted_index(_chunks(spark, sf))
