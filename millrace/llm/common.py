@@ -33,12 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a Parquet table to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing."""
+    """Writes df as a Parquet table to the shared folder and reads it back: lineage ends there, and a lost executor loses nothing.
+
+    The table goes when the application ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def default_parallelism(df: DataFrame) -> int:
-    """Number of shuffle partitions the session asks for."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
