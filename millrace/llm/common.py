@@ -22,13 +22,14 @@ def ascii_lower(col: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in a local run, else one in the warehouse."""
     sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-"))
+        local = sc._jsc.sc().isLocal()
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return sc.getCheckpointDir().rstrip("/")
 
 
