@@ -2,8 +2,8 @@
 
 A text is split at \\n; a line's key is the line without white space at its ends and with A-Z lower-cased. The keys of at least
 ``min_chars`` code points are hashed (128 bits) and written once as (id, text hash, position, key hash). Per hash the distinct
-documents are counted with map-side combining; hashes at or over ``min_docs`` drop all their lines but those in the document
-with the smallest id. Only (id, position) pairs travel back to the texts, which are shuffled once.
+documents are counted, first in runs of documents and then over the runs; hashes at or over ``min_docs`` drop all their lines but
+those in the document with the smallest id. Only (id, position) pairs travel back to the texts, which are shuffled once.
 
 Defined results: null or empty text is one empty line and comes back as empty text; a null id sorts before all others; rows with
 the same id are one document for counting, and each is returned; lines without a key that long always stay; an empty table gives
@@ -22,7 +22,7 @@ def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, runs: int = 64) -> DataFrame:
     """The columns of docs with the text reduced to the lines that stay, and n_lines (before) and n_dropped."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     ident = [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(text).alias("__hash")]
@@ -30,12 +30,17 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys = materialize(
         lines.where(F.length("__line") >= min_chars).select("__id", "__hash", "__pos", F.unhex(F.md5("__line")).alias("__key")), "line-keys"
     )
-    if min_docs == 2:  # two documents hold it if the smallest and largest id differ
-        held = keys.groupBy("__key").agg(F.min("__id").alias("__first"), F.max("__id").alias("__last")).where("__first < __last")
-    else:
-        held = keys.groupBy("__key").agg(F.min("__id").alias("__first"), F.count_distinct("__id").alias("__n")).where(F.col("__n") >= min_docs)
+    # An id has one run, so documents counted in runs add up; and a frequent key comes back to its lines in as many parts as there are runs.
+    run = F.pmod(F.xxhash64("__id"), F.lit(runs)).alias("__run")
+    count = F.count_distinct("__id") if min_docs > 2 else F.max("__id")
+    by_run = keys.groupBy(run, "__key").agg(F.min("__id").alias("__first"), count.alias("__more"))
+    # Two documents hold a key if its smallest and largest id differ.
+    enough = F.sum("__more") >= min_docs if min_docs > 2 else F.min("__first") < F.max("__more")
+    held = by_run.groupBy("__key").agg(F.min("__first").alias("__first"), enough.alias("__held")).where("__held").select("__key", "__first")
+    decided = by_run.select("__run", "__key").join(held, "__key")
     drops = (
-        keys.join(held.select("__key", "__first"), "__key")
+        keys.withColumn("__run", run)
+        .join(decided, ["__run", "__key"])
         .where("__id != __first")
         .groupBy("__id", "__hash")
         .agg(F.collect_set("__pos").alias("__drops"))
