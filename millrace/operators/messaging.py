@@ -169,9 +169,10 @@ def latest_names(messages: DataFrame, key: str = "group_id", member: str = "memb
     return messages.groupBy(key, member).agg(F.max_by("name", "ts").alias("name"), F.max("ts").alias("ts"))
 
 
-def drain(queue: DataFrame) -> DataFrame:
-    """Queued messages, "next" before "later", then by time."""
-    return queue.withColumn("rank", F.row_number().over(Window.orderBy(F.when(F.col("priority") == "next", 0).otherwise(1), "enqueued_at", "text")))
+def drain(queue: DataFrame, key: str = "queue_id") -> DataFrame:
+    """Messages of each queue, "next" before "later", then by time (T07): adds rank, 1 being the one to take."""
+    order = Window.partitionBy(key).orderBy(F.when(F.col("priority") == "next", 0).otherwise(1), "enqueued_at", "text")
+    return queue.withColumn("rank", F.row_number().over(order))
 
 
 def due_jobs(jobs: DataFrame, now_ms: Column) -> DataFrame:

@@ -109,12 +109,12 @@ def latest_names(spark, sf):
     return M.latest_names(e).drop("ts")
 
 
-@query("SELECT conv_id, turn, row_number() OVER (ORDER BY (role <> 'user')::INT, conv_id, turn)::INT AS rank FROM conversations WHERE conv_id < 20")
+@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY (role <> 'user')::INT, turn)::INT AS rank FROM conversations")
 def queue_drain(spark, sf):
     """Queued messages by priority and time."""
-    c = Tables(spark, sf).conversations.where("conv_id < 20")
-    q = c.select("conv_id", "turn", F.when(F.col("role") == "user", "next").otherwise("later").alias("priority"), F.struct("conv_id", "turn").alias("enqueued_at"), F.lit("x").alias("text"))
-    return M.drain(q).select("conv_id", "turn", "rank")
+    c = Tables(spark, sf).conversations
+    q = c.select("conv_id", "turn", F.when(F.col("role") == "user", "next").otherwise("later").alias("priority"), F.col("turn").alias("enqueued_at"), F.lit("x").alias("text"))
+    return M.drain(q, "conv_id").select("conv_id", "turn", "rank")
 
 
 @query("SELECT min(o_orderkey) * 1000 AS next_run_ms, least(60000, greatest(0, min(o_orderkey) * 1000 - 500)) AS delay_ms FROM orders WHERE o_orderstatus = 'F'")
