@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textkernel as tk
@@ -122,19 +122,12 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Data
     return both.select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
 
-def _blocks(rows: DataFrame, prefix: str, most: int = 256, most_bytes: int = 8 << 20) -> DataFrame:
-    """Gathers (centre, id, label, low, text) into blocks of a bounded number of rows and bytes."""
-    w = Window.partitionBy("centre").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    place = rows.select("centre", "id", "label", F.octet_length("text").cast("long").alias("b")).withColumns(
-        {"p": F.floor((F.count("*").over(w) - 1) / most), "q": F.floor((F.sum("b").over(w) - F.col("b")) / most_bytes)}
-    )
-    row = F.struct("id", "label", "low", "text")
-    return (
-        rows.join(place.select("centre", "id", "label", "p", "q").distinct(), ["centre", "id", "label"])
-        .groupBy("centre", "p", "q")
-        .agg(F.collect_list(row).alias(prefix))
-        .select("centre", prefix)
-    )
+def _blocks(rows: DataFrame, name: str, most: int = 256, most_bytes: int = 8 << 20) -> DataFrame:
+    """Gathers (centre, id, label, low, text) into blocks of about that many rows and bytes at most; a hash deals a centre's rows to as many as it needs."""
+    need = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum(F.octet_length("text").cast("long")) / most_bytes))
+    sizes = rows.groupBy("centre").agg(need.alias("need"))
+    dealt = rows.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("need")))
+    return dealt.groupBy("centre", "block").agg(F.collect_list(F.struct("id", "label", "low", "text")).alias(name)).select("centre", name)
 
 
 def _between_components(near: DataFrame, far: DataFrame, percent: int, size: int, bins: int) -> DataFrame:
