@@ -76,6 +76,8 @@ DEMOGRAPHIC = [
     rf"[0-9]{{4}}년{_WS}*[0-9]{{1,2}}월생{_WS}*(?:남성|여성){_WS}*[가-힣]씨",
     rf"[가-힣A-Za-z0-9]+(?:전자|은행|증권|보험|회사)?{_WS}*다니는{_WS}*[0-9]{{2}}세{_WS}*[가-힣]씨{_WS}*직장인",
 ]
+#: A word that each of these patterns needs.
+DEMOGRAPHIC_WORDS = ["강남구", "강남구", "월생", "다니는"]
 _K = "공영령일이삼사오육륙칠팔구"
 _U = "0-9０-９⓪①②③④⑤⑥⑦⑧⑨零〇一二三四五六七八九"
 _E = "zero|oh|o|one|two|three|four|five|six|seven|eight|nine"
@@ -104,19 +106,23 @@ _ENGLISH_RUN = _re(rf"\b(?:{_E})(?:(?:[,.\-_/]|{_WS})+(?:{_E})){{9,}}\b", re.I)
 _SPOKEN = _re(rf"\b[A-Za-z0-9]+(?:{_WS}+{_DOT}{_WS}+[A-Za-z0-9]+)*{_WS}+{_AT}{_WS}+[A-Za-z0-9]+(?:{_WS}+{_DOT}{_WS}+[A-Za-z]{{2,}})+\b", re.I)
 _PHRASE = _re(rf"(?:주민번호|주민등록|RRN|신원|KYC|생년월일|뒤{_WS}*7{_WS}*자리|계좌(?:번호)?|은행|카드(?:번호)?|신용카드|휴대폰|핸드폰|전화|연락처)[^\n]{{0,96}}", re.I)
 _LOCATION, _LIVES = "[가-힣]{2,}(?:구|동)", "(?:거주|사는|주소|프로필|주민|신원)"
+#: Hints for any text, and those that need a Korean letter.
 _HINTS = [
     _re("[０-９⓪①②③④⑤⑥⑦⑧⑨零〇一二三四五六七八九]"),
     _re(r"[\u200b-\u200d\ufeff]"),
-    _URL,
-    _SPOKEN,
     _ENGLISH_RUN,
+    _re(rf"[a-zA-Z]{_WS}[a-zA-Z]{_WS}[a-zA-Z]{_WS}*[.@]"),
+]
+_KOREAN_HINTS = [
     _REVERSED_HINT,
     _re(rf"(?:^|[^가-힣])[가-힣]씨(?:{_WS}|$|[^가-힣])"),
     _re(rf"[0-9]+{_WS}*(?:년생|세|살|대)"),
     _re(f"{_LIVES}.{{0,12}}{_LOCATION}|{_LOCATION}.{{0,12}}{_LIVES}"),
     _re("다니는|근무|거주"),
-    _re(rf"[a-zA-Z]{_WS}[a-zA-Z]{_WS}[a-zA-Z]{_WS}*[.@]"),
 ]
+_HANGUL = _re("[가-힣]")
+_SAYS_AT = _re(rf"{_WS}{_AT}{_WS}", re.I)
+_NAMES_ID = _re("rrn|kyc|[가-힣]", re.I)
 _HIGH_RISK = _re(HIGH_RISK, re.I)
 _TAIL = _re(rf"(?:[\-.@_*]|{_WS})+$")
 _DECORATION = r"(?:[,，、.:：;；/／·・－-]|" + _WS + ")+"
@@ -254,7 +260,8 @@ def reversed_numbers(text: str) -> list[Span]:
 
 def demographic(text: str) -> list[Span]:
     """Phrases that describe one person."""
-    return [Span("demographic", *m.span(), m[0], 0.86) for p in _DEMOGRAPHIC for m in p.finditer(text)]
+    likely = (p for p, word in zip(_DEMOGRAPHIC, DEMOGRAPHIC_WORDS, strict=True) if word in text)
+    return [Span("demographic", *m.span(), m[0], 0.86) for p in likely for m in p.finditer(text)]
 
 
 def deterministic(text: str) -> list[Span]:
@@ -316,10 +323,14 @@ def unicode_digits(text: str) -> list[Span]:
     return _runs(text, _UNICODE_RUN, _frameless, read, lambda d, c, _: classify_loose(d, c), 32, 0.92)
 
 
+def _named_phrases(text: str) -> Iterable[re.Match]:
+    return _PHRASE.finditer(text) if _NAMES_ID.search(text) else ()
+
+
 def phrases(text: str) -> list[Span]:
     """Digits spread over a phrase that names what they are."""
     out = []
-    for m in _PHRASE.finditer(text):
+    for m in _named_phrases(text):
         parts = list(re.finditer("[0-9]{2,}", m[0]))
         digits = "".join(p[0] for p in parts)
         if len(digits) >= 10 and (kind := classify_loose(digits, m[0])):
@@ -331,6 +342,8 @@ def phrases(text: str) -> list[Span]:
 
 def spoken_emails(text: str) -> list[Span]:
     """E-mail addresses in words."""
+    if not _SAYS_AT.search(text):
+        return []
     out = []
     for m in _SPOKEN.finditer(text):
         plain = re.sub(rf"{_WS}+{_AT}{_WS}+", "@", m[0], flags=re.I)
@@ -359,8 +372,11 @@ def escalates(text: str) -> bool:
     """Whether a text hints at obfuscation."""
     return (
         any(h.search(text) for h in _HINTS)
+        or (bool(_HANGUL.search(text)) and any(h.search(text) for h in _KOREAN_HINTS))
+        or ("%" in text and bool(_URL.search(text)))
+        or (bool(_SAYS_AT.search(text)) and bool(_SPOKEN.search(text)))
         or any(sum(c in KOREAN for c in m[0]) >= 3 for m in _KOREAN_RUN.finditer(text))
-        or any(len(re.findall("[0-9]", m[0])) >= 2 for m in _PHRASE.finditer(text))
+        or any(len(re.findall("[0-9]", m[0])) >= 2 for m in _named_phrases(text))
         or any((plain := _from_base64(m[0])) and _decoded_type(plain, plain) for m in _BASE64.finditer(text) if re.search("[A-Za-z+/]", m[0]))
     )
 
