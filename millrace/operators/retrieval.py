@@ -95,21 +95,40 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str = "
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def inverted_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "content") -> DataFrame:
-    """Terms of chunks with their frequency and the chunk's length: term, chunk_id, tf, len (the full-text table of S13)."""
+def query_terms(queries: DataFrame) -> DataFrame:
+    """Distinct words of each query: query_id, need (their number), term."""
+    words = queries.select("query_id", F.array_distinct(V.word_tokens(F.lower("text"))).alias("ws")).where(F.size("ws") > 0)
+    return words.select("query_id", F.size("ws").alias("need"), F.explode("ws").alias("term"))
+
+
+def inverted_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "content", queries: DataFrame | None = None) -> DataFrame:
+    """Terms of chunks with their frequency and the chunk's length: term, chunk_id, tf, len (the full-text table of S13).
+
+    queries: only the terms of these queries (a small table) are kept, before anything is shuffled; for a search without a stored index.
+    """
     words = chunks.select(F.col(chunk_id).alias("chunk_id"), V.word_tokens(F.lower(text)).alias("ws")).withColumn("len", F.size("ws"))
-    return words.select("chunk_id", "len", F.explode("ws").alias("term")).groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+    each = words.select("chunk_id", "len", F.explode("ws").alias("term"))
+    if queries is not None:
+        each = each.join(F.broadcast(query_terms(queries).select("term").distinct()), "term")
+    return each.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
+
+
+def corpus_totals(chunks: DataFrame, text: str = "content") -> DataFrame:
+    """Number of chunks with words, and their mean length: one row."""
+    n = F.size(V.word_tokens(F.lower(text)))
+    return chunks.select(n.alias("len")).where("len > 0").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
-def keyword_topk(index: DataFrame, queries: DataFrame, k: int, mode: str = "parity") -> DataFrame:
+def keyword_topk(index: DataFrame, queries: DataFrame, k: int, mode: str = "parity", totals: DataFrame | None = None) -> DataFrame:
     """Chunks that hold all words of a query (T02, R02, R03): query_id, chunk_id, score, rank.
 
     mode "parity": every hit scores 1, as a negative rank does where only its size counts; "bm25": positive BM25 scaled to x / (1 + x).
-    The hits are ranked by BM25 in both. Queries without words have no hits.
+    The hits are ranked by BM25 in both. Queries without words have no hits. totals: corpus_totals(), where the index holds the
+    queries' terms alone.
     """
-    terms = queries.select("query_id", F.array_distinct(V.word_tokens(F.lower("text"))).alias("ws")).where(F.size("ws") > 0)
-    terms = terms.select("query_id", F.size("ws").alias("need"), F.explode("ws").alias("term"))
-    totals = index.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
+    terms = query_terms(queries)
+    if totals is None:
+        totals = index.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
     df = index.groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     gain = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
@@ -189,9 +208,9 @@ def mmr(results: DataFrame, k: int = MAX_RESULTS, weight: float = MMR_LAMBDA) ->
 
 
 def hybrid_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, now: Column, k: int = MAX_RESULTS, weights: tuple[float, float] = (0.7, 0.3),
-                  min_score: float = MIN_SCORE, half_life: float | None = HALF_LIFE, mmr_weight: float | None = MMR_LAMBDA, mode: str = "parity") -> DataFrame:
+                  min_score: float = MIN_SCORE, half_life: float | None = HALF_LIFE, mmr_weight: float | None = MMR_LAMBDA, mode: str = "parity", totals: DataFrame | None = None) -> DataFrame:
     """Vector and keyword candidates (4k each), merged, decayed, diversified, the best k (T03): query_id, chunk_id, score, source, rank, snippet, file_path."""
-    merged = merge_scores(vector_topk(chunks, queries, 4 * k), keyword_topk(index, queries, 4 * k, mode), weights, min_score)
+    merged = merge_scores(vector_topk(chunks, queries, 4 * k), keyword_topk(index, queries, 4 * k, mode, totals), weights, min_score)
     results = with_details(merged, chunks)
     results = decayed(results, now, half_life) if half_life else results
     if mmr_weight is None:

@@ -37,6 +37,11 @@ def _vectors(spark, sf):
     return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 12")
 
 
+def _keywords(spark, sf):
+    c, q = _chunks(spark, sf), _queries(spark, sf)
+    return R.keyword_topk(R.inverted_index(c, queries=q), q, 10**9, totals=R.corpus_totals(c))
+
+
 @query(f"WITH {_SETUP} SELECT query_id, chunk_id, score, rank::INT AS rank FROM top")
 def vector_topk(spark, sf):
     """The twelve nearest vectors of five."""
@@ -52,8 +57,7 @@ hit AS (SELECT query_id, chunk_id FROM qw JOIN dw ON list_has_all(dw.ws, qw.ws)
 @query(f"WITH {_KEY} SELECT query_id, chunk_id, 1.0::DOUBLE AS score FROM hit")
 def keyword_and_search(spark, sf):
     """Documents that hold all words of a query, through the inverted index."""
-    index = R.inverted_index(_chunks(spark, sf))
-    return R.keyword_topk(index, _queries(spark, sf), 10**9).select("query_id", "chunk_id", F.col("score").cast("double").alias("score"))
+    return _keywords(spark, sf).select("query_id", "chunk_id", F.col("score").cast("double").alias("score"))
 
 
 @query(f"""WITH {_SETUP}, {_KEY}, k AS (SELECT query_id, chunk_id, 1.0 AS k FROM hit),
@@ -64,8 +68,7 @@ s AS (SELECT query_id, chunk_id, coalesce(v, 0) * CASE WHEN hv AND hk THEN 0.7 W
 SELECT query_id, chunk_id, round(score, 8) AS score, source FROM s WHERE score >= 0.1""")
 def hybrid_search(spark, sf):
     """Vector and keyword candidates merged."""
-    index = R.inverted_index(_chunks(spark, sf))
-    return R.merge_scores(_vectors(spark, sf), R.keyword_topk(index, _queries(spark, sf), 10**9)).withColumn("score", F.round("score", 8))
+    return R.merge_scores(_vectors(spark, sf), _keywords(spark, sf)).withColumn("score", F.round("score", 8))
 
 
 @query(f"""WITH {_SETUP}, p AS (SELECT *, CASE WHEN chunk_id % 3 = 0 THEN date '2024-01-01' + (chunk_id % 28)::INT WHEN chunk_id % 3 = 1 THEN date '2024-01-20' END AS since FROM top WHERE chunk_id IN (SELECT doc_id FROM documents))
@@ -85,8 +88,8 @@ def mmr_rerank(spark, sf):
 @query()
 def memory_search(spark, sf):
     """The whole search: candidates, merge, decay, diversity, top six."""
-    c = _chunks(spark, sf)
-    out = R.hybrid_search(c, R.inverted_index(c), _queries(spark, sf), F.lit("2024-02-15 00:00:00").cast("timestamp"))
+    c, q = _chunks(spark, sf), _queries(spark, sf)
+    out = R.hybrid_search(c, R.inverted_index(c, queries=q), q, F.lit("2024-02-15 00:00:00").cast("timestamp"), totals=R.corpus_totals(c))
     return out.withColumn("score", F.round("score", 5)).drop("snippet")
 
 
