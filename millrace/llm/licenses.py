@@ -7,8 +7,10 @@ kept anchors are aligned in the same way, where words that were not unique befor
 equal words at its two ends are taken. Coverage is the number of aligned words by those of the template, counted where most of
 them lie within n / threshold words of text (n: words of the template), so that strange words between them count against it.
 
-A region whose pairs of words cannot reach the threshold is not aligned: if fewer than 2 * threshold - 1 of a template's pairs are
-in it, more than half of the words that break them must be missing.
+A region whose pairs of words cannot reach the threshold is not aligned. At the threshold m of the n words may be missing, each
+of which breaks two pairs, and n / threshold - (n - m) strange words may stand between the others, each of which breaks one; what
+these cannot break of a template's distinct pairs must be there. (Below a threshold of some 0.77 they can break all pairs; a region
+that holds no pair is not seen.)
 
 Defined results: a null or empty text holds nothing; a license is reported once a document, at its best and then first region,
 with the number of regions at or over the threshold; repeated rows are each reported; null ids stay null; an empty table gives no
@@ -126,6 +128,12 @@ def _densest(places: list[int], n: int, most: int) -> tuple[float, int, int]:
     return best[0], -best[1], best[2]
 
 
+def _broken(n: int, threshold: float) -> int:
+    """Most pairs of neighbours among a template's n words that a text of sufficient coverage can lack."""
+    missing = max(m for m in range(n + 1) if m == 0 or (n - m) / n >= threshold)
+    return 3 * missing + int(n / threshold) - n
+
+
 class Templates:
     """Words of the templates, and the hashes of their pairs."""
 
@@ -154,18 +162,21 @@ def scan(texts: pa.Array, templates: Templates, threshold: float) -> Iterator[tu
         begin, end = int(w.first[text]), int(w.first[text + 1])
         for name, words, own in zip(templates.names, templates.words, templates.pairs, strict=True):
             n = len(words)
-            need = max(1, int(np.ceil((2 * threshold - 1) * len(own))))
+            most, broken = int(n / threshold), _broken(n, threshold)
+            need = max(1, len(own) - broken)
+            # Words of a region, at most, that begin none of its pairs.
+            loose = most - max(1, n - 1 - broken)
             mine = spots[np.isin(pairs[spots], own)]
             if len(mine) < need:
                 continue
             best, regions = None, 0
-            for group in np.split(mine, np.flatnonzero(np.diff(mine) > max(8, n // 2)) + 1):
-                # A long run of notices is taken apart: a region has at most two templates' length beyond its first pair.
+            for group in np.split(mine, np.flatnonzero(np.diff(mine) > max(8, n // 2, loose)) + 1):
+                # A long run of notices is taken apart: a part reaches a template's length and a region's beyond its first pair.
                 while len(group):
-                    part = group[: np.searchsorted(group, group[0] + 2 * n, "right")]
+                    part = group[: np.searchsorted(group, group[0] + n + most, "right")]
                     if len(np.unique(pairs[part])) >= need:
-                        a, b = max(begin, int(part[0]) - n), min(end, int(part[-1]) + 2 + n)
-                        coverage, at, span = _densest([q for _, q in patience(words, w.text(a, b))], n, int(n / threshold))
+                        a, b = max(begin, int(part[0]) - max(n, loose)), min(end, int(part[-1]) + 2 + max(n, loose))
+                        coverage, at, span = _densest([q for _, q in patience(words, w.text(a, b))], n, most)
                         if coverage >= threshold:
                             regions += 1
                             if best is None or coverage > best[0]:

@@ -221,6 +221,32 @@ def test_licenses(spark):
     assert licenses.license_scan(empty_documents(spark)).count() == 0
 
 
+def edited(rng, words, threshold):
+    """The words, as many left out and strange ones put in as the threshold allows, apart from each other where there is room."""
+    n = len(words)
+    missing = max(m for m in range(n + 1) if m == 0 or (n - m) / n >= threshold)
+    strange = int(n / threshold) - (n - missing)
+    places = rng.sample(range(1, n - 1), min(n - 2, missing + strange))
+    gone, after = set(places[:missing]), set(places[missing:])
+    return [x for i, w in enumerate(words) for x in ([] if i in gone else [w]) + ([f"strange{i}"] if i in after else [])]
+
+
+def test_licenses_are_not_lost_before_alignment():
+    """Edited notices, against alignment of the whole text."""
+    rng = random.Random(8)
+    known = licenses.Templates(licenses.TEMPLATES)
+    texts, want = ["This work is hereby licensed under GNU General Public License, version 3"], {(0, "gpl-3.0")}
+    for name, words in zip(known.names, known.words, strict=True):
+        for _ in range(40):
+            text = prose(rng, 30).split() + edited(rng, [w.decode() for w in words], 0.9) + prose(rng, 30).split()
+            places = [q for _, q in licenses.patience(words, [w.encode() for w in text])]
+            if licenses._densest(places, len(words), int(len(words) / 0.9))[0] >= 0.9:
+                want.add((len(texts), name))
+            texts.append(" ".join(text))
+    assert len(want) > 300
+    assert want <= {(t, name) for t, name, *_ in licenses.scan(pa.array(texts), known, 0.9)}
+
+
 def test_patience_is_a_common_subsequence():
     rng = random.Random(7)
     for _ in range(300):
