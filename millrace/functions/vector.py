@@ -15,9 +15,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine in double precision; 0 for vectors that are empty, zero, null or of different lengths."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+def length(a: Column) -> Column:
+    """Euclidean length in double precision."""
+    return F.sqrt(dot(a, a))
+
+
+def cosine(a: Column, b: Column, a_length: Column | None = None, b_length: Column | None = None) -> Column:
+    """Cosine in double precision; 0 for vectors that are empty, zero, null or of different lengths (R01). Lengths may be given."""
+    norm = (length(a) if a_length is None else a_length) * (length(b) if b_length is None else b_length)
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.coalesce(F.try_divide(dot(a, b), norm), F.lit(0.0))).otherwise(F.lit(0.0))
 
 

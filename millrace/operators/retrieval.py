@@ -80,14 +80,17 @@ def chunk(df: DataFrame, id_col: str, text_col: str, tokens: int = CHUNK_TOKENS,
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
     """The k best chunks by cosine for each query: query_id, chunk_id, score, rank.
 
-    The queries are the small side and are broadcast in one row, as an array; each chunk scores them all, and partial top-k lists are
-    merged, so no pair of chunk and query is shuffled.
+    The queries are the small side and are broadcast in at most 256 rows, each an array of those whose ids hash alike; each chunk
+    scores them all, and partial top-k lists are merged, so no pair of chunk and query is shuffled. Queries without a vector have no
+    hits.
     """
-    q = queries.agg(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col("embedding").alias("e"))).alias("qs"))
+    block = F.pmod(F.xxhash64(query_id), F.lit(256)).alias("block")
+    q = queries.where("embedding is not null").groupBy(block).agg(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col("embedding").alias("e"), V.length(F.col("embedding")).alias("l"))).alias("qs"))
     scored = (
         chunks.where("embedding is not null")
+        .withColumn("_l", V.length(F.col("embedding")))
         .join(F.broadcast(q))
-        .select(F.col(chunk_id).alias("chunk_id"), F.explode(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), V.cosine(F.col("embedding"), x["e"]).alias("s")))).alias("x"))
+        .select(F.col(chunk_id).alias("chunk_id"), F.explode(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), V.cosine(F.col("embedding"), x["e"], F.col("_l"), x["l"]).alias("s")))).alias("x"))
         .select(F.col("x.q").alias("query_id"), "chunk_id", F.col("x.s").alias("score"))
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
@@ -129,10 +132,11 @@ def keyword_topk(index: DataFrame, queries: DataFrame, k: int, mode: str = "pari
     terms = query_terms(queries)
     if totals is None:
         totals = index.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    df = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     gain = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-    hits = index.join(F.broadcast(terms), "term").join(df, "term").join(F.broadcast(totals))
+    # Dealt by chunk, so that no pair of chunk and query is shuffled but those in the first k of a task.
+    hits = index.repartition("chunk_id").join(F.broadcast(terms.join(df, "term")), "term").join(F.broadcast(totals))
     scored = hits.groupBy("query_id", "chunk_id", "need").agg(F.count("*").alias("have"), F.sum(gain).alias("bm25")).where("have = need")
     w = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "chunk_id")
     score = F.lit(1.0) if mode == "parity" else F.col("bm25") / (1 + F.col("bm25"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import vector as V
 from millrace.operators import retrieval as R
-from millrace.plans.registry import Tables, query
+from millrace.plans.registry import ORACLE_SQL, Tables, query
 
 _SETUP = """
 q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 5),
@@ -14,10 +14,19 @@ vec AS (SELECT q.query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(v.
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vec QUALIFY rank <= 12)"""
 
 
-def _queries(spark, sf):
-    e = Tables(spark, sf).embeddings
-    words = Tables(spark, sf).documents.where("doc_id < 5").select(F.col("doc_id").alias("query_id"), F.substring_index("text", " ", 2).alias("text"))
-    return e.where("vec_id < 5").select(F.col("vec_id").alias("query_id"), "embedding").join(words, "query_id", "left")
+_FIVE, _HUNDREDTH = "query_id < 5", "query_id % 100 = 0"
+
+
+def _queries(spark, sf, which=_FIVE):
+    t = Tables(spark, sf)
+    words = t.documents.select(F.col("doc_id").alias("query_id"), F.substring_index("text", " ", 2).alias("text")).where(which)
+    vectors = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding").where(which)
+    return vectors.join(words, "query_id", "full")
+
+
+def _whole(sql):
+    """The SQL of five queries, for a query set that grows with the tables."""
+    return sql.replace("vec_id < 5", "vec_id % 100 = 0").replace("doc_id < 5", "doc_id % 100 = 0")
 
 
 def _chunks(spark, sf):
@@ -28,17 +37,17 @@ def _chunks(spark, sf):
     return d.join(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
 
 
-def _vectors(spark, sf):
+def _vectors(spark, sf, which=_FIVE):
     c = Tables(spark, sf).embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
     # Rounded before ranks are given, since sums of floats differ in their last bits.
-    top = R.vector_topk(c, _queries(spark, sf), 500).withColumn("score", F.round("score", 5)).drop("rank")
+    top = R.vector_topk(c, _queries(spark, sf, which), 500).withColumn("score", F.round("score", 5)).drop("rank")
     from pyspark.sql import Window
 
     return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 12")
 
 
-def _keywords(spark, sf):
-    c, q = _chunks(spark, sf), _queries(spark, sf)
+def _keywords(spark, sf, which=_FIVE):
+    c, q = _chunks(spark, sf), _queries(spark, sf, which)
     return R.keyword_topk(R.inverted_index(c, queries=q), q, 10**9, totals=R.corpus_totals(c))
 
 
@@ -75,20 +84,51 @@ def hybrid_search(spark, sf):
 SELECT query_id, chunk_id, round(CASE WHEN since IS NULL THEN score ELSE score * exp(-ln(2) / 30 * greatest(0, date_diff('day', since, date '2024-02-15'))) END, 5) AS score FROM p""")
 def decay_rank(spark, sf):
     """Scores decayed by the age of their file."""
-    r = R.with_details(_vectors(spark, sf), _chunks(spark, sf))
+    return _decay(spark, sf)
+
+
+def _decay(spark, sf, which=_FIVE):
+    r = R.with_details(_vectors(spark, sf, which), _chunks(spark, sf))
     return R.decayed(r, F.lit("2024-02-15 00:00:00").cast("timestamp")).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
 
 
+# The same searches with every row whose id is divisible by 100 as a query.
+
+
+@query(_whole(ORACLE_SQL["vector_topk"]))
+def vector_topk_whole(spark, sf):
+    """The twelve nearest vectors of each hundredth vector."""
+    return _vectors(spark, sf, _HUNDREDTH)
+
+
+@query(_whole(ORACLE_SQL["keyword_and_search"]))
+def keyword_and_search_whole(spark, sf):
+    """Documents that hold all words of a query, for each hundredth document's first words."""
+    return _keywords(spark, sf, _HUNDREDTH).select("query_id", "chunk_id", F.col("score").cast("double").alias("score"))
+
+
+@query(_whole(ORACLE_SQL["hybrid_search"]))
+def hybrid_search_whole(spark, sf):
+    """Vector and keyword candidates merged, for each hundredth row."""
+    return R.merge_scores(_vectors(spark, sf, _HUNDREDTH), _keywords(spark, sf, _HUNDREDTH)).withColumn("score", F.round("score", 8))
+
+
+@query(_whole(ORACLE_SQL["decay_rank"]))
+def decay_rank_whole(spark, sf):
+    """Scores decayed by the age of their file, for each hundredth vector."""
+    return _decay(spark, sf, _HUNDREDTH)
+
+
 @query()
 def mmr_rerank(spark, sf):
     """Re-ranked for diversity (each choice depends on those before; held against a plain loop by tests)."""
-    return R.mmr(R.with_details(_vectors(spark, sf), _chunks(spark, sf)))
+    return R.mmr(R.with_details(_vectors(spark, sf, _HUNDREDTH), _chunks(spark, sf)))
 
 
 @query()
 def memory_search(spark, sf):
     """The whole search: candidates, merge, decay, diversity, top six."""
-    c, q = _chunks(spark, sf), _queries(spark, sf)
+    c, q = _chunks(spark, sf), _queries(spark, sf, _HUNDREDTH)
     out = R.hybrid_search(c, R.inverted_index(c, queries=q), q, F.lit("2024-02-15 00:00:00").cast("timestamp"), totals=R.corpus_totals(c))
     return out.withColumn("score", F.round("score", 5)).drop("snippet")
 

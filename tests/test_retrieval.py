@@ -126,3 +126,16 @@ def test_index_changes(spark):
     assert [(r["file_path"], r["content_hash"], r["embedding"]) for r in rows] == [("a.md", h, [3.0])]
     assert {k: c.head()[0] for k, c in counts.items()} == {"removed": 2, "added": 1, "missing": 0}
     assert [r[0] for r in R.vanished_files(chunks, files).collect()] == ["gone.md"]
+
+
+def test_searches_take_each_hundredth_row(spark, data):
+    """The query set grows with the tables; documents without a vector are searched by their words alone."""
+    from millrace.plans.registry import QUERIES
+
+    ids = lambda t, c: {r[0] for r in spark.read.parquet(f"{data}/{t}.parquet").where(f"{c} % 100 = 0").select(c).collect()}
+    vectors, documents = ids("embeddings", "vec_id"), ids("documents", "doc_id")
+    assert len(vectors) > 3
+    got = {n: {r[0] for r in QUERIES[n](spark, data).select("query_id").distinct().collect()} for n in ("vector_topk_whole", "mmr_rerank", "memory_search")}
+    assert got["vector_topk_whole"] == got["mmr_rerank"] == vectors and vectors <= got["memory_search"] <= vectors | documents
+    q = spark.createDataFrame([(1, None), (2, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert [r["query_id"] for r in R.vector_topk(q.withColumnRenamed("query_id", "chunk_id"), q, 3).collect()] == [2]
