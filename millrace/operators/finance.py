@@ -106,17 +106,24 @@ def _holds(kind: T.DataType, names: tuple[str, ...]) -> bool:
     return isinstance(kind, T.MapType) and _holds(kind.valueType, names)
 
 
-def combine_results(df: DataFrame) -> DataFrame:
-    """Results of sub-requests (tool, ticker, ord, data, error, urls) as one row (F07): data by tool_ticker, where the last of equal keys wins, errors apart, URLs flattened."""
+def last_results(df: DataFrame) -> DataFrame:
+    """The last sub-request (tool, ticker, ord, data, error) of each tool_ticker: key, ord, data, error. Rows stay distributed."""
     key = F.when(F.col("ticker").isNotNull(), F.concat_ws("_", "tool", "ticker")).otherwise(F.col("tool"))
-    last = df.withColumn("key", key).withColumn("_rn", F.row_number().over(Window.partitionBy("key").orderBy(F.desc("ord"))))
-    good = F.when(F.col("error").isNull() & (F.col("_rn") == 1), F.struct("key", "data"))
-    bad = F.when(F.col("error").isNotNull(), F.struct("ord", "tool", "ticker", "error"))
-    return last.agg(
-        F.map_from_entries(F.array_sort(F.collect_list(good))).alias("data"),
-        F.array_sort(F.collect_list(bad)).alias("_errors"),
-        F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "urls"))), lambda x: F.coalesce(x["urls"], F.array().cast("array<string>"))))).alias("source_urls"),
-    )
+    w = Window.partitionBy("key").orderBy(F.desc("ord"))
+    return df.select(key.alias("key"), "ord", "data", "error").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+
+
+def combine_results(df: DataFrame) -> DataFrame:
+    """Results of sub-requests (tool, ticker, ord, data, error, urls) as one row (F07): data by tool_ticker, where the last of equal keys wins, errors apart, URLs flattened.
+
+    A key's data and a URL are one row each before they are gathered; errors are all part of the result.
+    """
+    data = last_results(df).where("error is null").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "data")))).alias("data"))
+    bad = df.where("error is not null").agg(F.array_sort(F.collect_list(F.struct("ord", "tool", "ticker", "error"))).alias("_errors"))
+    each = df.select("ord", "urls", F.posexplode("urls").alias("pos", "url"))
+    first = each.groupBy("url").agg(F.min(F.struct("ord", "urls", "pos")).alias("at"))
+    urls = first.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "url"))), lambda x: x["url"]).alias("source_urls"))
+    return data.crossJoin(bad).crossJoin(urls)
 
 
 def read_filings(filings: DataFrame, items: DataFrame, most: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import finance as X
 from millrace.operators import finance as O
-from millrace.plans.registry import Tables, query
+from millrace.plans.registry import ORACLE_SQL, Tables, query
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_size > 10 AND p_retailprice <= 1200 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND p_type = 'ECONOMY' ORDER BY p_partkey LIMIT 25")
@@ -135,12 +135,21 @@ def price_table(spark, sf):
 SELECT tool || '_' || t AS key, props AS data FROM r WHERE rn = 1 AND tool <> 'error'""")
 def combined_results(spark, sf):
     """Results of sub-requests by tool and ticker, the last of equal keys, errors apart."""
-    e = Tables(spark, sf).events.where("event_id < 200")
-    bad = F.when(F.col("event_type") == "error", F.lit("failed"))
-    r = e.select(F.col("event_type").alias("tool"), (F.col("user_id") % 3).cast("string").alias("ticker"), F.col("event_id").alias("ord"), F.when(bad.isNull(), F.col("props")).alias("data"), bad.alias("error"), F.array(F.col("event_type")).alias("urls"))
+    r = _requests(Tables(spark, sf).events.where("event_id < 200"))
     return O.combine_results(r).select(F.explode("data").alias("key", "data"))
 
 
+def _requests(e):
+    bad = F.when(F.col("event_type") == "error", F.lit("failed"))
+    return e.select(F.col("event_type").alias("tool"), (F.col("user_id") % 3).cast("string").alias("ticker"), F.col("event_id").alias("ord"), F.when(bad.isNull(), F.col("props")).alias("data"), bad.alias("error"), F.array(F.col("event_type")).alias("urls"))
+
+
+@query(ORACLE_SQL["combined_results"].replace(" WHERE event_id < 200", ""))
+def combined_results_whole(spark, sf):
+    """Results of all sub-requests by tool and ticker, the last of equal keys."""
+    return O.last_results(_requests(Tables(spark, sf).events)).where("error is null").select("key", "data")
+
+
 @query("SELECT o_orderkey, o_totalprice AS amount FROM orders")
 def drop_fields(spark, sf):
     """Fields taken out at any depth."""
