@@ -102,10 +102,19 @@ def dcf_value(spark, sf):
 SELECT o_custkey, round(wu, 6) AS wacc_used, tg::DOUBLE AS terminal_growth, round(({_ev('wu', 'tg')} - 10 + 5) / 100, 6) AS value FROM w""")
 def dcf_grid(spark, sf):
     """Nine values by discount rate and terminal growth."""
-    v = _valued(spark, sf).where("o_custkey < 100")
+    return _grid(_valued(spark, sf).where("o_custkey < 100"))
+
+
+def _grid(v):
     return O.sensitivity(v).select("o_custkey", F.round("wacc_used", 6).alias("wacc_used"), "terminal_growth", F.round("value", 6).alias("value"))
 
 
+@query(ORACLE_SQL["dcf_grid"].replace(" WHERE o_custkey < 100", ""))
+def dcf_grid_whole(spark, sf):
+    """Nine values by discount rate and terminal growth, of every customer."""
+    return _grid(_valued(spark, sf))
+
+
 @query("""SELECT c_custkey, round((CASE lower(c_mktsegment) WHEN 'household' THEN 9.0 ELSE 9.0 END + CASE WHEN c_acctbal < 0 THEN 1.5 ELSE 0 END) / 100, 6) AS wacc FROM customer""")
 def sector_wacc(spark, sf):
     """Discount rates by sector with adjustments; an unknown sector has the middle rate."""
