@@ -193,6 +193,12 @@ def search_facets(spark, sf):
     return E.search(d, "SRC1", ["lang", "source", "head"], {"lang": "en"}).select("doc_id", "lang")
 
 
+@query("SELECT doc_id, lang FROM documents WHERE contains(lower(concat_ws(' ', lang, source, text)), 'src1') AND lang = 'en'")
+def search_facets_whole(spark, sf):
+    """Rows that hold a text anywhere, with a facet."""
+    return E.search(Tables(spark, sf).documents, "SRC1", ["lang", "source", "text"], {"lang": "en"}).select("doc_id", "lang")
+
+
 @query("SELECT event_id, event_type FROM events WHERE event_id IN (1, 5, 9, 13, 17) AND event_type <> '' ORDER BY event_id LIMIT 3")
 def select_rows(spark, sf):
     """Rows by id, the first of them."""

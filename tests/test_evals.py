@@ -99,3 +99,10 @@ def test_annotations_and_samples(spark):
     assert E.sample_rows(ids, 10, 2).collect() != E.sample_rows(ids, 10, 1).collect()
     label = spark.createDataFrame([(0.2, 0.05), (0.1, 0.4), (0.1, 0.1)], "a double, b double").select(stats.delta_label(F.col("a"), F.col("b")))
     assert [r[0] for r in label.collect()] == ["▼ -15.0pp", "▲ +30.0pp", "— +0.0pp"]
+
+
+def test_search_looks_through_the_whole_text(spark, tmp_path):
+    from millrace.plans.registry import QUERIES
+
+    spark.createDataFrame([(1, "x" * 500 + " Src1", "en", "web"), (2, "y" * 500, "en", "web"), (3, "Src1", "de", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r["doc_id"] for r in QUERIES["search_facets_whole"](spark, str(tmp_path)).collect()] == [1]
