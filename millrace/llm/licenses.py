@@ -1,7 +1,8 @@
 """License scans by patience alignment.
 
-Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased. Regions of a document are the places where
-pairs of neighbouring words of a template occur close to one another. In each region the template is aligned with the text:
+Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-cased. Regions of a document are sought from left to
+right, each after the one before: a window of n / threshold words from a pair of neighbouring words of a template, and the few words
+before it that a region may begin with, so that copies next to each other are apart. In each the template is aligned with the text:
 anchors are the words that occur once in both; the longest increasing subsequence of the anchors is kept; and the gaps between
 kept anchors are aligned in the same way, where words that were not unique before may be. Where a gap has no unique common word,
 equal words at its two ends are taken. Coverage is the number of aligned words by those of the template, counted where most of
@@ -134,6 +135,12 @@ def _broken(n: int, threshold: float) -> int:
     return 3 * missing + int(n / threshold) - n
 
 
+def _aligned(w, words: list, a: int, b: int, most: int) -> tuple[float, int, int]:
+    """Coverage, first word and width of the template's best place among the words from a to b."""
+    coverage, at, span = _densest([q for _, q in patience(words, w.text(a, b))], len(words), most)
+    return coverage, a + at, span
+
+
 class Templates:
     """Words of the templates, and the hashes of their pairs."""
 
@@ -169,19 +176,28 @@ def scan(texts: pa.Array, templates: Templates, threshold: float) -> Iterator[tu
             mine = spots[np.isin(pairs[spots], own)]
             if len(mine) < need:
                 continue
-            best, regions = None, 0
-            for group in np.split(mine, np.flatnonzero(np.diff(mine) > max(8, n // 2, loose)) + 1):
-                # A long run of notices is taken apart: a part reaches a template's length and a region's beyond its first pair.
-                while len(group):
-                    part = group[: np.searchsorted(group, group[0] + n + most, "right")]
-                    if len(np.unique(pairs[part])) >= need:
-                        a, b = max(begin, int(part[0]) - max(n, loose)), min(end, int(part[-1]) + 2 + max(n, loose))
-                        coverage, at, span = _densest([q for _, q in patience(words, w.text(a, b))], n, most)
-                        if coverage >= threshold:
-                            regions += 1
-                            if best is None or coverage > best[0]:
-                                best = coverage, a - begin + at, span
-                    group = group[np.searchsorted(group, part[0] + n, "left") :]
+            # All pairs of a region lie within its length from the first of them.
+            ends = np.searchsorted(mine, mine + most, "left")
+            free, best, regions = begin, None, 0
+            for i in np.flatnonzero(ends - np.arange(len(mine)) >= need):
+                first = int(mine[i])
+                if first < free or len(np.unique(pairs[mine[i : ends[i]]])) < need:
+                    continue
+                found = _aligned(w, words, max(free, first - loose), min(end, first + most), most)
+                if found[0] < threshold:
+                    # Other words are unique in a wider window.
+                    found = _aligned(w, words, max(free, first - n), min(end, first + most + n), most)
+                if found[0] < threshold:
+                    continue
+                # The window may begin before the region or end within it; or the last words were found in the next copy.
+                if found[0] < 1:
+                    found = max(found, _aligned(w, words, found[1], min(end, found[1] + most + loose), most), key=lambda x: x[0])
+                if found[2] > n:
+                    found = max(found, _aligned(w, words, found[1], min(end, found[1] + n), most), key=lambda x: (x[0], -x[2]))
+                regions += 1
+                free = found[1] + found[2]
+                if best is None or found[0] > best[0]:
+                    best = found[0], found[1] - begin, found[2]
             if best:
                 yield text, name, *best, regions
 

@@ -247,6 +247,18 @@ def test_licenses_are_not_lost_before_alignment():
     assert want <= {(t, name) for t, name, *_ in licenses.scan(pa.array(texts), known, 0.9)}
 
 
+@pytest.mark.parametrize("between", [0, 1, 2, 3, 8, 40])
+def test_licenses_next_to_each_other(between):
+    rng = random.Random(9)
+    known = licenses.Templates(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        gap = f" {prose(rng, between)} " if between else " "
+        row = f"{prose(rng, 5)} {gap.join([text] * 4)} {prose(rng, 5)}"
+        got = {r[1]: r[2:] for r in licenses.scan(pa.array([row]), known, 0.9)}
+        n = len(known.words[known.names.index(name)])
+        assert got[name] == (1.0, 5, n, 4), (name, got[name])
+
+
 def test_patience_is_a_common_subsequence():
     rng = random.Random(7)
     for _ in range(300):
