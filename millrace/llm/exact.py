@@ -1,4 +1,7 @@
-"""Exact dedup: a tree merge of sorted digest runs.
+"""Exact dedup: digests of runs merged in rounds of grouped aggregations.
+
+The dealt method is a tree merge of sorted digest runs. Here no run is sorted and nothing is merged in order: a round groups by run
+and digest. Spark combines equal digests on the map side without an order, and has no merge of sorted partitions without a join.
 
 Rows are dealt into 2**levels runs by a hash of their id. Each run holds one entry a digest: (smallest id, largest id, count).
 In round r the runs whose numbers agree but for the r-th group of bits meet and are merged, ``fan_bits`` bits at a time, until
