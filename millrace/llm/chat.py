@@ -5,14 +5,17 @@ Events are rows (conv_id, seq, turn, kind, role, text). Kinds:
 * ``message``: a whole message at position ``turn``;
 * ``delta``: a streamed piece, appended to the message last opened at its turn (it opens one where there is none);
 * ``edit``: replaces all that was written at its turn so far;
-* ``regenerate``: as ``edit``, and drops the messages at later turns that were opened before it. Deltas may follow.
+* ``regenerate``: as ``edit``, and drops all that was written at later turns before it. Deltas may follow.
 
-Any other kind, or null, counts as ``message``. Folding is by windows and aggregates over (conv_id, turn), so a conversation
-with a large part of the log is folded in parallel; only finished messages meet by conversation.
+Any other kind, or null, counts as ``message``. A log is partitioned by conversation and sorted by sequence, once; all steps of the
+replay are windows and aggregates in that partitioning. What a regeneration or an edit drops is told by its place in the sequence
+alone: nothing that was written at a turn before the last regeneration at it or at an earlier turn, or before the last edit at it,
+is seen in the end. So those events go first, and the others are folded turn by turn; a delta that comes after such a drop finds no
+message and opens one.
 
 Defined results: null text and null role are empty; a null turn or seq sorts first; events that tie on seq are taken in the
-order message, edit, regenerate, delta, then by role and text; repeated rows count each time; a null conv_id is a conversation
-of its own; an empty log gives no rows. Other columns of the input are ignored.
+order message, edit, regenerate, delta, then by turn, role and text; repeated rows count each time; a null conv_id is a
+conversation of its own; an empty log gives no rows. Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -48,27 +51,19 @@ def fold_events(events: DataFrame) -> DataFrame:
         F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
-    order = Window.partitionBy("conv_id", "turn").orderBy("seq", "rank", "role", "text")
-    whole = Window.partitionBy("conv_id", "turn")
-    e = e.withColumn("ord", F.row_number().over(order)).withColumn("part", F.sum((F.col("rank") < 3).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    e = e.withColumn("reset", F.max(F.when(F.col("rank").isin(1, 2), F.col("part"))).over(whole)).withColumn(
-        "cut", F.max(F.when(F.col("rank") == 2, F.col("seq"))).over(whole)
-    )
-    messages = (
-        e.where(F.col("reset").isNull() | (F.col("part") >= F.col("reset")))
-        .groupBy("conv_id", "turn", "part")
-        .agg(
-            F.min("seq").alias("opened"),
-            F.max("cut").alias("cut"),
-            F.min_by("role", "ord").alias("role"),
-            F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda x: x["text"]), "").alias("text"),
-        )
-    )
-    earlier = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first()).rangeBetween(Window.unboundedPreceding, -1)
+    e = e.withColumn("ord", F.row_number().over(Window.partitionBy("conv_id").orderBy("seq", "rank", "turn", "role", "text")))
+    up_to_turn = Window.partitionBy("conv_id").orderBy("turn").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    cut = F.max(F.when(F.col("rank") == 2, F.col("ord"))).over(up_to_turn)
+    edited = F.max(F.when(F.col("rank") == 1, F.col("ord"))).over(Window.partitionBy("conv_id", "turn"))
+    e = e.withColumns({"cut": cut, "edited": edited}).where(F.col("ord") >= F.greatest(F.coalesce("cut", F.lit(0)), F.coalesce("edited", F.lit(0))))
+    order = Window.partitionBy("conv_id", "turn").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    opens = (F.col("rank") < 3).cast("long")
+    # A delta that finds nothing at its turn is part 0.
+    e = e.withColumn("part", F.sum(opens).over(order))
     return (
-        messages.withColumn("cut", F.max("cut").over(earlier))
-        .where(F.col("cut").isNull() | F.col("opened").isNull() | (F.col("opened") >= F.col("cut")))
-        .select("conv_id", "turn", "part", "role", "text")
+        e.groupBy("conv_id", "turn", "part")
+        .agg(F.min_by("role", "ord").alias("role"), F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("pieces"))
+        .select("conv_id", "turn", "part", "role", F.array_join(F.transform("pieces", lambda x: x["text"]), "").alias("text"))
     )
 
 
