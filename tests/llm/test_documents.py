@@ -28,11 +28,18 @@ def test_exact_dedup(spark, keep):
     for text, ids in groups.items():
         best = (min if keep == "smallest" else max)(ids, key=order)
         want += [(i, best, len(ids), i == best, hashlib.sha256(text.encode()).hexdigest()) for i in ids]
-    got = exact.exact_dedup(edge_documents(spark), keep=keep, levels=3).collect()
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    for least, rows in ((3, 1 << 22), (0, 1), (0, 1 << 22)):
+        got = exact.exact_dedup(edge_documents(spark), keep=keep, least_levels=least, run_rows=rows).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert exact.exact_dedup(empty_documents(spark)).count() == 0
 
 
+def test_exact_dedup_merges_sorted_runs(spark):
+    plan = exact.exact_dedup(edge_documents(spark))._jdf.queryExecution().executedPlan().toString()
+    # Two rounds of eight runs, each in order before and after its exchange.
+    assert plan.count("SortAggregate(") == 4 and "HashAggregate(" not in plan
+
+
 # Line dedup
 
 
