@@ -1,10 +1,14 @@
 """Harmonic packing of tokenised documents into sequences of a fixed capacity.
 
-A piece of length l belongs to class k = capacity div l, and a sequence of class k takes exactly k pieces. Documents may be cut,
-so lengths are chosen to suit the classes: whole sequences first, then again and again the largest length capacity div k that
-still fits, unless what is left wastes at most capacity / slack of a sequence as it is. So sequences of all classes are nearly
-full. Pieces are dealt to workers by a hash; each worker fills the sequences of its classes on its own. What is left of a class
-(fewer than k pieces; in all less than capacity tokens a class) a worker packs by best fit, longest pieces first.
+A piece of length l belongs to class k = capacity div l, and a sequence of class k takes exactly k pieces. Documents may be cut, so
+lengths are chosen to suit the classes: whole sequences first, then the rest by a table that weighs what its pieces leave empty
+against their number. No piece is shorter than ``LEAST`` unless its document is. Pieces are dealt to workers by a
+hash; each worker fills the sequences of its classes on its own. What is left of a class (fewer than k pieces; in all less than
+capacity tokens a class) a worker packs by best fit, longest pieces first.
+
+A sequence's number holds the worker (31 bits), the class (12 bits; 0 for what is left of classes) and the number within the
+class (20 bits): room for 2^31 workers of 2^24 tokens. Rows that repeat are dealt by their place in the batch too, so that
+they do not meet in one worker.
 
 Tokens come from a word cache: ids of a text are those of its words between white space, one after another, since the tokenizer
 drops white space and no rule reaches across it; nor across a letter with a stop behind it. Texts that may hold special tokens
@@ -17,14 +21,17 @@ empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import bisect
+import math
 import os
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm import textkernel as tk
@@ -32,6 +39,8 @@ from millrace.llm.common import NULL_ID, materialize
 
 CAPACITY = 2048
 END_ID = 1
+LEAST = 64
+_CLASS_BITS, _BIN_BITS = 12, 20
 _CACHE_WORDS = 600_000
 _MARK = np.zeros(256, bool)
 _MARK[list(b".,;:!?)")] = True
@@ -119,39 +128,54 @@ class WordEncoder:
         return out
 
 
-def cut(length: int, capacity: int = CAPACITY, slack: int = 128) -> list[int]:
+def _empty(length: int, capacity: int) -> float:
+    """What a piece of this length leaves empty in a sequence of its class."""
+    return capacity / (capacity // length) - length
+
+
+@cache
+def _rests(capacity: int, least: int, piece_cost: float) -> list[tuple[int, ...]]:
+    """For each length under capacity + least the lengths of its pieces, the least in sum of what they leave empty and a cost a piece."""
+    cost, pieces = [0.0], [()]
+    sizes = sorted({capacity // k for k in range(2, capacity // least + 1)}, reverse=True)
+    for n in range(1, capacity + least):
+        cost.append(_empty(n, capacity) + piece_cost if n <= capacity else math.inf)
+        pieces.append((n,))
+        for size in sizes:
+            if n - size >= least and cost[n - size] + _empty(size, capacity) + piece_cost < cost[n]:
+                cost[n], pieces[n] = cost[n - size] + _empty(size, capacity) + piece_cost, (size, *pieces[n - size])
+    return pieces
+
+
+def cut(length: int, capacity: int = CAPACITY, least: int = LEAST, piece_cost: float = 16.0) -> list[int]:
     """Lengths of the pieces of a document."""
-    out = [capacity] * (length // capacity)
-    rest = length % capacity
-    while rest:
-        if (capacity % rest) * slack <= capacity:
-            out.append(rest)
-            break
-        k = capacity // (rest + 1) + 1
-        out.append(capacity // k)
-        rest -= out[-1]
-    return out
+    least = min(least, capacity // 2)
+    # A sequence less where little would be left.
+    whole = length // capacity - (length > capacity and 0 < length % capacity < least)
+    return [capacity] * whole + list(_rests(capacity, least, piece_cost)[length - whole * capacity])
 
 
 def tokenised_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """Pieces of all documents: id (NULL_ID for null), start, length, ids_crc32, doc_tokens."""
+    """Pieces of all documents: id (NULL_ID for null), start, length, ids_crc32, doc_tokens, again (rows of that id before it in its batch)."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = WordEncoder(tokenizer)
         end = np.array([END_ID], "<u4")
         for batch in batches:
             for part in tk.slices(batch, 1):
-                rows: tuple[list, ...] = ([], [], [], [], [])
+                rows: tuple[list, ...] = ([], [], [], [], [], [])
+                seen: Counter = Counter()
                 for doc, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1)), strict=True):
                     ids = memoryview(np.concatenate([ids, end]).view(np.uint8))
                     start, n = 0, len(ids) // 4
                     for size in cut(n, capacity):
-                        for col, v in zip(rows, (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n), strict=True):
+                        for col, v in zip(rows, (doc, start, size, zlib.crc32(ids[4 * start : 4 * (start + size)]), n, seen[doc]), strict=True):
                             col.append(v)
                         start += size
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+                    seen[doc] += 1
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in rows], ["id", "start", "length", "ids_crc32", "doc_tokens", "again"])
 
-    schema = "id long, start long, length long, ids_crc32 long, doc_tokens long"
+    schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, again long"
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(text_col).alias("text")).mapInArrow(pieces, schema)
 
 
@@ -169,19 +193,26 @@ def best_fit(lengths: list[int], capacity: int = CAPACITY) -> tuple[list[int], l
     return bins, offsets
 
 
+def sequence_number(worker: Column, k: Column, number: Column) -> Column:
+    """The three as one long; fails rather than name two sequences alike."""
+    fits = (worker < (1 << 31)) & (k < (1 << _CLASS_BITS)) & (number < (1 << _BIN_BITS))
+    packed = F.shiftleft(worker.cast("long"), _CLASS_BITS + _BIN_BITS) + F.shiftleft(k.cast("long"), _BIN_BITS) + number
+    return F.when(fits, packed).otherwise(F.raise_error(F.lit("too many sequences in a worker")).cast("long"))
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, worker_tokens: int = 1 << 24) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     pieces = materialize(tokenised_pieces(docs, tokenizer, id_col, text_col, capacity), "pieces")
     tokens = pieces.agg(F.sum("length")).head()[0] or 0
     workers = -(-tokens // worker_tokens) or 1
     order = ["id", "start", "length", "ids_crc32"]
-    dealt = pieces.withColumns({"worker": F.pmod(F.xxhash64("id", "start"), F.lit(workers)), "k": F.expr(f"{capacity} div length")})
+    dealt = pieces.withColumns({"worker": F.pmod(F.xxhash64("id", "start", "again"), F.lit(workers)), "k": F.expr(f"{capacity} div length")})
     ranked = dealt.withColumn("rn", F.row_number().over(Window.partitionBy("worker", "k").orderBy(*order)) - 1).withColumn(
         "in_class", F.count("*").over(Window.partitionBy("worker", "k"))
     )
     ranked = ranked.withColumn("bin", F.expr("rn div k"))
     full = F.col("rn") < F.col("in_class") - F.col("in_class") % F.col("k")
-    number = (F.col("worker") * (capacity + 1) + F.col("k")) * F.lit(1 << 32) + F.col("bin")
+    number = sequence_number(F.col("worker"), F.col("k"), F.col("bin"))
     before = Window.partitionBy("worker", "k", "bin").orderBy("rn").rowsBetween(Window.unboundedPreceding, -1)
     columns = [F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col), "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     filled = ranked.where(full).withColumns({"sequence_id": number, "offset": F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))})
@@ -189,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     def leftovers(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["length", *order], ignore_index=True)
         bins, offsets = best_fit(rows["length"].tolist(), capacity)
-        base = rows["worker"] * (capacity + 1) * (1 << 32)
+        base = rows["worker"] * (1 << (_CLASS_BITS + _BIN_BITS))
         return rows.assign(sequence_id=base + pd.Series(bins, dtype="int64"), offset=pd.Series(offsets, dtype="int64"))
 
     # Fewer than k pieces of each class k, so a worker has a bounded number of them.

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import decontam, exact, licenses, lines, neardup, packing, quality, sharding
 from millrace.llm import textkernel as tk
@@ -364,10 +365,34 @@ def test_word_cache_encodes_as_the_tokenizer():
 
 
 def test_harmonic_cuts_leave_little_padding():
-    for n in range(1, 6000, 7):
+    lengths = range(1, 2049)
+    for n in [*lengths, *range(2049, 9000, 13)]:
         pieces = packing.cut(n)
-        assert sum(pieces) == n and len(pieces) <= n // packing.CAPACITY + 9
-        assert all(packing.CAPACITY % p <= max(p - 1, 0) for p in pieces)
+        assert sum(pieces) == n and len(pieces) <= n // packing.CAPACITY + 4
+        assert min(pieces) >= min(packing.LEAST, n)
+    # All lengths as often: what full sequences leave empty, and pieces a document.
+    pieces = [p for n in lengths for p in packing.cut(n)]
+    assert sum(packing._empty(p, packing.CAPACITY) for p in pieces) <= 0.006 * sum(pieces)
+    assert len(pieces) <= 2.2 * len(lengths)
+    assert sum(p < packing.LEAST for p in pieces) < packing.LEAST
+
+
+def test_sequence_numbers_do_not_meet_or_overflow(spark):
+    parts = [(w, k, b) for w in (0, 1, 2**21, 2**31 - 1) for k in (0, 1, 2048) for b in (0, 1, 2**20 - 1)]
+    df = spark.createDataFrame(parts, "w long, k long, b long")
+    got = [r[0] for r in df.select(packing.sequence_number(F.col("w"), F.col("k"), F.col("b"))).collect()]
+    assert len(set(got)) == len(parts) and min(got) >= 0
+    with pytest.raises(Exception, match="too many"):
+        spark.createDataFrame([(0, 1, 2**20)], "w long, k long, b long").select(packing.sequence_number(F.col("w"), F.col("k"), F.col("b"))).collect()
+
+
+def test_repeated_rows_are_dealt_to_many_workers(spark):
+    df = spark.createDataFrame([(1, "one text many times " * 20, "en", "s", 1)] * 400, SCHEMA)
+    got = packing.pack(df, tokenizer_path(), worker_tokens=2000).collect()
+    assert len({r["sequence_id"] >> 32 for r in got}) > 10 and len(got) == 400 * len(packing.cut(got[0]["doc_tokens"]))
+
+
+def test_best_fit():
     bins, offsets = packing.best_fit([1024, 1024, 2000, 48, 500])
     assert max(bins) == 2 and offsets.count(0) == 3
 
