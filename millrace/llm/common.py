@@ -21,6 +21,14 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, UPPER, LOWER)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that df does not have (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in a local run, else one in the warehouse."""
     sc = spark.sparkContext

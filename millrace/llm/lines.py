@@ -5,9 +5,12 @@ A text is split at \\n; a line's key is the line without white space at its ends
 documents are counted, first in runs of documents and then over the runs; hashes at or over ``min_docs`` drop all their lines but
 those in the document with the smallest id. Only (id, position) pairs travel back to the texts, which are shuffled once.
 
+For two documents the smallest and the largest id tell as much as a count of distinct ones, and are kept in its place; for more
+the distinct ids are counted. An id has one run, so counts of runs add up. Both ways are held against the same plain version.
+
 Defined results: null or empty text is one empty line and comes back as empty text; a null id sorts before all others; rows with
 the same id are one document for counting, and each is returned; lines without a key that long always stay; an empty table gives
-no rows; columns named n_lines and n_dropped in the input are replaced.
+no rows; columns of the input that have the names of the counts are replaced (``counts`` names them otherwise). Ids are longs.
 """
 
 from __future__ import annotations
@@ -15,18 +18,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_ID, SPACES, ascii_lower, materialize
+from millrace.llm.common import NULL_ID, SPACES, ascii_lower, free_name, materialize
 
 
 def line_key(line: Column) -> Column:
     return ascii_lower(F.btrim(line, F.lit(SPACES)))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, runs: int = 64) -> DataFrame:
-    """The columns of docs with the text reduced to the lines that stay, and n_lines (before) and n_dropped."""
+def line_dedup(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = 10, min_docs: int = 2, runs: int = 64,
+    counts: tuple[str, str] = ("n_lines", "n_dropped"),
+) -> DataFrame:
+    """The columns of docs with the text reduced to the lines that stay, and the counts of lines before and of those dropped."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ident = [F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("__id"), F.xxhash64(text).alias("__hash")]
-    lines = docs.select(*ident, F.posexplode(F.split(text, "\n", -1)).alias("__pos", "__line")).withColumn("__line", line_key(F.col("__line")))
+    ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(text)
+    lines = docs.select(ident[0].alias("__id"), ident[1].alias("__hash"), F.posexplode(F.split(text, "\n", -1)).alias("__pos", "__line")).withColumn("__line", line_key(F.col("__line")))
     keys = materialize(
         lines.where(F.length("__line") >= min_chars).select("__id", "__hash", "__pos", F.unhex(F.md5("__line")).alias("__key")), "line-keys"
     )
@@ -45,14 +51,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("__id", "__hash")
         .agg(F.collect_set("__pos").alias("__drops"))
     )
+    i, h, d = (free_name(docs, x) for x in ("__id", "__hash", "__drops"))
+    out = docs.select("*", ident[0].alias(i), ident[1].alias(h)).join(drops.toDF(i, h, d), [i, h], "left")
     parts = F.split(text, "\n", -1)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drops"))
-    kept = F.when(F.col("__drops").isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    out = docs.select("*", *ident).join(drops, ["__id", "__hash"], "left")
+    dropped = F.col(d)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), dropped)
+    kept = F.when(dropped.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
     return out.withColumns(
         {
             text_col: kept,
-            "n_lines": F.size(parts).cast("long"),
-            "n_dropped": F.coalesce(F.size("__drops"), F.lit(0)).cast("long"),
+            counts[0]: F.size(parts).cast("long"),
+            counts[1]: F.coalesce(F.size(dropped), F.lit(0)).cast("long"),
         }
-    ).drop("__id", "__hash", "__drops")
+    ).drop(i, h, d)
