@@ -29,6 +29,13 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def copies(df: DataFrame, count: str, name: str, step: int = 1 << 16) -> DataFrame:
+    """Each row as often as its count says, numbered from 0; no array has more than count / step or step places, whichever is more."""
+    n = F.col(count).cast("long")
+    first = F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1, F.lit(step).cast("long"))))
+    return df.withColumn(name, first).withColumn(name, F.explode(F.sequence(F.col(name), F.least(F.col(name) + step, n) - 1)))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one in a local run, else one in the warehouse."""
     sc = spark.sparkContext

@@ -8,7 +8,7 @@ then block before allow).
 
 The filter is a table of blocks, each of eight 32-bit words with one bit a key in each. It is broadcast: its size is at most
 ``max_blocks`` rows, however long the list is; a fuller filter only passes more keys to the exact join. The rules themselves are
-broadcast up to ``broadcast_rules`` rows and are joined by a salted shuffle beyond.
+broadcast up to ``broadcast_bytes`` of keys and are joined by a salted shuffle beyond.
 
 Defined results: a URL that is null or has no ``://`` has an empty host and path and no rule; verdict ``default``; repeated
 (id, url) rows are each returned; rules with a null host or path are ignored; repeated rules count once; an empty list gives
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import ascii_lower
+from millrace.llm.common import ascii_lower, copies
 
 _WORDS = 8
 _PART = r"(?s)^.*?://([^/?#]*)([^?#]*)"
@@ -62,7 +62,7 @@ def url_filter(
     url_col: str = "url",
     default: str = "allow",
     max_blocks: int = 1 << 18,
-    broadcast_rules: int = 200_000,
+    broadcast_bytes: int = 16 << 20,
     salts: int = 32,
 ) -> DataFrame:
     """Judges every URL: id, url, host, path, rule, verdict."""
@@ -73,8 +73,10 @@ def url_filter(
         .agg(F.max("verdict").alias("rule_verdict"))
         .select(_key(F.col("rule_host"), F.col("rule_path")).alias("key"), "*")
     )
-    facts = listed.agg(F.count("*"), F.max(F.size(F.split("rule_host", r"\."))), F.collect_set(F.length("rule_path"))).head()
-    count, labels, lengths = facts[0], facts[1] or 0, sorted(facts[2])
+    # A rule is held three times (key, host, path) with some 100 bytes beside.
+    size = F.sum(F.octet_length("key").cast("long") * 2 + F.octet_length("rule_verdict") + 100)
+    facts = listed.agg(F.count("*"), F.max(F.size(F.split("rule_host", r"\."))), F.collect_set(F.length("rule_path")), size).head()
+    count, labels, lengths, rule_bytes = facts[0], facts[1] or 0, sorted(facts[2]), facts[3] or 0
     # One row for each (id, url) from here on: repeats come back at the end, and no row number is needed.
     pages = (
         urls.groupBy(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
@@ -99,7 +101,7 @@ def url_filter(
             maybe = maybe & (F.col(f"w{i}").bitwiseAND(_mask(F.col("key"), i)) != 0)
         # A key that cannot be listed goes; the page's row stays with a null key.
         filtered = filtered.select("_id", "_url", "_n", "host", "path", F.when(maybe, F.col("key")).alias("key"))
-        if count <= broadcast_rules:
+        if rule_bytes <= broadcast_bytes:
             joined = filtered.join(F.broadcast(listed), "key", "left")
         else:
             salted = listed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -117,7 +119,7 @@ def url_filter(
             F.first("path").alias("path"),
             F.max(F.when(F.col("rule_host").isNotNull(), rule)).alias("best"),
         )
-    return judged.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n")))).select(
+    return copies(judged, "_n", "_copy").select(
         F.col("_id").alias(id_col),
         F.col("_url").alias(url_col),
         "host",

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import urls
 
@@ -25,7 +26,7 @@ def sample():
     return out + [(1000, None), (None, "http://net/"), (1001, "http://net/"), (1001, "http://net/"), (1002, "http://a.net/\nen/")]
 
 
-@pytest.mark.parametrize("options", [{}, {"max_blocks": 1}, {"broadcast_rules": 0, "salts": 3}])
+@pytest.mark.parametrize("options", [{}, {"max_blocks": 1}, {"broadcast_bytes": 0, "salts": 3}])
 def test_as_brute_force(spark, options):
     pages = spark.createDataFrame([(*r, "x") for r in sample()], "page_id long, url string, key string")
     rules = spark.createDataFrame([*RULES, RULES[0], (None, "/", "block")], "host string, path string, verdict string")
@@ -41,6 +42,15 @@ def test_many_rules_have_no_false_positive(spark):
     assert got == {i: (f"h{i}.com/p{(i + i % 2) % 7}" if (f"h{i}.com", f"/p{(i + i % 2) % 7}") in exact else None) for i, _ in urls_}
 
 
+def test_long_urls_and_many_copies(spark):
+    long = "http://example.net/en/" + "a/" * 300_000
+    rows = [(1, long), (2, "http://" + "x." * 20_000 + "net/q?" + "y" * 100_000), *[(3, "http://net/")] * 150_000]
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    df = spark.createDataFrame(rows[:2], "page_id long, url string").unionByName(spark.range(150_000).select(F.lit(3).cast("long").alias("page_id"), F.lit("http://net/").alias("url")))
+    got = {tuple(r) for r in urls.url_filter(df, rules).groupBy("page_id", "rule", "verdict").count().collect()}
+    assert got == {(1, "example.net/en/", "allow", 1), (2, "net/", "block", 1), (3, "net/", "block", 150_000)}
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string")
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
