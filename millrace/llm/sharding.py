@@ -1,7 +1,8 @@
 """Sharding by a Feistel permutation of global row numbers.
 
 Rows get the numbers 0 to n - 1 in the order of (bucket, id, crc32, size), where the bucket is a hash of these three: the
-numbers depend on the rows alone, not on files or partitions, and no global sort is needed. A Feistel network over the smallest
+numbers depend on the rows alone, not on files or partitions, and no global sort is needed; a bucket holds about a million rows at
+most, but for rows that repeat. A Feistel network over the smallest
 even number of bits that holds n, walked along its cycles until it lands below n, permutes the numbers; position p lies in shard
 p mod shards, at slot p div shards. So shard sizes differ by one at most, slots have no gaps, and either can be computed from a
 number (``feistel``) or a number from them (``feistel_inverse``) without the table.
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_ID, materialize
+from millrace.llm.common import NULL_ID, copies, materialize
 
 _ROUNDS = 6
 
@@ -62,17 +63,20 @@ def feistel_inverse(positions: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return _walk(positions, n, seed, range(_ROUNDS - 1, -1, -1))
 
 
-def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, buckets: int = 1024) -> DataFrame:
+def shard(
+    docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", seed: int = 0, buckets: int = 1024, bucket_rows: int = 1 << 20
+) -> DataFrame:
     """A row per input row: id, size (UTF-8 bytes and 1), text_crc32, row_number, shard, slot."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     facts = docs.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("crc")
     )
     # Rows that agree in all three are interchangeable: they are counted, and numbered as a range.
-    rows = materialize(
-        facts.groupBy("id", "crc", "size").agg(F.count("*").alias("n")).withColumn("bucket", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(buckets))), "shard-rows"
-    )
-    counts = sorted(tuple(r) for r in rows.groupBy("bucket").agg(F.sum("n")).collect())  # at most `buckets` rows
+    rows = materialize(facts.groupBy("id", "crc", "size").agg(F.count("*").alias("n")), "shard-rows")
+    # Beyond buckets * bucket_rows rows there are more buckets, so that the sort of one does not grow.
+    buckets = max(buckets, 1 << (rows.count() // bucket_rows).bit_length())
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("id", "crc", "size"), F.lit(buckets)))
+    counts = sorted(tuple(r) for r in rows.groupBy("bucket").agg(F.sum("n")).collect())  # a row a bucket, that is for a million rows or more
     starts, total = [], 0
     for b, k in counts:
         starts.append((b, total))
@@ -82,7 +86,8 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     numbered = (
         rows.withColumn("first", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .join(F.broadcast(offsets), "bucket")
-        .withColumn("row_number", F.explode(F.sequence(F.col("start") + F.col("first"), F.col("start") + F.col("first") + F.col("n") - 1)))
+        .transform(lambda df: copies(df, "n", "copy"))
+        .withColumn("row_number", F.col("start") + F.col("first") + F.col("copy"))
     )
 
     def position(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
