@@ -247,8 +247,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([r.tobytes() for r in pool(part.column(2), vectors)], pa.binary())], ["id", "y", "x"])
 
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    # The sample is bounded by its limit, so it may be broadcast and its vectors collected.
-    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(run, "id long, y int, x binary").dropDuplicates(["id"]).collect()
+    # The sample is bounded by its limit, so it may be broadcast and its vectors collected. Of texts with one id the smallest vector (as
+    # bytes) is taken, whatever order they come in.
+    rows = texts.join(F.broadcast(chosen), "id").select("id", "y", "text").mapInArrow(run, "id long, y int, x binary").groupBy("id", "y").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: zlib.crc32(str(r["id"]).encode()) * 2**64 + r["id"])
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float32).reshape(-1, 2 * DIMENSIONS)
     return QualityModel(vectors, train(x, np.array([r["y"] for r in rows], np.int64)))

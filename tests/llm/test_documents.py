@@ -143,6 +143,12 @@ def test_shards(spark):
     assert sharding.shard(empty_documents(spark)).count() == 0
 
 
+def test_shards_of_a_row_that_repeats(spark):
+    df = spark.range(200_000).select((F.col("id") % 3).alias("doc_id"), F.lit("same").alias("text"))
+    got = sharding.shard(df, shards=4, buckets=1, bucket_rows=1).groupBy("shard").agg(F.count("*"), F.count_distinct("slot"), F.max("slot")).collect()
+    assert sorted(map(tuple, got)) == [(s, 50_000, 50_000, 49_999) for s in range(4)]
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 1000, 4097])
 def test_feistel_is_a_permutation(n):
     p = sharding.feistel(np.arange(n), n, seed=5)
@@ -304,6 +310,36 @@ def test_quality_learns_and_scores_all(spark):
     assert none.select(quality.score(model, none["text"])).count() == 0
 
 
+def test_quality_is_calibrated_and_reproducible(spark):
+    """Labels that the text tells with some error only; ids that repeat with other texts."""
+    rng = random.Random(3)
+    docs, labels, chance = [], [], {}
+    for i in range(3000):
+        bars = rng.randint(0, 4)
+        text = prose(rng, rng.randint(30, 80)).split()
+        for _ in range(bars * 4):
+            text.insert(rng.randrange(len(text)), "|")
+        chance[i] = 0.05 + 0.9 * (4 - bars) / 4
+        docs.append((i, " ".join(text), "en", "s", 1))
+        labels.append((i, int(rng.random() < chance[i]), 0))
+    docs += [(i, "another text of the same id", "en", "s", 1) for i in range(0, 3000, 7)]
+    labels_df = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    df = spark.createDataFrame(docs, SCHEMA)
+    model, again = quality.fit(df, labels_df), quality.fit(df.repartition(5), labels_df)
+    assert all(np.array_equal(getattr(model.network, k), getattr(again.network, k)) for k in ("w1", "b1", "w2", "mean")) and model.network.temperature == again.network.temperature
+    out = df.where("text != 'another text of the same id'").select("doc_id", quality.score(model, df["text"]).alias("score")).where(quality.held_out(F.col("doc_id"))).collect()
+    truth = {i: q for i, q, _ in labels}
+    # Expected calibration error over ten bins, on rows that were not trained on.
+    bins = collections.defaultdict(list)
+    for r in out:
+        bins[min(9, int(r["score"] * 10))].append((r["score"], truth[r["doc_id"]]))
+    error = sum(abs(sum(s - y for s, y in b)) for b in bins.values()) / len(out)
+    assert len(out) > 500 and error < 0.08
+    assert quality.fit(empty_documents(spark), labels_df).network is None
+    clashing = df.withColumns({c: F.lit("x") for c in ("id", "y", "x", "task", "block", "data", "score")})
+    assert np.array_equal(quality.fit(clashing, labels_df).network.w1, model.network.w1)
+
+
 def test_context_sums_do_not_depend_on_partitions(spark):
     df = edge_documents(spark)
     assert (quality.context_sums(df.repartition(1)) == quality.context_sums(df.repartition(7))).all()

@@ -73,8 +73,9 @@ def test_op9(spark, data, texts):
     rows = Q.op9_quality(spark, data).collect()
     assert sorted(r["doc_id"] for r in rows) == sorted(texts)
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.3) for r in rows)
-    seen = [r for r in rows if r["doc_id"] in labels]
-    assert sum(r["predicted"] == labels[r["doc_id"]] for r in seen) >= 0.95 * len(seen)
+    # Only on rows that were not learnt from; those that were tell nothing of it.
+    seen = [r for r in rows if r["doc_id"] in labels and r["held_out"]]
+    assert sum(r["predicted"] == labels[r["doc_id"]] for r in seen) >= 0.9 * len(seen) > 0
 
 
 def test_op10(spark, data, texts):
