@@ -7,22 +7,27 @@ shingles: the sum of the smaller multiplicities by the sum of the larger ones.
 A window that shares no shingle with any item has similarity 0, so only windows that touch a shared shingle are fingerprinted (an
 exact test: the shingles of all items are in a sorted table). Fingerprints are 64-bit SimHashes of the window's shingles, kept as
 running sums over the words. The fingerprints of the items are indexed by four blocks of 16 bits: two fingerprints within
-radius 19 agree up to 4 bits in one block at least, and the index of a block lists the items for each value within 4 bits of
-theirs; so all items within the radius are found. At similarity 0.8 the fingerprints of a window and an item differ in 10 bits on
-average (standard deviation 3). Candidates are then verified on the words themselves.
+radius 19 agree up to 4 bits in one block at least. Those 4 bits are shared out: the index of a block lists the items for each value
+within some bits of theirs, and a window looks up each value within the others of its own; so all items within the radius are
+found. The more items, the fewer bits are on the index's side, so that its size is bounded. Only items of the window's length are
+looked up. At similarity 0.8 the fingerprints of a window and an item differ in 10 bits on average (standard deviation 3).
+Candidates are then verified on the words themselves.
 
-The benchmark is sent to all tasks in blocks of at most ``block_words`` words, one pass over the documents for each block; the
-documents are never shuffled.
+The benchmark is sent to all tasks, and the documents are passed over once and never shuffled. A benchmark of more than
+``block_words`` words or ``block_items`` items is sent in blocks of that size, with one pass for each, so that what a task holds
+(some 30 bytes a word, and an index of 100 MB or 50 bytes an item) is bounded.
 
 Defined results: a document or item that is null, empty or without words matches nothing; an item of fewer than five words is one
 shingle of its own length; a document shorter than an item is one window; an item that occurs several times counts once, at its
-best and then first window; null ids stay null; repeated documents and items are each reported; other columns are ignored.
+best and then first window; null ids stay null; repeated documents and items are each reported; other columns are ignored; an empty table gives no rows. Ids are
+longs.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -58,32 +63,45 @@ def fingerprints(sums: np.ndarray) -> np.ndarray:
     return ((sums > 0).astype(U) << _BIT).sum(axis=1, dtype=U)
 
 
+def _flips(bits: int) -> np.ndarray:
+    """All ways to flip at most that many bits of a block."""
+    return np.array([sum(1 << b for b in c) for k in range(bits + 1) for c in combinations(range(BITS), k)], np.int64)
+
+
 class HammingIndex:
-    """Finds all indexed fingerprints within RADIUS."""
+    """Finds all indexed fingerprints of the same group (a number under 2**32) within RADIUS."""
 
-    def __init__(self, prints: np.ndarray):
+    def __init__(self, prints: np.ndarray, groups: np.ndarray | None = None, most: int = 1 << 21):
+        """most: entries of a block's list, unless there are more items."""
         self.prints = prints
-        flips = np.array([sum(1 << b for b in c) for k in range(RADIUS // BLOCKS + 1) for c in combinations(range(BITS), k)], np.int64)
+        groups = np.zeros(len(prints), np.int64) if groups is None else groups.astype(np.int64)
+        within = RADIUS // BLOCKS
+        own = max((k for k in range(within + 1) if len(prints) * len(_flips(k)) <= most), default=0)
+        flips, self.flips = _flips(own), _flips(within - own)
         self.lists = []
         for b in range(BLOCKS):
-            values = (self._block(prints, b)[:, None] ^ flips).ravel()
-            order = np.argsort(values, kind="stable")
-            self.lists.append((np.searchsorted(values[order], np.arange((1 << BITS) + 1)).astype(np.int32), (order // len(flips)).astype(np.int32)))
+            keys = ((groups << BITS)[:, None] + (self._block(prints, b)[:, None] ^ flips)).ravel()
+            order = np.argsort(keys, kind="stable")
+            self.lists.append((keys[order], (order // len(flips)).astype(np.int32)))
 
     @staticmethod
     def _block(prints: np.ndarray, b: int) -> np.ndarray:
         return ((prints >> U(BITS * b)) & U((1 << BITS) - 1)).astype(np.int64)
 
-    def search(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def search(self, prints: np.ndarray, group: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """All (position in prints, item) within the radius."""
-        found = []
-        for b, (first, items) in enumerate(self.lists):
-            value = self._block(prints, b)
-            n = first[value + 1] - first[value]
-            at = np.repeat(np.arange(len(prints)), n)
-            item = items[np.repeat(first[value] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-            near = np.bitwise_count(prints[at] ^ self.prints[item]) <= RADIUS
-            found.append(at[near] * len(self.prints) + item[near])
+        found = [np.zeros(0, np.int64)]
+        step = max(1, (1 << 20) // len(self.flips))
+        for start in range(0, len(prints), step):
+            some = prints[start : start + step]
+            for b, (keys, items) in enumerate(self.lists):
+                value = ((group << BITS) + (self._block(some, b)[:, None] ^ self.flips)).ravel()
+                first = np.searchsorted(keys, value, "left")
+                n = np.searchsorted(keys, value, "right") - first
+                at = np.repeat(np.arange(len(value)) // len(self.flips), n)
+                item = items[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+                near = np.bitwise_count(some[at] ^ self.prints[item]) <= RADIUS
+                found.append(np.unique((at[near] + start) * len(self.prints) + item[near]))
         pairs = np.unique(np.concatenate(found))
         return pairs // len(self.prints), pairs % len(self.prints)
 
@@ -92,22 +110,32 @@ class Benchmark:
     """The items of one block, ready to be searched for."""
 
     def __init__(self, ids: list, texts: list[str | None]):
-        w = tk.words(pa.array(texts, pa.string()), tk.WHITE_AND_MARKS)
+        self.text = w = tk.words(pa.array(texts, pa.string()), tk.WHITE_AND_MARKS)
         n = np.diff(w.first)
-        self.ids = [x for x, k in zip(ids, n, strict=True) if k]
-        self.words = [w.text(a, b) for a, b in zip(w.first[:-1], w.first[1:], strict=True) if b > a]
-        self.bags = [bag(x) for x in self.words]
+        held = np.flatnonzero(n)
+        self.ids = [ids[i] for i in held]
+        self.first = w.first[:-1][held]
         hashes, first = tk.shingles(w, SIZE)
-        total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(hashes), axis=0, dtype=np.int32)])
-        prints = fingerprints(total[first[1:]] - total[first[:-1]])[n > 0]
-        # One index of all items, whose lengths in words tell which windows they are for; and by shingle size the sorted table of all shingles.
-        self.length = n[n > 0]
-        self.index = HammingIndex(prints)
+        prints = np.zeros(len(held), U)
+        for at in range(0, len(held), 4096):
+            some = held[at : at + 4096]
+            a, b = first[some[0]], first[some[-1] + 1]
+            total = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum(signs(hashes[a:b]), axis=0, dtype=np.int32)])
+            prints[at : at + 4096] = fingerprints(total[first[some + 1] - a] - total[first[some] - a])
+        # An index of all items, grouped by length in words; and by shingle size the sorted table of all shingles.
+        self.length = n[held]
+        self.lengths = np.unique(self.length).tolist()
+        self.index = HammingIndex(prints, self.length)
         self.shingles = {}
         for size in range(1, SIZE + 1):
-            pick = np.flatnonzero(n == size) if size < SIZE else np.flatnonzero(n >= SIZE)
-            if len(pick):
-                self.shingles[size] = np.unique(np.concatenate([hashes[first[i] : first[i + 1]] for i in pick]))
+            of_size = (n == size) if size < SIZE else (n >= SIZE)
+            if of_size.any():
+                self.shingles[size] = np.unique(hashes[np.repeat(of_size, np.diff(first))])
+        self.bag = lru_cache(4096)(self._bag)
+
+    def _bag(self, item: int) -> Counter:
+        """The shingles of an item, when it is a candidate."""
+        return bag(self.text.text(self.first[item], self.first[item] + self.length[item]))
 
 
 _last: tuple[tuple, Benchmark] | None = None
@@ -159,7 +187,7 @@ def find(texts: pa.Array, bench: Benchmark, threshold: float) -> Iterator[tuple[
 def _find_in(w: tk.Words, every: np.ndarray, spots: np.ndarray, text: int, length: int, size: int, bench: Benchmark, threshold: float):
     base, spots = int(w.first[text]), spots - w.first[text]
     best: dict[int, tuple[float, int, int]] = {}
-    for need in np.unique(bench.length).tolist():
+    for need in bench.lengths:
         if min(need, SIZE) != size:
             continue
         take = min(need, length)
@@ -180,10 +208,9 @@ def _find_in(w: tk.Words, every: np.ndarray, spots: np.ndarray, text: int, lengt
                 a, b = int(piece[0]), int(piece[-1]) + span
                 total = np.zeros((b - a + 1, 64), np.int32)
                 np.cumsum(signs(every[base + a : base + b]), axis=0, out=total[1:])
-                which, item = bench.index.search(fingerprints(total[piece + span - a] - total[piece - a]))
-                fits = bench.length[item] == need
-                for p, m in zip(piece[which[fits]].tolist(), item[fits].tolist(), strict=True):
-                    s = weighted_similarity(bag(w.text(base + p, base + p + take)), bench.bags[m])
+                which, item = bench.index.search(fingerprints(total[piece + span - a] - total[piece - a]), need)
+                for p, m in zip(piece[which].tolist(), item.tolist(), strict=True):
+                    s = weighted_similarity(bag(w.text(base + p, base + p + take)), bench.bag(m))
                     if s >= threshold and (m not in best or s > best[m][0]):
                         best[m] = (s, p, take)
     for m, (s, p, k) in best.items():
@@ -192,14 +219,14 @@ def _find_in(w: tk.Words, every: np.ndarray, spots: np.ndarray, text: int, lengt
 
 def decontaminate(
     docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
-    item_text_col: str = "text", block_words: int = 50_000,
+    item_text_col: str = "text", block_words: int = 4_000_000, block_items: int = 250_000,
 ) -> DataFrame:
     """A row per document and item found in it: id, item id, similarity, start_word, n_words."""
     # Block by block of the benchmark, so that what a task holds is bounded however large the benchmark is.
     blocks: list[tuple[list, list]] = [([], [])]
     words = 0
     for row in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).toLocalIterator():
-        if words > block_words:
+        if words > block_words or len(blocks[-1][0]) >= block_items:
             blocks.append(([], []))
             words = 0
         blocks[-1][0].append(row["i"])

@@ -206,7 +206,37 @@ def test_hamming_index_finds_all_within_radius():
     query = prints[rng.integers(0, 200, 400)] ^ flips
     at, item = decontam.HammingIndex(prints).search(query)
     near = np.bitwise_count(query[:, None] ^ prints[None]) <= decontam.RADIUS
-    assert sorted(zip(at.tolist(), item.tolist(), strict=True)) == sorted(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+    want = sorted(zip(*(x.tolist() for x in np.nonzero(near)), strict=True))
+    assert sorted(zip(at.tolist(), item.tolist(), strict=True)) == want
+    # However the four bits are shared out between index and query; and by groups.
+    groups = rng.integers(1, 2**31, 3)[rng.integers(0, 3, 200)]
+    for most in (0, 200 * 17, 200 * 137, 200 * 697):
+        index = decontam.HammingIndex(prints, groups, most)
+        assert len(index.lists[0][0]) <= max(most, 200)
+        found = []
+        for g in np.unique(groups).tolist():
+            at, item = index.search(query, g)
+            assert (groups[item] == g).all()
+            found += zip(at.tolist(), item.tolist(), strict=True)
+        assert sorted(found) == want
+
+
+def test_decontamination_of_long_texts_among_many_items(spark):
+    """One pass, an index of bounded size, and columns with clashing names."""
+    rng = random.Random(15)
+    vocabulary = [prose(rng, 1) for _ in range(4000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 30)))) for i in range(4000)]
+    long = [rng.choice(vocabulary) for _ in range(60_000)]
+    planted = [i for i, t in items if len(t.split()) > 12][:40]
+    for k, i in enumerate(planted):
+        long[1000 * k : 1000 * k] = items[i][1].split()
+    df = spark.createDataFrame([(1, " ".join(long))], "doc_id long, text string").withColumns({c: F.lit("x") for c in ("id", "item_id", "similarity", "start_word", "i", "t")})
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("i", F.lit("x"))
+    out = decontam.decontaminate(df, bench)
+    assert out._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    got = {r["item_id"]: r["similarity"] for r in out.collect()}
+    assert {i for i in planted if got.get(i) == 1.0} == set(planted)
+    assert all(i in planted or len(items[i][1].split()) <= 5 for i in got)
 
 
 # Licenses
