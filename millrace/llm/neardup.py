@@ -7,9 +7,11 @@ Texts with equal sets form classes, and only the smallest id of a class goes on,
 members are linked as candidates with one centre, a star: the member that shares most places with others. Candidates
 are confirmed on full sets, links give components. Then, in the group of each centre (all that share a bucket with it), members
 outside the centre's component are compared with the members of other components, block by block: first sketches (those that agree
-in fewer bins than five standard deviations under the threshold are passed over), then full sets. So no link is lost to the choice
-of the centre. That last step takes time with the number of members outside times the members of the group, but emits links only,
-and a block has a bounded number of rows and bytes.
+in fewer bins than five standard deviations under the threshold are passed over; texts of few shingles fill few bins, and their
+deviation counts those alone), then full sets. So no link is lost to the choice of the centre. That last step takes time with the
+number of members outside times the members of the group, but emits links only; a block has a bounded number of rows and bytes, and
+the pairs of blocks of a centre are dealt to as many tasks as they need. A text goes into a block once; a centre's text goes to each
+block of its star's members, not to each member.
 
 Only the number of documents a band shares bounds the recall: with five rows in 28 bands, a pair at similarity 0.85 is missed
 with a probability of 7e-8, at 0.8 of 1.5e-5.
@@ -29,11 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import NULL_ID, materialize
+from millrace.llm.common import NULL_ID, copies, materialize
 from millrace.llm.components import components
 
 U = np.uint64
 _RUNS = 64
+#: Rows and bytes of a block, and pairs of blocks a task, about.
+BLOCK_ROWS, BLOCK_BYTES, TASK_PAIRS = 256, 8 << 20, 64
 
 
 def densify(sketch: np.ndarray, filled: np.ndarray) -> None:
@@ -104,39 +108,61 @@ def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return common > 0 and 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough; texts: (id, text)."""
+def _dealt(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The rows (key, id, size, ..) with the block of each, and the number of blocks of each key (key, blocks).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in tk.slices(batch, 3):
-                u, v = (part.column(i).to_numpy() for i in (0, 1))
-                _, index, place = np.unique(u, return_index=True, return_inverse=True)
-                left, lf = tk.distinct(*tk.shingles(tk.words(part.column(2).take(pa.array(index))), size))
-                right, rf = tk.distinct(*tk.shingles(tk.words(part.column(3)), size))
-                ok = np.array([_similar(left[lf[p] : lf[p + 1]], right[rf[i] : rf[i + 1]], percent) for i, p in enumerate(place)], bool)
-                yield pa.RecordBatch.from_arrays([pa.array(u[ok]), pa.array(v[ok])], ["u", "v"])
+    Counted in runs first, so that a key with many rows is spread over them on the way back.
+    """
+    run = F.pmod(F.xxhash64("id"), F.lit(_RUNS))
+    rows = rows.withColumn("run", run)
+    runs = rows.groupBy(key, "run").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    blocks = runs.groupBy(key).agg(F.greatest(F.ceil(F.sum("n") / BLOCK_ROWS), F.ceil(F.sum("size") / BLOCK_BYTES)).alias("blocks"))
+    decided = runs.select(key, "run").join(blocks, key)
+    return rows.join(decided, [key, "run"]).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.col("blocks"))).drop("run", "blocks"), blocks
 
-    members = pairs.join(texts.select(F.col("id").alias("v"), F.col("text").alias("v_text")), "v")
-    both = members.join(texts.select(F.col("id").alias("u"), F.col("text").alias("u_text")), "u")
-    return both.select("u", "v", "u_text", "v_text").mapInArrow(run, "u long, v long")
 
+def _blocks(rows: DataFrame, key: str, columns: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """Gathers rows (key, id, size, ..) into blocks (key, block, name) of about that many rows and bytes at most; and the number of blocks of each key."""
+    dealt, blocks = _dealt(rows, key)
+    return dealt.groupBy(key, "block").agg(F.collect_list(F.struct(*columns)).alias(name)), blocks
 
-def _blocks(rows: DataFrame, name: str, most: int = 256, most_bytes: int = 8 << 20) -> DataFrame:
-    """Gathers (centre, id, label, low, text) into blocks of about that many rows and bytes at most; a hash deals a centre's rows to as many as it needs."""
-    need = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum(F.octet_length("text").cast("long")) / most_bytes))
-    sizes = rows.groupBy("centre").agg(need.alias("need"))
-    dealt = rows.join(sizes, "centre").withColumn("block", F.pmod(F.xxhash64("id"), F.col("need")))
-    return dealt.groupBy("centre", "block").agg(F.collect_list(F.struct("id", "label", "low", "text")).alias(name)).select("centre", name)
 
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """The pairs (u, v) whose full sets are similar enough; texts: (id, text, size)."""
 
-def _between_components(near: DataFrame, far: DataFrame, percent: int, size: int, bins: int) -> DataFrame:
-    """Links between rows of a centre's group that lie in different components: far with near, block by block."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                members = batch.column(2)[i].values
+                u, v = batch.column(0)[i].as_py(), members.field("id").to_numpy()
+                left, _ = tk.distinct(*tk.shingles(tk.words(batch.column(1).slice(i, 1)), size))
+                right, first = tk.distinct(*tk.shingles(tk.words(members.field("text")), size))
+                ok = v[[_similar(left, right[a:b], percent) for a, b in zip(first[:-1], first[1:], strict=True)]]
+                yield pa.RecordBatch.from_arrays([pa.array([u] * len(ok), pa.int64()), pa.array(ok, pa.int64())], ["u", "v"])
+            tk.release()
+
+    # The members of a star in blocks, and the centre's text for each block.
+    members = pairs.join(texts.select(F.col("id").alias("v"), "text", "size"), "v").withColumnRenamed("v", "id")
+    blocks, number = _blocks(members, "u", ["id", "text"], "members")
+    centres = number.join(texts.select(F.col("id").alias("u"), F.col("text").alias("u_text")), "u").transform(lambda df: copies(df, "blocks", "block")).drop("blocks")
+    return blocks.join(centres, ["u", "block"]).select("u", "u_text", "members").mapInArrow(run, "u long, v long")
+
+
+def _least(n: np.ndarray, percent: int, bins: int) -> np.ndarray:
+    """Bins that the sketches of two sets share, five standard deviations under the threshold; n: size of the smaller set."""
     share = percent / 100
-    least = (share - 5 * (share * (1 - share) / bins) ** 0.5) * bins
+    # Bins that the smaller set fills by itself; the others repeat them.
+    filled = bins * (1 - (1 - 1 / bins) ** n)
+    return (share - 5 * np.sqrt(share * (1 - share) / filled)) * bins
+
+
+def _between_components(group: DataFrame, percent: int, size: int, bins: int) -> DataFrame:
+    """Links between rows of a centre's group that lie in different components: those outside the centre's with all, block by block.
 
-    def unpack(column: pa.Array, i: int) -> tuple:
-        rows = column[i].values
+    group: (centre, id, label, main, low, text, size)
+    """
+
+    def unpack(rows: pa.StructArray) -> tuple:
         low = np.frombuffer(b"".join(rows.field("low").to_pylist()), np.uint8).reshape(-1, bins)
         sets, first = tk.distinct(*tk.shingles(tk.words(rows.field("text")), size))
         return rows.field("id").to_numpy(), rows.field("label").to_numpy(), low, sets, first
@@ -145,17 +171,30 @@ def _between_components(near: DataFrame, far: DataFrame, percent: int, size: int
         for batch in batches:
             found: set[tuple[int, int]] = set()
             for i in range(batch.num_rows):
-                ids, labels, low, sets, first = unpack(batch.column(0), i)
-                ids2, labels2, low2, sets2, first2 = unpack(batch.column(1), i)
+                ids, labels, low, sets, first = unpack(batch.column(0)[i].values)
+                ids2, labels2, low2, sets2, first2 = unpack(batch.column(1)[i].values)
+                n, n2 = np.diff(first), np.diff(first2)
                 for a in range(len(ids)):
+                    least = _least(np.minimum(n2, n[a]), percent, bins)
                     alike = np.flatnonzero(((low2 == low[a]).sum(axis=1) >= least) & (labels2 != labels[a]))
                     for b in alike.tolist():
                         if _similar(sets[first[a] : first[a + 1]], sets2[first2[b] : first2[b + 1]], percent):
                             found.add((min(ids[a], ids2[b]), max(ids[a], ids2[b])))
             u, v = zip(*sorted(found), strict=True) if found else ([], [])
+            tk.release()
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return _blocks(far, "far").join(_blocks(near, "near"), "centre").select("far", "near").mapInArrow(run, "u long, v long").distinct()
+    columns = ["id", "label", "low", "text"]
+    near, near_blocks = _blocks(group, "centre", columns, "near")
+    far, far_blocks = _blocks(group.where("label != main"), "centre", columns, "far")
+    # Each task of a centre has some of its far blocks and meets all its near ones.
+    tasks = far_blocks.toDF("centre", "f").join(near_blocks.toDF("centre", "n"), "centre")
+    tasks = tasks.select("centre", F.col("f"), "n", F.least("f", F.ceil(F.col("f") * F.col("n") / TASK_PAIRS)).alias("tasks"))
+    far = far.join(copies(tasks, "f", "block").select("centre", "block", "tasks"), ["centre", "block"])
+    near = near.join(copies(tasks, "n", "block").select("centre", "block", "tasks"), ["centre", "block"])
+    far = far.select("centre", F.pmod("block", "tasks").alias("task"), "far")
+    near = copies(near, "tasks", "task").select("centre", "task", "near")
+    return far.join(near, ["centre", "task"]).select("far", "near").mapInArrow(run, "u long, v long").distinct()
 
 
 def near_dedup(
@@ -185,17 +224,20 @@ def near_dedup(
     same = member.join(same.select("id", "u"), "id").select("u", F.col("head").alias("v")).where("u != v").distinct()
     needed = stars.select(F.col("u").alias("id")).union(stars.select("v")).distinct()
     # An inner join: a semi-join would be moved below the filter, and all texts be shuffled.
-    texts = materialize(_maybe_in(docs, needed).join(needed, "id"), "texts")
+    texts = materialize(_maybe_in(docs, needed).join(needed, "id").withColumn("size", F.octet_length("text").cast("long")), "texts")
     labels = components(materialize(confirm(stars, texts, percent, size).unionByName(same), "links"))
     # What the stars may have missed: links between the components in the group of a centre.
     group = stars.select(F.col("u").alias("centre"), F.col("v").alias("id")).union(stars.select("u", "u").distinct())
     group = group.join(labels, F.col("id") == F.col("node"), "left").select("centre", "id", F.coalesce("component", "id").alias("label"))
-    main = group.where("id = centre").select("centre", F.col("label").alias("main"))
-    mixed = group.groupBy("centre").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("centre")
-    group = materialize(
-        group.join(mixed, "centre").join(main, "centre").where("id != centre").join(heads.select("id", "low"), "id").join(texts, "id"), "groups"
-    )
-    late = materialize(_between_components(group, group.where("label != main"), percent, size, bands * rows), "links")
+    # What is known of a centre comes back to its rows in runs, as above.
+    group = materialize(group.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(_RUNS))), "members")
+    facts = [F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("main").alias("main")]
+    by_run = group.withColumns({"lo": F.col("label"), "hi": F.col("label"), "main": F.when(F.col("id") == F.col("centre"), F.col("label"))})
+    by_run = by_run.groupBy("centre", "run").agg(*facts)
+    mixed = by_run.groupBy("centre").agg(*facts).where("lo < hi").select("centre", "main")
+    group = group.where("id != centre").join(by_run.select("centre", "run").join(mixed, "centre"), ["centre", "run"]).drop("run")
+    group = materialize(group.join(heads.select("id", "low"), "id").join(texts, "id"), "groups")
+    late = materialize(_between_components(group, percent, size, bands * rows), "links")
     if not late.isEmpty():
         labels = components(labels.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(late))
     out = member.join(labels, member["head"] == labels["node"], "left").select("id", "n", F.coalesce("component", "head").alias("component"))

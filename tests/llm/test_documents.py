@@ -115,6 +115,47 @@ def test_near_dedup_chains_and_hubs(spark):
     assert sorted(map(tuple, got)) == sorted(components_of(rows, 85))
 
 
+def test_near_dedup_of_a_group_most_of_which_its_centre_misses(spark, monkeypatch):
+    """A large group in many blocks and tasks: texts that keep half of one original in pairs of near copies."""
+    for name, value in (("BLOCK_ROWS", 5), ("TASK_PAIRS", 3)):
+        monkeypatch.setattr(neardup, name, value)
+    rng = random.Random(19)
+    original, rows = prose(rng, 120).split(), []
+    for k in range(60):
+        own = [w if i % 3 else f"g{k}x{i}" for i, w in enumerate(original)] if k % 2 else original[: 60 + k] + prose(rng, 10).split()
+        for j in range(3):
+            copy = list(own)
+            copy[7 + 11 * j] = f"c{k}{j}"
+            rows.append((3 * k + j, " ".join(copy), "en", "s", 1))
+    for percent in (85, 80):
+        got = neardup.near_dedup(spark.createDataFrame(rows, SCHEMA), percent=percent).collect()
+        assert sorted(map(tuple, got)) == sorted(components_of(rows, percent))
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_pairs_at_the_threshold_share_a_band_and_pass_the_sketch_filter(percent):
+    """Random sets of 13 to 100 shingles whose similarity is at the threshold or just over it."""
+    rng = np.random.default_rng(percent)
+    bands, rows, lost, filtered, n = 28, 5, 0, 0, 4000
+    for _ in range(n // 200):
+        values, sizes, least = [], [], []
+        for _ in range(200):
+            union = int(rng.integers(15, 110))
+            common = -(-union * percent // 100)
+            only = union - common
+            left = int(rng.integers(0, only + 1))
+            x = rng.integers(0, 2**64, union, dtype=np.uint64)
+            a, b = x[: common + left], np.concatenate([x[:common], x[common + left :]])
+            values += [np.sort(a), np.sort(b)]
+            sizes += [len(a), len(b)]
+            least.append(min(len(a), len(b)))
+        keys, low = neardup.sketches(np.concatenate(values), np.concatenate([[0], np.cumsum(sizes)]), bands, rows)
+        lost += int((~(keys[::2] == keys[1::2]).any(axis=1)).sum())
+        filtered += int(((low[::2] == low[1::2]).sum(axis=1) < neardup._least(np.array(least), percent, bands * rows)).sum())
+    # At 0.8 itself 1.5e-5 of all pairs are expected to share no band.
+    assert lost <= 1 and filtered == 0
+
+
 def test_densification_fills_and_agrees():
     rng = np.random.default_rng(1)
     sketch, filled = rng.integers(1, 2**63, (50, 140)).astype(np.uint64), rng.random((50, 140)) < 0.05
