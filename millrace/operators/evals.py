@@ -137,7 +137,7 @@ def breakdown_by_domain(df: DataFrame, key: str, domain: tuple[str, ...], outcom
     """As detection_report(), with a row for each value of a fixed domain, absent ones with n = 0."""
     dim = df.sparkSession.createDataFrame([(i, d) for i, d in enumerate(domain)], f"ord int, {key} string")
     counted = df.where(F.col(key).isin(*domain)).groupBy(key).agg(F.count("*").alias("n"), *stats.outcome_counts(outcome))
-    out = F.broadcast(dim).join(counted, key, "left").na.fill(0)
+    out = dim.join(counted, key, "left").na.fill(0)
     p, r, f = stats.prf(F.col("tp"), F.col("fp"), F.col("fn"), F.col("partial"))
     return out.withColumns({"precision": p, "recall": r, "f1": f})
 
@@ -209,7 +209,7 @@ def reconcile(df: DataFrame, key: str, expected: dict[str, int]) -> DataFrame:
     want = df.sparkSession.createDataFrame(list(expected.items()), f"{key} string, expected long")
     got = df.groupBy(key).agg(F.count("*").alias("actual"))
     verdict = F.when(F.col("actual").isNull(), "missing").when(F.col("expected").isNull(), "unexpected").when(F.col("actual") != F.col("expected"), "wrong").otherwise("ok")
-    return got.join(F.broadcast(want), key, "full").withColumn("verdict", verdict)
+    return got.join(want, key, "full").withColumn("verdict", verdict)
 
 
 def metric_means(df: DataFrame, metrics: tuple[str, ...] = METRICS) -> DataFrame:
@@ -248,7 +248,7 @@ def annotation_stats(annotations: DataFrame, names: list[str]) -> DataFrame:
     """Mean and number of scores of each evaluator, null and 0 for those without any."""
     dim = annotations.sparkSession.createDataFrame([(n,) for n in names], "name string")
     got = annotations.groupBy("name").agg(F.avg("score").alias("mean"), F.count("score").alias("n"))
-    return F.broadcast(dim).join(got, "name", "left").na.fill(0, ["n"])
+    return dim.join(got, "name", "left").na.fill(0, ["n"])
 
 
 def trace_stats(spans: DataFrame) -> DataFrame:

@@ -133,8 +133,10 @@ def guarded(df: DataFrame, text_col: str = "text", seed_col: str | None = None,
                 rows.append({k: [x._asdict() for x in v] if k in ("detections", "stage1", "deterministic", "stage2") else v for k, v in g.items()})
             yield pd.DataFrame(rows, columns=GUARD_FIELDS)
 
-    checked = run(F.col(text_col), seed)
-    return df.withColumn("guard", checked)
+    # Rows that may hold nothing have the answer that an empty text has, with their own text.
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    plain = run(F.when(may_hold_pii(text), text), seed)
+    return df.withColumn("guard", plain).withColumn("guard", F.col("guard").withField("masked_text", F.when(may_hold_pii(text), F.col("guard.masked_text")).otherwise(text)))
 
 
 GUARD_FIELDS = ["action", "masked_text", "detections", "stage1", "deterministic", "stage2", "stage2_used", "stage2_timed_out", "leaked", "reasons"]

@@ -137,14 +137,14 @@ def route(messages: DataFrame, bindings: DataFrame, id_col: str = "id", default_
     """The agent of each message (P18, J13): peer before account before channel binding, then the first in the list.
 
     messages: id, channel, account_id, peer_kind, peer_id. bindings: ord, agent_id, channel, account_id, peer_kind, peer_id. An equi-join
-    on the channel with the bindings broadcast; wildcards are settled in the condition, and max_by keeps one binding a message.
+    on the channel (Spark broadcasts the bindings where they are small); wildcards are settled in the condition, and max_by keeps one binding a message.
     """
     m = messages.withColumns({"channel": F.lower(F.trim("channel")), "account_id": F.coalesce(F.nullif(F.trim("account_id"), F.lit("")), F.lit(default_account))})
     b = bindings.select("ord", F.col("agent_id").alias("b_agent"), F.lower(F.trim("channel")).alias("b_channel"), F.nullif("account_id", F.lit("")).alias("b_account"), F.nullif("peer_kind", F.lit("")).alias("b_kind"), F.nullif("peer_id", F.lit("")).alias("b_peer"))
     fits = (F.col("channel") == F.col("b_channel")) & (F.col("b_account").isNull() | (F.col("b_account") == "*") | (F.col("b_account") == F.col("account_id")))
     peer = F.col("b_peer").isNotNull() & (F.col("b_kind") == F.col("peer_kind")) & (F.col("b_peer") == F.trim("peer_id"))
     tier = F.when(F.col("b_channel").isNull(), F.lit(None)).when(peer, 1).when(F.col("b_account").isNotNull() & F.col("b_peer").isNull(), 2).when(F.col("b_account").isNull() & F.col("b_peer").isNull(), 3)
-    rows = m.join(F.broadcast(b), fits, "left").withColumn("tier", tier)
+    rows = m.join(b, fits, "left").withColumn("tier", tier)
     best = rows.groupBy(id_col, "channel", "account_id", "peer_kind", "peer_id").agg(F.min(F.when(F.col("tier").isNotNull(), F.struct("tier", "ord", "b_agent"))).alias("b"))
     agent = F.coalesce(F.nullif(F.trim("b.b_agent"), F.lit("")), F.lit(default_agent))
     by = F.when(F.col("b.tier") == 1, "binding.peer").when(F.col("b.tier") == 2, "binding.account").when(F.col("b.tier") == 3, "binding.channel").otherwise("default")

@@ -77,21 +77,35 @@ def chunk(df: DataFrame, id_col: str, text_col: str, tokens: int = CHUNK_TOKENS,
     return out.select(id_col, (F.col("ord") + 1).alias("ord"), "c.*", V.content_hash(F.col("c.content")).alias("content_hash"))
 
 
-def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str = "chunk_id", query_id: str = "query_id") -> DataFrame:
-    """The k best chunks by cosine for each query: query_id, chunk_id, score, rank.
-
-    The queries are the small side and are broadcast in at most 256 rows, each an array of those whose ids hash alike; each chunk
-    scores them all, and partial top-k lists are merged, so no pair of chunk and query is shuffled. Queries without a vector have no
-    hits.
+def vector_topk(
+    chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str = "chunk_id", query_id: str = "query_id", digits: int | None = None, pass_bytes: int = 64 << 20
+) -> DataFrame:
+    """The k best chunks by cosine for each query: query_id, chunk_id, score, rank (T01, R01). digits: scores are rounded before they are ranked.
+
+    The queries are broadcast, at most ``pass_bytes`` of them at a time (one pass over the chunks for each), as 256 rows, each an array of
+    those whose ids hash alike; each chunk scores them all, and partial top-k lists are merged, so no pair of chunk and query is
+    shuffled. Queries without a vector have no hits.
     """
+    queries = queries.where("embedding is not null")
+    size = queries.agg(F.sum(F.size("embedding").cast("long") * 8 + 64)).head()[0] or 0
+    passes = max(1, -(-size // pass_bytes))
+    out = None
+    for i in range(passes):
+        part = queries.where(F.pmod(F.xxhash64(query_id, F.lit(1)), F.lit(passes)) == i) if passes > 1 else queries
+        found = _vector_pass(chunks, part, k, chunk_id, query_id, digits)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _vector_pass(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str, query_id: str, digits: int | None) -> DataFrame:
     block = F.pmod(F.xxhash64(query_id), F.lit(256)).alias("block")
-    q = queries.where("embedding is not null").groupBy(block).agg(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col("embedding").alias("e"), V.length(F.col("embedding")).alias("l"))).alias("qs"))
+    q = queries.groupBy(block).agg(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col("embedding").alias("e"), V.length(F.col("embedding")).alias("l"))).alias("qs"))
     scored = (
         chunks.where("embedding is not null")
         .withColumn("_l", V.length(F.col("embedding")))
         .join(F.broadcast(q))
         .select(F.col(chunk_id).alias("chunk_id"), F.explode(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), V.cosine(F.col("embedding"), x["e"], F.col("_l"), x["l"]).alias("s")))).alias("x"))
-        .select(F.col("x.q").alias("query_id"), "chunk_id", F.col("x.s").alias("score"))
+        .select(F.col("x.q").alias("query_id"), "chunk_id", (F.col("x.s") if digits is None else F.round("x.s", digits)).alias("score"))
     )
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
     # Spark drops rows beyond rank k in each task before the shuffle (WindowGroupLimit).
@@ -107,12 +121,13 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def inverted_index(chunks: DataFrame, chunk_id: str = "chunk_id", text: str = "content", queries: DataFrame | None = None) -> DataFrame:
     """Terms of chunks with their frequency and the chunk's length: term, chunk_id, tf, len (the full-text table of S13).
 
-    queries: only the terms of these queries (a small table) are kept, before anything is shuffled; for a search without a stored index.
+    queries: only the terms of these queries are kept, before anything is shuffled where they are small enough for Spark to broadcast; for a
+    search without a stored index.
     """
     words = chunks.select(F.col(chunk_id).alias("chunk_id"), V.word_tokens(F.lower(text)).alias("ws")).withColumn("len", F.size("ws"))
     each = words.select("chunk_id", "len", F.explode("ws").alias("term"))
     if queries is not None:
-        each = each.join(F.broadcast(query_terms(queries).select("term").distinct()), "term")
+        each = each.join(query_terms(queries).select("term").distinct(), "term")
     return each.groupBy("term", "chunk_id").agg(F.count("*").alias("tf"), F.first("len").alias("len"))
 
 
@@ -122,8 +137,8 @@ def corpus_totals(chunks: DataFrame, text: str = "content") -> DataFrame:
     return chunks.select(n.alias("len")).where("len > 0").agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
 
 
-def keyword_topk(index: DataFrame, queries: DataFrame, k: int, mode: str = "parity", totals: DataFrame | None = None) -> DataFrame:
-    """Chunks that hold all words of a query (T02, R02, R03): query_id, chunk_id, score, rank.
+def keyword_topk(index: DataFrame, queries: DataFrame, k: int | None, mode: str = "parity", totals: DataFrame | None = None) -> DataFrame:
+    """Chunks that hold all words of a query (T02, R02, R03): query_id, chunk_id, score, and rank where there is a k; without, all of them.
 
     mode "parity": every hit scores 1, as a negative rank does where only its size counts; "bm25": positive BM25 scaled to x / (1 + x).
     The hits are ranked by BM25 in both. Queries without words have no hits. totals: corpus_totals(), where the index holds the
@@ -132,14 +147,16 @@ def keyword_topk(index: DataFrame, queries: DataFrame, k: int, mode: str = "pari
     terms = query_terms(queries)
     if totals is None:
         totals = index.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = index.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    df = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     gain = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
     # Dealt by chunk, so that no pair of chunk and query is shuffled but those in the first k of a task.
-    hits = index.repartition("chunk_id").join(F.broadcast(terms.join(df, "term")), "term").join(F.broadcast(totals))
+    hits = index.repartition("chunk_id").join(terms.join(df, "term"), "term").join(F.broadcast(totals))  # one row
     scored = hits.groupBy("query_id", "chunk_id", "need").agg(F.count("*").alias("have"), F.sum(gain).alias("bm25")).where("have = need")
     w = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "chunk_id")
     score = F.lit(1.0) if mode == "parity" else F.col("bm25") / (1 + F.col("bm25"))
+    if k is None:
+        return scored.select("query_id", "chunk_id", score.alias("score"))
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "chunk_id", score.alias("score"), "rank")
 
 
@@ -163,8 +180,8 @@ def merge_scores(vectors: DataFrame, keywords: DataFrame, weights: tuple[float,
 
 def with_details(ranked: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
     """Ranked ids with their chunk's columns and snippet; ids without a chunk go."""
-    details = chunks.select(F.col(chunk_id).alias("chunk_id"), "file_path", "start_line", "end_line", "updated_at", "content", V.snippet(F.col("content")).alias("snippet"))
-    return details.join(F.broadcast(ranked), "chunk_id")
+    details = chunks.select(F.col(chunk_id).alias("chunk_id"), "file_path", "start_line", "end_line", "updated_at", "content")
+    return details.join(ranked, "chunk_id").withColumn("snippet", V.snippet(F.col("content")))
 
 
 def decayed(results: DataFrame, now: Column, half_life: float = HALF_LIFE) -> DataFrame:
@@ -225,9 +242,16 @@ def hybrid_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, now:
     return ranked.select("query_id", "chunk_id", "score", "source", "rank", "snippet", "file_path")
 
 
-def latest_wins(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Upsert as a rewrite: rows of new replace those of old with their key."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new, allowMissingColumns=True)
+def latest_wins(old: DataFrame, new: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Upsert as a rewrite: rows of new replace those of old with their key.
+
+    Of rows of new with one key that with the greatest order stays (ties, and all where there is no order: the greatest by all columns).
+    Combined on the map side, so a key that repeats is no hot one. A null key is a key.
+    """
+    rank = F.struct(*([order] if order else []), *(c for c in new.columns if c != order))
+    last = new.groupBy(F.col(key).alias("_key")).agg(F.max_by(F.struct(*new.columns), rank).alias("_row")).select("_row.*")
+    kept = old.join(last.select(F.col(key).alias("_key")), F.col(key).eqNullSafe(F.col("_key")), "left_anti")
+    return kept.unionByName(last, allowMissingColumns=True)
 
 
 def upsert_chunks(old: DataFrame, new: DataFrame, keep_vectors: bool = True, touch: bool = False) -> DataFrame:

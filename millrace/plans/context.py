@@ -102,12 +102,12 @@ def last_log_lines(spark, sf):
 
 
 @query("""SELECT a.event_id AS call_id, b.props AS result, coalesce(a.props, b.props) AS args, epoch_us(b.ts) // 1000 - epoch_us(a.ts) // 1000 AS duration_ms
-FROM (SELECT * FROM events WHERE event_id % 2 = 0) a LEFT JOIN (SELECT * FROM events WHERE event_id % 6 = 1) b ON b.event_id = a.event_id + 1""")
+FROM (SELECT * FROM events WHERE event_type NOT IN ('purchase', 'error')) a LEFT JOIN (SELECT * FROM events WHERE event_type IN ('purchase', 'error')) b ON b.event_id = a.event_id + 1""")
 def tool_event_correlation(spark, sf):
     """Starts of calls with their ends."""
     e = _events(spark, sf)
-    s = e.where("event_id % 2 = 0").select(F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("args"))
-    x = e.where("event_id % 6 = 1").select((F.col("event_id") - 1).alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("args"), F.col("props").alias("result"), F.lit(None).cast("string").alias("error"))
+    s = e.where("event_type NOT IN ('purchase', 'error')").select(F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("args"))
+    x = e.where("event_type IN ('purchase', 'error')").select((F.col("event_id") - 1).alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("props").alias("args"), F.col("props").alias("result"), F.lit(None).cast("string").alias("error"))
     return C.correlate_calls(s, x).select("call_id", "result", "args", "duration_ms")
 
 

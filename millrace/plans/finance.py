@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import finance as X
 from millrace.operators import finance as O
-from millrace.plans.registry import ORACLE_SQL, Tables, query
+from millrace.plans.registry import Tables, query
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE p_size > 10 AND p_retailprice <= 1200 AND p_brand IN ('Brand#1', 'Brand#2', 'Brand#3') AND p_type = 'ECONOMY' ORDER BY p_partkey LIMIT 25")
@@ -98,21 +98,12 @@ def dcf_value(spark, sf):
     return _valued(spark, sf).select("o_custkey", F.round("ev", 4).alias("ev"), F.round("per_share", 6).alias("per_share"))
 
 
-@query(f"""WITH {_VALUE}, w AS (SELECT v.*, wacc + dw.d AS wu, tg.g AS tg FROM v, (VALUES (-0.01), (0.0), (0.01)) dw(d), (VALUES (0.02), (0.025), (0.03)) tg(g) WHERE o_custkey < 100)
+@query(f"""WITH {_VALUE}, w AS (SELECT v.*, wacc + dw.d AS wu, tg.g AS tg FROM v, (VALUES (-0.01), (0.0), (0.01)) dw(d), (VALUES (0.02), (0.025), (0.03)) tg(g))
 SELECT o_custkey, round(wu, 6) AS wacc_used, tg::DOUBLE AS terminal_growth, round(({_ev('wu', 'tg')} - 10 + 5) / 100, 6) AS value FROM w""")
 def dcf_grid(spark, sf):
     """Nine values by discount rate and terminal growth."""
-    return _grid(_valued(spark, sf).where("o_custkey < 100"))
-
-
-def _grid(v):
-    return O.sensitivity(v).select("o_custkey", F.round("wacc_used", 6).alias("wacc_used"), "terminal_growth", F.round("value", 6).alias("value"))
-
-
-@query(ORACLE_SQL["dcf_grid"].replace(" WHERE o_custkey < 100", ""))
-def dcf_grid_whole(spark, sf):
-    """Nine values by discount rate and terminal growth, of every customer."""
-    return _grid(_valued(spark, sf))
+    g = O.sensitivity(_valued(spark, sf))
+    return g.select("o_custkey", F.round("wacc_used", 6).alias("wacc_used"), "terminal_growth", F.round("value", 6).alias("value"))
 
 
 @query("""SELECT c_custkey, round((CASE lower(c_mktsegment) WHEN 'household' THEN 9.0 ELSE 9.0 END + CASE WHEN c_acctbal < 0 THEN 1.5 ELSE 0 END) / 100, 6) AS wacc FROM customer""")
@@ -140,12 +131,11 @@ def price_table(spark, sf):
     return t.select("l_suppkey", F.size(dates).alias("shown"), F.md5(F.array_join(dates, ",")).alias("dates_md5"), F.col("text").contains("more rows").alias("more"))
 
 
-@query("""WITH r AS (SELECT event_type AS tool, user_id % 3 AS t, event_id, props, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY event_id DESC) AS rn FROM events WHERE event_id < 200)
+@query("""WITH r AS (SELECT event_type AS tool, user_id % 3 AS t, event_id, props, row_number() OVER (PARTITION BY event_type, user_id % 3 ORDER BY event_id DESC) AS rn FROM events)
 SELECT tool || '_' || t AS key, props AS data FROM r WHERE rn = 1 AND tool <> 'error'""")
 def combined_results(spark, sf):
     """Results of sub-requests by tool and ticker, the last of equal keys, errors apart."""
-    r = _requests(Tables(spark, sf).events.where("event_id < 200"))
-    return O.combine_results(r).select(F.explode("data").alias("key", "data"))
+    return O.last_results(_requests(Tables(spark, sf).events)).where("error is null").select("key", "data")
 
 
 def _requests(e):
@@ -153,12 +143,6 @@ def _requests(e):
     return e.select(F.col("event_type").alias("tool"), (F.col("user_id") % 3).cast("string").alias("ticker"), F.col("event_id").alias("ord"), F.when(bad.isNull(), F.col("props")).alias("data"), bad.alias("error"), F.array(F.col("event_type")).alias("urls"))
 
 
-@query(ORACLE_SQL["combined_results"].replace(" WHERE event_id < 200", ""))
-def combined_results_whole(spark, sf):
-    """Results of all sub-requests by tool and ticker, the last of equal keys."""
-    return O.last_results(_requests(Tables(spark, sf).events)).where("error is null").select("key", "data")
-
-
 @query("SELECT o_orderkey, o_totalprice AS amount FROM orders")
 def drop_fields(spark, sf):
     """Fields taken out at any depth."""

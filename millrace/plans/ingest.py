@@ -46,10 +46,10 @@ def injection_flags(spark, sf):
 
 
 @query(r"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '!\[[^\]]*\]\([^)]+\)', '', 'g'), '\[([^\]]+)\]\([^)]+\)', '\1', 'g'), '`([^`]+)`', '\1', 'g'), '(?m)^#{1,6}\s+', '', 'g'), '[ \t]{2,}', ' ', 'g')) AS text_md5
-FROM (SELECT doc_id, '# Head' || chr(10) || 'a [link](http://x) `code` ' || lang || ' ![img](u) end' AS t FROM documents)""")
+FROM (SELECT doc_id, '# Head' || chr(10) || 'a [link](http://x) `code` ' || text || ' ![img](u) end' AS t FROM documents)""")
 def markdown_to_text(spark, sf):
     """Markdown marks taken away."""
-    t = F.concat(F.lit("# Head\na [link](http://x) `code` "), F.col("lang"), F.lit(" ![img](u) end"))
+    t = F.concat(F.lit("# Head\na [link](http://x) `code` "), F.col("text"), F.lit(" ![img](u) end"))
     return Tables(spark, sf).documents.select("doc_id", F.md5(X.markdown_to_text(t)).alias("text_md5"))
 
 
@@ -86,11 +86,11 @@ def select_posts(spark, sf):
     return M.select_posts(p, min_likes=100).select("id", "likes")
 
 
-@query("SELECT o_orderkey AS id, coalesce(c_name, '?') AS name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_custkey % 2 = 0) ON o_custkey = c_custkey")
+@query("SELECT o_orderkey AS id, coalesce(c_name, '?') AS name FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_acctbal >= 0) ON o_custkey = c_custkey")
 def posts_with_users(spark, sf):
     """Posts with their author, a question mark where there is none."""
     t = Tables(spark, sf)
-    u = t.customer.where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.col("c_name").alias("name"))
+    u = t.customer.where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("username"), F.col("c_name").alias("name"))
     return M.posts_with_users(t.orders.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("author_id")), u).select("id", "name")
 
 

@@ -98,8 +98,8 @@ def alert_suppression(spark, sf):
 @query("SELECT DISTINCT o_custkey AS group_id, o_orderkey AS member_id FROM orders")
 def roster_union(spark, sf):
     """The roster and those participants it lacks."""
-    o = Tables(spark, sf).orders.select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("member_id"))
-    return M.roster_union(o.where("member_id % 2 = 0"), o)
+    o = Tables(spark, sf).orders.select(F.col("o_custkey").alias("group_id"), F.col("o_orderkey").alias("member_id"), "o_orderstatus")
+    return M.roster_union(o.where("o_orderstatus = 'F'").drop("o_orderstatus"), o.drop("o_orderstatus"))
 
 
 @query("""SELECT user_id AS group_id, event_type AS member_id, arg_max(props, ts) AS name FROM events GROUP BY ALL""")

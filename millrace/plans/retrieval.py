@@ -6,29 +6,23 @@ from pyspark.sql import functions as F
 
 from millrace.functions import vector as V
 from millrace.operators import retrieval as R
-from millrace.plans.registry import ORACLE_SQL, Tables, query
+from millrace.plans.registry import Tables, query
 
 _SETUP = """
-q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id < 5),
+q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
 vec AS (SELECT q.query_id, v.vec_id AS chunk_id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e::DOUBLE[]), 5) AS score FROM q CROSS JOIN embeddings v),
 top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM vec QUALIFY rank <= 12)"""
 
 
-_FIVE, _HUNDREDTH = "query_id < 5", "query_id % 100 = 0"
-
-
-def _queries(spark, sf, which=_FIVE):
+def _queries(spark, sf):
+    """The rows whose id is divisible by 100."""
+    which = "query_id % 100 = 0"
     t = Tables(spark, sf)
     words = t.documents.select(F.col("doc_id").alias("query_id"), F.substring_index("text", " ", 2).alias("text")).where(which)
     vectors = t.embeddings.select(F.col("vec_id").alias("query_id"), "embedding").where(which)
     return vectors.join(words, "query_id", "full")
 
 
-def _whole(sql):
-    """The SQL of five queries, for a query set that grows with the tables."""
-    return sql.replace("vec_id < 5", "vec_id % 100 = 0").replace("doc_id < 5", "doc_id % 100 = 0")
-
-
 def _chunks(spark, sf):
     t = Tables(spark, sf)
     path = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"), F.lit(".md"))).when(
@@ -37,28 +31,25 @@ def _chunks(spark, sf):
     return d.join(t.embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding"), "chunk_id", "left")
 
 
-def _vectors(spark, sf, which=_FIVE):
+def _vectors(spark, sf):
     c = Tables(spark, sf).embeddings.select(F.col("vec_id").alias("chunk_id"), "embedding")
     # Rounded before ranks are given, since sums of floats differ in their last bits.
-    top = R.vector_topk(c, _queries(spark, sf, which), 500).withColumn("score", F.round("score", 5)).drop("rank")
-    from pyspark.sql import Window
-
-    return top.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))).where("rank <= 12")
+    return R.vector_topk(c, _queries(spark, sf), 12, digits=5)
 
 
-def _keywords(spark, sf, which=_FIVE):
-    c, q = _chunks(spark, sf), _queries(spark, sf, which)
-    return R.keyword_topk(R.inverted_index(c, queries=q), q, 10**9, totals=R.corpus_totals(c))
+def _keywords(spark, sf):
+    c, q = _chunks(spark, sf), _queries(spark, sf)
+    return R.keyword_topk(R.inverted_index(c, queries=q), q, None, totals=R.corpus_totals(c))
 
 
 @query(f"WITH {_SETUP} SELECT query_id, chunk_id, score, rank::INT AS rank FROM top")
 def vector_topk(spark, sf):
-    """The twelve nearest vectors of five."""
+    """The twelve nearest vectors of each hundredth vector."""
     return _vectors(spark, sf)
 
 
 _WORDS = r"list_distinct(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'))"
-_KEY = f"""qw AS (SELECT doc_id AS query_id, {_WORDS.format("array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ')")} AS ws FROM documents WHERE doc_id < 5),
+_KEY = f"""qw AS (SELECT doc_id AS query_id, {_WORDS.format("array_to_string(list_slice(string_split(text, ' '), 1, 2), ' ')")} AS ws FROM documents WHERE doc_id % 100 = 0),
 dw AS (SELECT doc_id AS chunk_id, {_WORDS.format('text')} AS ws FROM documents),
 hit AS (SELECT query_id, chunk_id FROM qw JOIN dw ON list_has_all(dw.ws, qw.ws) WHERE len(qw.ws) > 0)"""
 
@@ -84,51 +75,20 @@ def hybrid_search(spark, sf):
 SELECT query_id, chunk_id, round(CASE WHEN since IS NULL THEN score ELSE score * exp(-ln(2) / 30 * greatest(0, date_diff('day', since, date '2024-02-15'))) END, 5) AS score FROM p""")
 def decay_rank(spark, sf):
     """Scores decayed by the age of their file."""
-    return _decay(spark, sf)
-
-
-def _decay(spark, sf, which=_FIVE):
-    r = R.with_details(_vectors(spark, sf, which), _chunks(spark, sf))
+    r = R.with_details(_vectors(spark, sf), _chunks(spark, sf))
     return R.decayed(r, F.lit("2024-02-15 00:00:00").cast("timestamp")).select("query_id", "chunk_id", F.round("score", 5).alias("score"))
 
 
-# The same searches with every row whose id is divisible by 100 as a query.
-
-
-@query(_whole(ORACLE_SQL["vector_topk"]))
-def vector_topk_whole(spark, sf):
-    """The twelve nearest vectors of each hundredth vector."""
-    return _vectors(spark, sf, _HUNDREDTH)
-
-
-@query(_whole(ORACLE_SQL["keyword_and_search"]))
-def keyword_and_search_whole(spark, sf):
-    """Documents that hold all words of a query, for each hundredth document's first words."""
-    return _keywords(spark, sf, _HUNDREDTH).select("query_id", "chunk_id", F.col("score").cast("double").alias("score"))
-
-
-@query(_whole(ORACLE_SQL["hybrid_search"]))
-def hybrid_search_whole(spark, sf):
-    """Vector and keyword candidates merged, for each hundredth row."""
-    return R.merge_scores(_vectors(spark, sf, _HUNDREDTH), _keywords(spark, sf, _HUNDREDTH)).withColumn("score", F.round("score", 8))
-
-
-@query(_whole(ORACLE_SQL["decay_rank"]))
-def decay_rank_whole(spark, sf):
-    """Scores decayed by the age of their file, for each hundredth vector."""
-    return _decay(spark, sf, _HUNDREDTH)
-
-
 @query()
 def mmr_rerank(spark, sf):
     """Re-ranked for diversity (each choice depends on those before; held against a plain loop by tests)."""
-    return R.mmr(R.with_details(_vectors(spark, sf, _HUNDREDTH), _chunks(spark, sf)))
+    return R.mmr(R.with_details(_vectors(spark, sf), _chunks(spark, sf)))
 
 
 @query()
 def memory_search(spark, sf):
     """The whole search: candidates, merge, decay, diversity, top six."""
-    c, q = _chunks(spark, sf), _queries(spark, sf, _HUNDREDTH)
+    c, q = _chunks(spark, sf), _queries(spark, sf)
     out = R.hybrid_search(c, R.inverted_index(c, queries=q), q, F.lit("2024-02-15 00:00:00").cast("timestamp"), totals=R.corpus_totals(c))
     return out.withColumn("score", F.round("score", 5)).drop("snippet")
 
@@ -159,21 +119,22 @@ def content_hash_dedupe(spark, sf):
     return d.groupBy("content_hash").agg(F.max("doc_id").alias("id"), F.count("*").alias("n"))
 
 
-@query("""WITH new AS (SELECT sha256(text) AS content_hash, min(source) AS file_path FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), old AS (SELECT sha256(text) AS content_hash, max(source) AS file_path FROM documents WHERE doc_id % 3 = 0 GROUP BY 1)
+@query("""WITH new AS (SELECT sha256(text) AS content_hash, arg_max(source, doc_id) AS file_path FROM documents WHERE lang IN ('en', 'de') GROUP BY 1), old AS (SELECT sha256(text) AS content_hash, max(source) AS file_path FROM documents WHERE lang IS NULL OR lang NOT IN ('en', 'de') OR source = 'src1' GROUP BY 1)
 SELECT content_hash, n.file_path FROM new n UNION ALL SELECT content_hash, o.file_path FROM old o WHERE content_hash NOT IN (SELECT content_hash FROM new)""")
 def upsert_by_hash(spark, sf):
     """New rows replace old ones of their key."""
     d = Tables(spark, sf).documents.withColumn("content_hash", V.content_hash(F.col("text")))
-    new = d.where("doc_id % 2 = 0").groupBy("content_hash").agg(F.min("source").alias("file_path"))
-    old = d.where("doc_id % 3 = 0").groupBy("content_hash").agg(F.max("source").alias("file_path"))
-    return R.latest_wins(old, new, "content_hash")
+    # New rows repeat keys; the last of them stays.
+    new = d.where("lang IN ('en', 'de')").select("content_hash", F.col("source").alias("file_path"), "doc_id")
+    old = d.where("lang IS NULL OR lang NOT IN ('en', 'de') OR source = 'src1'").groupBy("content_hash").agg(F.max("source").alias("file_path"))
+    return R.latest_wins(old, new, "content_hash", "doc_id").select("content_hash", "file_path")
 
 
-@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
+@query("SELECT doc_id FROM documents WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE lang = 'en')")
 def anti_join_missing(spark, sf):
     """Contents without a cached vector."""
-    d = Tables(spark, sf).documents.select("doc_id", V.content_hash(F.col("text")).alias("content_hash"))
-    return R.missing_vectors(d, d.where("doc_id % 2 = 0")).select("doc_id")
+    d = Tables(spark, sf).documents.select("doc_id", "lang", V.content_hash(F.col("text")).alias("content_hash"))
+    return R.missing_vectors(d, d.where("lang = 'en'")).select("doc_id")
 
 
 _TALK = "talk AS (SELECT conv_id, string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id)"

@@ -28,15 +28,20 @@ def dedupe_stream(messages: DataFrame, ts: str = "ts", keys: tuple[str, ...] = (
 
 def dedupe_batch(messages: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ("account_id", "chat_id", "id"), ttl_s: int = 1200, order: str = "ord") -> DataFrame:
     """A message goes if an earlier one of its key that stayed is younger than the time to live (ST01). The time runs from the one that stayed,
-    so each key's times are folded; a key's rows are few."""
+    so each key's times are folded. Null keys are keys too; ordinals need to be distinct within a key only, messages that agree in key, time
+    and ordinal stay or go together."""
+    k = {f"_k{i}": F.col(c) for i, c in enumerate(keys)}
     seen = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("o"))))
     step = lambda acc, x: F.when(
         acc["last"].isNull() | (x["t"] - acc["last"] >= ttl_s * 1_000_000), F.struct(x["t"].alias("last"), F.concat(acc["kept"], F.array(x["o"])).alias("kept"))
     ).otherwise(acc)
     kind = dict(messages.dtypes)[order]
     start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
-    kept = messages.groupBy(*keys).agg(F.aggregate(seen, start, step)["kept"].alias("k")).select(F.explode("k").alias(order))
-    return messages.join(kept, order, "left_semi")
+    kept = messages.groupBy(*(c.alias(n) for n, c in k.items())).agg(F.aggregate(seen, start, step)["kept"].alias("_o")).select(*k, F.explode("_o").alias("_o"))
+    same = F.col(order) == F.col("_o")
+    for n, c in k.items():
+        same = same & c.eqNullSafe(F.col(n))
+    return messages.join(kept, same, "left_semi")
 
 
 class Fold:

@@ -105,4 +105,4 @@ def test_search_looks_through_the_whole_text(spark, tmp_path):
     from millrace.plans.registry import QUERIES
 
     spark.createDataFrame([(1, "x" * 500 + " Src1", "en", "web"), (2, "y" * 500, "en", "web"), (3, "Src1", "de", "web")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    assert [r["doc_id"] for r in QUERIES["search_facets_whole"](spark, str(tmp_path)).collect()] == [1]
+    assert [r["doc_id"] for r in QUERIES["search_facets"](spark, str(tmp_path)).collect()] == [1]

@@ -17,10 +17,10 @@ def test_combined_results(spark, data):
 def test_combined_results_of_all_events(spark, data):
     e = spark.read.parquet(f"{data}/events.parquet").where("event_type <> 'error'")
     want = {f"{r[0]}_{r[1]}": r[2] for r in e.groupBy("event_type", F.col("user_id") % 3).agg(F.max_by("props", "event_id")).collect()}
-    assert {r["key"]: r["data"] for r in QUERIES["combined_results_whole"](spark, data).collect()} == want
+    assert {r["key"]: r["data"] for r in QUERIES["combined_results"](spark, data).collect()} == want
 
 
 def test_grid_of_every_customer(spark, data):
     customers = spark.read.parquet(f"{data}/orders.parquet").select("o_custkey").distinct().count()
-    got = QUERIES["dcf_grid_whole"](spark, data)
+    got = QUERIES["dcf_grid"](spark, data)
     assert got.count() == 9 * customers and got.where("o_custkey >= 100").count() > 0

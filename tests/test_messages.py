@@ -187,3 +187,10 @@ def test_correlation_stream(spark, tmp_path):
     run = S.correlate_stream(s, e).writeStream.format("memory").queryName("calls_out").trigger(availableNow=True).start()
     run.awaitTermination(180)
     assert [(r["call_id"], r["result"]) for r in spark.table("calls_out").collect()] == [("a", "r")]
+
+
+def test_dedupe_tells_keys_apart_that_share_ordinals(spark):
+    rows = [("a", 1, 0), ("a", 2, 60), ("b", 1, 0), ("b", 2, 3000), (None, 2, 0), (None, 1, 60)]
+    df = spark.createDataFrame(rows, "k string, ord long, s long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {(r["k"], r["ord"]) for r in S.dedupe_batch(df, "ts", ("k",), 1200).collect()}
+    assert got == {("a", 1), ("b", 1), ("b", 2), (None, 2)}

@@ -135,7 +135,21 @@ def test_searches_take_each_hundredth_row(spark, data):
     ids = lambda t, c: {r[0] for r in spark.read.parquet(f"{data}/{t}.parquet").where(f"{c} % 100 = 0").select(c).collect()}
     vectors, documents = ids("embeddings", "vec_id"), ids("documents", "doc_id")
     assert len(vectors) > 3
-    got = {n: {r[0] for r in QUERIES[n](spark, data).select("query_id").distinct().collect()} for n in ("vector_topk_whole", "mmr_rerank", "memory_search")}
-    assert got["vector_topk_whole"] == got["mmr_rerank"] == vectors and vectors <= got["memory_search"] <= vectors | documents
+    got = {n: {r[0] for r in QUERIES[n](spark, data).select("query_id").distinct().collect()} for n in ("vector_topk", "mmr_rerank", "memory_search")}
+    assert got["vector_topk"] == got["mmr_rerank"] == vectors and vectors <= got["memory_search"] <= vectors | documents
     q = spark.createDataFrame([(1, None), (2, [1.0, 0.0])], "query_id long, embedding array<float>")
     assert [r["query_id"] for r in R.vector_topk(q.withColumnRenamed("query_id", "chunk_id"), q, 3).collect()] == [2]
+
+
+def test_upsert_keeps_one_row_a_key(spark):
+    old = spark.createDataFrame([("k", 0, 9), ("o", 0, 9), (None, 0, 9)], "key string, v int, ord int")
+    new = spark.createDataFrame([("k", 1, 1), ("k", 2, 0), ("n", 3, 0), (None, 4, 0)], "key string, v int, ord int")
+    assert {tuple(r)[:2] for r in R.latest_wins(old, new, "key").collect()} == {("k", 2), ("o", 0), ("n", 3), (None, 4)}
+    assert {tuple(r)[:2] for r in R.latest_wins(old, new, "key", "ord").collect()} == {("k", 1), ("o", 0), ("n", 3), (None, 4)}
+
+
+def test_vector_search_in_several_passes(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "chunk_id long, embedding array<float>")
+    q = df.withColumnRenamed("chunk_id", "query_id").where("query_id % 10 = 0")
+    one, many = (sorted(map(tuple, R.vector_topk(df, q, 4, digits=5, pass_bytes=b).collect())) for b in (1 << 20, 200))
+    assert one == many and len(one) == 24
