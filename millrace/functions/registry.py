@@ -57,7 +57,7 @@ def filters_of(text: str) -> tuple[list[dict], int]:
 def with_model(df: DataFrame, inputs: list[str], output: str, kind: str, model: Callable[[pd.DataFrame], list], batch: int = 64) -> DataFrame:
     """df with a column that a function of the caller gives for batches of rows (R13 for vectors, E03, E05, E06, E09 for judges, D19 for verdicts).
 
-    The function runs in Python workers and must be picklable; its failures fail the task, which Spark tries again (X05).
+    The function runs in Python workers and must be picklable; its failures fail the task, which Spark tries again.
     """
 
     @F.pandas_udf(kind)
@@ -86,7 +86,7 @@ def distinct_names(calls: Column) -> Column:
 
 
 def merged_streams(*streams: DataFrame) -> DataFrame:
-    """Several streams as one (ST07); partitions run side by side up to the cores there are. Progress of a query (ST08) is in query.lastProgress."""
+    """Several streams as one (ST07, without its cap: partitions run side by side up to the cores there are)."""
     out = streams[0]
     for s in streams[1:]:
         out = out.unionByName(s, allowMissingColumns=True)

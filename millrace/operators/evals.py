@@ -271,7 +271,7 @@ def dataset_faults(df: DataFrame) -> DataFrame:
     unset = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     later = lambda c: F.row_number().over(Window.partitionBy(c).orderBy("ord")) > 1
     rules = [
-        (F.col("id") != F.concat(F.lit("F"), F.lpad(F.col("ord").cast("string"), 3, "0")), "id is not sequential"),
+        (F.col("id") != F.format_string("F%03d", F.col("ord").cast("long")), "id is not sequential"),
         (has & (F.size("pii_types") == 0), "personal data without types"),
         (has & (F.size(F.array_except("pii_types", tags)) > 0), "a type has no redaction tag"),
         (has & (F.size(tags) == 0), "personal data without redaction"),

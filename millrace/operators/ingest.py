@@ -11,7 +11,7 @@ MAX_CHARS = 50_000
 
 
 def extracted(pages: DataFrame, html: str = "html", header: Column | None = None, most: int = MAX_CHARS) -> DataFrame:
-    """Pages with title, text, extractor, truncated, raw_length and wrapped_length (S28 takes pages as a table; S29, F22, F24, F25)."""
+    """Pages with title, text, extractor, truncated, raw_length and wrapped_length (S29, F22, F25; pages come as a table)."""
     body, extractor = X.extract_page(F.col(html), F.lit(None).cast("string") if header is None else header)
     out = pages.withColumns({"_text": body, "extractor": extractor, "title": X.html_title(F.col(html))})
     cut, was_cut = X.wrap_within(F.col("_text"), most, notice=False)

@@ -54,6 +54,12 @@ def non_retryable(text: Column) -> Column:
     return error_class(text).isin("context_overflow", "billing", "auth")
 
 
+def retry_delay_ms(attempt: Column, message: Column, most: int = 3) -> Column:
+    """Wait before attempt + 1 is made (X05): half a second, doubled each time; null once there were ``most``, or if the error cannot pass."""
+    again = (attempt < most) & ~F.coalesce(non_retryable(message), F.lit(False))
+    return F.when(again, F.lit(500).cast("long") * F.pow(F.lit(2.0), attempt).cast("long"))
+
+
 def suppression(text: Column, last_text: Column | None = None, age_ms: Column | None = None) -> Column:
     """Whether an alert is held back and why (P15): struct of suppress, cleaned, reason. The last emitted text and its age come with the row."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")

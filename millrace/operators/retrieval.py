@@ -287,12 +287,14 @@ def checked_fingerprint(chunks: DataFrame, stored: str | None, provider: str, mo
     return chunks if stored == f"{provider}:{model}" else chunks.withColumn("embedding", F.lit(None).cast(chunks.schema["embedding"].dataType))
 
 
-def sync_index(chunks: DataFrame, files: DataFrame, cache: DataFrame, force: bool = False) -> tuple[DataFrame, dict[str, DataFrame]]:
+def sync_index(
+    chunks: DataFrame, files: DataFrame, cache: DataFrame, force: bool = False, tokens: int = CHUNK_TOKENS, overlap: int = OVERLAP_TOKENS
+) -> tuple[DataFrame, dict[str, DataFrame]]:
     """Index after a pass over the files (S19): vanished files' chunks removed, those of changed files replaced, vectors from the cache.
 
     Returns the chunks and, as lazy counts, removed, added and missing (chunks left without a vector).
     """
-    fresh = chunk(files, "file_path", "text").drop("ord").join(cache.select("content_hash", "embedding"), "content_hash", "left").withColumn("updated_at", F.current_timestamp())
+    fresh = chunk(files, "file_path", "text", tokens, overlap).drop("ord").join(cache.select("content_hash", "embedding"), "content_hash", "left").withColumn("updated_at", F.current_timestamp())
     current = files.select("file_path").distinct()
     kept = chunks.join(current, "file_path", "left_semi").join(fresh.select("content_hash"), "content_hash", "left_semi")
     out = fresh.select(*[c for c in chunks.columns if c in fresh.columns]) if force else upsert_chunks(kept, fresh.select(*[c for c in chunks.columns if c in fresh.columns]))

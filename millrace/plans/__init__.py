@@ -1,3 +1,3 @@
 """Registered queries. Importing the package fills the registry."""
 
-from millrace.plans import context, evals, finance, guard, ingest, messaging, retrieval  # noqa: F401
+from millrace.plans import audits, context, evals, files, finance, guard, ingest, messaging, retrieval, texts  # noqa: F401
