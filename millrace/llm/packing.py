@@ -7,7 +7,7 @@ hash; each worker fills the sequences of its classes on its own. What is left of
 capacity tokens a class) a worker packs by best fit, longest pieces first.
 
 A sequence's number holds the worker (31 bits), the class (12 bits; 0 for what is left of classes) and the number within the
-class (20 bits): room for 2^31 workers of 2^24 tokens. Rows that repeat are dealt by their place in the batch too, so that
+class (20 bits): room for 2^31 workers of 2^22 tokens. Rows that repeat are dealt by their place in the batch too, so that
 they do not meet in one worker.
 
 Tokens come from a word cache: ids of a text are those of its words between white space, one after another, since the tokenizer
@@ -200,7 +200,7 @@ def sequence_number(worker: Column, k: Column, number: Column) -> Column:
     return F.when(fits, packed).otherwise(F.raise_error(F.lit("too many sequences in a worker")).cast("long"))
 
 
-def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, worker_tokens: int = 1 << 24) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, worker_tokens: int = 1 << 22) -> DataFrame:
     """A row per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
     pieces = materialize(tokenised_pieces(docs, tokenizer, id_col, text_col, capacity), "pieces")
     tokens = pieces.agg(F.sum("length")).head()[0] or 0
