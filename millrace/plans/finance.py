@@ -106,11 +106,16 @@ def dcf_grid(spark, sf):
     return g.select("o_custkey", F.round("wacc_used", 6).alias("wacc_used"), "terminal_growth", F.round("value", 6).alias("value"))
 
 
-@query("""SELECT c_custkey, round((CASE lower(c_mktsegment) WHEN 'household' THEN 9.0 ELSE 9.0 END + CASE WHEN c_acctbal < 0 THEN 1.5 ELSE 0 END) / 100, 6) AS wacc FROM customer""")
+_SECTORS = {"AUTOMOBILE": "Consumer Discretionary", "BUILDING": " real estate ", "FURNITURE": "consumer staples", "HOUSEHOLD": "UTILITIES", "MACHINERY": "Information Technology"}
+
+
+@query("""SELECT c_custkey, round((CASE c_mktsegment WHEN 'BUILDING' THEN (7 + 9) / 2 WHEN 'FURNITURE' THEN (7 + 8) / 2 WHEN 'HOUSEHOLD' THEN (6 + 7) / 2 WHEN 'MACHINERY' THEN (8 + 12) / 2 WHEN 'AUTOMOBILE' THEN (8 + 10) / 2 ELSE 9 END
+  + CASE WHEN c_acctbal < 0 THEN 1.5 ELSE 0 END) / 100, 6)::DOUBLE AS wacc FROM customer""")
 def sector_wacc(spark, sf):
     """Discount rates by sector with adjustments; an unknown sector has the middle rate."""
     adjust = F.when(F.col("c_acctbal") < 0, F.lit(1.5))
-    return Tables(spark, sf).customer.select("c_custkey", F.round(X.sector_wacc(F.col("c_mktsegment"), adjust), 6).alias("wacc"))
+    sector = F.coalesce(*(F.when(F.col("c_mktsegment") == k, F.lit(v)) for k, v in _SECTORS.items()), F.lit("other"))
+    return Tables(spark, sf).customer.select("c_custkey", F.round(X.sector_wacc(sector, adjust), 6).alias("wacc"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN 'FY' || year(o_orderdate) ELSE 'Q' || quarter(o_orderdate) || ' ' || strftime(o_orderdate, '%y') END AS label FROM orders""")

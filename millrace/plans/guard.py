@@ -35,7 +35,7 @@ SELECT doc_id, md5(regexp_replace(text, '{_EMAIL}', '[REDACTED_EMAIL]', 'g')) AS
 """)
 def guard_mask_docs(spark, sf):
     """Documents with e-mail addresses, masked."""
-    d = Tables(spark, sf).documents.where(F.col("text").rlike(G.EMAIL))
+    d = Tables(spark, sf).documents.where(F.col("text").contains("@") & F.col("text").rlike(G.EMAIL))
     return d.select("doc_id", F.md5(G.mask_email(F.col("text"))).alias("masked_md5"))
 
 
@@ -120,3 +120,23 @@ def sensitive_attributes(spark, sf):
     e = Tables(spark, sf).events
     key = F.when(F.col("event_type") == "click", "input.value").when(F.col("event_type") == "view", "llm.input_messages.0.content").otherwise("tool.name")
     return e.select("event_id", F.md5("props").alias("value_md5"), G.is_sensitive_key(key).alias("sensitive"))
+
+
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 8 = 7 THEN '' ELSE 'phone_kr' END AS types,
+  CASE event_id % 8 WHEN 6 THEN '거꾸로 [REDACTED_PHONE_KR] now' WHEN 7 THEN 'market cap 1234560' || lpad(event_id::VARCHAR, 6, '0') || ' won' ELSE 'call [REDACTED_PHONE_KR] now' END AS masked FROM events""")
+def guard_obfuscated(spark, sf):
+    """A phone number of each event, written in seven ways (digits, base64, percent codes, full-width, Korean and English words, backwards), and an amount that is none."""
+    d = F.concat(F.lit("010"), F.lpad((F.col("event_id") * 7919 % 100_000_000).cast("string"), 8, "0"))
+    names = F.array(*map(F.lit, "zero one two three four five six seven eight nine".split()))
+    spoken = F.array_join(F.transform(F.split(d, ""), lambda c: F.get(names, c.cast("int"))), " ")
+    ways = [
+        F.concat_ws("-", F.substring(d, 1, 3), F.substring(d, 4, 4), F.substring(d, 8, 4)), F.base64(F.to_binary(d, F.lit("utf-8"))), F.concat_ws("%2D", F.substring(d, 1, 3), F.substring(d, 4, 4), F.substring(d, 8, 4)),
+        F.translate(d, "0123456789", "０１２３４５６７８９"), F.translate(d, "0123456789", "공일이삼사오육칠팔구"), spoken,
+    ]
+    t = F.when(F.col("event_id") % 8 == 6, F.concat(F.lit("거꾸로 "), F.reverse(d), F.lit(" now"))).when(F.col("event_id") % 8 == 7, F.concat(F.lit("market cap 1234560"), F.lpad(F.col("event_id").cast("string"), 6, "0"), F.lit(" won")))
+    for i, way in enumerate(ways):
+        t = F.when(F.col("event_id") % 8 == i, F.concat(F.lit("call "), way, F.lit(" now"))).otherwise(t)
+    e = Tables(spark, sf).events.select("event_id", t.alias("t")).withColumn("s", G.pii_spans(F.col("t")))
+    return e.select("event_id", F.array_join(F.transform("s", lambda s: F.lower(s["type"])), ",").alias("types"), G.mask_spans(F.col("t"), F.col("s")).alias("masked"))

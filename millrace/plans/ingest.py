@@ -101,10 +101,15 @@ def cache_keys(spark, sf):
     return Tables(spark, sf).orders.select("o_orderkey", X.cache_key(F.lit("/prices/"), p).alias("cache_key"))
 
 
-@query("SELECT event_id, 'http://a/' || user_id || '|http://b/' || event_type AS urls FROM events")
+@query("""WITH r AS (SELECT event_id, ['http://a/' || user_id % 5, CASE WHEN user_id % 3 = 0 THEN '' ELSE 'http://a/' || event_id % 5 END, 'http://b/' || event_type] AS found, CASE WHEN event_id % 2 = 0 THEN ['http://b/' || event_type, 'http://c'] ELSE [] END AS cited FROM events),
+u AS (SELECT event_id, unnest(list_concat(found, cited)) AS url, generate_subscripts(list_concat(found, cited), 1) AS n FROM r), d AS (SELECT event_id, url, min(n) AS n FROM u WHERE url <> '' GROUP BY ALL)
+SELECT event_id, string_agg(url, '|' ORDER BY n) AS urls FROM d GROUP BY 1""")
 def result_urls(spark, sf):
-    """Distinct URLs of search results in two shapes."""
-    payload = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("http://a/"), F.col("user_id").cast("string")).alias("url")), F.struct(F.concat(F.lit("http://b/"), F.col("event_type")).alias("url"))).alias("results"), F.array(F.concat(F.lit("http://b/"), F.col("event_type"))).alias("citations")))
+    """Distinct URLs of search results in two shapes, in order; empty ones left out."""
+    u, e, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
+    at = lambda host, c: F.concat(F.lit(f"http://{host}/"), c.cast("string"))
+    hits = F.array(*(F.struct(x.alias("url")) for x in (at("a", u % 5), F.when(u % 3 == 0, "").otherwise(at("a", e % 5)), at("b", kind))))
+    payload = F.to_json(F.struct(hits.alias("results"), F.when(e % 2 == 0, F.array(at("b", kind), F.lit("http://c"))).alias("citations")))
     return Tables(spark, sf).events.select("event_id", F.array_join(X.result_urls(payload), "|").alias("urls"))
 
 

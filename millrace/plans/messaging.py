@@ -71,20 +71,36 @@ def error_classify(spark, sf):
     return _events(spark, sf).select("event_id", M.error_class(t).alias("class"))
 
 
-@query("""SELECT event_id, user_id % 5 = 0 AS listed, '+1' || user_id AS number FROM events""")
+_SENDER = "CASE event_type WHEN 'click' THEN 'whatsapp:++1-' || user_id WHEN 'view' THEN '(1) ' || user_id ELSE '+1' || user_id % 20 || ' ' || event_id % 10 END"
+_NUMBER = "'+' || regexp_replace(replace({0}, 'whatsapp:', ''), '[^0-9]', '', 'g')"
+
+
+def _sender():
+    u, e, kind = F.col("user_id"), F.col("event_id"), F.col("event_type")
+    return F.when(kind == "click", F.concat(F.lit("whatsapp:++1-"), u.cast("string"))).when(kind == "view", F.concat(F.lit("(1) "), u.cast("string"))).otherwise(
+        F.concat(F.lit("+1"), (u % 20).cast("string"), F.lit(" "), (e % 10).cast("string")))
+
+
+@query(f"""WITH s AS (SELECT event_id, {_NUMBER.format(_SENDER)} AS number, ['1 ' || event_id % 30, '+1-' || user_id % 50 || '0', CASE WHEN event_id % 11 = 0 THEN '*' ELSE '7' END] AS allow FROM events)
+SELECT event_id, list_contains(allow, '*') OR len(list_filter(allow, lambda a: a <> '*' AND {_NUMBER.format('a')} = number)) > 0 AS listed, number FROM s""")
 def allow_list(spark, sf):
-    """Numbers on a list, whatever their spelling."""
-    phone = F.concat(F.lit("whatsapp:++1-"), F.col("user_id").cast("string"))
-    listed = F.when(F.col("user_id") % 5 == 0, F.array(F.concat(F.lit("1 "), F.col("user_id").cast("string")))).otherwise(F.array(F.lit("+77")))
-    return _events(spark, sf).select("event_id", M.allowed_phone(phone, listed).alias("listed"), X.e164(phone).alias("number"))
+    """Numbers on a list, whatever their spelling, or let in by a star."""
+    u, e = F.col("user_id"), F.col("event_id")
+    listed = F.array(F.concat(F.lit("1 "), (e % 30).cast("string")), F.concat(F.lit("+1-"), (u % 50).cast("string"), F.lit("0")), F.when(e % 11 == 0, "*").otherwise("7"))
+    return _events(spark, sf).select("event_id", M.allowed_phone(_sender(), listed).alias("listed"), X.e164(_sender()).alias("number"))
 
 
-@query("SELECT event_id, user_id % 3 = 0 OR event_type = 'click' AS mentioned FROM events")
+@query("""WITH m AS (SELECT event_id, [user_id || ':' || event_id % 7 || '@lid', '@lid'] AS ids, [event_id % 40 || '@lid', (user_id + 1) || '@s.whatsapp.net'] AS own, '+1555' || user_id AS phone, 'ask ' || '1555' || (user_id + event_id % 2) || ' now' AS body FROM events),
+b AS (SELECT *, list_filter(list_transform(ids, lambda j: split_part(split_part(j, '@', 1), ':', 1)), lambda j: j <> '') AS i, list_transform(own, lambda j: split_part(split_part(j, '@', 1), ':', 1)) AS o FROM m)
+SELECT event_id, list_has_any(i, o) OR (length(phone) - 1 >= 7 AND contains(body, substr(phone, 2))) AS mentioned FROM b""")
 def mentions(spark, sf):
-    """Messages that address the bot, by id or by number."""
-    ids = F.when(F.col("user_id") % 3 == 0, F.array(F.lit("4455:12@lid"))).otherwise(F.array(F.lit("9@lid")))
-    body = F.when(F.col("event_type") == "click", "ask 15551234567 now").otherwise("hi")
-    return _events(spark, sf).select("event_id", M.mentioned(ids, F.array(F.lit("4455@lid")), F.lit("+15551234567"), body).alias("mentioned"))
+    """Messages that address the bot, by id or by seven digits or more of its number."""
+    u, e = F.col("user_id"), F.col("event_id")
+    text = lambda c: c.cast("string")
+    ids = F.array(F.concat(text(u), F.lit(":"), text(e % 7), F.lit("@lid")), F.lit("@lid"))
+    own = F.array(F.concat(text(e % 40), F.lit("@lid")), F.concat(text(u + 1), F.lit("@s.whatsapp.net")))
+    body = F.concat(F.lit("ask 1555"), text(u + e % 2), F.lit(" now"))
+    return _events(spark, sf).select("event_id", M.mentioned(ids, own, F.concat(F.lit("+1555"), text(u)), body).alias("mentioned"))
 
 
 @query("SELECT event_id, ['empty', 'ok-token', 'no-action', 'none', 'ok-token', 'none'][event_id % 6 + 1] AS reason, ['', '', 'No action needed today', 'Sell now', '', 'News'][event_id % 6 + 1] AS cleaned FROM events")
