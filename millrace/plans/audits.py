@@ -121,7 +121,7 @@ def dataset_faults(spark, sf):
 
 
 @query("""WITH q AS (SELECT o_orderkey AS id, ['trap', 'easy', 'hard'][o_orderkey % 3 + 1] AS level, ['margin', 'price_lookup', 'unavailable_price_data', 'growth'][o_custkey % 4 + 1] AS category,
-  CASE WHEN o_orderstatus <> 'P' THEN o_custkey || ' / ' || o_orderkey || ' * 100' END AS formula, CASE WHEN o_orderstatus <> 'P' THEN o_custkey::DOUBLE / o_orderkey * 100 END AS v,
+  CASE WHEN o_orderstatus <> 'P' THEN o_custkey || ' / (' || o_orderkey || ' + 1) * 100' END AS formula, CASE WHEN o_orderstatus <> 'P' THEN o_custkey::DOUBLE / (o_orderkey + 1) * 100 END AS v,
   CASE WHEN o_custkey % 5 > 0 THEN 10.0 END AS low, CASE WHEN o_custkey % 5 > 0 THEN 10.0 + (o_orderkey % 7 - 1) * 2 END AS high, CASE WHEN o_orderkey % 5 > 0 THEN 'get_market_data' END AS tool FROM orders),
 f AS (SELECT *, (low + high) / 2 AS mid, formula IS NOT NULL AS has FROM q),
 w AS (SELECT *, CASE WHEN mid <> 0 THEN (high - low) / abs(mid) * 100 ELSE high - low END AS width FROM f),
@@ -138,7 +138,7 @@ def dataset_warnings(spark, sf):
     pick = lambda names, i: F.element_at(F.array(*map(F.lit, names)), (i + 1).cast("int"))
     q = Tables(spark, sf).orders.select(
         k.alias("id"), pick(("trap", "easy", "hard"), k % 3).alias("level"), pick(("margin", "price_lookup", "unavailable_price_data", "growth"), c % 4).alias("category"),
-        F.when(F.col("o_orderstatus") != "P", F.concat_ws(" ", c.cast("string"), F.lit("/"), k.cast("string"), F.lit("* 100"))).alias("formula"),
+        F.when(F.col("o_orderstatus") != "P", F.concat_ws(" ", c.cast("string"), F.lit("/ ("), k.cast("string"), F.lit("+ 1) * 100"))).alias("formula"),
         F.when(c % 5 > 0, 10.0).alias("low"), F.when(c % 5 > 0, 10.0 + (k % 7 - 1) * 2).alias("high"), F.when(k % 5 > 0, "get_market_data").alias("required_tool"), F.lit("yes").alias("answer"),
     )
     return E.dataset_lint(q)
