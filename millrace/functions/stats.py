@@ -21,17 +21,42 @@ def floor_percentile(col: str, p: float, past_end: str = "last") -> Column:
     return F.coalesce(F.get(values, at), F.lit(0))
 
 
-def floor_percentile_distributed(df, keys: list[str], col: str, ps: dict[str, float]):
-    """floor_percentile for groups of any size (G04): ranks by window, without gathering a group's values into one row.
+def floor_percentile_distributed(df, keys: list[str], col: str, ps: dict[str, float], buckets: int = 256):
+    """floor_percentile for groups of any size (G04), exact. A row per group: keys and, for each name in ps, the value at floor(p * n), or the last.
 
-    A row per group: keys and, for each name in ps, the value at floor(p * n), or the last.
+    Equal values are counted first, on the map side. Each group's values are then dealt to ranges between those of its values whose hashes
+    are smallest (the same ones in every run), the ranges' counts say which range holds an index, and only such ranges are sorted: a task
+    sorts about one in ``buckets`` of a group's distinct values, never the group.
     """
     from pyspark.sql import Window
 
-    w = Window.partitionBy(*keys)
-    ranked = df.where(F.col(col).isNotNull()).withColumns({"_r": F.row_number().over(w.orderBy(col)) - 1, "_n": F.count("*").over(w)})
-    picks = [F.max(F.when(F.col("_r") == F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1), F.col(col))).alias(name) for name, p in ps.items()]
-    return ranked.groupBy(*keys).agg(*picks)
+    names = [f"_k{i}" for i in range(len(keys))]
+    counts = df.where(F.col(col).isNotNull()).groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(col).alias("_v")).agg(F.count("*").alias("_c"))
+
+    def beside(left, right, on: list[str]):
+        """Inner join in which a null is a key as well."""
+        right = right.withColumnsRenamed({n: f"_r{n}" for n in on})
+        same = F.lit(True)
+        for n in on:
+            same = same & F.col(n).eqNullSafe(F.col(f"_r{n}"))
+        return left.join(right, same).drop(*(f"_r{n}" for n in on))
+
+    # Spark drops rows beyond the rank in each task before the shuffle (WindowGroupLimit).
+    few = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("_v"), "_v"))
+    cuts = counts.withColumn("_few", few).where(F.col("_few") < max(buckets, 2)).groupBy(*names).agg(F.collect_list("_v").alias("_cuts"))
+    dealt = beside(counts, cuts, names).withColumn("_b", F.size(F.filter("_cuts", lambda x: x <= F.col("_v")))).drop("_cuts")
+    group = Window.partitionBy(*names)
+    sizes = dealt.groupBy(*names, "_b").agg(F.sum("_c").alias("_n"))
+    sizes = sizes.withColumns({"_before": F.sum("_n").over(group.orderBy("_b")) - F.col("_n"), "_all": F.sum("_n").over(group)})
+    index = {name: F.least(F.floor(F.lit(p) * F.col("_all")), F.col("_all") - 1) for name, p in ps.items()}
+    inside = F.lit(False)
+    for i in index.values():
+        inside = inside | ((i >= F.col("_before")) & (i < F.col("_before") + F.col("_n")))
+    found = beside(dealt, sizes.where(inside), [*names, "_b"])
+    high = F.col("_before") + F.sum("_c").over(Window.partitionBy(*names, "_b").orderBy("_v"))
+    found = found.withColumn("_high", high)
+    picks = [F.max(F.when((i < F.col("_high")) & (i >= F.col("_high") - F.col("_c")), F.col("_v"))).alias(name) for name, i in index.items()]
+    return found.groupBy(*names).agg(*picks).withColumnsRenamed(dict(zip(names, keys, strict=True)))
 
 
 def outcome_counts(col: str = "outcome") -> list[Column]:

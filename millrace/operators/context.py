@@ -129,17 +129,29 @@ def results_in_order(calls: DataFrame, results: DataFrame, key: str = "call_id")
 
 
 def similar_queries(df: DataFrame, key: str, order: str, query: str, least: float = 0.7) -> DataFrame:
-    """Queries that resemble an earlier one of their tool: the first such (J18, U05). Joined on a shared word, so no pair without one is made."""
-    words = df.select(key, F.col(order).alias("o"), V.query_tokens(F.col(query)).alias("w"))
-    each = words.select(key, "o", "w", F.explode("w").alias("t"))
-    a, b = each.alias("a"), each.alias("b")
-    pairs = a.join(b, (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.t") == F.col("b.t")) & (F.col("b.o") < F.col("a.o")))
-    # A pair counts once a shared word; the number of those is the intersection.
-    scored = pairs.groupBy(F.col(f"a.{key}").alias(key), F.col("a.o").alias(order), F.col("b.o").alias("earlier")).agg(
-        F.count("*").alias("common"), F.first(F.size("a.w")).alias("n"), F.first(F.size("b.w")).alias("m")
-    )
-    scored = scored.withColumn("similarity", F.col("common") / (F.col("n") + F.col("m") - F.col("common"))).where(F.col("similarity") >= least)
-    return scored.groupBy(key, order).agg(F.min("earlier").alias("earlier"), F.min_by("similarity", "earlier").alias("similarity"))
+    """Queries that resemble an earlier one of their tool: the first such (J18, U05). Queries without words resemble none.
+
+    Queries of one word set are one, with the first of them, since a query's first likeness is that of its set or comes no earlier. Sets are
+    joined on their rarest words, as many as two sets over the threshold cannot both do without sharing one; a pair is made at its first
+    shared word only.
+    """
+    words = df.select(key, F.col(order).alias("o"), F.array_sort(V.query_tokens(F.col(query))).alias("w")).where(F.size("w") > 0)
+    sets = words.groupBy(key, "w").agg(F.min("o").alias("o"))
+    each = sets.select(key, "w", "o", F.explode("w").alias("t"))
+    often = each.groupBy(key, "t").agg(F.count("*").alias("df"))
+    n = F.size("w")
+    rare = each.join(often, [key, "t"]).groupBy(key, "w", "o").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("r"))
+    rare = rare.select(key, "w", "o", n.alias("n"), F.slice(F.transform("r", lambda x: x["t"]), F.lit(1), (n - F.ceil(n * least - 1e-9) + 1).cast("int")).alias("p"))
+    rare = rare.withColumn("t", F.explode("p"))
+    a, b = rare.alias("a"), rare.alias("b")
+    near = (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.t") == F.col("b.t")) & (F.col("b.o") < F.col("a.o"))
+    sizes = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * least - 1e-9
+    pairs = a.join(b, near & sizes & (F.array_intersect("a.p", "b.p")[0] == F.col("a.t")))
+    common = F.size(F.array_intersect("a.w", "b.w"))
+    scored = pairs.select(F.col(f"a.{key}").alias(key), F.col("a.w").alias("w"), F.col("b.o").alias("earlier"), (common / (F.col("a.n") + F.col("b.n") - common)).alias("similarity"))
+    own = sets.select(key, "w", F.col("o").alias("earlier"), F.lit(1.0).alias("similarity"))
+    first = scored.where(F.col("similarity") >= least).unionByName(own).groupBy(key, "w").agg(F.min_by(F.struct("earlier", "similarity"), "earlier").alias("x"))
+    return words.join(first, [key, "w"]).where(F.col("x.earlier") < F.col("o")).select(key, F.col("o").alias(order), "x.earlier", "x.similarity")
 
 
 def tool_usage(df: DataFrame, tool: str, order: str, query: str, most: int) -> DataFrame:

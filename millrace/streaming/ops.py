@@ -9,9 +9,12 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
 from millrace.functions import timefns as TF
 
@@ -27,21 +30,29 @@ def dedupe_stream(messages: DataFrame, ts: str = "ts", keys: tuple[str, ...] = (
 
 
 def dedupe_batch(messages: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ("account_id", "chat_id", "id"), ttl_s: int = 1200, order: str = "ord") -> DataFrame:
-    """A message goes if an earlier one of its key that stayed is younger than the time to live (ST01). The time runs from the one that stayed,
-    so each key's times are folded. Null keys are keys too; ordinals need to be distinct within a key only, messages that agree in key, time
-    and ordinal stay or go together."""
-    k = {f"_k{i}": F.col(c) for i, c in enumerate(keys)}
-    seen = F.array_sort(F.collect_list(F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(order).alias("o"))))
-    step = lambda acc, x: F.when(
-        acc["last"].isNull() | (x["t"] - acc["last"] >= ttl_s * 1_000_000), F.struct(x["t"].alias("last"), F.concat(acc["kept"], F.array(x["o"])).alias("kept"))
-    ).otherwise(acc)
-    kind = dict(messages.dtypes)[order]
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(f"array<{kind}>").alias("kept"))
-    kept = messages.groupBy(*(c.alias(n) for n, c in k.items())).agg(F.aggregate(seen, start, step)["kept"].alias("_o")).select(*k, F.explode("_o").alias("_o"))
-    same = F.col(order) == F.col("_o")
-    for n, c in k.items():
-        same = same & c.eqNullSafe(F.col(n))
-    return messages.join(kept, same, "left_semi")
+    """A message goes if an earlier one of its key that stayed is younger than the time to live (ST01). The time runs from the one that stayed.
+
+    Rows are sorted by key and time (spilling) and passed through in Arrow batches, with only the last message that stayed in memory; one
+    exchange. Null keys are keys too; messages without a time stay; those that agree in key, time and ordinal stay or go together.
+    """
+    span = ttl_s * 1_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, last, at = None, None, None
+        for batch in batches:
+            keep = []
+            values = [batch.column(c).to_pylist() for c in keys]
+            for k, t, o in zip(zip(*values, strict=True), batch.column("__t").to_pylist(), batch.column(order).to_pylist(), strict=True):
+                if k != key:
+                    key, last, at = k, None, None
+                stays = t is None or last is None or t - last >= span
+                if stays and t is not None:
+                    last, at = t, o
+                keep.append(stays or (t == last and o == at))
+            yield batch.filter(pa.array(keep, pa.bool_())).drop_columns(["__t"])
+
+    timed = messages.withColumn("__t", F.unix_micros(F.col(ts).cast("timestamp")))
+    return timed.repartition(*keys).sortWithinPartitions(*keys, "__t", order).mapInArrow(run, messages.schema)
 
 
 class Fold:
@@ -81,12 +92,24 @@ def fold_stream(df: DataFrame, key: str, fold: Fold, ttl_ms: int | None = None)
 
 
 def fold_batch(df: DataFrame, key: str, fold: Fold) -> DataFrame:
-    """Runs a fold over each key's rows in order."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(fold.run(fold.start(), rows)[1], columns=_columns(fold.output))
-
-    return df.groupBy(key).applyInPandas(run, fold.output)
+    """Runs a fold over each key's rows in order.
+
+    Rows are sorted by key and order (spilling) and folded an Arrow batch at a time, so a key of any size takes the memory of its state.
+    """
+    schema = to_arrow_schema(StructType.fromDDL(fold.output))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                if state is None or row[key] != now:
+                    now, state = row[key], fold.start()
+                state, more = fold.step(state, row)
+                out += more
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return df.repartition(key).sortWithinPartitions(key, fold.order).mapInArrow(run, fold.output)
 
 
 def ring_buffer(size: int = RING_SIZE) -> Fold:

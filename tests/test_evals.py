@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +50,21 @@ def test_percentiles_at_the_floor_index(spark):
     assert tuple(spread)[1:] == (9.0, 9.0, 5.0)
 
 
+def test_percentiles_of_ranges(spark):
+    """Exact whatever the ranges: ties, nulls, a null key, one value, a group that holds most rows."""
+    rng = random.Random(3)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), rng.choice([None, float(rng.randrange(12)), rng.gauss(0, 1)])) for _ in range(900)] + [("one", 4.0)]
+    ps = {"p0": 0.0, "p50": 0.5, "p99": 0.99, "p100": 1.0}
+    df = spark.createDataFrame(rows, "k string, x double")
+    want = {}
+    for key in {k for k, x in rows if x is not None}:
+        values = sorted(x for k, x in rows if k == key and x is not None)
+        want[key] = tuple(values[min(int(p * len(values)), len(values) - 1)] for p in ps.values())
+    for buckets in (1, 2, 16, 256):
+        got = stats.floor_percentile_distributed(df, ["k"], "x", ps, buckets).collect()
+        assert {r["k"]: tuple(r)[1:] for r in got} == want
+
+
 def test_latency_bins(spark):
     df = spark.createDataFrame([(x,) for x in (-1.0, 0.0, 0.9, 1.0, 99.0, 100.0, 2999.0, 3000.0)], "ms double")
     assert [r[0] for r in df.select(stats.latency_bin(F.col("ms"))).collect()] == [None, 0, 0, 1, 1, 2, 5, 6]

@@ -194,3 +194,45 @@ def test_dedupe_tells_keys_apart_that_share_ordinals(spark):
     df = spark.createDataFrame(rows, "k string, ord long, s long").withColumn("ts", F.timestamp_seconds("s"))
     got = {(r["k"], r["ord"]) for r in S.dedupe_batch(df, "ts", ("k",), 1200).collect()}
     assert got == {("a", 1), ("b", 1), ("b", 2), (None, 2)}
+
+
+def test_folds_pass_batches(spark):
+    """A key's state goes on from one Arrow batch to the next; null is a key."""
+    rows = [(None if i % 3 == 0 else i % 3, i, i * 400, f"t{i // 30}") for i in range(300)]
+    df = spark.createDataFrame(rows, "job_id long, ord long, ts_s long, text string")
+    want, state = [], {}
+    fold = S.alert_suppressor(5000)
+    for job, o, ts, text in rows:
+        state[job], out = fold.step(state.get(job, fold.start()), {"job_id": job, "ord": o, "ts_s": ts, "text": text})
+        want += [(x["ord"], x["emitted"]) for x in out]
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+        assert sorted((r["ord"], r["emitted"]) for r in S.fold_batch(df, "job_id", fold).collect()) == want
+        timed = df.select("job_id", "ord", "text", F.timestamp_seconds(F.when(F.col("ord") != 9, F.col("ts_s"))).alias("ts"))
+        got = {r["ord"] for r in S.dedupe_batch(timed, "ts", ("job_id",), 3000).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    last, kept = {}, {9}
+    for job, o, ts, _ in rows:
+        if o != 9 and ts - last.get(job, -3000) >= 3000:
+            last[job] = ts
+            kept.add(o)
+    assert got == kept
+    assert S.dedupe_batch(timed.limit(0), "ts", ("job_id",), 3000).count() == 0
+
+
+def test_similar_queries_as_all_pairs(spark):
+    rng = random.Random(5)
+    words = [f"word{i}" for i in range(14)]
+    rows = [(rng.randrange(2), i, " ".join(rng.sample(words, rng.choice([0, 1, 3, 5, 9, 10])))) for i in range(120)] + [(0, i, "word1 word2 word3") for i in range(120, 160)]
+    df = spark.createDataFrame(rows, "tool int, ord long, q string")
+    for least in (0.3, 0.7, 1.0):
+        want = set()
+        for tool, o, q in rows:
+            mine = set(q.split())
+            near = [(p, len(mine & set(x.split())) / len(mine | set(x.split()))) for t, p, x in rows if t == tool and p < o and mine and x]
+            hit = next(((p, s) for p, s in near if s >= least), None)
+            if hit:
+                want.add((tool, o, hit[0], round(hit[1], 9)))
+        got = {(r["tool"], r["ord"], r["earlier"], round(r["similarity"], 9)) for r in C.similar_queries(df, "tool", "ord", "q", least).collect()}
+        assert got == want, least
