@@ -127,3 +127,30 @@ def token_usage(spark, sf):
     b = F.to_json(F.struct(F.struct(F.struct(i.alias("prompt_tokens"), o.alias("completion_tokens"), (i + o).alias("total_tokens")).alias("usage")).alias("response_metadata")))
     u = X.token_usage(F.when(F.col("event_id") % 2 == 0, a).otherwise(b))
     return Tables(spark, sf).events.select("event_id", u.alias("u")).select("event_id", "u.*")
+
+
+def _site(url: str, seconds: float) -> tuple[int, dict[str, str], bytes]:
+    """A site without a network: /hop/n/x leads to /hop/n-1/x and at last to a page, /loop to itself, all else is not found."""
+    parts = url.split("/")[3:]
+    if parts[0] == "loop":
+        return 302, {"location": "/loop"}, b""
+    if parts[0] != "hop":
+        return 404, {"content-type": "text/plain"}, b"none"
+    if int(parts[1]):
+        return 301, {"location": f"../{int(parts[1]) - 1}/{parts[2]}"}, b""
+    return 200, {"content-type": "text/html; charset=latin-1"}, f"<p>\xe9 {parts[2]}</p>".encode("latin-1")
+
+
+@query("""WITH p AS (SELECT page_id, CASE WHEN page_id % 11 = 0 THEN 'loop' WHEN page_id % 13 = 0 THEN 'none' WHEN page_id % 17 = 0 THEN 'ftp' ELSE 'hop' END AS kind, page_id % 6 AS n FROM pages)
+SELECT page_id, CASE kind WHEN 'loop' THEN 'http://site/loop' WHEN 'none' THEN 'http://site/none' WHEN 'hop' THEN 'http://site/hop/' || greatest(n - 3, 0) || '/' || page_id END AS final_url,
+  CASE kind WHEN 'loop' THEN 302 WHEN 'none' THEN 404 WHEN 'hop' THEN CASE WHEN n > 3 THEN 301 ELSE 200 END END AS status,
+  CASE WHEN kind = 'none' THEN 'none' WHEN kind = 'hop' AND n <= 3 THEN '<p>é ' || page_id || '</p>' END AS body,
+  CASE kind WHEN 'loop' THEN 'redirect_loop' WHEN 'none' THEN 'failed' WHEN 'ftp' THEN 'invalid_url' ELSE CASE WHEN n > 3 THEN 'too_many_redirects' END END AS error FROM p""")
+def page_fetches(spark, sf):
+    """Pages fetched with at most three redirects, from a site that stands in for the network."""
+    from millrace.sources.pages import fetched
+
+    i = F.col("page_id")
+    url = F.when(i % 11 == 0, "http://site/loop").when(i % 13 == 0, "http://site/none").when(i % 17 == 0, "ftp://site/x")
+    pages = Tables(spark, sf).pages.select("page_id", url.otherwise(F.concat_ws("/", F.lit("http://site/hop"), i % 6, i)).alias("url"))
+    return fetched(pages, opener=_site).select("page_id", "page.final_url", "page.status", "page.body", "page.error")

@@ -6,7 +6,7 @@ import types
 from pyspark.sql import functions as F
 
 from millrace.sources import files as S
-from millrace.sources import rest, stores
+from millrace.sources import pages, rest, stores
 
 
 def write(path, text):
@@ -132,3 +132,43 @@ def test_file_watch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sum(seen) == 1
+
+
+def test_pages_over_http(spark):
+    """A server of this machine: redirects, a loop, a refusal, a charset; and what is no address."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    class Site(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            to = {"/a": "/b", "/b": "/ok", "/loop": "/loop", "/r0": "/r1", "/r1": "/r2", "/r2": "/r3", "/r3": "/r4", "/out": "ftp://x/y", "/lost": None}
+            if self.path in to:
+                self.send_response(302)
+                if to[self.path]:
+                    self.send_header("Location", to[self.path])
+            else:
+                self.send_response(200 if self.path == "/ok" else 404)
+                self.send_header("Content-Type", "text/html; charset=latin-1")
+            self.end_headers()
+            if self.path not in to:
+                self.wfile.write("caf\xe9".encode("latin-1"))
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    root = f"http://127.0.0.1:{server.server_port}"
+    want = {"/ok": None, "/a": None, "/loop": "redirect_loop", "/r0": "too_many_redirects", "/r1": "failed", "/out": "invalid_url", "/lost": "no_location", "/no": "failed"}
+    try:
+        df = spark.createDataFrame([(root + p,) for p in want] + [(None,), ("",), ("http://[x",), ("file:///etc/hosts",)], "url string")
+        got = {r["url"]: r["page"] for r in pages.fetched(df).collect()}
+    finally:
+        server.shutdown()
+        server.server_close()
+    assert {p: got[root + p]["error"] for p in want} == want
+    assert (got[root + "/a"]["final_url"], got[root + "/a"]["body"], got[root + "/a"]["status"]) == (root + "/ok", "café", 200)
+    assert {got[u]["error"] for u in (None, "", "http://[x", "file:///etc/hosts")} == {"invalid_url"}
+    assert got[None]["status"] is None
+    assert pages.fetch(root + "/ok", seconds=1)["error"] == "URLError"
+    assert pages.fetched(df.limit(0)).count() == 0
