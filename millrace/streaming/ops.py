@@ -74,7 +74,8 @@ def _columns(schema: str) -> list[str]:
 
 
 def fold_stream(df: DataFrame, key: str, fold: Fold, ttl_ms: int | None = None) -> DataFrame:
-    """Runs a fold over a stream, its state kept a key; ttl_ms: state without news for so long is dropped (ST10)."""
+    """Runs a fold over a stream, its state kept a key; ttl_ms: state without news for so long is dropped (ST10); with it a query does not end by
+    itself under the trigger availableNow, since Spark goes on running batches for times that run out."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
