@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,3 +63,73 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, runs: int = 64) -> DataFrame:
+    """An inner join with a table that has one row a key. The rows of a key are dealt to runs by a hash of ``spread``; the table's row goes to
+    each run that has the key, so that a frequent key is met in that many parts."""
+    run = free_name(rows, "run")
+    rows = rows.withColumn(run, F.pmod(F.xxhash64(spread), F.lit(runs)))
+    return rows.join(rows.select(run, *keys).distinct().join(table, keys), [run, *keys]).drop(run)
+
+
+def running_sums(df: DataFrame, group: str, order: list[Column], sums: list[str], table: str) -> DataFrame:
+    """df with each of the long columns ``sums`` replaced by its running sum (modulo 2**64) within the group, in that order.
+
+    Rows are dealt to tasks by ranges of (group, order), so a group of any size is spread over tasks. Each task sums what it has; a group
+    that began in an earlier one adds what came before, of which the driver holds one row a task. group: a long column without nulls.
+    """
+    columns = df.columns
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `__part` int, `__row` long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, row, last, carry = TaskContext.get().partitionId(), 0, None, [np.uint64(0)] * len(sums)
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            g = batch.column(group).to_numpy()
+            starts = np.flatnonzero(np.r_[True, g[1:] != g[:-1]])
+            sizes = np.diff(np.r_[starts, n])
+            out = {c: batch.column(c) for c in columns}
+            with np.errstate(over="ignore"):
+                for k, c in enumerate(sums):
+                    values = batch.column(c).to_numpy().view(np.uint64)
+                    total = np.cumsum(values)
+                    total -= np.repeat(total[starts] - values[starts], sizes)
+                    if g[0] == last:
+                        total[: sizes[0]] += carry[k]
+                    carry[k] = total[-1]
+                    out[c] = pa.array(total.view(np.int64))
+            last = g[-1]
+            yield pa.RecordBatch.from_arrays([*out.values(), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n))], [*columns, "__part", "__row"])
+            row += n
+
+    dealt = df.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
+    written = materialize(dealt.mapInArrow(run, schema), table)
+    edge = lambda f, c: f(c, "__row").alias(f"{f.__name__}_{c}")
+    ends = written.groupBy("__part").agg(edge(F.min_by, group), edge(F.max_by, group), *(edge(F.max_by, c) for c in sums)).orderBy("__part").collect()
+    before, last, carry = [], None, [0] * len(sums)
+    for part, first, final, *totals in ends:  # a row a task
+        if first == last:
+            before.append((part, first, *carry))
+        carry = [_wrapped(a + b) for a, b in zip(carry, totals, strict=True)] if first == last == final else totals
+        last = final
+    if not before:
+        return written.select(columns)
+    fields = ", ".join(f"`__before{k}` long" for k in range(len(sums)))
+    late = df.sparkSession.createDataFrame(before, f"`__part` int, `{group}` long, {fields}")
+    out = written.join(F.broadcast(late), ["__part", group], "left")
+    return out.select([_plus(c, f"__before{sums.index(c)}") if c in sums else F.col(c) for c in columns])
+
+
+def _wrapped(x: int) -> int:
+    return (x + 2**63) % 2**64 - 2**63
+
+
+def _plus(a: str, b: str) -> Column:
+    """The sum modulo 2**64; Spark's own fails beyond 2**63."""
+    total = F.col(a).cast("decimal(20,0)") + F.col(b).cast("decimal(20,0)")
+    over, turn = F.lit(str(2**63)).cast("decimal(20,0)"), F.lit(str(2**64)).cast("decimal(20,0)")
+    wrapped = F.when(total >= over, total - turn).when(total < -over, total + turn).otherwise(total).cast("long")
+    return F.when(F.col(b).isNull(), F.col(a)).otherwise(wrapped).alias(a)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import chat, decontam, exact, licenses, lines, neardup, packing, quality, sharding, urls
+from millrace.llm import ann, audit, chat, decontam, exact, licenses, lines, neardup, packing, quality, sharding, trie, urls
 from millrace.llm.common import LOWER, UPPER
 
 _CONTROL = "</s>[INST] ok [/INST]"
@@ -147,6 +147,72 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove from each source, in all 120 orders."""
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS low FROM d),
+f AS (SELECT part, doc_id, [len(words) < 50, 100 * len(list_distinct(words)) < 65 * len(words),
+    100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 5 * length(text), regexp_matches(text, '[#$%&*|]'), doc_id > low] AS fails FROM w),
+m AS (SELECT f.part, fails, count(*) AS n, count(*) FILTER (quality = 1) AS good, count(*) FILTER (toxic = 1) AS bad
+  FROM f LEFT JOIN labels l ON f.doc_id = l.doc_id GROUP BY ALL),
+perms(o) AS (SELECT '' UNION ALL SELECT o || x FROM perms, (SELECT unnest(string_split('ABCDE', '')) AS x) WHERE length(o) < 5 AND NOT contains(o, x)),
+steps AS (SELECT o, s::INTEGER AS s, ascii(o[s]) - 64 AS k, list_transform(range(1, s), lambda i: ascii(o[i]) - 64) AS before FROM perms, range(1, 6) r(s) WHERE length(o) = 5),
+x AS (SELECT part, o, s, k, n, good, bad, fails[k] AS fail, list_bool_or(list_transform(before, lambda i: fails[i])) IS TRUE AS gone,
+    list_sum(list_transform(fails, lambda y: y::INTEGER)) = 1 AS sole FROM m, steps),
+g AS (SELECT part, o, s, k, sum(n) FILTER (NOT fail AND NOT gone) AS kept, sum(n) FILTER (fail AND NOT gone) AS removed, sum(n) FILTER (fail AND gone) AS redundant,
+    sum(n) FILTER (fail AND sole) AS u, sum(good) FILTER (fail AND NOT gone) AS good, sum(bad) FILTER (fail AND NOT gone) AS bad FROM x GROUP BY ALL)
+SELECT part, o AS filter_order, s AS step, coalesce(kept, 0)::BIGINT AS kept, coalesce(removed, 0)::BIGINT AS removed, coalesce(redundant, 0)::BIGINT AS redundant,
+  coalesce(u, 0)::BIGINT AS unique_fails, coalesce(good, 0)::BIGINT AS good_lost, coalesce(bad, 0)::BIGINT AS toxic_lost,
+  coalesce(sum(removed) OVER (PARTITION BY part, k), 0)::BIGINT AS shapley
+FROM g
+"""
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of conversations that start with turns of another one of their hundred."""
+    conv = F.col("conv")
+    taken = F.pmod(F.crc32(conv.cast("string")), F.lit(6))
+    convs, turns = trie.rebuilt(trie.turns_in_order(table(spark, sf_dir, "conversations")), conv - conv % 100, taken, most=5)
+    return trie.prefix_trie(convs, turns)
+
+
+OP12_SQL = """
+WITH turns AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos,
+    coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (SELECT c, c - c % 100 AS donor,
+    xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda r, i: xor(r >> 1, 3988292384 * (r & 1)))), 4294967295) % 6 AS h
+  FROM (SELECT DISTINCT c FROM turns)),
+built AS (
+  SELECT v.c, 0 AS part, pos, role, text FROM convs v JOIN turns t ON t.c = v.donor AND pos <= h
+  UNION ALL SELECT v.c, 1, pos, role, text FROM convs v JOIN turns t ON t.c = v.c AND pos > h),
+deep AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, pos) AS d, role, text FROM built),
+pre AS (
+  SELECT c, d, length(text) AS chars, sha256(string_agg(length(role) || ':' || role || length(text) || ':' || text, '' ORDER BY d) OVER (PARTITION BY c ORDER BY d)) AS k FROM deep
+  UNION ALL SELECT c, 0, 0, '' FROM convs),
+nodes AS (SELECT k, d, any_value(chars) AS chars, min(c) AS owner, count(*) AS n FROM pre GROUP BY k, d),
+edges AS (SELECT n.k, any_value(p.k) AS up FROM nodes n JOIN pre x ON x.c = n.owner AND x.d = n.d - 1 JOIN nodes p ON p.k = x.k GROUP BY n.k),
+kids AS (SELECT up AS k, count(*) AS n FROM edges GROUP BY up),
+facts AS (SELECT n.*, coalesce(kids.n, 0) AS n_children FROM nodes n LEFT JOIN kids USING (k)),
+sums AS (SELECT x.k, count(*) FILTER (f.n_children = 0) AS leaves, sum((f.n - 1) * f.chars) AS saved
+  FROM facts f JOIN pre x ON x.c = f.owner AND x.d <= f.d GROUP BY x.k),
+ends AS (SELECT k, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, arg_max(k, d) AS k FROM pre GROUP BY c) GROUP BY k)
+SELECT f.owner AS conv_id, f.d AS depth, p.owner AS parent_conv_id, f.n AS n_convs, f.n_children, s.leaves AS n_leaves, s.saved::BIGINT AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM facts f JOIN sums s USING (k) LEFT JOIN ends USING (k) LEFT JOIN edges e ON e.k = f.k LEFT JOIN nodes p ON p.k = e.up
+"""
+
+
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors found of each hundredth one."""
+    return ann.neighbours(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_chat_format": op1_chat_format,
     "op2_url_filter": op2_url_filter,
@@ -158,6 +224,9 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_quality": op9_quality,
     "op10_pack": op10_pack,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_prefix_trie": op12_prefix_trie,
+    "op13_neighbours": op13_neighbours,
 }
 
 ORACLE_SQL = {
@@ -165,4 +234,6 @@ ORACLE_SQL = {
     "op2_url_filter": OP2_SQL,
     "op3_line_dedup": OP3_SQL,
     "op8_exact_dedup": OP8_SQL,
+    "op11_filter_audit": OP11_SQL,
+    "op12_prefix_trie": OP12_SQL,
 }
