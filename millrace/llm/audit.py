@@ -4,14 +4,15 @@ Each text gets a mask of the filters it fails: a (under 50 words), b (under 65 d
 code points), d (holds one of #$%&*|), e (the same text under a smaller id anywhere in the table). Words are runs of anything but
 U+0020 and U+0009 to U+000D, and are told apart by case.
 
-e comes from a fingerprint-routed RDD. A task first goes through its own rows with a table of collision chains (fingerprint to texts, each with its
-smallest id): of equal texts it sends one on, so a text that holds a third of all rows leaves a task once. Rows are then partitioned by
-xxhash64 of the text and sorted by (fingerprint, id) on their way, so that one chain is open at a time: it stores each of its texts in full with
-the smallest id, which is the first, and texts are compared, not hashes. Rows with a larger id fail e; those that a task has settled by
-itself travel without their text.
+One pass over the texts writes a row of facts a document: id, part, mask of a to d, xxhash64 of the text. Only texts whose fingerprint several ids
+have may fail e; a bitmap of such fingerprints (8 MB at any size, passing some others too) picks them, and a fingerprint-routed RDD settles
+them. A task first goes through its own rows with a table of collision chains (fingerprint to texts, each with its smallest id) and sends a text on
+once, so a text that a third of all rows have leaves a task once. Rows are partitioned by fingerprint and sorted by (fingerprint, id) on
+their way, so that one chain is open at a time: it stores each of its texts in full with the smallest id, which comes first, and
+compares texts, not hashes. What the RDD emits are the ids that are not the smallest of their text.
 
-The masks meet the labels by id, and combineByKey merges count vectors (32 masks by rows, good rows and toxic rows) by part. All figures of a
-part follow from its vector.
+The masks meet these and the labels by id, and combineByKey merges count vectors (32 masks by rows, good rows and toxic rows) by part. All
+figures of a part follow from its vector.
 
 Defined results: a null text is an empty one (no words, fails a; equal to other empty ones); a null source is the part of the empty string; a null
 id is smaller than all others and has no label; rows with the same id never make each other fail e; repeated rows each count; where an
@@ -26,11 +27,13 @@ from collections.abc import Iterator
 from itertools import count, permutations
 
 import numpy as np
+import pyarrow as pa
 from pyspark import RDD, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_ID, materialize
+from millrace.llm import textkernel as tk
+from millrace.llm.common import NULL_ID, materialize, maybe_in
 
 FILTERS = "ABCDE"
 _E = 1 << FILTERS.index("E")
@@ -65,100 +68,92 @@ def text_mask(text: str) -> int:
     return (n < 50) | (100 * len(distinct) < 65 * n) << 1 | (100 * upper > 5 * len(text)) << 2 | bool(_MARKS.search(text)) << 3
 
 
-class _Chain:
-    """A text, its smallest id so far, and how many rows of each part have that id."""
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in tk.slices(batch, 3):
+            masks = pa.array([text_mask(t) for t in part.column(3).to_pylist()], pa.int32())
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], masks], ["fingerprint", "id", "part", "mask"])
 
-    __slots__ = ("text", "mask", "id", "parts", "seen")
 
-    def __init__(self, text: str):
-        self.text, self.mask, self.id, self.parts, self.seen = text, text_mask(text), None, {}, 0
-
-
-def _settle(rows: Iterator) -> Iterator[tuple]:
-    """Rows (fingerprint, id, part, text) to ((fingerprint, id), (part, mask, n, text)).
-
-    The text is None, and the mask final, for rows that are known to fail e.
-    """
-    chains: dict[int, list[_Chain]] = {}
+def _settle(rows: Iterator[tuple[int, int, str]]) -> Iterator[tuple]:
+    """Rows (fingerprint, id, text) to ((fingerprint, id), text) of the smallest id of each text, as far as a task has seen them, and
+    ((any number, id), fingerprint) of the others: these need not travel with their text."""
+    chains: dict[int, dict[str, list[int]]] = {}  # to a text: its smallest id, and how many rows had it
     held, spread = 0, count(TaskContext.get().partitionId())
-
-    def lost(ident: int, part: str, mask: int, n: int) -> tuple:
-        """A row known to fail e: without its text it can go anywhere."""
-        return (next(spread), ident), (part, mask | _E, n, None)
-
-    for fingerprint, ident, part, text in rows:
-        found = next((c for c in chains.setdefault(fingerprint, []) if c.text == text), None)
-        if found is None:
-            found = _Chain(text)
-            chains[fingerprint].append(found)
+    for fingerprint, ident, text in rows:
+        chain = chains.setdefault(fingerprint, {})
+        known = chain.get(text)
+        if known is None:
+            chain[text] = [ident, 1]
             held += len(text) + 200
-        found.seen += 1
-        if found.id is None or ident < found.id:
-            for p, n in found.parts.items():
-                yield lost(found.id, p, found.mask, n)
-            found.id, found.parts = ident, {part: 1}
-        elif ident == found.id:
-            found.parts[part] = found.parts.get(part, 0) + 1
         else:
-            yield lost(ident, part, found.mask, 1)
+            known[1] += 1
+            if ident != known[0]:
+                yield (next(spread), max(ident, known[0])), fingerprint
+                known[0] = min(ident, known[0])
         if held > HELD_BYTES:
             # Texts that came more than once may come again; the others go on.
-            keep: dict[int, list[_Chain]] = {}
-            stay = sum(len(c.text) + 200 for x in chains.values() for c in x if c.seen > 1)
-            held = 0
-            for f, x in chains.items():
-                for c in x:
-                    if c.seen > 1 and stay <= HELD_BYTES // 2:
-                        keep.setdefault(f, []).append(c)
-                        held += len(c.text) + 200
+            often = sum(len(t) + 200 for chain in chains.values() for t, (_, n) in chain.items() if n > 1)
+            keep, held = {}, 0
+            for f, chain in chains.items():
+                for t, (low, n) in chain.items():
+                    if n > 1 and often <= HELD_BYTES // 2:
+                        keep.setdefault(f, {})[t] = [low, n]
+                        held += len(t) + 200
                     else:
-                        yield from _unsettled(f, c)
+                        yield (f, low), t
             chains = keep
-    for f, x in chains.items():
-        for c in x:
-            yield from _unsettled(f, c)
-
-
-def _unsettled(fingerprint: int, chain: _Chain) -> Iterator[tuple]:
-    for part, n in chain.parts.items():
-        yield (fingerprint, chain.id), (part, chain.mask, n, chain.text)
-
-
-def _resolve(rows: Iterator) -> Iterator[tuple]:
-    """Sorted by (fingerprint, id): one chain of full texts at a time, the first of a text has its smallest id."""
-    open_fingerprint, chain = None, []
-    for (fingerprint, ident), (part, mask, n, text) in rows:
-        if text is not None:
-            if fingerprint != open_fingerprint:
-                open_fingerprint, chain = fingerprint, []
-            low = next((i for t, i in chain if t == text), None)
-            if low is None:
-                chain.append((text, ident))
-            elif low < ident:
-                mask |= _E
-        yield ident, part, mask, n
+    for f, chain in chains.items():
+        for t, (low, _) in chain.items():
+            yield (f, low), t
+
+
+def _resolve(rows: Iterator[tuple]) -> Iterator[tuple[int, int]]:
+    """Sorted by (fingerprint, id): one chain of full texts at a time, in which the first of a text has its smallest id. Emits (id, fingerprint) of the others."""
+    fingerprint, chain = None, []
+    for (route, ident), what in rows:
+        if not isinstance(what, str):
+            yield ident, what
+            continue
+        if route != fingerprint:
+            fingerprint, chain = route, []
+        low = next((i for t, i in chain if t == what), None)
+        if low is None:
+            chain.append((what, ident))
+        elif low < ident:
+            yield ident, fingerprint
 
 
 def _route(key: tuple[int, int]) -> int:
     return key[0]
 
 
+def repeats(texts: DataFrame, tasks: int) -> DataFrame:
+    """(fingerprint, id, text) to (id, fingerprint), each once, of the rows whose text a smaller id has too."""
+    routed: RDD = texts.rdd.map(tuple).mapPartitions(_settle).repartitionAndSortWithinPartitions(tasks, _route)
+    return texts.sparkSession.createDataFrame(routed.mapPartitions(_resolve), "id long, fingerprint long").distinct()
+
+
 def failures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", part_col: str = "source", tasks: int | None = None) -> DataFrame:
-    """(id, part, mask, n): the filters that documents fail, as bits in the order of FILTERS. n rows agree in the other three.
+    """(id, part, mask, n): the filters that documents fail, as bits in the order of FILTERS; n rows agree in the rest.
 
-    tasks: partitions by fingerprint; by default four for each partition of the input, of which each sends on what it holds, or the session's number
-    of shuffle partitions, whichever is more.
+    tasks: partitions by fingerprint; by default as many as the input has, or the session's number of shuffle partitions, whichever is more.
     """
     spark = docs.sparkSession
+    text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(
-        F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("fingerprint"),
+        F.xxhash64(text).alias("fingerprint"),
         F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"),
         F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"),
-        F.coalesce(F.col(text_col), F.lit("")).alias("text"),
-    ).rdd.map(tuple)
-    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * rows.getNumPartitions())
-    routed: RDD = rows.mapPartitions(_settle).repartitionAndSortWithinPartitions(tasks, _route)
-    return spark.createDataFrame(routed.mapPartitions(_resolve), "id long, part string, mask int, n long")
+        text.alias("text"),
+    )
+    facts = rows.mapInArrow(_masks, "fingerprint long, id long, part string, mask int").groupBy("fingerprint", "id", "part", "mask").agg(F.count("*").alias("n"))
+    facts = materialize(facts, "filter-facts")
+    shared = facts.groupBy("fingerprint").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("fingerprint")
+    some = maybe_in(rows.select("fingerprint", "id", "text"), shared, "fingerprint")
+    tasks = tasks or max(int(spark.conf.get("spark.sql.shuffle.partitions")), some.rdd.getNumPartitions())
+    gone = repeats(some, tasks).withColumn("gone", F.lit(_E))
+    return facts.join(gone, ["id", "fingerprint"], "left").select("id", "part", F.col("mask").bitwiseOR(F.coalesce("gone", F.lit(0))).alias("mask"), "n")
 
 
 def _vector(value: tuple[int, int, int, int]) -> np.ndarray:

@@ -46,10 +46,14 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
-    if not sc.getCheckpointDir():
+    if sc.applicationId not in _folders:
         local = sc._jsc.sc().isLocal()
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="millrace-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return sc.getCheckpointDir().rstrip("/")
+        _folders[sc.applicationId] = tempfile.mkdtemp(prefix="millrace-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/_checkpoints"
+    return _folders[sc.applicationId]
+
+
+#: Of applications that name no shared folder.
+_folders: dict[str, str] = {}
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -65,6 +69,24 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def maybe_in(rows: DataFrame, keys: DataFrame, key: str, bits: int = 1 << 26) -> DataFrame:
+    """The rows whose key may be among keys: all that are, and some others. By a bitmap of hashed keys that has at most bits / 8 bytes and is
+    broadcast."""
+    flag = free_name(rows, "__maybe")
+    return marked_maybe(rows, keys, key, flag, bits, "inner").where(flag).drop(flag)
+
+
+def marked_maybe(rows: DataFrame, keys: DataFrame, key: str, flag: str, bits: int = 1 << 26, how: str = "left") -> DataFrame:
+    """rows with a column that is true where maybe_in() keeps them, else false."""
+    h = F.pmod(F.xxhash64(key), F.lit(bits))
+    maps = keys.groupBy(F.bitmap_bucket_number(h).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("__bitmap"))
+    spot = F.bitmap_bit_position(h)
+    byte = F.conv(F.hex(F.substring(F.col("__bitmap"), (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = F.call_function("shiftright", byte, (spot % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
+    out = rows.join(F.broadcast(maps), F.bitmap_bucket_number(h) == F.col("__bucket"), how)
+    return out.withColumn(flag, F.coalesce(held, F.lit(False))).drop("__bucket", "__bitmap")
+
+
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, runs: int = 64) -> DataFrame:
     """An inner join with a table that has one row a key. The rows of a key are dealt to runs by a hash of ``spread``; the table's row goes to
     each run that has the key, so that a frequent key is met in that many parts."""
@@ -77,13 +99,14 @@ def running_sums(df: DataFrame, group: str, order: list[Column], sums: list[str]
     """df with each of the long columns ``sums`` replaced by its running sum (modulo 2**64) within the group, in that order.
 
     Rows are dealt to tasks by ranges of (group, order), so a group of any size is spread over tasks. Each task sums what it has; a group
-    that began in an earlier one adds what came before, of which the driver holds one row a task. group: a long column without nulls.
+    that began in an earlier one adds what came before, of which the driver reads the first and last row of each task. group: a long column
+    without nulls.
     """
     columns = df.columns
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `__part` int, `__row` long"
+    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, `__part` int, `__edge` int"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, row, last, carry = TaskContext.get().partitionId(), 0, None, [np.uint64(0)] * len(sums)
+        part, last, carry, held, edges = TaskContext.get().partitionId(), None, [np.uint64(0)] * len(sums), None, np.zeros(0, np.int32)
         for batch in batches:
             n = batch.num_rows
             if not n:
@@ -102,19 +125,27 @@ def running_sums(df: DataFrame, group: str, order: list[Column], sums: list[str]
                     carry[k] = total[-1]
                     out[c] = pa.array(total.view(np.int64))
             last = g[-1]
-            yield pa.RecordBatch.from_arrays([*out.values(), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(row, row + n))], [*columns, "__part", "__row"])
-            row += n
+            if held is not None:
+                yield pa.RecordBatch.from_arrays([*held, pa.array(edges)], [*columns, "__part", "__edge"])
+            edges = np.zeros(n, np.int32)
+            edges[0] = held is None
+            held = [*out.values(), pa.array(np.full(n, part, np.int32))]
+        if held is not None:
+            edges[-1] += 2
+            yield pa.RecordBatch.from_arrays([*held, pa.array(edges)], [*columns, "__part", "__edge"])
 
     dealt = df.repartitionByRange(F.col(group), *order).sortWithinPartitions(F.col(group), *order)
     written = materialize(dealt.mapInArrow(run, schema), table)
-    edge = lambda f, c: f(c, "__row").alias(f"{f.__name__}_{c}")
-    ends = written.groupBy("__part").agg(edge(F.min_by, group), edge(F.max_by, group), *(edge(F.max_by, c) for c in sums)).orderBy("__part").collect()
-    before, last, carry = [], None, [0] * len(sums)
-    for part, first, final, *totals in ends:  # a row a task
-        if first == last:
-            before.append((part, first, *carry))
-        carry = [_wrapped(a + b) for a, b in zip(carry, totals, strict=True)] if first == last == final else totals
-        last = final
+    ends = sorted(map(tuple, written.where("`__edge` > 0").select("__part", "__edge", group, *sums).collect()))  # two rows a task
+    before, last, carry, first = [], None, [0] * len(sums), None
+    for part, edge, at, *totals in ends:
+        if edge & 1:
+            first = at
+            if at == last:
+                before.append((part, at, *carry))
+        if edge & 2:
+            carry = [_wrapped(a + b) for a, b in zip(carry, totals, strict=True)] if first == last == at else totals
+            last = at
     if not before:
         return written.select(columns)
     fields = ", ".join(f"`__before{k}` long" for k in range(len(sums)))
