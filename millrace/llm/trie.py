@@ -4,9 +4,9 @@ A conversation is a sequence of turns (role, text). A node of the trie is a dist
 depth and the smallest conversation that starts with it, its owner. If a conversation owns a prefix it owns all longer ones of its
 own, so its nodes are a chain from the first depth that it owns to its last turn.
 
-A prefix has a digest of 128 bits: the sum of hashes of (depth, SHA-256 of the turn). ``nodes`` are the minima: one row a digest with the smallest
-conversation, how many have it, and the length of its last text. The first owned depth of all conversations is then binary-searched, one
-batched join against the minima a step. A chain hangs from the owner of the prefix before its first node; chains are summed up
+A prefix has a digest of 128 bits: the sum of hashes of (depth, SHA-256 of the turn). The minima are one row a digest with the smallest
+conversation, how many have it, and the length of its last text. The first owned depth of all conversations is then binary-searched by
+batched joins against the minima. A chain hangs from the owner of the prefix before its first node; chains are summed up
 from the bottom by pointer doubling (the logarithm of the trie's height in rounds), and within a chain by running sums.
 
 No group is gathered: a conversation of any length is parted by ranges (``running_sums``), a prefix that many conversations have is counted in runs
@@ -56,12 +56,11 @@ def rebuilt(turns: DataFrame, donor: Column, taken: Column, most: int) -> tuple[
     donor and taken, over conv: whose first turns, and how many of them (at most ``most``), stand in place of as many own ones. A donor serves a
     bounded number of conversations. Gives all conversations (conv) and their turns (conv, depth, digest, chars).
     """
-    convs = turns.select("conv").distinct()
+    convs = materialize(turns.select("conv").distinct(), "conversations")
     wanted = convs.select("conv", donor.alias("donor"), taken.alias("taken"))
-    donors = turns.where(F.col("pos") <= most).join(wanted.select(F.col("donor").alias("conv")).distinct(), "conv", "left_semi").withColumnRenamed("conv", "donor")
-    first = wanted.join(donors, "donor").where("pos <= taken").select("conv", F.lit(0).alias("part"), "pos", "digest", "chars")
+    first = wanted.join(turns.where(F.col("pos") <= most).withColumnRenamed("conv", "donor"), "donor").where("pos <= taken")
     own = turns.where(F.col("pos") > taken).select("conv", F.lit(1).alias("part"), "pos", "digest", "chars")
-    rows = first.unionByName(own).withColumn("depth", F.lit(1).cast("long"))
+    rows = first.select("conv", F.lit(0).alias("part"), "pos", "digest", "chars").unionByName(own).withColumn("depth", F.lit(1).cast("long"))
     return convs, running_sums(rows, "conv", [F.asc("part"), F.asc("pos")], ["depth"], "rebuilt").select("conv", "depth", "digest", "chars")
 
 
@@ -113,37 +112,43 @@ def ends_digests(ends: DataFrame) -> DataFrame:
     return pieces.repartition("owner", "depth").sortWithinPartitions("owner", "depth", "first").mapInArrow(_digested, "owner long, depth long, ends string")
 
 
-def _first_owned(prefixes: DataFrame, lengths: DataFrame, minima: DataFrame) -> DataFrame:
+def _first_owned(prefixes: DataFrame, lengths: DataFrame, owners: DataFrame) -> DataFrame:
     """(conv, length, first): the smallest depth whose prefix the conversation owns, length + 1 if it owns none.
 
-    minima: (k1, k2, owner). Every step probes the middle of each conversation's range, all in one join.
+    owners: (run, k1, k2, owner). Two steps of the binary search of every conversation are one batch of joins: it probes the middle of the
+    range and those of both halves.
     """
     state = lengths.select("conv", "length", F.lit(1).cast("long").alias("lo"), (F.col("length") + 1).alias("hi"))
     settled = state.where("lo >= hi")
     state = state.where("lo < hi")
+    middle = F.expr("(lo + hi) div 2")
     while not state.isEmpty():
-        probes = state.withColumn("depth", F.expr("(lo + hi) div 2")).join(prefixes.select("conv", "depth", "k1", "k2"), ["conv", "depth"])
-        probes = spread_join(probes, minima, ["k1", "k2"], F.col("conv"))
-        owned = F.col("owner") == F.col("conv")
-        found = probes.select("conv", "length", F.when(owned, F.col("lo")).otherwise(F.col("depth") + 1).alias("lo"), F.when(owned, F.col("depth")).otherwise(F.col("hi")).alias("hi"))
-        found = materialize(found, "probes")
+        spots = state.withColumn("m", middle).withColumns({"left": F.expr("(lo + m) div 2"), "right": F.expr("(m + 1 + hi) div 2")})
+        probes = spots.withColumn("depth", F.explode(F.array_distinct(F.array("left", "m", "right")))).where("depth < hi")
+        probes = probes.join(prefixes.select("conv", "run", "depth", "k1", "k2"), ["conv", "depth"]).join(owners, ["run", "k1", "k2"])
+        at = lambda c: F.max((F.col("depth") == F.col(c)) & (F.col("owner") == F.col("conv"))).alias(f"owns_{c}")
+        found = probes.groupBy("conv", "length", "lo", "hi", "left", "m", "right").agg(at("left"), at("m"), at("right"))
+        low = F.when(F.col("owns_left"), F.col("lo")).when(F.col("owns_m"), F.col("left") + 1).when(F.col("owns_right"), F.col("m") + 1).otherwise(F.least(F.col("right") + 1, F.col("hi")))
+        high = F.when(F.col("owns_left"), F.col("left")).when(F.col("owns_m"), F.col("m")).when(F.col("owns_right"), F.col("right")).otherwise(F.col("hi"))
+        found = materialize(found.select("conv", "length", low.alias("lo"), high.alias("hi")), "probes")
         settled, state = settled.unionByName(found.where("lo >= hi")), found.where("lo < hi")
     return settled.select("conv", "length", F.col("lo").alias("first"))
 
 
-def _totals(chains: DataFrame) -> DataFrame:
+def _totals(chains: DataFrame, root: int | None) -> DataFrame:
     """(chain, parent, leaves, saved) of single chains to (chain, leaves, saved) with all that hang from them, by pointer doubling."""
-    while not chains.where("parent IS NOT NULL").isEmpty():
+    rising = chains.where("parent IS NOT NULL")
+    while not rising.isEmpty():
+        up = rising.select(F.col("parent").alias("chain"), F.lit(None).cast("long").alias("parent"), "leaves", "saved")
+        # What hangs from the root's chain has arrived there.
+        jumps = rising.where(F.col("parent") != F.lit(root)).select("chain", "parent")
+        jumps = spread_join(jumps, chains.select(F.col("chain").alias("parent"), F.col("parent").alias("next")), ["parent"], F.col("chain"))
+        none = F.lit(0).cast("long")
+        jumps = jumps.select("chain", F.col("next").alias("parent"), none.alias("leaves"), none.alias("saved"))
+        kept = chains.select("chain", F.lit(None).cast("long").alias("parent"), "leaves", "saved")
+        chains = kept.unionByName(up).unionByName(jumps).groupBy("chain").agg(F.max("parent").alias("parent"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
+        chains = materialize(chains, "chains")
         rising = chains.where("parent IS NOT NULL")
-        sums = rising.groupBy(F.col("parent").alias("chain")).agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
-        jumps = spread_join(rising.select("chain", "parent"), chains.select(F.col("chain").alias("parent"), F.col("parent").alias("next")), ["parent"], F.col("chain"))
-        zero = F.lit(0).cast("long")
-        chains = materialize(
-            chains.drop("parent").join(jumps.select("chain", F.col("next").alias("parent")), "chain", "left").join(sums, "chain", "left").select(
-                "chain", "parent", (F.col("leaves") + F.coalesce("more_leaves", zero)).alias("leaves"), (F.col("saved") + F.coalesce("more_saved", zero)).alias("saved")
-            ),
-            "chains",
-        )
     return chains.select("chain", "leaves", "saved")
 
 
@@ -152,55 +157,51 @@ def prefix_trie(convs: DataFrame, turns: DataFrame) -> DataFrame:
 
     convs: (conv), each once, also those without turns. turns: (conv, depth from 1 without gaps, digest, chars).
     """
-    zero = F.lit(0).cast("long")
+    zero, one, null = F.lit(0).cast("long"), F.lit(1).cast("long"), F.lit(None).cast("long")
     keys = {f"k{i}": F.xxhash64(F.lit(i), "depth", "digest") for i in (1, 2)}
-    prefixes = materialize(running_sums(turns.withColumns(keys), "conv", [F.asc("depth")], ["k1", "k2"], "digests").select("conv", "depth", "k1", "k2", "chars"), "prefixes")
-    lengths = materialize(
-        convs.join(prefixes.groupBy("conv").agg(F.max("depth").alias("length")), "conv", "left").select("conv", F.coalesce("length", zero).alias("length")), "lengths"
-    )
-    root, everyone = lengths.agg(F.min("conv"), F.count("*")).head()
     run = F.pmod(F.xxhash64("conv"), F.lit(64)).alias("run")
-    by_run = prefixes.groupBy(run, "k1", "k2", "depth").agg(F.min("conv").alias("owner"), F.count("*").alias("n"), F.max("chars").alias("chars"))
+    prefixes = running_sums(turns.withColumns(keys), "conv", [F.asc("depth")], ["k1", "k2"], "digests").select("conv", run, "depth", "k1", "k2", "chars")
+    # The minima, counted in runs of conversations, and what each run needs to know of them.
+    by_run = materialize(prefixes.groupBy("run", "k1", "k2", "depth").agg(F.min("conv").alias("owner"), F.count("*").alias("n"), F.max("chars").alias("chars")), "prefix-runs")
     nodes = materialize(by_run.groupBy("k1", "k2", "depth").agg(F.min("owner").alias("owner"), F.sum("n").alias("n_convs"), F.max("chars").alias("chars")), "nodes")
+    owners = materialize(by_run.select("run", "k1", "k2").join(nodes.select("k1", "k2", "owner"), ["k1", "k2"]), "owners")
+    lengths = convs.select("conv", zero.alias("depth")).unionByName(prefixes.select("conv", "depth")).groupBy("conv").agg(F.max("depth").alias("length"))
+    lengths = materialize(lengths, "lengths")
+    root, everyone = lengths.agg(F.min("conv"), F.count("*")).head()
 
-    firsts = materialize(_first_owned(prefixes, lengths, nodes.select("k1", "k2", "owner")), "first-owned")
+    firsts = materialize(_first_owned(prefixes, lengths, owners), "first-owned")
     # What a chain hangs from, and where a conversation that owns no node ends: the owner of the prefix before.
-    hung = spread_join(
-        firsts.where("first > 1").select("conv", (F.col("first") - 1).alias("depth")).join(prefixes.select("conv", "depth", "k1", "k2"), ["conv", "depth"]), nodes.select("k1", "k2", "owner"), ["k1", "k2"], F.col("conv")
-    ).select("conv", F.col("owner").alias("parent"))
+    hung = firsts.where("first > 1").select("conv", (F.col("first") - 1).alias("depth")).join(prefixes, ["conv", "depth"]).join(owners, ["run", "k1", "k2"])
     is_root = F.col("conv") == F.lit(root)
-    hung = firsts.join(hung, "conv", "left").select(
+    hung = firsts.join(hung.select("conv", F.col("owner").alias("parent")), "conv", "left").select(
         "conv", "length", F.when(is_root, zero).otherwise(F.col("first")).alias("first"), F.when(~is_root, F.coalesce("parent", F.lit(root).cast("long"))).alias("parent")
     )
     hung = materialize(hung, "hung")
     chains = hung.where("first <= length").select(F.col("conv").alias("owner"), "parent", "first", F.col("length").alias("last"))
-
-    # Of each node, by composite keys that are unique: whether a chain starts or ends there, and what hangs from it.
-    all_nodes = nodes.select("owner", "depth", "n_convs", "chars").unionByName(
-        convs.sparkSession.createDataFrame([(root, 0, everyone, 0)] if everyone else [], "owner long, depth long, n_convs long, chars long")
-    )
     branches = chains.where("parent IS NOT NULL").select("owner", F.col("parent").alias("top"), (F.col("first") - 1).alias("at"))
-    counts = branches.groupBy(F.col("top").alias("owner"), F.col("at").alias("depth")).agg(F.count("*").alias("branches"))
-    facts = (
-        all_nodes.join(chains.select("owner", F.col("first").alias("depth"), F.struct("parent").alias("start")), ["owner", "depth"], "left")
-        .join(chains.select("owner", F.col("last").alias("depth"), F.lit(True).alias("is_last")), ["owner", "depth"], "left")
-        .join(counts, ["owner", "depth"], "left")
-        .select(
-            "owner", "depth", "n_convs",
-            F.when(F.col("start").isNull(), F.col("owner")).otherwise(F.col("start.parent")).alias("parent"),
-            (F.coalesce("branches", zero) + F.when(F.col("is_last"), 0).otherwise(1)).alias("n_children"),
-            ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"),
-        )
-        .withColumn("leaves", (F.col("n_children") == 0).cast("long"))
+
+    # All that is known of a node, by its owner and depth: what it is, that a chain starts or ends there, and how many hang from it.
+    def known(df: DataFrame, depth: str, **values: Column) -> DataFrame:
+        columns = {c: values.get(c, null) for c in ("n_convs", "chars", "start", "parent", "last", "branches")}
+        return df.select("owner", F.col(depth).alias("depth"), *(v.alias(c) for c, v in columns.items()))
+
+    top = convs.sparkSession.createDataFrame([(root, 0, everyone, 0)] if everyone else [], "owner long, depth long, n_convs long, chars long")
+    facts = known(nodes.select("owner", "depth", "n_convs", "chars").unionByName(top), "depth", n_convs=F.col("n_convs"), chars=F.col("chars"))
+    facts = facts.unionByName(known(chains, "first", start=one, parent=F.col("parent"))).unionByName(known(chains, "last", last=one))
+    facts = facts.unionByName(known(branches.drop("owner").withColumnRenamed("top", "owner"), "at", branches=one))
+    facts = facts.groupBy("owner", "depth").agg(*(F.max(c).alias(c) for c in ("n_convs", "chars", "start", "parent", "last")), F.coalesce(F.sum("branches"), zero).alias("branches"))
+    children = F.col("branches") + F.when(F.col("last").isNull(), one).otherwise(zero)
+    facts = facts.select(
+        "owner", "depth", "n_convs", "start", F.when(F.col("start").isNull(), F.col("owner")).otherwise(F.col("parent")).alias("parent"),
+        children.alias("n_children"), ((F.col("n_convs") - 1) * F.col("chars")).alias("saved"), (children == 0).cast("long").alias("leaves"),
     )
     facts = materialize(facts, "facts")
-    single = facts.groupBy(F.col("owner").alias("chain")).agg(F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
-    single = single.join(chains.select(F.col("owner").alias("chain"), "parent"), "chain").select("chain", "parent", "leaves", "saved")
-    totals = _totals(materialize(single, "chains"))
-    hanging = branches.join(totals.withColumnRenamed("chain", "owner"), "owner")
-    hanging = hanging.groupBy(F.col("top").alias("owner"), F.col("at").alias("depth")).agg(F.sum("leaves").alias("more_leaves"), F.sum("saved").alias("more_saved"))
-    at_nodes = facts.join(hanging, ["owner", "depth"], "left").withColumns({"leaves": F.col("leaves") + F.coalesce("more_leaves", zero), "saved": F.col("saved") + F.coalesce("more_saved", zero)})
-    summed = running_sums(at_nodes.drop("more_leaves", "more_saved"), "owner", [F.desc("depth")], ["leaves", "saved"], "summed")
+    single = facts.groupBy(F.col("owner").alias("chain")).agg(F.max(F.when(F.col("start").isNotNull(), F.col("parent"))).alias("parent"), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
+    totals = _totals(materialize(single, "chains"), root)
+    hanging = branches.join(totals.withColumnRenamed("chain", "owner"), "owner").select(F.col("top").alias("owner"), F.col("at").alias("depth"), "leaves", "saved")
+    own = ["n_convs", "parent", "n_children"]
+    at_nodes = facts.drop("start").unionByName(hanging, allowMissingColumns=True).groupBy("owner", "depth").agg(*(F.max(c).alias(c) for c in own), F.sum("leaves").alias("leaves"), F.sum("saved").alias("saved"))
+    summed = running_sums(at_nodes, "owner", [F.desc("depth")], ["leaves", "saved"], "summed")
     ends = hung.select(F.when(F.col("first") <= F.col("length"), F.col("conv")).otherwise(F.col("parent")).alias("owner"), F.col("length").alias("depth"), "conv")
     out = summed.join(ends_digests(ends), ["owner", "depth"], "left")
     return out.select(
