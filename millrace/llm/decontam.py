@@ -4,8 +4,8 @@ Words are runs of bytes other than white space and ASCII punctuation, A-Z lower-
 item's length slide over a document word by word. A window and an item are compared by the weighted similarity of their five-word
 shingles: the sum of the smaller multiplicities by the sum of the larger ones.
 
-A window that shares no shingle with any item has similarity 0, so only windows that touch a shared shingle are fingerprinted (an
-exact test: the shingles of all items are in a sorted table). Fingerprints are 64-bit SimHashes of the window's shingles, kept as
+A window that shares no shingle with any item of its length has similarity 0, so only windows that touch a shingle of one are
+fingerprinted (an exact test: the shingles of all items are in a sorted table, with the lengths of the items). Fingerprints are 64-bit SimHashes of the window's shingles, kept as
 running sums over the words. The fingerprints of the items are indexed by four blocks of 16 bits: two fingerprints within
 radius 19 agree up to 4 bits in one block at least. Those 4 bits are shared out: the index of a block lists the items for each value
 within some bits of theirs, and a window looks up each value within the others of its own; so all items within the radius are
@@ -13,9 +13,10 @@ found. The more items, the fewer bits are on the index's side, so that its size
 looked up. At similarity 0.8 the fingerprints of a window and an item differ in 10 bits on average (standard deviation 3).
 Candidates are then verified on the words themselves.
 
-The benchmark is sent to all tasks, and the documents are passed over once and never shuffled. A benchmark of more than
-``block_words`` words or ``block_items`` items is sent in blocks of that size, with one pass for each, so that what a task holds
-(some 30 bytes a word, and an index of 100 MB or 50 bytes an item) is bounded.
+The benchmark is broadcast, and the documents are passed over once and never shuffled. A benchmark of more than ``block_words`` words or
+``block_items`` items is dealt by a hash to blocks of about that size, with one pass for each, so that what the driver holds (the words of
+a block) and a task (some 30 bytes a word, and an index of 100 MB or 50 bytes an item) is bounded. A window is only looked at if
+it touches a shingle of an item of its own length.
 
 Defined results: a document or item that is null, empty or without words matches nothing; an item of fewer than five words is one
 shingle of its own length; a document shorter than an item is one window; an item that occurs several times counts once, at its
@@ -32,6 +33,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,7 +132,11 @@ class Benchmark:
         for size in range(1, SIZE + 1):
             of_size = (n == size) if size < SIZE else (n >= SIZE)
             if of_size.any():
-                self.shingles[size] = np.unique(hashes[np.repeat(of_size, np.diff(first))])
+                # Each shingle with the lengths of the items that hold it: windows of other lengths have nothing to find there.
+                counts = np.diff(first)
+                pairs = np.unique(np.array([hashes[np.repeat(of_size, counts)], np.repeat(n, counts)[np.repeat(of_size, counts)].astype(U)]), axis=1)
+                table, at = np.unique(pairs[0], return_index=True)
+                self.shingles[size] = table, np.append(at, pairs.shape[1]), pairs[1].astype(np.int64)
         self.bag = lru_cache(4096)(self._bag)
 
     def _bag(self, item: int) -> Counter:
@@ -138,15 +144,14 @@ class Benchmark:
         return bag(self.text.text(self.first[item], self.first[item] + self.length[item]))
 
 
-_last: tuple[tuple, Benchmark] | None = None
+_last: tuple[Broadcast, Benchmark] | None = None
 
 
-def _prepared(ids: list, texts: list[str | None]) -> Benchmark:
+def _prepared(sent: Broadcast) -> Benchmark:
     """The benchmark, kept for the next task of this Python worker."""
     global _last
-    key = (tuple(ids), tuple(texts))
-    if _last is None or _last[0] != key:
-        _last = key, Benchmark(ids, texts)
+    if _last is None or _last[0] is not sent:
+        _last = sent, Benchmark(*sent.value)
     return _last[1]
 
 
@@ -166,7 +171,7 @@ def find(texts: pa.Array, bench: Benchmark, threshold: float) -> Iterator[tuple[
     """(text, item, similarity, first word, words) of the best window for each text and item at or over the threshold."""
     w = tk.words(texts, tk.WHITE_AND_MARKS)
     n_words = np.diff(w.first)
-    for size, table in bench.shingles.items():
+    for size, (table, edges, lengths) in bench.shingles.items():
         # Hash of the shingle that starts at each word; those that run over the end of a text are never looked at.
         starts = len(w.hash) - size + 1
         if starts <= 0:
@@ -178,43 +183,47 @@ def find(texts: pa.Array, bench: Benchmark, threshold: float) -> Iterator[tuple[
         text_of = np.searchsorted(w.first, hit, "right") - 1
         inside = hit + size <= w.first[text_of + 1]
         hit, text_of = hit[inside], text_of[inside]
-        edges = np.flatnonzero(np.diff(text_of)) + 1
-        for spots in np.split(hit, edges) if len(hit) else []:
+        for spots in np.split(hit, np.flatnonzero(np.diff(text_of)) + 1) if len(hit) else []:
             text = int(np.searchsorted(w.first, spots[0], "right") - 1)
-            yield from _find_in(w, every, spots, text, int(n_words[text]), size, bench, threshold)
-
-
-def _find_in(w: tk.Words, every: np.ndarray, spots: np.ndarray, text: int, length: int, size: int, bench: Benchmark, threshold: float):
+            # Each spot with each length that its shingle asks for, by length.
+            known = np.searchsorted(table, every[spots])
+            n = edges[known + 1] - edges[known]
+            needs = lengths[np.repeat(edges[known] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+            order = np.argsort(needs, kind="stable")
+            needs, spots = needs[order], np.repeat(spots, n)[order]
+            best: dict[int, tuple[float, int, int]] = {}
+            for some in np.split(np.arange(len(needs)), np.flatnonzero(np.diff(needs)) + 1):
+                _find_in(w, every, spots[some], text, int(n_words[text]), size, int(needs[some[0]]), bench, threshold, best)
+            for m, (s, p, k) in best.items():
+                yield text, m, s, p, k
+
+
+def _find_in(w: tk.Words, every: np.ndarray, spots: np.ndarray, text: int, length: int, size: int, need: int, bench: Benchmark, threshold: float, best: dict) -> None:
+    """The best windows of a text, for items of a length, that touch the spots: into best."""
     base, spots = int(w.first[text]), spots - w.first[text]
-    best: dict[int, tuple[float, int, int]] = {}
-    for need in bench.lengths:
-        if min(need, SIZE) != size:
-            continue
-        take = min(need, length)
-        span = take - size + 1  # shingles in a window
-        # Windows that touch a spot, as ranges of starts.
-        low = np.maximum(spots - span + 1, 0)
-        high = np.minimum(spots, length - take)
-        ok = low <= high
-        if not ok.any():
-            continue
-        mark = np.zeros(length - take + 2, np.int32)
-        np.add.at(mark, low[ok], 1)
-        np.add.at(mark, high[ok] + 1, -1)
-        windows = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-        for part in np.split(windows, np.flatnonzero(np.diff(windows) > 4 * span) + 1):
-            for at in range(0, len(part), 8192):
-                piece = part[at : at + 8192]
-                a, b = int(piece[0]), int(piece[-1]) + span
-                total = np.zeros((b - a + 1, 64), np.int32)
-                np.cumsum(signs(every[base + a : base + b]), axis=0, out=total[1:])
-                which, item = bench.index.search(fingerprints(total[piece + span - a] - total[piece - a]), need)
-                for p, m in zip(piece[which].tolist(), item.tolist(), strict=True):
-                    s = weighted_similarity(bag(w.text(base + p, base + p + take)), bench.bag(m))
-                    if s >= threshold and (m not in best or s > best[m][0]):
-                        best[m] = (s, p, take)
-    for m, (s, p, k) in best.items():
-        yield text, m, s, p, k
+    take = min(need, length)
+    span = take - size + 1  # shingles in a window
+    # Windows that touch a spot, as ranges of starts that lie apart.
+    low, high = np.maximum(spots - span + 1, 0), np.minimum(spots, length - take)
+    ok = low <= high
+    low, high = low[ok], high[ok]
+    if not len(low):
+        return
+    new = np.r_[True, low[1:] > high[:-1] + 1]
+    for first, last in zip(low[new].tolist(), high[np.r_[new[1:], True]].tolist(), strict=True):
+        for at in range(first, last + 1, STEP):
+            starts = np.arange(at, min(at + STEP, last + 1))
+            total = np.zeros((len(starts) + span, 64), np.int32)
+            np.cumsum(signs(every[base + at : base + at + len(starts) + span - 1]), axis=0, out=total[1:])
+            which, item = bench.index.search(fingerprints(total[span:] - total[:-span]), need)
+            for p, m in zip(starts[which].tolist(), item.tolist(), strict=True):
+                s = weighted_similarity(bag(w.text(base + p, base + p + take)), bench.bag(m))
+                if s >= threshold and (m not in best or s > best[m][0]):
+                    best[m] = (s, p, take)
+
+
+#: Starts of windows whose running sums are made at a time.
+STEP = 8192
 
 
 def decontaminate(
@@ -222,23 +231,21 @@ def decontaminate(
     item_text_col: str = "text", block_words: int = 4_000_000, block_items: int = 250_000,
 ) -> DataFrame:
     """A row per document and item found in it: id, item id, similarity, start_word, n_words."""
-    # Block by block of the benchmark, so that what a task holds is bounded however large the benchmark is.
-    blocks: list[tuple[list, list]] = [([], [])]
-    words = 0
-    for row in benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t")).toLocalIterator():
-        if words > block_words or len(blocks[-1][0]) >= block_items:
-            blocks.append(([], []))
-            words = 0
-        blocks[-1][0].append(row["i"])
-        blocks[-1][1].append(row["t"])
-        words += len((row["t"] or "").split()) + 1
+    # Block by block of the benchmark, so that what the driver and a task hold is bounded however large the benchmark is.
+    items = benchmark.select(F.col(item_col).cast("long").alias("i"), F.col(item_text_col).alias("t"))
+    size = F.size(F.split(F.coalesce("t", F.lit("")), " ")).cast("long")
+    n, words = items.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).head()
+    blocks = max(1, -(-n // block_items), -(-words // block_words))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     schema = f"{id_col} long, {item_col} long, similarity double, start_word long, n_words long"
     out = None
-    for ids, items in blocks:
+    for number in range(blocks):
+        block = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == number).orderBy("i", "t").collect()
+        # A broadcast lies in a file on the driver, and is fetched once by an executor.
+        sent = docs.sparkSession.sparkContext.broadcast(([r["i"] for r in block], [r["t"] for r in block]))
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, items=items) -> Iterator[pa.RecordBatch]:
-            bench = _prepared(ids, items)
+        def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            bench = _prepared(sent)
             for batch in batches:
                 for part in tk.slices(batch, 1):
                     docs_of = part.column(0).to_pylist()

@@ -3,14 +3,16 @@
 A text is split at \\n; a line's key is the line without white space at its ends and with A-Z lower-cased. The keys of at least
 ``min_chars`` code points are hashed (128 bits) and written once as (id, text hash, position, key hash). Per hash the distinct
 documents are counted, first in runs of documents and then over the runs; hashes at or over ``min_docs`` drop all their lines but
-those in the document with the smallest id. Only (id, position) pairs travel back to the texts, which are shuffled once.
+those in the document with the smallest id. Only (id, position) pairs travel back to the texts, and only texts that may lose a line are shuffled to
+meet them; rows that repeat one text under one id meet there in one key, which adaptive execution parts.
 
 For two documents the smallest and the largest id tell as much as a count of distinct ones, and are kept in its place; for more
 the distinct ids are counted. An id has one run, so counts of runs add up. Both ways are held against the same plain version.
 
 Defined results: null or empty text is one empty line and comes back as empty text; a null id sorts before all others; rows with
 the same id are one document for counting, and each is returned; lines without a key that long always stay; an empty table gives
-no rows; columns of the input that have the names of the counts are replaced (``counts`` names them otherwise). Ids are longs.
+no rows; columns of the input that have the names of the counts are replaced (``counts`` names them otherwise). A very long text is split
+into one array, and takes time in proportion to its length. Ids are longs.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import NULL_ID, SPACES, ascii_lower, free_name, materialize
+from millrace.llm.common import NULL_ID, SPACES, ascii_lower, free_name, marked_maybe, materialize
 
 
 def line_key(line: Column) -> Column:
@@ -51,16 +53,16 @@ def line_dedup(
         .groupBy("__id", "__hash")
         .agg(F.collect_set("__pos").alias("__drops"))
     )
-    i, h, d = (free_name(docs, x) for x in ("__id", "__hash", "__drops"))
-    out = docs.select("*", ident[0].alias(i), ident[1].alias(h)).join(drops.toDF(i, h, d), [i, h], "left")
-    parts = F.split(text, "\n", -1)
-    dropped = F.col(d)
-    stay = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), dropped)
-    kept = F.when(dropped.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda i: F.get(parts, i)), "\n"))
-    return out.withColumns(
-        {
-            text_col: kept,
-            counts[0]: F.size(parts).cast("long"),
-            counts[1]: F.coalesce(F.size(dropped), F.lit(0)).cast("long"),
-        }
-    ).drop(i, h, d)
+    i, h, d, maybe, parts = (free_name(docs, x) for x in ("__id", "__hash", "__drops", "__maybe", "__parts"))
+    drops = materialize(drops.toDF(i, h, d), "line-drops")
+    # Only texts that may lose a line meet the drops; a bitmap of ids tells them apart.
+    rows = marked_maybe(docs.select("*", ident[0].alias(i)), drops.select(i), i, maybe)
+    losing = rows.where(maybe).withColumn(h, ident[1]).join(drops, [i, h], "left").drop(h)
+    out = losing.unionByName(rows.where(~F.col(maybe)).withColumn(d, F.lit(None).cast("array<int>")))
+    # A column of its own: inside the lambda the text would be split for each line.
+    out = out.withColumn(parts, F.split(text, "\n", -1))
+    dropped, lines_of = F.col(d), F.col(parts)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines_of) - 1), dropped)
+    kept = F.when(dropped.isNull(), text).otherwise(F.array_join(F.transform(stay, lambda n: F.get(lines_of, n)), "\n"))
+    out = out.withColumns({text_col: kept, counts[0]: F.size(lines_of).cast("long"), counts[1]: F.coalesce(F.size(dropped), F.lit(0)).cast("long")})
+    return out.drop(i, d, maybe, parts)

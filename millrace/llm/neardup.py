@@ -8,9 +8,10 @@ members are linked as candidates with one centre, a star: the member that shares
 are confirmed on full sets, links give components. Then, in the group of each centre (all that share a bucket with it), members
 outside the centre's component are compared with the members of other components, block by block: first sketches (those that agree
 in fewer bins than five standard deviations under the threshold are passed over; texts of few shingles fill few bins, and their
-deviation counts those alone), then full sets. So no link is lost to the choice of the centre. That last step takes time with the
-number of members outside times the members of the group, but emits links only; a block has a bounded number of rows and bytes, and
-the pairs of blocks of a centre are dealt to as many tasks as they need. A text goes into a block once; a centre's text goes to each
+deviation counts those alone), then full sets. So no link is lost to the choice of the centre. A task keeps a
+forest of what it has linked and passes over pairs that are in one tree, so it emits fewer links than it meets components; the step takes
+time with the number of members outside times the members of the group where they are not linked. A block has a bounded number of rows
+and bytes, and the pairs of blocks of a centre are dealt to as many tasks as they need. A text goes into a block once; a centre's text goes to each
 block of its star's members, not to each member.
 
 Only the number of documents a band shares bounds the recall: with five rows in 28 bands, a pair at similarity 0.85 is missed
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.llm import textkernel as tk
-from millrace.llm.common import NULL_ID, copies, materialize
+from millrace.llm.common import NULL_ID, copies, materialize, maybe_in, spread_join
 from millrace.llm.components import components
 
 U = np.uint64
@@ -90,16 +91,6 @@ def sketch_documents(docs: DataFrame, bands: int, rows: int, size: int) -> DataF
     return docs.mapInArrow(run, "id long, n long, digest binary, low binary, keys array<long>")
 
 
-def _maybe_in(docs: DataFrame, ids: DataFrame, bits: int = 1 << 26) -> DataFrame:
-    """The docs whose id may be among ids, by a bitmap of hashed ids that has at most bits / 8 bytes and is broadcast; for a join to follow."""
-    h = F.pmod(F.xxhash64("id"), F.lit(bits))
-    maps = ids.groupBy(F.bitmap_bucket_number(h).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(h)).alias("bitmap"))
-    spot = F.bitmap_bit_position(h)
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.floor(spot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    held = F.call_function("shiftright", byte, (spot % 8).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return docs.join(F.broadcast(maps), F.bitmap_bucket_number(h) == F.col("bucket")).where(held).drop("bucket", "bitmap")
-
-
 def _similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Of sorted distinct hashes."""
     if min(len(a), len(b)) * 100 < percent * max(len(a), len(b)):
@@ -168,19 +159,33 @@ def _between_components(group: DataFrame, percent: int, size: int, bins: int) ->
         return rows.field("id").to_numpy(), rows.field("label").to_numpy(), low, sets, first
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest: dict[int, int] = {}
+
+        def root(label: int) -> int:
+            while (up := forest.get(label, label)) != label:
+                forest[label] = forest.get(up, up)
+                label = up
+            return label
+
         for batch in batches:
-            found: set[tuple[int, int]] = set()
+            found: list[tuple[int, int]] = []
             for i in range(batch.num_rows):
                 ids, labels, low, sets, first = unpack(batch.column(0)[i].values)
                 ids2, labels2, low2, sets2, first2 = unpack(batch.column(1)[i].values)
+                roots2 = np.array([root(x) for x in labels2.tolist()])
                 n, n2 = np.diff(first), np.diff(first2)
                 for a in range(len(ids)):
-                    least = _least(np.minimum(n2, n[a]), percent, bins)
-                    alike = np.flatnonzero(((low2 == low[a]).sum(axis=1) >= least) & (labels2 != labels[a]))
+                    mine = root(int(labels[a]))
+                    # What this task has linked with the row's component needs no comparison more.
+                    others = np.flatnonzero(roots2 != mine)
+                    least = _least(np.minimum(n2[others], n[a]), percent, bins)
+                    alike = others[(low2[others] == low[a]).sum(axis=1) >= least]
                     for b in alike.tolist():
-                        if _similar(sets[first[a] : first[a + 1]], sets2[first2[b] : first2[b + 1]], percent):
-                            found.add((min(ids[a], ids2[b]), max(ids[a], ids2[b])))
-            u, v = zip(*sorted(found), strict=True) if found else ([], [])
+                        if roots2[b] != mine and _similar(sets[first[a] : first[a + 1]], sets2[first2[b] : first2[b + 1]], percent):
+                            found.append((min(ids[a], ids2[b]), max(ids[a], ids2[b])))
+                            forest[int(roots2[b])] = mine
+                            roots2[roots2 == roots2[b]] = mine
+            u, v = zip(*found, strict=True) if found else ([], [])
             tk.release()
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
@@ -215,16 +220,18 @@ def near_dedup(
     )
     placed = heads.select("id", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("places")).where("lo < hi")
-    buckets = materialize(placed.join(shared.select("key", "places"), "key"), "buckets")
+    shared = materialize(shared.select("key", "places"), "shared")
+    # Most keys are nobody else's; a bitmap leaves them where they are.
+    buckets = materialize(spread_join(maybe_in(placed, shared, "key"), shared, ["key"], F.col("id")), "buckets")
     score = buckets.groupBy("id").agg(F.sum("places").alias("score"))
     scored = buckets.select("key", "id").join(score, "id")
     centre = scored.groupBy("key").agg(F.max(F.struct("score", (-F.col("id")).alias("id"))).alias("c")).select("key", (-F.col("c.id")).alias("centre"))
-    stars = materialize(buckets.join(centre, "key").where("id != centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "stars")
+    stars = materialize(spread_join(buckets, centre, ["key"], F.col("id")).where("id != centre").select(F.col("centre").alias("u"), F.col("id").alias("v")).distinct(), "stars")
     same = member.groupBy("id").agg(F.min("head").alias("u"), F.max("head").alias("v")).where("u < v")
     same = member.join(same.select("id", "u"), "id").select("u", F.col("head").alias("v")).where("u != v").distinct()
     needed = stars.select(F.col("u").alias("id")).union(stars.select("v")).distinct()
     # An inner join: a semi-join would be moved below the filter, and all texts be shuffled.
-    texts = materialize(_maybe_in(docs, needed).join(needed, "id").withColumn("size", F.octet_length("text").cast("long")), "texts")
+    texts = materialize(maybe_in(docs, needed, "id").join(needed, "id").withColumn("size", F.octet_length("text").cast("long")), "texts")
     labels = components(materialize(confirm(stars, texts, percent, size).unionByName(same), "links"))
     # What the stars may have missed: links between the components in the group of a centre.
     group = stars.select(F.col("u").alias("centre"), F.col("v").alias("id")).union(stars.select("u", "u").distinct())

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -280,6 +281,55 @@ def test_decontamination_of_long_texts_among_many_items(spark):
     assert all(i in planted or len(items[i][1].split()) <= 5 for i in got)
 
 
+def test_decontamination_by_items_of_many_lengths(spark, monkeypatch):
+    """Two thousand lengths, windows over the edges of the pieces that sums are made for; as exact as pieces of one size."""
+    rng = random.Random(21)
+    vocabulary = [prose(rng, 1) for _ in range(3000)]
+    items = [(n, " ".join(rng.choice(vocabulary) for _ in range(n))) for n in range(1, 2001)]
+    texts = []
+    for d in range(6):
+        words = [rng.choice(vocabulary) for _ in range(3000)]
+        for n in rng.sample(range(6, 900), 4):
+            item = items[n - 1][1].split()
+            item[rng.randrange(n)] = "other"
+            at = rng.randrange(len(words))
+            words[at:at] = item
+        texts.append(" ".join(words))
+    bench = decontam.Benchmark([i for i, _ in items], [t for _, t in items])
+    whole = sorted(decontam.find(pa.array(texts), bench, 0.8))
+    assert len({i for _, i, *_ in whole if i > 29}) >= 15
+    monkeypatch.setattr(decontam, "STEP", 137)
+    assert sorted(decontam.find(pa.array(texts), bench, 0.8)) == whole
+
+
+def test_line_dedup_of_a_long_document(spark):
+    """Time in proportion to the lines: a hundred thousand of them, some dropped."""
+    lines_of = [f"line number {i} of a long document" for i in range(100_000)]
+    rows = [(1, lines_of[7]), (2, "\n".join(lines_of))]
+    began = time.time()
+    out = lines.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id = 2").head()
+    assert time.time() - began < 60
+    assert out["text"] == "\n".join(lines_of[:7] + lines_of[8:]) and (out["n_lines"], out["n_dropped"]) == (100_000, 1)
+
+
+def test_near_dedup_emits_a_forest(spark):
+    """Members that are all linked with each other, and not with their group's centre, give fewer links than there are of them."""
+    rng = random.Random(4)
+    centre = prose(rng, 200).split()
+    other = centre[:110] + prose(rng, 90).split()
+    rows = [(0, " ".join(centre), 0, 0)]
+    for k in range(1, 61):
+        copy = list(other)
+        copy[3 * k] = f"x{k}"
+        rows.append((k, " ".join(copy), k, 0))
+    sketched = neardup.sketch_documents(spark.createDataFrame(rows, "id long, text string, label long, main long").select("id", "text"), 28, 5, 5)
+    group = spark.createDataFrame(rows, "id long, text string, label long, main long").join(sketched.select("id", "low"), "id")
+    group = group.withColumns({"centre": F.lit(0).cast("long"), "size": F.octet_length("text").cast("long")}).where("id > 0")
+    found = neardup._between_components(group, 80, 5, 140).collect()
+    assert len(found) == 59
+    assert len({c for _, _, c, _ in components_of([(r[0], r[1]) for r in rows[1:]], 80)}) == 1
+
+
 # Licenses
 
 
