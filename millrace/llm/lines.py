@@ -34,7 +34,9 @@ def line_dedup(
     """The columns of docs with the text reduced to the lines that stay, and the counts of lines before and of those dropped."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     ident = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)), F.xxhash64(text)
-    lines = docs.select(ident[0].alias("__id"), ident[1].alias("__hash"), F.posexplode(F.split(text, "\n", -1)).alias("__pos", "__line")).withColumn("__line", line_key(F.col("__line")))
+    # Named first: beside the generator they would be worked out for each line.
+    named = docs.select(ident[0].alias("__id"), ident[1].alias("__hash"), F.split(text, "\n", -1).alias("__parts"))
+    lines = named.select("__id", "__hash", F.posexplode("__parts").alias("__pos", "__line")).withColumn("__line", line_key(F.col("__line")))
     keys = materialize(
         lines.where(F.length("__line") >= min_chars).select("__id", "__hash", "__pos", F.unhex(F.md5("__line")).alias("__key")), "line-keys"
     )
