@@ -120,7 +120,8 @@ def seed_values(seed: Column) -> Column:
 def guarded(df: DataFrame, text_col: str = "text", seed_col: str | None = None, stage2: str = "auto", salt: str = "", strict: bool = False) -> DataFrame:
     """df with a column ``guard`` (D20, D26): action, masked text, spans of each stage, leaked fingerprints and reasons.
 
-    A null text is allowed as it is. Rows that may not hold anything pass without Python.
+    A null text is allowed as it is. Rows without a seed that may not hold anything pass without Python; a seed's values may be any words, so
+    rows with one never do.
     """
     seed = F.col(seed_col) if seed_col else F.lit(None).cast("string")
 
@@ -133,10 +134,13 @@ def guarded(df: DataFrame, text_col: str = "text", seed_col: str | None = None,
                 rows.append({k: [x._asdict() for x in v] if k in ("detections", "stage1", "deterministic", "stage2") else v for k, v in g.items()})
             yield pd.DataFrame(rows, columns=GUARD_FIELDS)
 
-    # Rows that may hold nothing have the answer that an empty text has, with their own text.
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    plain = run(F.when(may_hold_pii(text), text), seed)
-    return df.withColumn("guard", plain).withColumn("guard", F.col("guard").withField("masked_text", F.when(may_hold_pii(text), F.col("guard.masked_text")).otherwise(text)))
+    # Other rows have the answer that an empty text has, with their own text.
+    text, look = F.coalesce(F.col(text_col), F.lit("")), "_look"
+    while look in df.columns:
+        look += "_"
+    out = df.withColumn(look, may_hold_pii(text) | seed.isNotNull())
+    out = out.withColumn("guard", run(F.when(F.col(look), text), seed))
+    return out.withColumn("guard", F.col("guard").withField("masked_text", F.when(F.col(look), F.col("guard.masked_text")).otherwise(text))).drop(look)
 
 
 GUARD_FIELDS = ["action", "masked_text", "detections", "stage1", "deterministic", "stage2", "stage2_used", "stage2_timed_out", "leaked", "reasons"]
@@ -237,9 +241,66 @@ def redact_attributes(df: DataFrame, col: str = "attributes") -> DataFrame:
 def seeded_leaks(outputs: DataFrame, seeds: DataFrame, key: str, salt: str) -> DataFrame:
     """Outputs that hold a value of a seed of their key (J07: equal fingerprints of spans; J08: the value itself).
 
-    outputs: key, text; seeds: key, value. A row per output and leaked fingerprint; joined by key and pruned by built-ins.
+    outputs: key, text; seeds: key, value. A row per output and leaked fingerprint. A null key matches nothing.
     """
-    known = seeds.select(key, "value", fingerprint_sql(F.col("value"), salt).alias("fp")).where("fp != ''").distinct()
-    spans = outputs.select(key, "text", F.transform(pii_spans(F.col("text")), lambda s: s["match"]).alias("matches"))
-    marks = spans.select(key, "text", F.transform("matches", lambda m: fingerprint_sql(m, salt)).alias("fps"))
-    return marks.join(known, key).where(F.array_contains("fps", F.col("fp")) | F.col("text").contains(F.col("value"))).select(key, "text", "fp").distinct()
+    known = seeds.select(key, "value", fingerprint_sql(F.col("value"), salt).alias("fp")).where(F.col("fp") != "").where(F.col(key).isNotNull()).distinct()
+    texts = outputs.select(key, "text").where(F.col(key).isNotNull() & F.col("text").isNotNull()).distinct()
+    spans = texts.where(may_hold_pii(F.col("text"))).select(key, "text", F.explode(pii_spans(F.col("text"))).alias("s"))
+    marked = spans.select(key, "text", fingerprint_sql(F.col("s.match"), salt).alias("fp")).join(known.select(key, "fp").distinct(), [key, "fp"]).select(key, "text", "fp")
+    return marked.unionByName(values_in_texts(texts, known, key).select(key, "text", "fp")).distinct()
+
+
+#: Seeds an automaton holds, and signs of text that it reads in one task, about.
+SEED_BLOCK, TEXT_PART = 100_000, 1 << 25
+_RUNS = 64
+
+
+def _dealt(rows: DataFrame, key: str, what: str, weight: Column, most: int, name: str) -> tuple[DataFrame, DataFrame]:
+    """rows with a number ``name`` that deals those of a key to as many parts as their weight asks for; and (key, parts).
+
+    Weighed in runs first, so that a key with many rows is spread over them on the way back.
+    """
+    rows = rows.withColumn("_run", F.pmod(F.xxhash64(what), F.lit(_RUNS)))
+    runs = rows.groupBy(key, "_run").agg(F.sum(weight).alias("_w"))
+    parts = runs.groupBy(key).agg(F.greatest(F.lit(1), F.ceil(F.sum("_w") / most)).cast("long").alias(f"{name}s"))
+    decided = runs.select(key, "_run").join(parts, key)
+    return rows.join(decided, [key, "_run"]).withColumn(name, F.pmod(F.xxhash64(what, F.lit(1)), F.col(f"{name}s"))).drop("_run", f"{name}s"), parts
+
+
+def values_in_texts(texts: DataFrame, values: DataFrame, key: str) -> DataFrame:
+    """The values (key, value, fp) that texts (key, text) of their key contain: key, text, value, fp.
+
+    A key's values go into Aho-Corasick automata of SEED_BLOCK values, each of which reads the texts of the key once, in as many tasks as their
+    size asks for; no pair of text and value is made but those that are found.
+    """
+    kind = dict(texts.dtypes)[key]
+    columns = f"`{key}` {kind}, text string, value string, fp string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        group, automaton, ready = None, None, False
+        for batch in batches:
+            found = []
+            for k, block, part, is_text, text, fp in zip(*(batch.column(c).to_pylist() for c in (key, "block", "part", "is_text", "text", "fp")), strict=True):
+                if (k, block, part) != group:
+                    group, automaton, ready = (k, block, part), ahocorasick.Automaton(), False
+                if not is_text:
+                    automaton.add_word(text, (text, fp))
+                    continue
+                if not ready:
+                    ready = True
+                    if len(automaton):
+                        automaton.make_automaton()
+                if len(automaton):
+                    found += [(k, text, v, f) for v, f in sorted({hit for _, hit in automaton.iter(text)})]
+            out = list(zip(*found, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], batch.column(key).type), *(pa.array(c, pa.string()) for c in out[1:])], [key, "text", "value", "fp"])
+
+    seeds, blocks = _dealt(values.select(key, F.col("value").alias("text"), "fp"), key, "text", F.lit(1), SEED_BLOCK, "block")
+    rows, parts = _dealt(texts.join(blocks.select(key), key, "left_semi"), key, "text", F.length("text"), TEXT_PART, "part")
+    each = lambda df, counts, name: df.join(counts, key).withColumn(name, F.explode(F.sequence(F.lit(0).cast("long"), F.col(f"{name}s") - 1))).drop(f"{name}s")
+    seeds = each(seeds, parts, "part").withColumn("is_text", F.lit(False))
+    rows = each(rows, blocks, "block").withColumns({"is_text": F.lit(True), "fp": F.lit(None).cast("string")})
+    met = seeds.unionByName(rows).repartition(key, "block", "part").sortWithinPartitions(key, "block", "part", "is_text")
+    return met.mapInArrow(run, columns)

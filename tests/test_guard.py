@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,3 +125,34 @@ def test_outcomes(spark):
     assert [r[0] for r in df.select(G.outcome(F.col("c"), F.col("d"), F.col("m"))).collect()] == ["TP", "PARTIAL", "FN", "FP", "TN"]
     t = spark.createDataFrame([(True, None), (True, 1), (True, 2), (False, 1)], "c boolean, s int")
     assert [r[0] for r in t.select(G.stage1_truth(F.col("c"), F.col("s"))).collect()] == [True, True, False, False]
+
+
+def test_seeds_without_digits_are_not_passed_over(spark):
+    df = spark.createDataFrame([("her name is Kim", "name: Kim"), ("nobody", "name: Kim"), ("nothing here", None), (None, "name: Kim")], "answer string, seed string")
+    out = G.output_guard(df.withColumn("_look", F.lit(1)), "answer", "seed", SALT).collect()
+    assert [(r["blocked"], r["leaked_tokens"], r["masked_output"]) for r in out] == [
+        (g["action"] == "block", [f"fp:{x}" for x in g["leaked"]], g["masked_text"]) for g in (pii.guard(r["answer"] or "", r["seed"], salt=SALT) for r in df.collect())
+    ]
+    assert [r["blocked"] for r in out] == [True, False, False, False]
+
+
+def test_many_seeds_in_many_texts(spark, monkeypatch):
+    """Automata against a nested loop: seeds of several blocks, texts of several parts, a key with most rows, overlaps, marks alone, nulls."""
+    monkeypatch.setattr(G, "SEED_BLOCK", 7)
+    monkeypatch.setattr(G, "TEXT_PART", 300)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abAB1é ") for _ in range(rng.randint(1, 4)))
+    key = lambda: rng.choice([1, 1, 1, 1, 2, 3, None])
+    seeds = [(key(), word()) for _ in range(80)] + [(2, "010-1234-5678"), (9, "unused"), (1, None), (1, "--"), (1, "")]
+    texts = [(key(), "".join(word() for _ in range(rng.randint(0, 12)))) for _ in range(150)] + [(2, "call 01012345678 now"), (1, None), (4, "a")]
+    got = G.seeded_leaks(spark.createDataFrame(texts, "k long, text string"), spark.createDataFrame(seeds, "k long, value string"), "k", SALT)
+    want = set()
+    for k, t in texts:
+        spans = {pii.fingerprint(s.match, SALT) for s in pii.detect(t)} if t is not None else set()
+        for j, v in seeds:
+            if k is not None and k == j and v is not None and t is not None and (f := pii.fingerprint(v, SALT)) and (v in t or f in spans):
+                want.add((k, t, f))
+    rows = sorted(map(tuple, got.collect()))
+    assert rows == sorted(want) and len(want) > 100 and any(k == 2 and t.startswith("call") for k, t, _ in want)
+    none = spark.createDataFrame([], "k long, value string")
+    assert G.seeded_leaks(spark.createDataFrame(texts, "k long, text string"), none, "k", SALT).count() == 0
