@@ -8,9 +8,12 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from millrace.functions import readable as R
+
 # Patterns of prompt injection, markers and notices of wrapped content.
 INJECTION_PATTERNS = (
     r"ignore\s+(all\s+)?(previous|prior|above)\s+(instructions?|prompts?)",
@@ -112,7 +115,7 @@ class _Markdown:
 
 
 def html_to_markdown(text: Column) -> Column:
-    """Markdown with links, headings and lists; all entities resolved (F20, F22, F24 without a readability model)."""
+    """Markdown with links, headings and lists; all entities resolved."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -122,6 +125,38 @@ def html_to_markdown(text: Column) -> Column:
     return run(text)
 
 
+def main_html(text: Column) -> Column:
+    """The HTML of a page's main part; null where it has none."""
+
+    @F.pandas_udf("string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for pages in batches:
+            yield pages.map(R.main_html, na_action="ignore")
+
+    return run(text)
+
+
+def page_nodes(text: Column) -> Column:
+    """The flat table of a page's nodes, the page itself first."""
+
+    @F.arrow_udf(_NODES)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for pages in batches:
+            yield pa.array([[n._asdict() for n in R.scan(p)] if p is not None else None for p in pages.to_pylist()], _NODES_ARROW)
+
+    return run(text)
+
+
+_NODES = "array<struct<tag:string,parent:int,depth:int,start:int,end:int,chars:int,linked:int,commas:int,out:boolean>>"
+_NODES_ARROW = pa.list_(pa.struct([("tag", pa.string()), *((c, pa.int32()) for c in "parent depth start end chars linked commas".split()), ("out", pa.bool_())]))
+
+
+def readable(text: Column, mode: str = "markdown") -> Column:
+    """Markdown or plain text of a page's main part, of the whole page where it has none."""
+    main = F.coalesce(main_html(text), text)
+    return html_to_markdown(main) if mode == "markdown" else html_to_text(main)
+
+
 def markdown_to_text(text: Column) -> Column:
     """Images, links, fences, code, headings, bullets and numbers taken away."""
     for pattern, sign in (

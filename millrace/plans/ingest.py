@@ -31,6 +31,18 @@ def title_extract(spark, sf):
     return Tables(spark, sf).pages.select("page_id", X.html_title(F.col("html")).alias("title"))
 
 
+# The main part of these pages is their article, if it holds a block of text; what stands around it is no content.
+@query(rf"""WITH a AS (SELECT page_id, html, regexp_extract(html, '(?s)<article>(.*)</article>', 1) AS main FROM pages),
+f AS (SELECT page_id, html, main, len(list_filter(string_split_regex(main, '(?i)</p>|<p>'), lambda x: length(trim(regexp_replace(regexp_replace(x, '(?s)<h1>.*</h1>', ''), '<[^>]+>', '', 'g'))) >= 25)) > 0 AS found FROM a),
+s AS (SELECT page_id, found, regexp_replace(regexp_replace(CASE WHEN found THEN main ELSE html END, '(?is)<script[^>]*>.*?</script>', '', 'g'), '(?is)<style[^>]*>.*?</style>', '', 'g') AS t FROM f),
+b AS (SELECT page_id, found, regexp_replace(regexp_replace(t, '(?i)<(br|hr)\s*/?>', chr(10), 'g'), '(?i)</(p|div|section|article|header|footer|table|tr|ul|ol|li|h[1-6])>', chr(10), 'g') AS t FROM s)
+SELECT page_id, coalesce(found, false) AS found, md5({_WS.format(_plain('t'))}) AS text_md5 FROM b""")
+def readable_pages(spark, sf):
+    """The main part of pages as plain text, found by scores of its blocks."""
+    p = Tables(spark, sf).pages.withColumn("main", X.main_html(F.col("html")))
+    return p.select("page_id", F.col("main").isNotNull().alias("found"), F.md5(X.html_to_text(F.coalesce("main", "html"))).alias("text_md5"))
+
+
 @query()
 def html_to_markdown(spark, sf):
     """Markdown of pages (rewrites inside links and headings; held against a plain version by tests)."""

@@ -1,9 +1,12 @@
 import datetime as dt
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.functions import finance as X
+from millrace.functions import readable as R
 from millrace.functions import text as T
 from millrace.functions import timefns as TF
 
@@ -182,3 +185,62 @@ def test_formatters(spark):
     lines = f["stock_prices"](prices, ["ticker"]).head()["text"].splitlines()
     assert len(lines) == 25 and lines[-1] == "... and 3 more rows"
     assert set(f) >= {"balance_sheets", "cash_flow_statements", "key_ratios", "historical_key_ratios", "crypto_price", "crypto_prices", "insider_trades", "analyst_estimates", "earnings"}
+
+
+PAGE = """<!DOCTYPE html><html><head><title>The title</title><script>if (a < b) document.write("<p>no, no, no, this is no text</p>")</script></head><body>
+<div class="sidebar"><p>Read this, that, the other, and all of these, which are many words of promotion.</p></div><nav><ul><li><a href="/">A list item that is long enough to count</a></li></ul></nav>
+<div id="main"><h1>Heading</h1><p>First paragraph of the text, with a comma and enough signs.<p>Second one, unclosed <b>bold
+<div class="share"><p>Share it, like it, send it, love it, print it, mail it, pin it.</p></div><p>Third, after a box in the text, is here.</div>
+<div class="links"><p><a href="x">All of this, though long, with commas, is inside of links, all of it, really</a></p></div><footer><p>Footer text, long enough, with commas.</p></footer></body></html>"""
+
+
+def test_main_part_of_pages(spark):
+    main = R.main_html(PAGE)
+    assert main.startswith("<h1>Heading</h1>") and "Second one" in main and "Third, after" in main
+    assert "Share it" not in main and "promotion" not in main and "inside of links" not in main and "Footer" not in main
+    for nothing in ("", "plain words, no markup, and long enough to be a block", "<p>short</p>", "<nav><p>" + "only, a, menu, " * 9 + "</p></nav>", "<", "<p", "</p></p><!-- x", "<script>a", "a<b>c</a>"):
+        assert R.main_html(nothing) is None
+    df = spark.createDataFrame([(1, PAGE), (2, "<p>short</p>"), (3, None)], "id int, html string").orderBy("id")
+    got = [tuple(r) for r in df.select(T.readable(F.col("html")), T.readable(F.col("html"), "text")).collect()]
+    assert got[0][0].startswith("# Heading") and "First paragraph" in got[0][1] and got[1:] == [("short", "short"), (None, None)]
+    nodes = df.select(T.page_nodes(F.col("html"))).collect()[0][0]
+    assert [tuple(n) for n in nodes] == [tuple(n) for n in R.scan(PAGE)]
+
+
+def test_nodes_and_scores_against_a_plain_version():
+    """Nested pages: counts of each node by cutting its range out of the page, scores by walking from every block."""
+    rng = random.Random(8)
+
+    def block(depth):
+        kind = rng.choice(["p", "p", "div", "section", "ul"])
+        if kind == "p" or depth == 0:
+            words = ", ".join("word" * rng.randint(1, 9) for _ in range(rng.randint(1, 6)))
+            return f"<p>{words}</p>" if rng.random() < 0.7 else f"<p><a href='x'>{words}</a> and more</p>"
+        name = rng.choice(["", " class='menu'", " id=main"])
+        inner = "".join(block(depth - 1) for _ in range(rng.randint(1, 4)))
+        return f"<ul{name}><li>{inner}</li></ul>" if kind == "ul" else f"<{kind}{name}>{inner}</{kind}>"
+
+    def plain(piece):
+        piece = re.sub(r"<(div|section|ul) class='menu'>.*?</\\1>", "", piece)
+        return re.sub(r"<[^>]+>", "\x00", piece)
+
+    for _ in range(60):
+        page = "<body>" + "".join(block(3) for _ in range(4)) + "</body>"
+        nodes = R.scan(page)
+        for i, n in enumerate(nodes):
+            below = [m for m in nodes[i + 1 :] if m.start >= n.start and m.end <= n.end]
+            if not n.out and not any(m.out for m in below):
+                pieces = [re.sub(r"\s+", " ", x).strip() for x in plain(page[n.start : n.end]).split("\x00")]
+                assert n.chars == sum(map(len, pieces)) and n.commas == sum(x.count(",") for x in pieces)
+            assert i == 0 or (nodes[n.parent].start <= n.start <= n.end <= nodes[n.parent].end and n.depth == nodes[n.parent].depth + 1)
+        scores = dict.fromkeys(range(len(nodes)), 0.0)
+        for n in nodes:
+            chain, at = [], n.parent
+            while at >= 0:
+                chain.append(at)
+                at = nodes[at].parent
+            for level, at in enumerate(chain):
+                scores[at] += R.points(n) * (1.0, 0.5)[level] if level < 2 else R.points(n) / (3 * (level - 1))
+        final = [0.0 if n.out or not n.chars else round(scores[i] * (1 - n.linked / n.chars), 9) for i, n in enumerate(nodes)]
+        top = final.index(max(final)) if max(final) > 0 else None
+        assert R.best(nodes) == top
