@@ -9,6 +9,7 @@ from millrace.functions import timefns as TF
 from millrace.operators import messaging as M
 from millrace.plans.registry import Tables, query
 from millrace.streaming import ops as S
+from millrace.streaming import ordered as O
 
 
 def _events(spark, sf):
@@ -166,6 +167,32 @@ def dedupe_first_seen(spark, sf):
     return _events(spark, sf).groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
 
 
+@query("""WITH RECURSIVE s AS (SELECT event_id, user_id, event_type, epoch_ms(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events),
+f AS (SELECT user_id, n, event_id, false AS repeated, [event_type] AS ids, [t] AS times FROM s WHERE n = 1
+  UNION ALL SELECT user_id, n, event_id, list_contains(ids, event_type), CASE WHEN list_contains(ids, event_type) THEN ids ELSE list_append(ids, event_type) END, CASE WHEN list_contains(ids, event_type) THEN times ELSE list_append(times, t) END
+  FROM (SELECT user_id, n, event_id, event_type, t, ids[gone + 1:] AS ids, times[gone + 1:] AS times
+    FROM (SELECT s.*, f.ids, f.times, greatest(0, len(f.ids) - 2, len(list_filter(f.times, lambda x: x < s.t - 172800000))) AS gone FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1)))
+SELECT user_id AS account_id, event_id AS ord, repeated FROM f""")
+def bounded_dedupe(spark, sf):
+    """Repeats among the last two kinds of event that a user's cache remembers, within two days."""
+    e = _events(spark, sf).select(F.col("user_id").alias("account_id"), F.col("event_id").alias("ord"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.col("event_type").alias("id"))
+    return S.fold_batch(e, "account_id", O.bounded_dedupe(172_800_000, 2))
+
+
+@query("""WITH RECURSIVE s AS (SELECT event_id, user_id, event_type = 'purchase' AS ends, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, event_id % 3 AS g FROM events),
+f AS (SELECT user_id, n, event_id, g, ends, 0 AS found, CASE WHEN ends THEN []::BIGINT[] ELSE [g] END AS ids, CASE WHEN ends THEN []::BIGINT[][] ELSE [[event_id]] END AS lines FROM s WHERE n = 1
+  UNION ALL SELECT user_id, n, event_id, g, ends, CASE WHEN ends AND spot > 0 THEN len(lines[spot]) ELSE 0 END,
+    CASE WHEN ends THEN list_filter(ids, lambda i: i <> g) WHEN spot > 0 THEN ids ELSE list_append(ids[len(ids):], g) END,
+    CASE WHEN ends THEN list_filter(lines, lambda l, i: i <> spot) WHEN spot > 0 THEN list_transform(lines, lambda l, i: CASE WHEN i = spot THEN list_append(l, event_id)[greatest(1, len(l) - 2):] ELSE l END)
+      ELSE list_append(lines[len(lines):], [event_id]) END
+  FROM (SELECT s.*, f.ids, f.lines, coalesce(list_position(f.ids, s.g), 0) AS spot FROM f JOIN s ON s.user_id = f.user_id AND s.n = f.n + 1))
+SELECT user_id AS account_id, g AS group_id, event_id AS ord, found::INT AS n FROM f WHERE ends""")
+def bounded_history(spark, sf):
+    """Messages that a user's buffer of two groups of four messages holds at each trigger."""
+    e = _events(spark, sf).select(F.col("user_id").alias("account_id"), (F.col("event_id") % 3).alias("group_id"), F.col("event_id").alias("ord"), F.col("event_type").alias("sender"), F.col("props").alias("body"), (F.col("event_type") == "purchase").alias("trigger"))
+    return S.fold_batch(e, "account_id", O.bounded_history(4, 2)).drop("context")
+
+
 @query("""WITH RECURSIVE s AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events),
 f AS (SELECT event_id, user_id, event_type, n, t AS last, true AS kept FROM s WHERE n = 1
   UNION ALL SELECT s.event_id, s.user_id, s.event_type, s.n, CASE WHEN s.t - f.last >= 172800000000 THEN s.t ELSE f.last END, s.t - f.last >= 172800000000 FROM f JOIN s ON s.user_id = f.user_id AND s.event_type = f.event_type AND s.n = f.n + 1)

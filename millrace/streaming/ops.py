@@ -7,6 +7,7 @@ batch twin of an operator gives what the stream gives, and both are tested again
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pandas as pd
 import pyarrow as pa
@@ -25,7 +26,7 @@ DUPLICATE_S, CAPTURE_TTL_S = 24 * 3600, 30 * 60
 
 
 def dedupe_stream(messages: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ("account_id", "chat_id", "id"), ttl: str = DEDUPE_TTL) -> DataFrame:
-    """First message of each key within a time to live, by event time (ST01). State is bounded by the watermark, not by a number of keys."""
+    """First message of each key within a time to live, by event time (ST01). State is bounded by the watermark; ordered.bounded_dedupe() also bounds the number of keys."""
     return messages.withWatermark(ts, ttl).dropDuplicatesWithinWatermark(list(keys))
 
 
@@ -56,12 +57,15 @@ def dedupe_batch(messages: DataFrame, ts: str = "ts", keys: tuple[str, ...] = ("
 
 
 class Fold:
-    """A keyed state machine: start() gives a state, a tuple of plain values; step(state, row) gives the next state and rows to emit."""
+    """A keyed state machine: start() gives a state; step(state, row) gives the next state and rows to emit.
 
-    def __init__(self, start: Callable[[], tuple], step: Callable[[tuple, dict], tuple[tuple, list[dict]]], state: str, output: str, order: str):
-        self.start, self.step, self.state, self.output, self.order = start, step, state, output, order
+    A state is a tuple of plain values, or else what load() makes of one and dump() makes one of.
+    """
+
+    def __init__(self, start: Callable, step: Callable[[Any, dict], tuple[Any, list[dict]]], state: str, output: str, order: str, load: Callable = lambda s: s, dump: Callable = lambda s: s):
+        self.start, self.step, self.state, self.output, self.order, self.load, self.dump = start, step, state, output, order, load, dump
 
-    def run(self, state: tuple, rows: pd.DataFrame) -> tuple[tuple, list[dict]]:
+    def run(self, state, rows: pd.DataFrame) -> tuple[Any, list[dict]]:
         out = []
         for row in rows.sort_values(self.order, kind="stable").to_dict("records"):
             state, more = self.step(state, row)
@@ -74,7 +78,7 @@ def _columns(schema: str) -> list[str]:
 
 
 def fold_stream(df: DataFrame, key: str, fold: Fold, ttl_ms: int | None = None) -> DataFrame:
-    """Runs a fold over a stream, its state kept a key; ttl_ms: state without news for so long is dropped (ST10); with it a query does not end by
+    """Runs a fold over a stream, its state kept a key, rows in the order of their batches (ordered.fold_ordered waits for late ones); ttl_ms: state without news for so long is dropped (ST10); with it a query does not end by
     itself under the trigger availableNow, since Spark goes on running batches for times that run out."""
 
     def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -82,8 +86,8 @@ def fold_stream(df: DataFrame, key: str, fold: Fold, ttl_ms: int | None = None)
             state.remove()
             return
         rows = pd.concat(list(batches))
-        current, out = fold.run(tuple(state.get) if state.exists else fold.start(), rows)
-        state.update(current)
+        current, out = fold.run(fold.load(tuple(state.get)) if state.exists else fold.start(), rows)
+        state.update(fold.dump(current))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame(out, columns=_columns(fold.output))
@@ -194,5 +198,5 @@ def windowed_counts(events: DataFrame, ts: str, size: str, late: str, keys: list
 
 
 def watch_files(spark, path: str, schema: str, each: Callable[[DataFrame, int], None], checkpoint: str, every: str = "1500 milliseconds"):
-    """Runs a function over new files of a folder, changes gathered for a while (S20, S36, ST09). Returns the query."""
+    """Runs a function over new JSON files of a folder, gathered for a while (S20, S36); sources.watch tells edits too. Returns the query."""
     return spark.readStream.schema(schema).json(path).writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()

@@ -1,3 +1,4 @@
+import datetime as dt
 import random
 import time
 
@@ -10,6 +11,7 @@ from millrace.operators import finance as O
 from millrace.operators import ingest as I
 from millrace.operators import messaging as M
 from millrace.streaming import ops as S
+from millrace.streaming import ordered as O2
 
 
 def one(spark, col):
@@ -183,6 +185,73 @@ def test_dedupe_stream_and_batch(spark, tmp_path):
     assert {r["id"] for r in spark.table("dedupe_out").collect()} == {"m1", "m2"}
 
 
+def run_ordered(spark, tmp_path, rows, schema, key, fold, delay, files, flush, ttl_ms=None):
+    """Rows in a few files in any order, then one far later that lets the watermark pass them all."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", O2.ROCKSDB)
+    try:
+        for i in range(files):
+            spark.createDataFrame(rows[i::files], schema).coalesce(1).write.parquet(str(tmp_path / f"in{i:02d}"))
+        spark.createDataFrame([flush], schema).coalesce(1).write.parquet(str(tmp_path / "in99"))
+        src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path))
+        out = O2.fold_ordered(src, key, fold, "ts", delay, ttl_ms)
+        name = f"ordered_{tmp_path.name}".replace("-", "_")
+        run = out.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path.parent / f"cp-{tmp_path.name}")).trigger(availableNow=True).start()
+        assert run.awaitTermination(240)
+        return spark.table(name).collect()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def at(seconds):
+    return dt.datetime(2024, 1, 1) + dt.timedelta(seconds=seconds)
+
+
+def test_ordered_fold_of_shuffled_batches(spark, tmp_path):
+    """Alerts that come in any order within an hour give what the batch twin gives."""
+    rng = random.Random(1)
+    schema = "job_id long, ord long, ts timestamp, ts_s long, text string"
+    rows = [(rng.randrange(3), i, at(i * 40), i * 40, rng.choice(["up", "up", "down"])) for i in range(60)]
+    fold = S.alert_suppressor(600)
+    want = sorted(map(tuple, S.fold_batch(spark.createDataFrame(rows, schema), "job_id", fold).collect()))
+    mixed = list(rows)
+    rng.shuffle(mixed)
+    got = run_ordered(spark, tmp_path, mixed, schema, "job_id", fold, "1 hour", 3, (9, 10**6, at(10**6), 10**6, "end"))
+    assert sorted(map(tuple, got)) == want
+
+
+def test_bounded_dedupe_as_stream_and_batch(spark, tmp_path):
+    """Against a plain cache with evictions, whatever order the rows come in."""
+    rng = random.Random(2)
+    schema = "account_id long, ord long, ts timestamp, ts_ms long, id string"
+    rows = [(rng.randrange(2), i, at(i), i * 1000, f"m{rng.randrange(9)}") for i in range(90)]
+    want, caches = [], {}
+    for account, i, _, now, ident in rows:
+        cache = caches.setdefault(account, {})
+        while cache and (next(iter(cache.values())) < now - 15_000 or len(cache) > 4):
+            cache.pop(next(iter(cache)))
+        want.append((account, i, ident in cache))
+        cache.setdefault(ident, now)
+    fold = O2.bounded_dedupe(15_000, 4)
+    assert sorted(map(tuple, S.fold_batch(spark.createDataFrame(rows, schema), "account_id", fold).collect())) == sorted(want)
+    assert any(r for _, _, r in want) and not all(r for _, _, r in want[40:])
+    mixed = list(rows)
+    rng.shuffle(mixed)
+    got = run_ordered(spark, tmp_path, mixed, schema, "account_id", fold, "5 minutes", 2, (7, 10**6, at(10**6), 10**9, "end"), ttl_ms=15_000)
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert (O2.bounded_dedupe().start(), S.DEDUPE_KEYS, S.RING_GROUPS, O2.DEDUPE_TTL_MS) == ({}, 5000, 200, 1_200_000)
+
+
+def test_bounded_history_evicts_the_first_group():
+    fold = O2.bounded_history(2, 2)
+    state, out = fold.start(), []
+    for i, (group, trigger) in enumerate([(1, 0), (1, 0), (1, 0), (2, 0), (3, 0), (1, 1), (2, 1), (4, 0), (3, 1), (4, 1), (4, 1)]):
+        state = fold.load(fold.dump(state))
+        state, more = fold.step(state, {"account_id": 0, "group_id": group, "ord": i, "sender": "s", "body": f"b{i}", "trigger": bool(trigger)})
+        out += [(r["group_id"], r["context"]) for r in more]
+    # Group 3 took the place of group 1; 4 had room, since 2 had been read.
+    assert out == [(1, ""), (2, "s: b3"), (3, "s: b4"), (4, "s: b7"), (4, "")]
+
+
 def test_correlation_stream(spark, tmp_path):
     t = "timestamp '2024-01-01 00:00:00'"
     spark.sql(f"SELECT 'a' call_id, {t} ts, 'x' args").write.parquet(str(tmp_path / "s"))
