@@ -29,10 +29,9 @@ def jsonl_first_lines(spark, sf):
     """The first 300 lines of a JSONL file that are not blank, without the broken ones (the limit is the reader's)."""
     line = F.when(F.col("role") == "system", " ").when(F.col("turn") % 5 == 4, "{broken").otherwise(F.to_json(F.struct("conv_id", "turn")))
     c = Tables(spark, sf).conversations
-    # One file, since lines of several have no order among them.
-    one = c.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", line.alias("l")))), lambda x: x["l"]), "\n").alias("value"))
     path = scratch_folder(spark, "lines")
-    one.write.text(path)
+    # Part files by ranges follow each other in the order of their names.
+    c.repartitionByRange("conv_id", "turn").sortWithinPartitions("conv_id", "turn").select(line.alias("value")).write.text(path)
     rows, facts = S.read_jsonl_lenient(spark, path, "conv_id long, turn long", 300)
     return rows.join(F.broadcast(facts))
 
@@ -93,16 +92,33 @@ def store_versions(spark, sf):
     return store.read().where("embedding is null").drop("embedding")
 
 
-@query("""WITH d AS (SELECT lang, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents), f AS (SELECT sha256(t) AS h FROM d WHERE t <> '' AND lang IN ('en', 'fr')),
-o AS (SELECT DISTINCT sha256(t) AS h FROM d WHERE t <> '' AND lang IN ('en', 'de')), c AS (SELECT DISTINCT sha256(t) AS h FROM d WHERE lang = 'en')
-SELECT (SELECT count(*) FROM o WHERE h NOT IN (SELECT h FROM f)) AS removed, (SELECT count(*) FROM f WHERE h NOT IN (SELECT h FROM o)) AS added, (SELECT count(*) FROM f WHERE h NOT IN (SELECT h FROM c)) AS missing,
+@query("""WITH d AS (SELECT sha256(text) AS content_hash, source, lang, TRY_CAST(substr(source, 4) AS INT) AS n FROM documents),
+k AS (SELECT content_hash, max(source) AS base, max(n) FILTER (n BETWEEN 5 AND 9) AS late, max(n) FILTER (n < 5) AS early, bool_or(lang = 'fr') IS TRUE AS gone FROM d GROUP BY 1)
+SELECT content_hash, CASE WHEN late IS NOT NULL THEN 'run ' || late WHEN early IS NOT NULL THEN 'run ' || early ELSE base END AS file_path FROM k WHERE late IS NOT NULL OR NOT gone""")
+def store_runs(spark, sf):
+    """A keyed store after ten upserts, deletes between them, and the merges of its runs."""
+    d = Tables(spark, sf).documents.select(V.content_hash(F.col("text")).alias("content_hash"), "source", "lang")
+    store = stores.TableStore(spark, scratch_folder(spark, "store"), "content_hash string, file_path string", "content_hash")
+    store.write(d.groupBy("content_hash").agg(F.max("source").alias("file_path")))
+    for n in range(10):
+        if n == 5:
+            store.delete(d.where("lang = 'fr'"))
+        store.upsert(d.where(F.col("source") == f"src{n}").select("content_hash", F.lit(f"run {n}").alias("file_path")))
+    return store.read()
+
+
+@query("""WITH d AS (SELECT doc_id, lang, source, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents), f AS (SELECT sha256(t) AS h FROM d WHERE t <> '' AND lang IN ('en', 'fr')),
+o AS (SELECT sha256(t) AS h, arg_min(lang, 'd' || doc_id) AS lang FROM d WHERE t <> '' AND lang IN ('en', 'de') GROUP BY 1), c AS (SELECT DISTINCT sha256(t) AS h FROM d WHERE lang = 'en' AND source < 'src2')
+SELECT (SELECT count(*) FROM o WHERE h NOT IN (SELECT h FROM f)) AS removed, (SELECT count(*) FROM f WHERE h NOT IN (SELECT h FROM o)) AS added,
+  (SELECT count(DISTINCT h) FROM f WHERE h NOT IN (SELECT h FROM c) AND h NOT IN (SELECT h FROM o WHERE lang = 'en')) AS missing,
   (SELECT count(DISTINCT h) FROM f) AS chunks""")
 def index_sync(spark, sf):
-    """An index after a pass over files: chunks removed, added and left without a vector."""
-    d = Tables(spark, sf).documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), "text", "lang")
+    """An index after a pass over files: chunks removed, added and left without a vector; most keep one that the cache lacks."""
+    d = Tables(spark, sf).documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), "text", "lang", "source")
     now = F.current_timestamp()
-    old = R.chunk(d.where("lang IN ('en', 'de')"), "file_path", "text", 10**6, 0).drop("ord").withColumns({"embedding": F.array(F.lit(1.0).cast("float")), "updated_at": now}).dropDuplicates(["content_hash"])
-    cache = R.chunk(d.where("lang = 'en'"), "file_path", "text", 10**6, 0).select("content_hash", F.array(F.lit(2.0).cast("float")).alias("embedding")).dropDuplicates(["content_hash"])
+    old = R.chunk(d.where("lang IN ('en', 'de')"), "file_path", "text", 10**6, 0).drop("ord").withColumns({"embedding": F.array(F.lit(1.0).cast("float")), "updated_at": now})
+    old = old.groupBy("content_hash").agg(F.min_by(F.struct(*old.columns), "file_path").alias("r")).select("r.*")
+    cache = R.chunk(d.where("lang = 'en' AND source < 'src2'"), "file_path", "text", 10**6, 0).select("content_hash", F.array(F.lit(2.0).cast("float")).alias("embedding")).dropDuplicates(["content_hash"])
     # Documents hold one paragraph each, so a budget over their length makes one chunk of each.
     out, counts = R.sync_index(old, d.where("lang IN ('en', 'fr')").select("file_path", "text"), cache, tokens=10**6, overlap=0)
     c = {k: v.withColumnRenamed("n", k) for k, v in counts.items()}

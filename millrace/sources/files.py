@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,16 +33,55 @@ def read_jsonl_strict(spark: SparkSession, path: str, schema: str, required: lis
     return rows
 
 
+def numbered_lines(spark: SparkSession, path: str, blank: bool = True, within_file: bool = True) -> DataFrame:
+    """Lines of text files with their numbers from 1: file_path, line, text (S04, S10, S11). A carriage return before the end of a line goes.
+
+    Files are read in Spark's byte ranges, a large one in many tasks. A task numbers the lines of each range; what comes before a range is the sum of
+    the counts of the earlier ones, which are one row a range. blank: lines of white space alone count and are returned. within_file: numbers start
+    again in each file; else the files follow each other in the order of their paths.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_block_start").alias("start"), F.lit(1).cast("long").alias("line"), F.regexp_replace("value", "\r$", "").alias("text")
+    )
+    if not blank:
+        lines = lines.where(F.trim("text") != "")
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, n = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            spots = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+            numbers = []
+            for spot in spots:
+                n = n + 1 if spot == last else 1
+                last = spot
+                numbers.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(numbers, pa.int64()), batch.column(3)], batch.schema.names)
+
+    ranges = lines.groupBy("file_path", "start").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("file_path").orderBy("start") if within_file else Window.orderBy("file_path", "start")
+    ranges = ranges.select("file_path", "start", (F.sum("n").over(order) - F.col("n")).alias("before"))
+    out = lines.mapInArrow(number, lines.schema).join(ranges, ["file_path", "start"])
+    return out.select("file_path", (F.col("line") + F.col("before")).alias("line"), "text")
+
+
+def read_lines(spark: SparkSession, path: str, first: int = 1, count: int = 2000) -> DataFrame:
+    """A range of lines of each file: file_path, line, text."""
+    return numbered_lines(spark, path).where(F.col("line").between(first, first + count - 1))
+
+
 def read_jsonl_lenient(spark: SparkSession, path: str, schema: str, limit: int = 500) -> tuple[DataFrame, DataFrame]:
     """The first lines of a JSONL file, broken ones among them left out (S04): rows, and one row with total and truncated.
 
-    The limit (1 to 2000) counts lines that are not blank, broken ones too, and so does total.
+    The limit (1 to 2000) counts lines that are not blank, broken ones too, and so does total. Several files follow each other by path.
     """
     limit = max(1, min(2000, limit))
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "line")).where(F.trim("line") != "")
-    head = lines.orderBy("n").limit(limit)
-    rows = head.where(F.try_parse_json("line").isNotNull()).select(F.from_json("line", schema).alias("r"), "n").orderBy("n").select("r.*")
-    return rows, lines.agg(F.count("*").alias("total"), (F.count("*") > limit).alias("truncated"))
+    lines = numbered_lines(spark, path, blank=False, within_file=False)
+    head = lines.where(F.col("line") <= limit)
+    rows = head.where(F.try_parse_json("text").isNotNull()).select(F.from_json("text", schema).alias("r"), "line").orderBy("line").select("r.*")
+    total = spark.read.option("lineSep", "\n").text(path).where(F.trim(F.regexp_replace("value", "\r$", "")) != "")
+    return rows, total.agg(F.count("*").alias("total"), (F.count("*") > limit).alias("truncated"))
 
 
 EVENT_SCHEMA = "type string, timestamp timestamp, content string, toolName string, args string, result string"
@@ -109,7 +151,7 @@ def seed_table(df: DataFrame, path: str, force: bool = False) -> None:
 
 
 def write_annotations(df: DataFrame, path: str) -> None:
-    """Annotations as one JSON array a batch file."""
+    """Annotations as JSON lines; millrace.sources.post sends them to an endpoint."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("append").text(path)
 
 

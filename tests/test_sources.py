@@ -1,12 +1,17 @@
 import datetime as dt
+import http.server
 import json
+import random
 import sys
+import threading
+import time
 import types
 
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.sources import files as S
-from millrace.sources import pages, rest, stores
+from millrace.sources import pages, post, rest, stores, watch
 
 
 def write(path, text):
@@ -31,6 +36,34 @@ def test_lenient_lines(spark, tmp_path):
     assert [r["id"] for r in rows.collect()] == [1, 2] and tuple(facts.head()) == (4, True)
 
 
+def test_line_numbers_over_several_splits(spark, tmp_path):
+    """Files of many byte ranges, numbered in each file and over all of them; what a plain reader says."""
+    rng = random.Random(3)
+    texts = {}
+    for name in ("a", "b", "c"):
+        lines = [rng.choice(["", " ", "x" * rng.randint(1, 60), "é한", '{"id": 1}']) + rng.choice(["", "\r"]) for _ in range(200)]
+        texts[name] = [x.removesuffix("\r") for x in lines]
+        write(tmp_path / "in" / f"{name}.txt", "\n".join(lines) + rng.choice(["", "\n"]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        path = str(tmp_path / "in")
+        assert spark.read.text(path).rdd.getNumPartitions() > 20
+        got = {(r["file_path"][-5], r["line"]): r["text"] for r in S.numbered_lines(spark, path).collect()}
+        # An empty last line is none.
+        want = {(n, i): x for n, lines in texts.items() for i, x in enumerate(lines, 1) if i < 200 or x or (n, 200) in got}
+        assert got == want
+        assert sorted((r["file_path"][-5], r["line"]) for r in S.read_lines(spark, path, 99, 3).collect()) == [(n, i) for n in "abc" for i in (99, 100, 101)]
+        solid = [x for n in "abc" for x in texts[n] if x.strip(" ")]
+        every = S.numbered_lines(spark, path, blank=False, within_file=False).orderBy("line").collect()
+        assert [r["text"] for r in every] == solid and [r["line"] for r in every] == list(range(1, len(solid) + 1))
+        rows, facts = S.read_jsonl_lenient(spark, path, "id int", 250)
+        assert rows.count() == sum(x == '{"id": 1}' for x in solid[:250]) and tuple(facts.head()) == (len(solid), True)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
 def test_event_log_and_csv(spark, tmp_path):
     p = write(tmp_path / "e.jsonl", '{"type": "init", "timestamp": "2024-01-01T00:00:00Z"}\nnot json\n{"type": "x"}\n')
     assert [r["type"] for r in S.read_event_log(spark, p).collect()] == ["init"]
@@ -84,6 +117,58 @@ def test_table_store(spark, tmp_path):
     assert chunks.read().head()["embedding"] is None
 
 
+def test_store_runs(spark, tmp_path):
+    """Random upserts and deletes against a dict; changes write their own rows alone, and merges keep the number of runs low."""
+    rng = random.Random(6)
+    store, want = stores.TableStore(spark, str(tmp_path / "kv"), "k string, v int, note string", "k", buckets=3), {}
+    first = {f"k{i}": (i, None) for i in range(3000)}
+    store.write(spark.createDataFrame([(k, *v) for k, v in first.items()], "k string, v int, note string"))
+    want |= first
+    base = store.runs()[0]["bytes"]
+    for turn in range(10):
+        new = {rng.choice([f"k{rng.randrange(4000)}", None]): (turn, f"n{turn}") for _ in range(20)}
+        rows = [(k, *v) for k, v in new.items()] + [(k, -1, "") for k in new]  # a key twice: the greater row stays
+        before = {r["name"] for r in store.runs()}
+        store.upsert(spark.createDataFrame(rows, "k string, v int, note string"))
+        want |= new
+        if turn == 0:
+            added = [r for r in store.runs() if r["name"] not in before]
+            assert len(added) == 1 and added[0]["bytes"] < base / 2
+        gone = [f"k{rng.randrange(4000)}" for _ in range(5)]
+        store.delete(spark.createDataFrame([(k,) for k in gone], "k string"))
+        for k in gone:
+            want.pop(k, None)
+    assert {r["k"]: (r["v"], r["note"]) for r in store.read().collect()} == want
+    assert len(store.runs()) <= 4
+    old = len(store.versions())
+    store.compact(whole=True)
+    assert len(store.runs()) == 1 and {r["k"]: (r["v"], r["note"]) for r in store.read().collect()} == want and store._read_run(store.runs()[0]).where("_deleted").count() == 0
+    assert store.read(1).count() == 3000
+    assert store.vacuum() > 0 and len(store.versions()) == 1 <= old and store.read().count() == len(want)
+    # A column that new rows lack is null.
+    store.upsert(spark.createDataFrame([("k1", 7)], "k string, v int"))
+    assert tuple(store.read().where("k = 'k1'").head()) == ("k1", 7, None)
+
+
+def test_store_after_a_crash(spark, tmp_path, monkeypatch):
+    """A run without its manifest, and a draft of one, change nothing."""
+    store = stores.TableStore(spark, str(tmp_path / "kv"), "k string, v int", "k")
+    rows = lambda *r: spark.createDataFrame(list(r), "k string, v int")
+    store.write(rows(("a", 1), ("b", 2)))
+    monkeypatch.setattr(store, "_publish", lambda runs: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        store.upsert(rows(("a", 9)))
+    monkeypatch.undo()
+    (tmp_path / "kv" / "manifests" / "_draft").write_text("[")
+    assert {tuple(r) for r in store.read().collect()} == {("a", 1), ("b", 2)}
+    store.upsert(rows(("c", 3)))
+    assert {tuple(r) for r in store.read().collect()} == {("a", 1), ("b", 2), ("c", 3)}
+    # Nobody's version is replaced.
+    monkeypatch.setattr(store, "versions", lambda: [1])
+    with pytest.raises(RuntimeError):
+        store._publish([])
+
+
 def test_caches(spark):
     t = dt.datetime(2024, 1, 1)
     c = spark.createDataFrame([("e", "u", '{"a": 1}', t), ("e", "u", "3", t), (None, "u", "{}", t)], "endpoint string, url string, data string, cached_at timestamp")
@@ -172,3 +257,122 @@ def test_pages_over_http(spark):
     assert got[None]["status"] is None
     assert pages.fetch(root + "/ok", seconds=1)["error"] == "URLError"
     assert pages.fetched(df.limit(0)).count() == 0
+
+
+def test_changes_of_a_folder(tmp_path):
+    """The listing that counts is the one after which the folder was quiet; each change starts the time again."""
+    folder = tmp_path / "notes"
+    write(folder / "a.md", "one")
+    write(folder / "skip.txt", "x")
+    reader = watch.ChangesReader({"path": str(folder), "quiet_ms": "300"})
+    time.sleep(0.35)
+    start, first = reader.initialOffset(), reader.latestOffset()
+    events = lambda a, b: [(p.path.rsplit("/", 1)[1], p.event, next(reader.read(p))[4]) for p in reader.partitions(a, b)]
+    assert events(start, first) == [("a.md", "added", "one")]
+    for text in ("two", "three, and more"):
+        write(folder / "a.md", text)
+        write(folder / "sub" / "b.md", "b")
+        assert reader.latestOffset() == first
+        time.sleep(0.2)
+        assert reader.latestOffset() == first
+    time.sleep(0.35)
+    second = reader.latestOffset()
+    assert events(first, second) == [("a.md", "changed", "three, and more"), ("b.md", "added", "b")]
+    (folder / "a.md").unlink()
+    reader.latestOffset()
+    time.sleep(0.35)
+    assert events(second, reader.latestOffset()) == [("a.md", "vanished", None)]
+    assert watch.ChangesReader({"path": str(folder), "from_now": "true"}).initialOffset()["files"] and watch.listing(str(tmp_path / "none"), "*") == {}
+
+
+def test_changes_as_a_stream(spark, tmp_path):
+    """A file that is edited several times fires once, with its last text."""
+    folder = tmp_path / "notes"
+    write(folder / "a.md", "first")
+    spark.dataSource.register(watch.FileChanges)
+    stream = spark.readStream.format("millrace_changes").options(path=str(folder), quiet_ms="1500").load()
+    run = stream.writeStream.format("memory").queryName("changed_files").option("checkpointLocation", str(tmp_path / "cp")).trigger(processingTime="200 milliseconds").start()
+    try:
+        rows = lambda: [(r["event"], r["text"]) for r in spark.table("changed_files").collect()]
+
+        def wait_for(n):
+            end = time.time() + 60
+            while len(rows()) < n and time.time() < end:
+                time.sleep(0.2)
+            return rows()
+
+        assert wait_for(1) == [("added", "first")]
+        for i in range(4):
+            write(folder / "a.md", f"edit number {i}")
+            time.sleep(0.4)
+        assert wait_for(2) == [("added", "first"), ("changed", "edit number 3")]
+        time.sleep(1)
+        assert len(rows()) == 2 and run.exception() is None
+    finally:
+        run.stop()
+
+
+class _Endpoint(http.server.BaseHTTPRequestHandler):
+    taken, refusals = [], {}
+
+    def do_POST(self):
+        body = self.rfile.read(int(self.headers["Content-Length"]))
+        key = self.headers["Idempotency-Key"]
+        left = self.refusals.get("first", 0)
+        if left:
+            self.refusals["first"] = left - 1
+            self.send_response(503)
+        elif b'"bad"' in body and self.refusals.get("bad"):
+            self.send_response(400)
+        else:
+            self.taken.append((key, json.loads(body)["data"]))
+            self.send_response(200)
+        self.end_headers()
+
+    def log_message(self, *args):
+        pass
+
+
+@pytest.fixture
+def endpoint():
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Endpoint)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    _Endpoint.taken, _Endpoint.refusals = [], {}
+    yield f"http://127.0.0.1:{server.server_port}/v1/span_annotations"
+    server.shutdown()
+
+
+def test_posted_rows(spark, tmp_path, endpoint):
+    """Refused for a while, then for good, then taken: each row arrives, and none twice."""
+    spark.dataSource.register(post.PostSink)
+    rows = [(f"s{i}", "groundedness", float(i % 2), None if i % 3 else "why é") for i in range(60)]
+    schema = "span_id string, name string, score double, explanation string"
+    options = {"batch": "7", "first_delay_s": "0.01"}
+    _Endpoint.refusals["first"] = 2
+    post.posted(spark.createDataFrame(rows, schema), endpoint, str(tmp_path / "sent"), **options)
+    sent = [r for _, batch in _Endpoint.taken for r in batch]
+    assert sorted((r["span_id"], r["name"], r["score"], r["explanation"]) for r in sent) == sorted(rows, key=lambda r: r[0])
+    assert len(_Endpoint.taken) == len({k for k, _ in _Endpoint.taken}) and max(len(b) for _, b in _Endpoint.taken) <= 7
+    # The same rows again: nothing is posted.
+    before = len(_Endpoint.taken)
+    post.posted(spark.createDataFrame(rows, schema), endpoint, str(tmp_path / "sent"), **options)
+    assert len(_Endpoint.taken) == before
+    # A batch that is refused fails the write; once it is taken, the rest is not sent again.
+    more = [(f"t{i}", "bad" if i == 5 else "good", 1.0, None) for i in range(40)]
+    _Endpoint.refusals["bad"] = True
+    with pytest.raises(Exception, match="400"):
+        post.posted(spark.createDataFrame(more, schema), endpoint, str(tmp_path / "sent2"), **options)
+    _Endpoint.refusals["bad"] = False
+    post.posted(spark.createDataFrame(more, schema), endpoint, str(tmp_path / "sent2"), **options)
+    got = [r["span_id"] for _, batch in _Endpoint.taken[before:] for r in batch]
+    assert sorted(got) == sorted(r[0] for r in more)
+
+
+def test_posted_stream(spark, tmp_path, endpoint):
+    spark.dataSource.register(post.PostSink)
+    spark.range(10).selectExpr("concat('s', id) AS span_id", "'x' AS name").write.json(str(tmp_path / "in"))
+    stream = spark.readStream.schema("span_id string, name string").json(str(tmp_path / "in"))
+    write_to = stream.writeStream.format("millrace_post").options(url=endpoint, sent=str(tmp_path / "sent"), batch="4")
+    run = write_to.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    assert run.awaitTermination(120)
+    assert sorted(r["span_id"] for _, b in _Endpoint.taken for r in b) == [f"s{i}" for i in range(10)]
