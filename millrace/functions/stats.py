@@ -26,20 +26,21 @@ def floor_percentile_distributed(df, keys: list[str], col: str, ps: dict[str, fl
 
     Equal values are counted first, on the map side. Each group's values are then dealt to ranges between those of its values whose hashes
     are smallest (the same ones in every run), the ranges' counts say which range holds an index, and only such ranges are sorted: a task
-    sorts about one in ``buckets`` of a group's distinct values, never the group.
+    sorts about one in ``buckets`` of a group's distinct values, never the group. A group without values has nulls.
     """
     from pyspark.sql import Window
 
     names = [f"_k{i}" for i in range(len(keys))]
-    counts = df.where(F.col(col).isNotNull()).groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(col).alias("_v")).agg(F.count("*").alias("_c"))
+    every = df.groupBy(*(F.col(k).alias(n) for k, n in zip(keys, names, strict=True)), F.col(col).alias("_v")).agg(F.count("*").alias("_c"))
+    counts = every.where("_v IS NOT NULL")
 
-    def beside(left, right, on: list[str]):
-        """Inner join in which a null is a key as well."""
+    def beside(left, right, on: list[str], how: str = "inner"):
+        """Join in which a null is a key as well."""
         right = right.withColumnsRenamed({n: f"_r{n}" for n in on})
         same = F.lit(True)
         for n in on:
             same = same & F.col(n).eqNullSafe(F.col(f"_r{n}"))
-        return left.join(right, same).drop(*(f"_r{n}" for n in on))
+        return left.join(right, same, how).drop(*(f"_r{n}" for n in on))
 
     # Spark drops rows beyond the rank in each task before the shuffle (WindowGroupLimit).
     few = F.row_number().over(Window.partitionBy(*names).orderBy(F.xxhash64("_v"), "_v"))
@@ -56,7 +57,8 @@ def floor_percentile_distributed(df, keys: list[str], col: str, ps: dict[str, fl
     high = F.col("_before") + F.sum("_c").over(Window.partitionBy(*names, "_b").orderBy("_v"))
     found = found.withColumn("_high", high)
     picks = [F.max(F.when((i < F.col("_high")) & (i >= F.col("_high") - F.col("_c")), F.col("_v"))).alias(name) for name, i in index.items()]
-    return found.groupBy(*names).agg(*picks).withColumnsRenamed(dict(zip(names, keys, strict=True)))
+    out = beside(every.select(*names).distinct(), found.groupBy(*names).agg(*picks), names, "left")
+    return out.withColumnsRenamed(dict(zip(names, keys, strict=True)))
 
 
 def outcome_counts(col: str = "outcome") -> list[Column]:

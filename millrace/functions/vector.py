@@ -26,9 +26,13 @@ def cosine(a: Column, b: Column, a_length: Column | None = None, b_length: Colum
     return F.when((F.size(a) == F.size(b)) & (F.size(a) > 0), F.coalesce(F.try_divide(dot(a, b), norm), F.lit(0.0))).otherwise(F.lit(0.0))
 
 
+#: A word of a keyword query: letters, digits and underscores of any script.
+WORD = r"([\p{L}\p{N}_]+)"
+
+
 def word_tokens(text: Column) -> Column:
-    """Words of a keyword query: runs of letters, digits and underscores of any script."""
-    return F.regexp_extract_all(text, F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    """The words of a text."""
+    return F.regexp_extract_all(text, F.lit(WORD), F.lit(1))
 
 
 def ascii_tokens(text: Column) -> Column:

@@ -107,9 +107,9 @@ def _holds(kind: T.DataType, names: tuple[str, ...]) -> bool:
 
 
 def last_results(df: DataFrame) -> DataFrame:
-    """The last sub-request (tool, ticker, ord, data, error) of each tool_ticker: key, ord, data, error. Rows stay distributed."""
+    """The last sub-request (tool, ticker, ord, data, error) of each tool_ticker: key, ord, data, error; of one ord, the greatest by data and error. Rows stay distributed."""
     key = F.when(F.col("ticker").isNotNull(), F.concat_ws("_", "tool", "ticker")).otherwise(F.col("tool"))
-    w = Window.partitionBy("key").orderBy(F.desc("ord"))
+    w = Window.partitionBy("key").orderBy(F.desc("ord"), F.desc("data"), F.desc("error"))
     return df.select(key.alias("key"), "ord", "data", "error").withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 

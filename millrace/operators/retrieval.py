@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import vector as V
+from millrace.operators.vector_index import topk as vector_topk
 
 CHUNK_TOKENS, OVERLAP_TOKENS, MAX_RESULTS, MIN_SCORE, HALF_LIFE, MMR_LAMBDA = 400, 80, 6, 0.1, 30.0, 0.7
 
@@ -77,41 +78,6 @@ def chunk(df: DataFrame, id_col: str, text_col: str, tokens: int = CHUNK_TOKENS,
     return out.select(id_col, (F.col("ord") + 1).alias("ord"), "c.*", V.content_hash(F.col("c.content")).alias("content_hash"))
 
 
-def vector_topk(
-    chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str = "chunk_id", query_id: str = "query_id", digits: int | None = None, pass_bytes: int = 64 << 20
-) -> DataFrame:
-    """The k best chunks by cosine for each query: query_id, chunk_id, score, rank (T01, R01). digits: scores are rounded before they are ranked.
-
-    The queries are broadcast, at most ``pass_bytes`` of them at a time (one pass over the chunks for each), as 256 rows, each an array of
-    those whose ids hash alike; each chunk scores them all, and partial top-k lists are merged, so no pair of chunk and query is
-    shuffled. Queries without a vector have no hits.
-    """
-    queries = queries.where("embedding is not null")
-    size = queries.agg(F.sum(F.size("embedding").cast("long") * 8 + 64)).head()[0] or 0
-    passes = max(1, -(-size // pass_bytes))
-    out = None
-    for i in range(passes):
-        part = queries.where(F.pmod(F.xxhash64(query_id, F.lit(1)), F.lit(passes)) == i) if passes > 1 else queries
-        found = _vector_pass(chunks, part, k, chunk_id, query_id, digits)
-        out = found if out is None else out.unionByName(found)
-    return out
-
-
-def _vector_pass(chunks: DataFrame, queries: DataFrame, k: int, chunk_id: str, query_id: str, digits: int | None) -> DataFrame:
-    block = F.pmod(F.xxhash64(query_id), F.lit(256)).alias("block")
-    q = queries.groupBy(block).agg(F.collect_list(F.struct(F.col(query_id).alias("q"), F.col("embedding").alias("e"), V.length(F.col("embedding")).alias("l"))).alias("qs"))
-    scored = (
-        chunks.where("embedding is not null")
-        .withColumn("_l", V.length(F.col("embedding")))
-        .join(F.broadcast(q))
-        .select(F.col(chunk_id).alias("chunk_id"), F.explode(F.transform("qs", lambda x: F.struct(x["q"].alias("q"), V.cosine(F.col("embedding"), x["e"], F.col("_l"), x["l"]).alias("s")))).alias("x"))
-        .select(F.col("x.q").alias("query_id"), "chunk_id", (F.col("x.s") if digits is None else F.round("x.s", digits)).alias("score"))
-    )
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    # Spark drops rows beyond rank k in each task before the shuffle (WindowGroupLimit).
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """Distinct words of each query: query_id, need (their number), term."""
     words = queries.select("query_id", F.array_distinct(V.word_tokens(F.lower("text"))).alias("ws")).where(F.size("ws") > 0)
@@ -257,9 +223,9 @@ def latest_wins(old: DataFrame, new: DataFrame, key: str, order: str | None = No
 def upsert_chunks(old: DataFrame, new: DataFrame, keep_vectors: bool = True, touch: bool = False) -> DataFrame:
     """Chunks keyed by content hash (S15). New rows win and may move a chunk to another file.
 
-    keep_vectors: a new row without a vector keeps the old one's. touch: unchanged chunks get the new row's time too; else they keep theirs.
+    Of new rows with one hash that with the last file path stays (ties: the greatest by all columns). keep_vectors: a new row without a vector keeps the old one's. touch: unchanged chunks get the new row's time too; else they keep theirs.
     """
-    last = new.withColumn("_rn", F.row_number().over(Window.partitionBy("content_hash").orderBy(F.desc("file_path")))).where("_rn = 1").drop("_rn")
+    last = new.withColumn("_rn", F.row_number().over(Window.partitionBy("content_hash").orderBy(F.desc("file_path"), *(F.desc(c) for c in new.columns if c != "file_path")))).where("_rn = 1").drop("_rn")
     merged = old.alias("o").join(last.alias("n"), F.col("o.content_hash") == F.col("n.content_hash"), "full")
     cols = []
     for c in old.columns:
@@ -301,7 +267,7 @@ def sync_index(
     return out, {
         "removed": chunks.join(fresh.select("content_hash"), "content_hash", "left_anti").agg(F.count("*").alias("n")),
         "added": fresh.join(chunks.select("content_hash"), "content_hash", "left_anti").agg(F.count("*").alias("n")),
-        "missing": missing_vectors(fresh, cache).agg(F.count("*").alias("n")),
+        "missing": out.where("embedding IS NULL").agg(F.count("*").alias("n")),
     }
 
 

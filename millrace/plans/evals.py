@@ -6,8 +6,10 @@ from pyspark.sql import functions as F
 
 from millrace.functions import stats
 from millrace.operators import evals as E
+from millrace.operators import substring_index as B
 from millrace.operators.guard import outcome
 from millrace.plans.registry import Tables, query
+from millrace.session import scratch_folder
 
 _OUT_SQL = """outcomes AS (
   SELECT d.doc_id, d.lang, d.source, l.toxic, CASE
@@ -192,6 +194,18 @@ def search_facets(spark, sf):
     return E.search(Tables(spark, sf).documents, "SRC1", ["lang", "source", "text"], {"lang": "en"}).select("doc_id", "lang")
 
 
+@query("""WITH q AS (SELECT doc_id AS query_id, lower(substr(text, 7, CASE WHEN doc_id % 300 = 0 THEN 2 ELSE 9 END)) AS term FROM documents WHERE doc_id % 100 = 0)
+SELECT query_id, doc_id FROM q JOIN documents d ON term <> '' AND contains(lower(d.text), term)""")
+def substring_search(spark, sf):
+    """Documents that hold a piece of each hundredth document, through a stored index of trigrams; pieces of two signs are scanned for."""
+    d = Tables(spark, sf).documents
+    path = scratch_folder(spark, "trigrams")
+    B.build_index(d, path, "doc_id", "text")
+    size = F.when(F.col("doc_id") % 300 == 0, 2).otherwise(9)
+    terms = d.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.substring(F.col("text"), F.lit(7), size).alias("term"))
+    return B.search(d, path, terms, "doc_id", "text")
+
+
 @query("SELECT event_id, event_type FROM events WHERE event_id IN (1, 5, 9, 13, 17) AND event_type <> '' ORDER BY event_id LIMIT 3")
 def select_rows(spark, sf):
     """Rows by id, the first of them."""

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from millrace.functions import vector as V
+from millrace.operators import keyword_index as K
 from millrace.operators import retrieval as R
 from millrace.plans.registry import Tables, query
+from millrace.session import scratch_folder
 
 _SETUP = """
 q AS (SELECT vec_id AS query_id, embedding AS e FROM embeddings WHERE vec_id % 100 = 0),
@@ -60,6 +62,27 @@ def keyword_and_search(spark, sf):
     return _keywords(spark, sf).select("query_id", "chunk_id", F.col("score").cast("double").alias("score"))
 
 
+_BM25 = r"""dt AS (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents),
+tf AS (SELECT chunk_id, term, count(*) AS tf FROM dt GROUP BY ALL), dl AS (SELECT chunk_id, sum(tf) AS len FROM tf GROUP BY 1),
+tot AS (SELECT count(*) AS n, avg(len) AS mean FROM dl), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
+bm AS (SELECT query_id, chunk_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / mean))), 6) AS bm25
+  FROM hit JOIN qw USING (query_id) JOIN tf USING (chunk_id) JOIN dl USING (chunk_id) JOIN df USING (term), tot WHERE list_contains(qw.ws, term) GROUP BY ALL),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bm25 DESC, chunk_id) AS rank FROM bm QUALIFY rank <= 12)"""
+
+
+def _stored(spark, sf) -> str:
+    """The folder of a stored index of all documents."""
+    path = scratch_folder(spark, "keyword-index")
+    K.build_index(Tables(spark, sf).documents, path, "doc_id", "text")
+    return path
+
+
+@query(f"WITH {_KEY}, {_BM25} SELECT query_id, chunk_id, bm25, rank::INT AS rank FROM best")
+def keyword_topk(spark, sf):
+    """The twelve best documents that hold all words of a query, through a stored index whose blocks are skipped where they cannot reach them."""
+    return K.bm25_topk(spark, _stored(spark, sf), _queries(spark, sf), 12, digits=6)
+
+
 @query(f"""WITH {_SETUP}, {_KEY}, k AS (SELECT query_id, chunk_id, 1.0 AS k FROM hit),
 m AS (SELECT coalesce(t.query_id, k.query_id) AS query_id, coalesce(t.chunk_id, k.chunk_id) AS chunk_id, t.score AS v, k.k AS k FROM top t FULL JOIN k ON t.query_id = k.query_id AND t.chunk_id = k.chunk_id),
 w AS (SELECT *, count(v) OVER p > 0 AS hv, count(k) OVER p > 0 AS hk FROM m WINDOW p AS (PARTITION BY query_id)),

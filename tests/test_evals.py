@@ -60,6 +60,8 @@ def test_percentiles_of_ranges(spark):
     for key in {k for k, x in rows if x is not None}:
         values = sorted(x for k, x in rows if k == key and x is not None)
         want[key] = tuple(values[min(int(p * len(values)), len(values) - 1)] for p in ps.values())
+    # A group without values has nulls.
+    df, want["none"] = df.unionByName(spark.createDataFrame([("none", None)] * 3, "k string, x double")), (None,) * 4
     for buckets in (1, 2, 16, 256):
         got = stats.floor_percentile_distributed(df, ["k"], "x", ps, buckets).collect()
         assert {r["k"]: tuple(r)[1:] for r in got} == want

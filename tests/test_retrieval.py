@@ -1,11 +1,19 @@
+import collections
 import datetime as dt
+import math
+import random
+import re
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from millrace.functions import vector as V
+from millrace.operators import keyword_index as K
 from millrace.operators import retrieval as R
+from millrace.operators import substring_index as B
+from millrace.operators import vector_index as VI
 
 
 def one(spark, col):
@@ -121,11 +129,16 @@ def test_index_changes(spark):
     files = spark.createDataFrame([("a.md", "hello there")], "file_path string, text string")
     h = files.select(V.content_hash(F.col("text"))).head()[0]
     chunks = spark.createDataFrame([("a.md", "stale", None, t0), ("gone.md", "h9", None, t0)], schema)
-    out, counts = R.sync_index(chunks, files, spark.createDataFrame([(h, [3.0])], "content_hash string, embedding array<float>"))
+    cache = spark.createDataFrame([(h, [3.0])], "content_hash string, embedding array<float>")
+    out, counts = R.sync_index(chunks, files, cache)
     rows = out.collect()
     assert [(r["file_path"], r["content_hash"], r["embedding"]) for r in rows] == [("a.md", h, [3.0])]
     assert {k: c.head()[0] for k, c in counts.items()} == {"removed": 2, "added": 1, "missing": 0}
     assert [r[0] for r in R.vanished_files(chunks, files).collect()] == ["gone.md"]
+    # A chunk that keeps the vector it had lacks none, though the cache does.
+    out, counts = R.sync_index(out, files, cache.limit(0))
+    assert [r["embedding"] for r in out.collect()] == [[3.0]] and counts["missing"].head()[0] == 0
+    assert R.sync_index(out.withColumn("embedding", F.lit(None).cast("array<float>")), files, cache.limit(0))[1]["missing"].head()[0] == 1
 
 
 def test_searches_take_each_hundredth_row(spark, data):
@@ -148,8 +161,133 @@ def test_upsert_keeps_one_row_a_key(spark):
     assert {tuple(r)[:2] for r in R.latest_wins(old, new, "key", "ord").collect()} == {("k", 1), ("o", 0), ("n", 3), (None, 4)}
 
 
-def test_vector_search_in_several_passes(spark):
-    df = spark.createDataFrame([(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(60)], "chunk_id long, embedding array<float>")
-    q = df.withColumnRenamed("chunk_id", "query_id").where("query_id % 10 = 0")
-    one, many = (sorted(map(tuple, R.vector_topk(df, q, 4, digits=5, pass_bytes=b).collect())) for b in (1 << 20, 200))
-    assert one == many and len(one) == 24
+def plain_cosine(a, b):
+    na, nb = np.linalg.norm(a), np.linalg.norm(b)
+    return float(np.dot(a, b) / (na * nb)) if len(a) == len(b) and na and nb else 0.0
+
+
+def plain_topk(rows, queries, k, digits):
+    ok = lambda v: v is not None and None not in v and np.isfinite(v).all()
+    out = {}
+    for q, a in queries:
+        if ok(a):
+            scored = sorted((-round(plain_cosine(a, b), digits) + 0.0, i) for i, b in rows if ok(b))[:k]
+            out[q] = [(i, -s) for s, i in scored]
+    return out
+
+
+def test_vector_search_is_exact(spark, monkeypatch):
+    """Clusters, copies, opposite, zero, odd and other-length vectors; small blocks, so that rings have several."""
+    monkeypatch.setattr(VI, "BLOCK_NUMBERS", 8 * 20)
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(12, 8))
+    rows = [(i, (centres[i % 12] + rng.normal(scale=0.05, size=8)).tolist()) for i in range(1200)]
+    rows += [(2000 + i, centres[0].tolist()) for i in range(60)] + [(3000 + i, rng.normal(size=3).tolist()) for i in range(5)] + [(3100, [1.0])]
+    rows += [(-5, [0.0] * 8), (-4, []), (-3, None), (-2, [float("nan")] * 8), (-1, [None] * 8), (4000, (-centres[1]).tolist())]
+    queries = [(i, v) for i, v in rows if i % 50 == 0 or i < 0 or i >= 3000]
+    schema = "{} long, embedding array<double>"
+    chunks, asked = spark.createDataFrame(rows, schema.format("chunk_id")).repartition(5), spark.createDataFrame(queries, schema.format("query_id"))
+    for k in (1, 12):
+        got = {}
+        for r in R.vector_topk(chunks, asked, k, digits=5).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["chunk_id"], r["score"]))
+        assert got == plain_topk(rows, queries, k, 5)
+    # Rows of 12 clusters: a query meets its own and little else.
+    assert VI.pairs_left_out(chunks.where("chunk_id between 0 and 1199"), asked.where("query_id between 0 and 1199"), 10) > 0.8
+
+
+def test_vector_search_of_nothing(spark):
+    none = spark.createDataFrame([], "chunk_id long, embedding array<float>")
+    one = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<float>")
+    assert R.vector_topk(none, one, 3).count() == 0
+    assert R.vector_topk(one.withColumnRenamed("query_id", "chunk_id"), none.withColumnRenamed("chunk_id", "query_id"), 3).count() == 0
+    assert R.vector_topk(one.withColumnRenamed("query_id", "chunk_id"), one, 3).collect() == [(1, 1, 1.0, 1)]
+
+
+# A stored index of words
+
+
+def talk(seed, n):
+    rng = random.Random(seed)
+    common, rare = [f"w{i}" for i in range(6)], [f"r{i}" for i in range(60)]
+    return [(i * 7 - 900, " ".join([rng.choice(common) for _ in range(rng.randint(0, 40))] + rng.sample(rare, rng.randint(0, 3)))) for i in range(n)]
+
+
+def plain_bm25(rows, queries, k, digits):
+    docs = [(i, re.findall(r"\w+", (t or "").lower())) for i, t in rows]
+    docs = [(i, w) for i, w in docs if w]
+    n, mean = len(docs), sum(len(w) for _, w in docs) / max(1, len(docs))
+    df = collections.Counter(t for _, w in docs for t in set(w))
+    out = {}
+    for q, text in queries:
+        terms = set(re.findall(r"\w+", (text or "").lower()))
+        hits = []
+        for i, w in docs:
+            if terms and terms <= set(w):
+                hits.append((-round(sum(math.log((n - df[t] + 0.5) / (df[t] + 0.5) + 1) * w.count(t) * 2.2 / (w.count(t) + 1.2 * (0.25 + 0.75 * len(w) / mean)) for t in terms), digits), i))
+        if hits:
+            out[q] = [(i, -s) for s, i in sorted(hits)[:k]]
+    return out
+
+
+def test_stored_index(spark, tmp_path, monkeypatch):
+    rows = talk(2, 900) + [(5000, None), (5001, ""), (5002, "!!"), (5003, "Ünï 한글 w1"), (None, "w1 w2")]
+    queries = [(1, "w1"), (2, "w1 w2"), (3, "r5"), (4, "r5 w3 w3"), (5, "w0 w1 w2 w3"), (6, "absent w1"), (7, ""), (8, None), (9, "한글"), (10, "R7, w2!"), (11, "r1 r2")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, content string").repartition(4)
+    asked = spark.createDataFrame(queries, "query_id long, text string")
+    path = str(tmp_path / "index")
+    K.build_index(chunks, path, block_chunks=16)
+    want = plain_bm25([r for r in rows if r[0] is not None], queries, 7, 6)
+    K.build_index(chunks.where("chunk_id is not null"), path + "2", block_chunks=16)
+    for pushed in (1024, 0):
+        monkeypatch.setattr(K, "PUSHED_TERMS", pushed)
+        got = {}
+        for r in K.bm25_topk(spark, path + "2", asked, 7, digits=6).orderBy("query_id", "rank").collect():
+            got.setdefault(r["query_id"], []).append((r["chunk_id"], r["bm25"]))
+        assert got == want
+    hits = {r["query_id"]: r["score"] for r in K.search(spark, path, asked, 1).collect()}
+    assert set(hits) == set(want) and set(hits.values()) == {1.0}
+    assert all(0 < r["score"] < 1 for r in K.search(spark, path, asked, 3, "bm25").collect())
+    # Blocks that cannot reach the seventh score stay closed.
+    opened, held = K.opened_blocks(spark, path, asked.where("query_id = 1"), 3)
+    assert opened < held
+
+
+def test_stored_index_reads_the_terms_of_its_queries(spark, tmp_path):
+    path = str(tmp_path / "index")
+    K.build_index(spark.createDataFrame(talk(3, 200), "chunk_id long, content string"), path)
+    asked = spark.createDataFrame([(1, "r5 w1")], "query_id long, text string")
+    plan = K._of_terms(K._table(spark, path, "postings"), K.query_terms(asked))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan and "PushedFilters: [" in plan and "(term, [" in plan, plan
+    K.build_index(spark.createDataFrame([], "chunk_id long, content string"), path + "0")
+    assert K.search(spark, path + "0", asked, 3).count() == 0
+
+
+def test_substring_index(spark, tmp_path, monkeypatch):
+    """Against a scan: terms of all lengths, whatever their case, signs beyond 16 bits, nulls, several blocks, named and joined trigrams."""
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcAB é한😀 .") for _ in range(n))
+    texts = [(i, word(rng.randint(0, 80))) for i in range(400)] + [(1000, None), (None, "abc"), (1001, "x" * 5000 + "needle" + "x" * 5000)]
+    terms = [(i, word(rng.randint(1, 6))) for i in range(60)] + [(100, "NEEDLE"), (101, ""), (102, None), (103, "not there at all"), (104, "xxx"), (105, texts[7][1])]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame(terms, "query_id long, term string")
+    want = sorted((q, i) for q, t in terms if t for i, x in texts if i is not None and x is not None and t.lower() in x.lower())
+    monkeypatch.setattr(B, "BLOCK_TEXTS", 50)
+    path = str(tmp_path / "index")
+    B.build_index(frame, path, "doc_id", "text")
+    for named in (1024, 0):
+        monkeypatch.setattr(B, "PUSHED", named)
+        got = B.search(frame.where("doc_id is not null"), path, asked, "doc_id", "text").collect()
+        assert sorted(map(tuple, got)) == want and len(want) > 200
+    # Few texts are read for a long term.
+    assert B.candidates(spark, path, asked.where("query_id = 100").selectExpr("query_id AS query", "lower(term) AS term")).count() == 1
+    B.build_index(frame.limit(0), path + "0", "doc_id", "text")
+    assert B.search(frame.limit(0), path + "0", asked, "doc_id", "text").count() == 0
+
+
+def test_packed_places():
+    rng = np.random.default_rng(0)
+    for size, n in ((1, 1), (4096, 3), (4096, 300), (4096, 4096), (17, 5)):
+        places = np.sort(rng.choice(size, n, replace=False))
+        data = B.packed(places, size)
+        assert B.unpacked(data).tolist() == places.tolist() and len(data) <= 1 + min(2 * n, -(-size // 8)) + 1
