@@ -110,7 +110,6 @@ _LOCATION, _LIVES = "[가-힣]{2,}(?:구|동)", "(?:거주|사는|주소|프로
 _HINTS = [
     _re("[０-９⓪①②③④⑤⑥⑦⑧⑨零〇一二三四五六七八九]"),
     _re(r"[\u200b-\u200d\ufeff]"),
-    _ENGLISH_RUN,
     _re(rf"[a-zA-Z]{_WS}[a-zA-Z]{_WS}[a-zA-Z]{_WS}*[.@]"),
 ]
 _KOREAN_HINTS = [
@@ -122,7 +121,8 @@ _KOREAN_HINTS = [
 ]
 _HANGUL = _re("[가-힣]")
 _SAYS_AT = _re(rf"{_WS}{_AT}{_WS}", re.I)
-_NAMES_ID = _re("rrn|kyc|[가-힣]", re.I)
+_OH = _re(r"\boh?\b", re.I)
+_WORD = _re("[A-Za-z][a-z]{11,16}")
 _HIGH_RISK = _re(HIGH_RISK, re.I)
 _TAIL = _re(rf"(?:[\-.@_*]|{_WS})+$")
 _DECORATION = r"(?:[,，、.:：;；/／·・－-]|" + _WS + ")+"
@@ -290,7 +290,7 @@ def _from_base64(raw: str) -> str | None:
 def base64_tokens(text: str) -> list[Span]:
     """Base64 tokens that decode to personal data."""
     out = []
-    for m in _BASE64.finditer(text):
+    for m in _base64_runs(text):
         if re.search("[A-Za-z+/]", m[0]) and len(m[0]) % 4 != 1 and (plain := _from_base64(m[0])):
             if kind := _decoded_type(plain, _around(text, *m.span(), 32)):
                 out.append(Span(kind, *m.span(), m[0], 0.94))
@@ -324,7 +324,27 @@ def unicode_digits(text: str) -> list[Span]:
 
 
 def _named_phrases(text: str) -> Iterable[re.Match]:
-    return _PHRASE.finditer(text) if _NAMES_ID.search(text) else ()
+    lower = text.lower()
+    return _PHRASE.finditer(text) if "rrn" in lower or "kyc" in lower or _HANGUL.search(text) else ()
+
+
+def _may_speak(text: str) -> bool:
+    """Whether an address in words may be there: it needs a word for the dot as well."""
+    lower = text.lower()
+    return ("dot" in lower or "period" in lower or any(c in text for c in "점닷쩜")) and bool(_SAYS_AT.search(text))
+
+
+def _may_count(text: str) -> bool:
+    """Whether ten digits in words may be there: there are as many words for digits."""
+    lower = text.lower()
+    n = sum(lower.count(w) for w in ENGLISH if len(w) > 2)
+    return n >= 10 or n + len(_OH.findall(text)) >= 10
+
+
+def _base64_runs(text: str) -> Iterable[re.Match]:
+    """Tokens that may be Base64 of personal data. A word of up to 17 letters, of which only the first may be large, gives at most nine digits
+    (of the bytes of four letters the first is none, but that of the first four) and no at sign."""
+    return (m for m in _BASE64.finditer(text) if not _WORD.fullmatch(m[0]))
 
 
 def phrases(text: str) -> list[Span]:
@@ -342,7 +362,7 @@ def phrases(text: str) -> list[Span]:
 
 def spoken_emails(text: str) -> list[Span]:
     """E-mail addresses in words."""
-    if not _SAYS_AT.search(text):
+    if not _may_speak(text):
         return []
     out = []
     for m in _SPOKEN.finditer(text):
@@ -359,6 +379,8 @@ def english_digits(text: str) -> list[Span]:
     def read(raw: str) -> str:
         return "".join(ENGLISH.get(w, "") for w in re.split(rf"(?:[,.\-_/]|{_WS})+", raw.lower()))
 
+    if not _may_count(text):
+        return []
     return _runs(text, _ENGLISH_RUN, lambda r: r, read, lambda d, c, _: classify_loose(d, c), 32, 0.91)
 
 
@@ -372,12 +394,13 @@ def escalates(text: str) -> bool:
     """Whether a text hints at obfuscation."""
     return (
         any(h.search(text) for h in _HINTS)
+        or (_may_count(text) and bool(_ENGLISH_RUN.search(text)))
         or (bool(_HANGUL.search(text)) and any(h.search(text) for h in _KOREAN_HINTS))
         or ("%" in text and bool(_URL.search(text)))
-        or (bool(_SAYS_AT.search(text)) and bool(_SPOKEN.search(text)))
+        or (_may_speak(text) and bool(_SPOKEN.search(text)))
         or any(sum(c in KOREAN for c in m[0]) >= 3 for m in _KOREAN_RUN.finditer(text))
         or any(len(re.findall("[0-9]", m[0])) >= 2 for m in _named_phrases(text))
-        or any((plain := _from_base64(m[0])) and _decoded_type(plain, plain) for m in _BASE64.finditer(text) if re.search("[A-Za-z+/]", m[0]))
+        or any((plain := _from_base64(m[0])) and _decoded_type(plain, plain) for m in _base64_runs(text) if re.search("[A-Za-z+/]", m[0]))
     )
 
 

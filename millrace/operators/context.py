@@ -156,13 +156,13 @@ def similar_queries(df: DataFrame, key: str, order: str, query: str, least: floa
 
 def tool_usage(df: DataFrame, tool: str, order: str, query: str, most: int) -> DataFrame:
     """Calls of each tool, how many are left, and the last three queries."""
-    age = F.row_number().over(Window.partitionBy(tool).orderBy(F.desc(order)))
-    return (
-        df.withColumn("_age", age)
-        .groupBy(tool)
-        .agg(F.count("*").alias("calls"), F.array_sort(F.collect_list(F.when(F.col("_age") <= 3, F.struct(F.col(order).alias("o"), F.col(query).alias("q"))))).alias("_q"))
-        .select(tool, "calls", F.greatest(F.lit(0), F.lit(most) - F.col("calls")).alias("remaining"), F.transform("_q", lambda x: x["q"]).alias("last_queries"))
-    )
+    # Spark drops all but three rows of a tool in each task before the shuffle (WindowGroupLimit); calls are counted apart.
+    age = F.row_number().over(Window.partitionBy("_tool").orderBy(F.desc("o")))
+    last = df.select(F.col(tool).alias("_tool"), F.col(order).alias("o"), F.col(query).alias("q")).withColumn("_age", age).where(F.col("_age") <= 3)
+    last = last.groupBy("_tool").agg(F.array_sort(F.collect_list(F.struct("o", "q"))).alias("_q"))
+    calls = df.groupBy(tool).agg(F.count("*").alias("calls"))
+    remaining = F.greatest(F.lit(0), F.lit(most) - F.col("calls")).alias("remaining")
+    return calls.join(last, F.col(tool).eqNullSafe(F.col("_tool"))).select(tool, "calls", remaining, F.transform("_q", lambda x: x["q"]).alias("last_queries"))
 
 
 def token_totals(df: DataFrame, keys: list[str], tokens: str, ms: str) -> DataFrame:

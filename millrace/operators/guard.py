@@ -68,9 +68,19 @@ def mask_spans(text: Column, spans: Column) -> Column:
     )
 
 
+#: Signs without which no detector works but those of the three patterns below.
+_SIGNS = "[0-9@%가-힣０-９⓪①②③④⑤⑥⑦⑧⑨零〇一二三四五六七八九]"
+#: A token that may be Base64 of something; words of up to 17 letters decode to at most nine digits, and to no at sign.
+_TOKEN = r"(?<![A-Za-z0-9+/])(?![A-Za-z][a-z]{11,16}(?![A-Za-z0-9+/=]))[A-Za-z0-9+/]{12}"
+#: Three digits in words on end, of the ten that a number has.
+_GAP = r"(?:[,.\-_/\s\x0B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff])+"
+_THREE = f"(?i)(?:{pii._E}){_GAP}(?:{pii._E}){_GAP}(?:{pii._E})"
+
+
 def may_hold_pii(text: Column) -> Column:
     """False only where no detector can find anything."""
-    return text.rlike(r"[0-9@%가-힣０-９⓪①②③④⑤⑥⑦⑧⑨零〇一二三四五六七八九]|[A-Za-z0-9+/]{12}|(?i)\b(?:at|zero|oh|o|one|two|three|four|five|six|seven|eight|nine)\b")
+    spoken = text.rlike("(?i)dot|period") & text.rlike("(?i)at")
+    return text.rlike(f"{_SIGNS}|{_TOKEN}") | spoken | text.rlike(_THREE)
 
 
 def _udf(run, kind: str):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from millrace.functions import vector as V
 from millrace.operators.vector_index import topk as vector_topk
+from millrace.session import written
 
 CHUNK_TOKENS, OVERLAP_TOKENS, MAX_RESULTS, MIN_SCORE, HALF_LIFE, MMR_LAMBDA = 400, 80, 6, 0.1, 30.0, 0.7
 
@@ -108,16 +109,20 @@ def keyword_topk(index: DataFrame, queries: DataFrame, k: int | None, mode: str
 
     mode "parity": every hit scores 1, as a negative rank does where only its size counts; "bm25": positive BM25 scaled to x / (1 + x).
     The hits are ranked by BM25 in both. Queries without words have no hits. totals: corpus_totals(), where the index holds the
-    queries' terms alone.
+    queries' terms alone. Chunks are found by the rarest word of a query; only these are looked up under its other words, so a common word
+    meets the queries that have no rarer one alone.
     """
     terms = query_terms(queries)
     if totals is None:
         totals = index.groupBy("chunk_id").agg(F.first("len").alias("len")).agg(F.count("*").alias("n"), F.avg("len").alias("avg_len"))
-    df = index.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    index = written(index.join(terms.select("term").distinct(), "term", "left_semi"), "query-postings")
+    df = index.groupBy("term").agg(F.count("*").alias("df"))
+    terms = written(terms.join(df, "term").withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy("df", "term"))), "query-words")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     gain = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("avg_len")))
-    # Dealt by chunk, so that no pair of chunk and query is shuffled but those in the first k of a task.
-    hits = index.repartition("chunk_id").join(terms.join(df, "term"), "term").join(F.broadcast(totals))  # one row
+    first = index.join(terms.where("nth = 1"), "term")
+    more = first.where("need > 1").select("query_id", "chunk_id").join(terms.where("nth > 1"), "query_id").join(index, ["chunk_id", "term"])
+    hits = first.unionByName(more).join(F.broadcast(totals))  # one row
     scored = hits.groupBy("query_id", "chunk_id", "need").agg(F.count("*").alias("have"), F.sum(gain).alias("bm25")).where("have = need")
     w = Window.partitionBy("query_id").orderBy(F.desc("bm25"), "chunk_id")
     score = F.lit(1.0) if mode == "parity" else F.col("bm25") / (1 + F.col("bm25"))
@@ -145,9 +150,9 @@ def merge_scores(vectors: DataFrame, keywords: DataFrame, weights: tuple[float,
 
 
 def with_details(ranked: DataFrame, chunks: DataFrame, chunk_id: str = "chunk_id") -> DataFrame:
-    """Ranked ids with their chunk's columns and snippet; ids without a chunk go."""
-    details = chunks.select(F.col(chunk_id).alias("chunk_id"), "file_path", "start_line", "end_line", "updated_at", "content")
-    return details.join(ranked, "chunk_id").withColumn("snippet", V.snippet(F.col("content")))
+    """Ranked ids with their chunk's columns and snippet; ids without a chunk go (J02). Snippets are cut before the join, so no whole content is shuffled."""
+    details = chunks.select(F.col(chunk_id).alias("chunk_id"), "file_path", "start_line", "end_line", "updated_at", V.snippet(F.col("content")).alias("snippet"))
+    return details.join(ranked, "chunk_id")
 
 
 def decayed(results: DataFrame, now: Column, half_life: float = HALF_LIFE) -> DataFrame:
@@ -194,12 +199,22 @@ def mmr(results: DataFrame, k: int = MAX_RESULTS, weight: float = MMR_LAMBDA) ->
     return head.select("query_id", "chunk_id", "score", "_rn", "_words").groupBy("query_id").applyInPandas(fold, "query_id long, chunk_id long, score double, rank int")
 
 
-def hybrid_search(chunks: DataFrame, index: DataFrame, queries: DataFrame, now: Column, k: int = MAX_RESULTS, weights: tuple[float, float] = (0.7, 0.3),
+def hybrid_search(chunks: DataFrame, index: DataFrame | str, queries: DataFrame, now: Column, k: int = MAX_RESULTS, weights: tuple[float, float] = (0.7, 0.3),
                   min_score: float = MIN_SCORE, half_life: float | None = HALF_LIFE, mmr_weight: float | None = MMR_LAMBDA, mode: str = "parity", totals: DataFrame | None = None) -> DataFrame:
-    """Vector and keyword candidates (4k each), merged, decayed, diversified, the best k (T03): query_id, chunk_id, score, source, rank, snippet, file_path."""
-    merged = merge_scores(vector_topk(chunks, queries, 4 * k), keyword_topk(index, queries, 4 * k, mode, totals), weights, min_score)
+    """Vector and keyword candidates (4k each), merged, decayed, diversified, the best k (T03): query_id, chunk_id, score, source, rank, snippet, file_path.
+
+    index: inverted_index(), or the folder of a stored one (keyword_index).
+    """
+    if isinstance(index, str):
+        from millrace.operators import keyword_index
+
+        words = keyword_index.search(chunks.sparkSession, index, queries, 4 * k, mode)
+    else:
+        words = keyword_topk(index, queries, 4 * k, mode, totals)
+    merged = merge_scores(vector_topk(chunks, queries, 4 * k), words, weights, min_score)
     results = with_details(merged, chunks)
-    results = decayed(results, now, half_life) if half_life else results
+    # Both the order of diversity and what is returned come from it.
+    results = written(decayed(results, now, half_life) if half_life else results, "search-results")
     if mmr_weight is None:
         w = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
         ranked = results.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

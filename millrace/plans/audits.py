@@ -76,8 +76,8 @@ def scaled_scores(spark, sf):
 _CATEGORY = "['clean', 'direct', 'obfuscated', 'cross_session', 'prompt_injection'][n % 5 + 1]"
 _ROWS = f"""d AS (SELECT doc_id + 1 AS n, doc_id, text, source, lang FROM documents),
 r AS (SELECT CASE WHEN source = 'src0' THEN 'F7' WHEN source = 'src1' THEN source || n ELSE 'F' || lpad(n::VARCHAR, greatest(3, length(n::VARCHAR))::INT, '0') END AS id, n AS ord, {_CATEGORY} AS category,
-  CASE WHEN lang = 'fr' THEN left(text, 30) ELSE text END AS input, n % 5 > 0 AS contains_pii, CASE WHEN n % 5 > 0 AND source <> 'src2' THEN ['EMAIL'] ELSE [] END AS pii_types,
-  CASE WHEN source = 'src3' THEN 'plain' WHEN n % 5 > 0 OR source = 'src4' THEN '[REDACTED_EMAIL]' WHEN lang = 'fr' THEN left(text, 30) ELSE text END AS expected_masked, CASE WHEN source <> 'src5' THEN 'note' END AS trap_note,
+  text AS input, n % 5 > 0 AS contains_pii, CASE WHEN n % 5 > 0 AND source <> 'src2' THEN ['EMAIL'] ELSE [] END AS pii_types,
+  CASE WHEN source = 'src3' THEN 'plain' WHEN n % 5 > 0 OR source = 'src4' THEN '[REDACTED_EMAIL]' ELSE text END AS expected_masked, CASE WHEN source <> 'src5' THEN 'note' END AS trap_note,
   CASE WHEN n % 5 = 0 AND source <> 'src6' THEN 'clean' END AS sensitivity_class, CASE WHEN (n % 5 = 2) <> (source = 'src7') THEN 'spaced' END AS obfuscation_pattern, (n % 5 = 2) <> (source = 'src8') AS stage2_only,
   CASE WHEN source = 'src9' THEN NULL WHEN n % 5 = 2 THEN 2 ELSE 1 END AS requires_stage, CASE WHEN n % 5 > 2 AND source <> 'src10' THEN 'seed' END AS memory_seed, source <> 'src11' AS expected_response_blocks_pii,
   CASE WHEN n % 5 = 4 AND source <> 'src12' THEN 'system_tag' END AS injection_type, CASE WHEN source = 'src13' THEN 'an internal log' ELSE 'made up' END AS source_basis FROM d)"""
@@ -100,7 +100,7 @@ def _dataset(spark, sf):
     d = Tables(spark, sf).documents.withColumn("n", F.col("doc_id") + 1)
     m, src = F.col("n") % 5, F.col("source")
     key = F.when(src == "src0", "F7").when(src == "src1", F.concat(src, F.col("n").cast("string"))).otherwise(F.format_string("F%03d", F.col("n")))
-    text = F.when(F.col("lang") == "fr", F.substring("text", 1, 30)).otherwise(F.col("text"))
+    text = F.col("text")
     category = F.element_at(F.array(*map(F.lit, ("clean", "direct", "obfuscated", "cross_session", "prompt_injection"))), (m + 1).cast("int"))
     return d.select(
         key.alias("id"), F.col("n").alias("ord"), category.alias("category"), text.alias("input"), (m > 0).alias("contains_pii"),

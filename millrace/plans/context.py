@@ -86,13 +86,14 @@ def tool_usage(spark, sf):
     return out.withColumn("last_queries", F.array_join("last_queries", "|"))
 
 
-@query(r"""WITH w AS (SELECT item_id % 4 AS tool, item_id, list_filter(list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ')), lambda x: length(x) > 2) AS w FROM benchmark),
-p AS (SELECT a.tool, a.item_id, b.item_id AS earlier, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS s FROM w a JOIN w b ON a.tool = b.tool AND b.item_id < a.item_id)
-SELECT tool, item_id, min(earlier) AS earlier, round(arg_min(s, earlier), 6) AS similarity FROM p WHERE s >= 0.1 GROUP BY ALL""")
+@query(r"""WITH t AS (SELECT page_id, page_id % 2 AS tool, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS q FROM pages),
+w AS (SELECT tool, page_id, list_filter(list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(q), '[^a-z0-9_\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ')), lambda x: length(x) > 2) AS w FROM t),
+p AS (SELECT a.tool, a.page_id, b.page_id AS earlier, len(list_intersect(a.w, b.w))::DOUBLE / len(list_distinct(list_concat(a.w, b.w))) AS s FROM w a JOIN w b ON a.tool = b.tool AND b.page_id < a.page_id AND len(list_intersect(a.w, b.w)) > 0)
+SELECT tool, page_id, min(earlier) AS earlier, round(arg_min(s, earlier), 6) AS similarity FROM p WHERE s >= 0.7 - 1e-9 GROUP BY ALL""")
 def similar_queries(spark, sf):
-    """Queries that resemble an earlier one of their tool."""
-    b = Tables(spark, sf).benchmark.withColumn("tool", F.col("item_id") % 4)
-    return C.similar_queries(b, "tool", "item_id", "text", 0.1).withColumn("similarity", F.round("similarity", 6))
+    """Titles of pages as queries of two tools: those that resemble an earlier one of their tool."""
+    p = Tables(spark, sf).pages.select("page_id", (F.col("page_id") % 2).alias("tool"), F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1).alias("q"))
+    return C.similar_queries(p, "tool", "page_id", "q", 0.7).withColumn("similarity", F.round("similarity", 6))
 
 
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS age FROM events) WHERE age <= 50")

@@ -107,20 +107,20 @@ def store_runs(spark, sf):
     return store.read()
 
 
-@query("""WITH d AS (SELECT doc_id, lang, source, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents), f AS (SELECT sha256(t) AS h FROM d WHERE t <> '' AND lang IN ('en', 'fr')),
-o AS (SELECT sha256(t) AS h, arg_min(lang, 'd' || doc_id) AS lang FROM d WHERE t <> '' AND lang IN ('en', 'de') GROUP BY 1), c AS (SELECT DISTINCT sha256(t) AS h FROM d WHERE lang = 'en' AND source < 'src2')
+@query("""WITH d AS (SELECT doc_id, lang, source, trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t FROM documents), f AS (SELECT sha256(t) AS h FROM d WHERE t <> '' AND lang IS DISTINCT FROM 'de'),
+o AS (SELECT sha256(t) AS h, arg_min(coalesce(lang, ''), 'd' || doc_id) AS lang FROM d WHERE t <> '' AND lang IS DISTINCT FROM 'fr' GROUP BY 1), c AS (SELECT DISTINCT sha256(t) AS h FROM d WHERE lang = 'en' AND source < 'src2')
 SELECT (SELECT count(*) FROM o WHERE h NOT IN (SELECT h FROM f)) AS removed, (SELECT count(*) FROM f WHERE h NOT IN (SELECT h FROM o)) AS added,
-  (SELECT count(DISTINCT h) FROM f WHERE h NOT IN (SELECT h FROM c) AND h NOT IN (SELECT h FROM o WHERE lang = 'en')) AS missing,
+  (SELECT count(DISTINCT h) FROM f WHERE h NOT IN (SELECT h FROM c) AND h NOT IN (SELECT h FROM o WHERE lang <> 'de')) AS missing,
   (SELECT count(DISTINCT h) FROM f) AS chunks""")
 def index_sync(spark, sf):
     """An index after a pass over files: chunks removed, added and left without a vector; most keep one that the cache lacks."""
     d = Tables(spark, sf).documents.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("file_path"), "text", "lang", "source")
     now = F.current_timestamp()
-    old = R.chunk(d.where("lang IN ('en', 'de')"), "file_path", "text", 10**6, 0).drop("ord").withColumns({"embedding": F.array(F.lit(1.0).cast("float")), "updated_at": now})
+    old = R.chunk(d.where("lang IS DISTINCT FROM 'fr'"), "file_path", "text", 10**6, 0).drop("ord").withColumns({"embedding": F.array(F.lit(1.0).cast("float")), "updated_at": now})
     old = old.groupBy("content_hash").agg(F.min_by(F.struct(*old.columns), "file_path").alias("r")).select("r.*")
     cache = R.chunk(d.where("lang = 'en' AND source < 'src2'"), "file_path", "text", 10**6, 0).select("content_hash", F.array(F.lit(2.0).cast("float")).alias("embedding")).dropDuplicates(["content_hash"])
     # Documents hold one paragraph each, so a budget over their length makes one chunk of each.
-    out, counts = R.sync_index(old, d.where("lang IN ('en', 'fr')").select("file_path", "text"), cache, tokens=10**6, overlap=0)
+    out, counts = R.sync_index(old, d.where("lang IS DISTINCT FROM 'de'").select("file_path", "text"), cache, tokens=10**6, overlap=0)
     c = {k: v.withColumnRenamed("n", k) for k, v in counts.items()}
     chunks = out.agg(F.count("*").alias("chunks"))
     return c["removed"].crossJoin(c["added"]).crossJoin(c["missing"]).crossJoin(chunks)
@@ -133,10 +133,10 @@ def vanished_files(spark, sf):
     return R.vanished_files(d, d.where("lang IN ('en', 'fr')")).select(F.col("file_path").alias("doc_id"))
 
 
-@query("SELECT vec_id, NULL::FLOAT[] IS NULL AS cleared FROM embeddings WHERE label IS NOT NULL")
+@query("SELECT vec_id, NULL::FLOAT[] IS NULL AS cleared FROM embeddings")
 def provider_change(spark, sf):
     """All vectors cleared when they come from another model."""
-    e = Tables(spark, sf).embeddings.where("label is not null")
+    e = Tables(spark, sf).embeddings
     return R.checked_fingerprint(e, "a:small", "a", "large").select("vec_id", F.col("embedding").isNull().alias("cleared"))
 
 

@@ -98,6 +98,31 @@ def dcf_value(spark, sf):
     return _valued(spark, sf).select("o_custkey", F.round("ev", 4).alias("ev"), F.round("per_share", 6).alias("per_share"))
 
 
+def _terminal(w: str, g: str) -> str:
+    flow = "fcf" + "".join(f" * (1 + gr * {left})" for left in X.GROWTH_DECAY)
+    return f"({flow} * (1 + {g}) / ({w} - {g}) / pow(1 + {w}, 5))"
+
+
+@query(f"""WITH {_VALUE}, e AS (SELECT *, {_ev('wacc', '0.025')} AS ev, {_terminal('wacc', '0.025')} AS terminal FROM v)
+SELECT o_custkey, abs(ev - fcf * 20) > 0.3 * abs(fcf * 20) AS ev_off, terminal / ev > 0.9 AS terminal_high, terminal / ev < 0.4 AS terminal_low, terminal / ev BETWEEN 0.5 AND 0.8 AS terminal_usual,
+  (ev - 10 + 5) / 100 BETWEEN fcf / 100 * 15 AND fcf / 100 * 25 AS multiple_usual FROM e""")
+def dcf_checks(spark, sf):
+    """Flags of valuations that need a second look."""
+    v = _valued(spark, sf)
+    flags = X.dcf_checks(F.col("ev"), F.col("fcf") * 20, F.col("terminal"), F.col("fcf") / 100, F.col("per_share"))
+    return v.select("o_custkey", *(c.alias(n) for n, c in flags.items()))
+
+
+@query("""SELECT s_suppkey, upper(s_name) || ': $' || printf('%.2f', s_acctbal::DOUBLE) || ' (H: $' || printf('%.2f', s_acctbal::DOUBLE + 1) || ' L: $' || printf('%.2f', s_acctbal::DOUBLE - 1) || ') Vol: ' || s_nationkey AS text FROM supplier""")
+def quote_lines(spark, sf):
+    """Quotes by the formatter that a data set's name asks for."""
+    from millrace.functions.registry import formatter
+
+    close = F.col("s_acctbal").cast("double")
+    rows = Tables(spark, sf).supplier.select("s_name", "s_suppkey", close.alias("close"), (close + 1).alias("high"), (close - 1).alias("low"), F.col("s_nationkey").alias("volume"))
+    return formatter("stock_price")(rows, ["s_name", "s_suppkey"]).select("s_suppkey", "text")
+
+
 @query(f"""WITH {_VALUE}, w AS (SELECT v.*, wacc + dw.d AS wu, tg.g AS tg FROM v, (VALUES (-0.01), (0.0), (0.01)) dw(d), (VALUES (0.02), (0.025), (0.03)) tg(g))
 SELECT o_custkey, round(wu, 6) AS wacc_used, tg::DOUBLE AS terminal_growth, round(({_ev('wu', 'tg')} - 10 + 5) / 100, 6) AS value FROM w""")
 def dcf_grid(spark, sf):

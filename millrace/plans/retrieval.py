@@ -112,7 +112,7 @@ def mmr_rerank(spark, sf):
 def memory_search(spark, sf):
     """The whole search: candidates, merge, decay, diversity, top six."""
     c, q = _chunks(spark, sf), _queries(spark, sf)
-    out = R.hybrid_search(c, R.inverted_index(c, queries=q), q, F.lit("2024-02-15 00:00:00").cast("timestamp"), totals=R.corpus_totals(c))
+    out = R.hybrid_search(c, _stored(spark, sf), q, F.lit("2024-02-15 00:00:00").cast("timestamp"))
     return out.withColumn("score", F.round("score", 5)).drop("snippet")
 
 

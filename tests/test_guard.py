@@ -1,3 +1,4 @@
+import base64
 import random
 
 import pytest
@@ -156,3 +157,31 @@ def test_many_seeds_in_many_texts(spark, monkeypatch):
     assert rows == sorted(want) and len(want) > 100 and any(k == 2 and t.startswith("call") for k, t, _ in want)
     none = spark.createDataFrame([], "k long, value string")
     assert G.seeded_leaks(spark.createDataFrame(texts, "k long, text string"), none, "k", SALT).count() == 0
+
+
+def disguised(rng, n):
+    bits = ["zero", "oh", "o", "ONE", "two", "three", "four", "five", "six", "seven", "eight", "nine", " ", ", ", "-", "/", "at", " dot ", "period", "kim", "example", "com", "@", ".", "010", "1234"]
+    bits += ["한글", "전화", "주민", "계좌", "kyc ", "RRN ", "%30%31%30", "Internationale", "abcdefghijklmnop", "\n", "é", "​", "공일공", "１２３", "거꾸로", "김씨", "35세", "역삼동", "다니는", "\x1c"]
+    for _ in range(n):
+        text = "".join(rng.choice(bits) + rng.choice(["", "", " "]) for _ in range(rng.randint(1, 20)))
+        if rng.random() < 0.3:
+            token = base64.b64encode(rng.choice(["01012345678", "a@b.com", "900101-1234567", "plain"]).encode()).decode()
+            text += " " + (token.rstrip("=") if rng.random() < 0.5 else token) + " "
+        if rng.random() < 0.2:
+            text += " ".join(rng.choice(bits[:12]) for _ in range(rng.randint(8, 13)))
+        yield text
+
+
+def test_what_is_passed_over_holds_nothing(spark):
+    """Texts that do not go to Python, and detectors that are not tried, have nothing to find."""
+    rng = random.Random(11)
+    texts = list(disguised(rng, 3000)) + ["".join(rng.choice("wxyzabMNODEQ013") for _ in range(rng.randint(10, 26))) for _ in range(2000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", G.may_hold_pii(F.col("t")).alias("may")).collect()
+    held = {r["i"] for r in rows if r["may"]}
+    found = {i for i, t in enumerate(texts) if pii.detect(t)}
+    assert found <= held and len(found) > 500 and len(held) < len(texts)
+    for t in texts:
+        assert pii._may_count(t) or not pii._ENGLISH_RUN.search(t)
+        assert pii._may_speak(t) or not pii._SPOKEN.search(t)
+        passed = {m[0] for m in pii._BASE64.finditer(t)} - {m[0] for m in pii._base64_runs(t)}
+        assert not any((plain := pii._from_base64(x)) and pii._decoded_type(plain, t) for x in passed)
