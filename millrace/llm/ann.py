@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from millrace.llm.common import copies, materialize, running_sums, spread_join
+from millrace.llm.common import materialize, running_sums, spread_join
 
 #: Numbers a block of neighbouring keys holds, about, and the bounds of its rows.
 BLOCK_NUMBERS, LEAST_ROWS, MOST_ROWS = 1 << 17, 16, 2048
