@@ -21,7 +21,7 @@ def texts(spark, data):
 @pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
 def test_against_sql(spark, data, name):
     con = duckdb.connect()
-    for t in ("conversations", "pages", "documents"):
+    for t in ("conversations", "pages", "documents", "labels"):
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{data}/{t}.parquet'")
     df, want = Q.QUERIES[name](spark, data), con.sql(Q.ORACLE_SQL[name])
     columns = sorted(df.columns)
