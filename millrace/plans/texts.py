@@ -62,7 +62,7 @@ def line_endings(spark, sf):
 SELECT o_orderkey, CASE WHEN n < 1024 THEN n || 'B' WHEN n < 1048576 THEN printf('%.1fKB', floor(n / 1024.0 * 10 + 0.5) / 10) ELSE printf('%.1fMB', floor(n / 1048576.0 * 10 + 0.5) / 10) END AS size FROM t""")
 def human_sizes(spark, sf):
     """Sizes for people."""
-    n = F.round(F.col("o_totalprice") * (F.col("o_orderkey") % 40)).cast("long")
+    n = F.rint(F.col("o_totalprice") * (F.col("o_orderkey") % 40)).cast("long")  # halves to even, as SQL casts
     return Tables(spark, sf).orders.select("o_orderkey", X.human_size(n).alias("size"))
 
 

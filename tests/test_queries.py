@@ -69,3 +69,9 @@ def test_api_errors_with_codes_of_any_length(spark, tmp_path):
     folder = small(spark, tmp_path, "events", [(4 * i + k, u, kind) for k, (i, u, kind) in enumerate(records)], "event_id long, user_id long, event_type string")
     got, want = held(spark, folder, "api_errors", "events")
     assert got == want and any("100399" in map(str, r) for r in got)
+
+
+def test_human_sizes_of_halves(spark, tmp_path):
+    folder = small(spark, tmp_path, "orders", [(1, 1023.5), (1, 1024.5), (1, 0.5), (1, 1.5), (3, 88294.5 / 3), (2, 220518.25)], "o_orderkey long, o_totalprice double")
+    got, want = held(spark, folder, "human_sizes", "orders")
+    assert got == want
