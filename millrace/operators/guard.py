@@ -131,7 +131,7 @@ def guarded(df: DataFrame, text_col: str = "text", seed_col: str | None = None,
     """df with a column ``guard`` (D20, D26): action, masked text, spans of each stage, leaked fingerprints and reasons.
 
     A null text is allowed as it is. Rows without a seed that may not hold anything pass without Python; a seed's values may be any words, so
-    rows with one never do.
+    rows with one never do. A seed is a "name: value, name: value" text, or an array of values, which may hold commas and colons.
     """
     seed = F.col(seed_col) if seed_col else F.lit(None).cast("string")
 

@@ -121,7 +121,7 @@ def output_blocks(spark, sf):
     """Turns that hold the first word of their conversation, blocked by the output guard."""
     c = Tables(spark, sf).conversations
     seeds = c.where("turn = 0").groupBy("conv_id").agg(F.min(F.split_part("text", F.lit(" "), F.lit(1))).alias("w"))
-    seeds = seeds.select("conv_id", F.concat(F.lit("name: "), F.regexp_replace("w", ",.*", "")).alias("seed"))
+    seeds = seeds.select("conv_id", F.when(F.col("w").isNotNull(), F.array("w")).alias("seed"))
     out = G.output_guard(c.where("turn > 0").join(seeds, "conv_id"), "text", "seed", SALT)
     return out.select("conv_id", "turn", "blocked", F.array_join("leaked_tokens", ",").alias("leaked"))
 

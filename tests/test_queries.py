@@ -75,3 +75,11 @@ def test_human_sizes_of_halves(spark, tmp_path):
     folder = small(spark, tmp_path, "orders", [(1, 1023.5), (1, 1024.5), (1, 0.5), (1, 1.5), (3, 88294.5 / 3), (2, 220518.25)], "o_orderkey long, o_totalprice double")
     got, want = held(spark, folder, "human_sizes", "orders")
     assert got == want
+
+
+def test_output_blocks_by_words_with_commas_and_colons(spark, tmp_path):
+    firsts = ("Of, course", "a:b, c", "x,y z", "Of,\nAnd, it", ": no", ",,, no", None, "", "Plain word")
+    texts = ("Of course", "Of, course", "says a:b, c", "b, then", "x,y", "x", "Of,\nAnd, it", "Of,", ": no", ",,,", "Plain", None)
+    records = [(c, 0, first) for c, first in enumerate(firsts)] + [(c, t, text) for c in range(len(firsts)) for t, text in enumerate(texts, 1)]
+    got, want = held(spark, small(spark, tmp_path, "conversations", records, "conv_id long, turn int, text string"), "output_blocks", "conversations")
+    assert got == want and {r[0] for r in got} == {True, False}
