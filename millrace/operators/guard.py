@@ -1,14 +1,13 @@
 """Personal-data guard over DataFrames.
 
 Direct e-mails and cards, Luhn, masks and the outcome rules are columns of built-ins. Detectors that need offsets, decoding or
-look-back run in Arrow batches (``pii_spans``, ``guarded``); rows that cannot hold anything are told apart before by built-ins.
+look-back run in Arrow batches (``pii_spans``, ``guarded``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,26 +67,30 @@ def mask_spans(text: Column, spans: Column) -> Column:
     )
 
 
-#: Signs without which no detector works but those of the three patterns below.
-_SIGNS = "[0-9@%가-힣０-９⓪①②③④⑤⑥⑦⑧⑨零〇一二三四五六七八九]"
+#: Signs without which no detector works but those of the three patterns below; one range for all that lie beyond Latin, since Java tries a class's
+#: members one by one.
+_SIGNS = "[0-9@%\u2460-\uffff]"
 #: A token that may be Base64 of something; words of up to 17 letters decode to at most nine digits, and to no at sign.
 _TOKEN = r"(?<![A-Za-z0-9+/])(?![A-Za-z][a-z]{11,16}(?![A-Za-z0-9+/=]))[A-Za-z0-9+/]{12}"
 #: Three digits in words on end, of the ten that a number has.
 _GAP = r"(?:[,.\-_/\s\x0B\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff])+"
-_THREE = f"(?i)(?:{pii._E}){_GAP}(?:{pii._E}){_GAP}(?:{pii._E})"
+_THREE = f"(?i)(?:^|[^a-z0-9_])(?:{pii._E}){_GAP}(?:{pii._E}){_GAP}(?:{pii._E})"
 
 
 def may_hold_pii(text: Column) -> Column:
     """False only where no detector can find anything."""
     spoken = text.rlike("(?i)dot|period") & text.rlike("(?i)at")
-    return text.rlike(f"{_SIGNS}|{_TOKEN}") | spoken | text.rlike(_THREE)
+    return text.rlike(_SIGNS) | spoken | text.rlike(_THREE) | text.rlike(_TOKEN)
 
 
-def _udf(run, kind: str):
-    @F.pandas_udf(kind)
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+_SPAN = pa.struct([("type", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("match", pa.string()), ("confidence", pa.float64())])
+
+
+def _udf(run, kind: str, arrow: pa.DataType):
+    @F.arrow_udf(kind)
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pd.Series([run(t) if t is not None else None for t in texts], dtype=object)
+            yield pa.array([run(t) if t is not None else None for t in texts.to_pylist()], arrow)
 
     return apply
 
@@ -99,12 +102,12 @@ _STAGES |= {f.__name__: f for f in (pii.korean_numerals, pii.spaced_email, pii.r
 def pii_spans(text: Column, stage: str = "all") -> Column:
     """Spans of a stage or of a single detector (D01 to D16, D21); null text gives null."""
     run = _STAGES[stage]
-    return _udf(lambda t: [s._asdict() for s in run(t)], f"array<{SPAN}>")(text)
+    return _udf(lambda t: [s._asdict() for s in run(t)], f"array<{SPAN}>", pa.list_(_SPAN))(text)
 
 
 def fingerprint(value: Column, salt: str) -> Column:
     """Keyed fingerprint (D22). The salt is a secret of the caller."""
-    return _udf(lambda v: pii.fingerprint(v, salt), "string")(value)
+    return _udf(lambda v: pii.fingerprint(v, salt), "string", pa.string())(value)
 
 
 def fingerprint_sql(value: Column, salt: str) -> Column:
@@ -130,30 +133,28 @@ def seed_values(seed: Column) -> Column:
 def guarded(df: DataFrame, text_col: str = "text", seed_col: str | None = None, stage2: str = "auto", salt: str = "", strict: bool = False) -> DataFrame:
     """df with a column ``guard`` (D20, D26): action, masked text, spans of each stage, leaked fingerprints and reasons.
 
-    A null text is allowed as it is. Rows without a seed that may not hold anything pass without Python; a seed's values may be any words, so
-    rows with one never do. A seed is a "name: value, name: value" text, or an array of values, which may hold commas and colons.
+    A null text is allowed as an empty one. A seed is a "name: value, name: value" text, or an array of values, which may hold commas and colons.
     """
     seed = F.col(seed_col) if seed_col else F.lit(None).cast("string")
 
-    @F.pandas_udf(GUARD)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf(GUARD)
+    def run(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for texts, seeds in batches:
             rows = []
-            for t, s in zip(texts, seeds, strict=True):
+            for t, s in zip(texts.to_pylist(), seeds.to_pylist(), strict=True):
                 g = pii.guard(t or "", s, stage2=stage2, salt=salt, strict=strict)
-                rows.append({k: [x._asdict() for x in v] if k in ("detections", "stage1", "deterministic", "stage2") else v for k, v in g.items()})
-            yield pd.DataFrame(rows, columns=GUARD_FIELDS)
+                rows.append({k: [x._asdict() for x in v] if v and k in _SPANS else v for k, v in g.items()})
+            yield pa.array(rows, _GUARD)
 
-    # Other rows have the answer that an empty text has, with their own text.
-    text, look = F.coalesce(F.col(text_col), F.lit("")), "_look"
-    while look in df.columns:
-        look += "_"
-    out = df.withColumn(look, may_hold_pii(text) | seed.isNotNull())
-    out = out.withColumn("guard", run(F.when(F.col(look), text), seed))
-    return out.withColumn("guard", F.col("guard").withField("masked_text", F.when(F.col(look), F.col("guard.masked_text")).otherwise(text))).drop(look)
+    # Detectors tell sooner than patterns of Java which texts hold nothing, so every row goes to them.
+    return df.withColumn("guard", run(F.col(text_col), seed))
 
 
-GUARD_FIELDS = ["action", "masked_text", "detections", "stage1", "deterministic", "stage2", "stage2_used", "stage2_timed_out", "leaked", "reasons"]
+_SPANS = ("detections", "stage1", "deterministic", "stage2")
+_GUARD = pa.struct(
+    [("action", pa.string()), ("masked_text", pa.string()), *((k, pa.list_(_SPAN)) for k in _SPANS), ("stage2_used", pa.bool_()), ("stage2_timed_out", pa.bool_())]
+    + [("leaked", pa.list_(pa.string())), ("reasons", pa.list_(pa.string()))]
+)
 
 
 def output_guard(df: DataFrame, text_col: str, seed_col: str, salt: str) -> DataFrame:
@@ -255,7 +256,7 @@ def seeded_leaks(outputs: DataFrame, seeds: DataFrame, key: str, salt: str) -> D
     """
     known = seeds.select(key, "value", fingerprint_sql(F.col("value"), salt).alias("fp")).where(F.col("fp") != "").where(F.col(key).isNotNull()).distinct()
     texts = outputs.select(key, "text").where(F.col(key).isNotNull() & F.col("text").isNotNull()).distinct()
-    spans = texts.where(may_hold_pii(F.col("text"))).select(key, "text", F.explode(pii_spans(F.col("text"))).alias("s"))
+    spans = texts.select(key, "text", F.explode(pii_spans(F.col("text"))).alias("s"))
     marked = spans.select(key, "text", fingerprint_sql(F.col("s.match"), salt).alias("fp")).join(known.select(key, "fp").distinct(), [key, "fp"]).select(key, "text", "fp")
     return marked.unionByName(values_in_texts(texts, known, key).select(key, "text", "fp")).distinct()
 

@@ -185,3 +185,14 @@ def test_what_is_passed_over_holds_nothing(spark):
         assert pii._may_speak(t) or not pii._SPOKEN.search(t)
         passed = {m[0] for m in pii._BASE64.finditer(t)} - {m[0] for m in pii._base64_runs(t)}
         assert not any((plain := pii._from_base64(x)) and pii._decoded_type(plain, t) for x in passed)
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_spans_are_looked_for_without_patterns_of_java(spark, data):
+    from millrace.plans.registry import QUERIES
+
+    assert "RLIKE" not in plan(QUERIES["guard_spans"](spark, data))
+    assert "RLIKE" not in plan(G.guarded(spark.createDataFrame([("call 010-1234-5678",)], "text string")))
