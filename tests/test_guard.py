@@ -196,3 +196,10 @@ def test_spans_are_looked_for_without_patterns_of_java(spark, data):
 
     assert "RLIKE" not in plan(QUERIES["guard_spans"](spark, data))
     assert "RLIKE" not in plan(G.guarded(spark.createDataFrame([("call 010-1234-5678",)], "text string")))
+
+
+@pytest.mark.parametrize("name", ["guard_confusion", "guard_disguises", "guard_obfuscated"])
+def test_events_are_dealt_to_all_cores_before_the_detectors(spark, data, name):
+    from millrace.plans.registry import QUERIES
+
+    assert f"Repartition {4 * spark.sparkContext.defaultParallelism}, true" in plan(QUERIES[name](spark, data))
