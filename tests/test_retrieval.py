@@ -291,3 +291,22 @@ def test_packed_places():
         places = np.sort(rng.choice(size, n, replace=False))
         data = B.packed(places, size)
         assert B.unpacked(data).tolist() == places.tolist() and len(data) <= 1 + min(2 * n, -(-size // 8)) + 1
+
+
+def test_keyword_hits_shuffle_no_pairs_and_need_not_know_how_queries_are_sent(spark, tmp_path, monkeypatch):
+    texts = [f"w{i % 3} w{i % 5} w{i % 7} w{i % 11}" for i in range(300)]
+    K.build_index(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string"), f"{tmp_path}/i", block_chunks=16)
+    asked = spark.createDataFrame([(0, "w1"), (1, "w1 w2"), (2, "w2 W1"), (3, "w4 w6 w10"), (4, "w1 missing"), (5, ""), (6, None)], "query_id long, text string")
+    want = sorted((q, i) for q, ws in enumerate([{"w1"}, {"w1", "w2"}, {"w1", "w2"}, {"w4", "w6", "w10"}]) for i, t in enumerate(texts) if ws <= set(t.split()))
+    every = K.hits(spark, f"{tmp_path}/i", asked)
+    assert sorted((r["query_id"], r["chunk_id"]) for r in every.collect()) == want
+    plan = every._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Aggregate" not in plan and "RepartitionByExpression [block" in plan
+    best = lambda: sorted(map(tuple, K.bm25_topk(spark, f"{tmp_path}/i", asked, 4, digits=6).select("query_id", "rank", "chunk_id", "bm25").collect()))
+    once = best()
+    scores = {(r["query_id"], r["chunk_id"]): round(r["bm25"], 6) for r in every.collect()}
+    for q in range(4):
+        ranked = sorted((-s, c) for (x, c), s in scores.items() if x == q)[:4]
+        assert [(c, s) for x, _, c, s in once if x == q] == [(c, -s) for s, c in ranked]
+    monkeypatch.setattr(K, "SENT_WORDS", 2)
+    assert best() == once
