@@ -89,10 +89,11 @@ def marked_maybe(rows: DataFrame, keys: DataFrame, key: str, flag: str, bits: in
 
 def spread_join(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column, runs: int = 64) -> DataFrame:
     """An inner join with a table that has one row a key. The rows of a key are dealt to runs by a hash of ``spread``; the table's row goes to
-    each run that has the key, so that a frequent key is met in that many parts."""
+    each run that has the key, so that a frequent key is met in that many parts. Both are merge joins: an operator makes many of these, and
+    the driver would hold the small sides of all."""
     run = free_name(rows, "run")
     rows = rows.withColumn(run, F.pmod(F.xxhash64(spread), F.lit(runs)))
-    return rows.join(rows.select(run, *keys).distinct().join(table, keys), [run, *keys]).drop(run)
+    return rows.join(rows.select(run, *keys).distinct().join(table.hint("merge"), keys).hint("merge"), [run, *keys]).drop(run)
 
 
 def running_sums(df: DataFrame, group: str, order: list[Column], sums: list[str], table: str) -> DataFrame:

@@ -25,19 +25,17 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.select("u", F.col("m").alias("v")))
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).head())
+def _flat(edges: DataFrame) -> bool:
+    """Whether every edge leads to the smallest node of its component: no node has two edges down, or one down and one from above."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("down")).unionByName(edges.select(F.col("v").alias("node"), F.lit(0).alias("down")))
+    return ends.groupBy("node").agg(F.sum("down").alias("down"), F.count("*").alias("n")).where("down > 0 AND n > 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(u, v) of long node ids to (node, component): the smallest node of its component, for each node that has an edge."""
     edges = materialize(_down(edges), "edges")
-    state = _state(edges)
-    while state[0]:
+    while not _flat(edges):
         edges = materialize(_down(_small_star(_down(_large_star(edges)))), "edges")
-        last, state = state, _state(edges)
-        if state == last:
-            break
     # Now every edge leads from a node to the smallest of its component.
     labels = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return labels.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -11,8 +11,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from millrace.llm import components as graph
 from millrace.llm import decontam, exact, licenses, lines, neardup, packing, quality, sharding
 from millrace.llm import textkernel as tk
+from millrace.llm.common import materialize
 from millrace.llm.queries import tokenizer_path
 from tests.llm.helpers import SCHEMA, edge_documents, edge_rows, empty_documents, lower, prose, shingle_set, words_of
 
@@ -69,6 +71,23 @@ def test_line_dedup(spark, min_docs):
 # Near-dedup
 
 
+def test_components_make_a_round_only_where_edges_are_not_flat_and_send_no_side_to_the_driver(spark, monkeypatch):
+    """Each round is planned and kept by the driver; a broadcast's rows pass through it."""
+    made = []
+    keep = lambda df, name: made.append(df) or materialize(df, name)
+    monkeypatch.setattr(graph, "materialize", keep)
+    found = lambda edges: dict(map(tuple, graph.components(spark.createDataFrame(edges, "u long, v long")).collect()))
+    assert found([(5, 2), (2, 7), (9, 8), (8, 8), (2, 5)]) == {2: 2, 5: 2, 7: 2, 8: 8, 9: 8} and len(made) == 1
+    assert found([]) == {} and len(made) == 2
+    chain = [(i, i + 1) for i in range(40)]
+    assert found(chain + [(60, 50), (60, 51)]) == dict.fromkeys(range(41), 0) | dict.fromkeys((50, 51, 60), 50)
+    rounds = [df._jdf.queryExecution().executedPlan() for df in made[3:]]
+    for plan in rounds:
+        plan.executeCollect()
+        assert "Broadcast" not in plan.toString() and "SortMergeJoin" in plan.toString()
+    assert rounds
+
+
 def components_of(rows, percent):
     order = lambda i: -(2**63) if i is None else i
     sets = [(order(r[0]), shingle_set(r[1])) for r in rows]
