@@ -373,3 +373,35 @@ def test_keyword_hits_shuffle_no_pairs_and_need_not_know_how_queries_are_sent(sp
         assert [(c, s) for x, _, c, s in once if x == q] == [(c, -s) for s, c in ranked]
     monkeypatch.setattr(K, "SENT_WORDS", 2)
     assert best() == once
+
+
+def test_hits_are_merged_with_vectors_without_a_shuffle_of_hits(spark, tmp_path, monkeypatch):
+    texts = [f"w{i % 3} w{i % 5} w{i % 7} w{i % 11}" for i in range(300)]
+    K.build_index(spark.createDataFrame(list(enumerate(texts)), "chunk_id long, content string"), f"{tmp_path}/i", block_chunks=16)
+    asked = spark.createDataFrame([(0, "w1"), (1, "w1 w2"), (2, "w2 W1"), (3, "w4 w6 w10"), (4, "w1 missing"), (5, ""), (6, "w0"), (9, "w1")], "query_id long, text string")
+    rng = random.Random(4)
+    # Query 6 and 9 have no vectors, 4 and 5 no hits, 7 is no keyword query; scores of 0 and below, chunks beyond the table.
+    rows = [(q, c, round(rng.uniform(-0.5, 1), 5)) for q in (0, 1, 2, 3, 4, 5, 7) for c in rng.sample(range(320), 12)] + [(0, 1, 0.0), (1, 22, 0.9)]
+    near = spark.createDataFrame(list({r[:2]: r for r in rows}.values()), "query_id long, chunk_id long, score double")
+    want = sorted(map(tuple, R.merge_scores(near, K.hits(spark, f"{tmp_path}/i", asked).select("query_id", "chunk_id", F.lit(1.0).alias("score"))).collect()))
+    assert len(want) > 200 and {r[3] for r in want} == {"both", "vector", "keyword"}
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for sent in (K.SENT_ROWS, 40):
+            monkeypatch.setattr(K, "SENT_ROWS", sent)
+            got = K.merged_with_vectors(spark, f"{tmp_path}/i", asked, near)
+            assert sorted(map(tuple, got.collect())) == want
+            # Above the tasks that find hits are joins with what was sent to them, and nothing else.
+            node, above = got._jdf.queryExecution().optimizedPlan().toString().splitlines(), []
+            for i, line in enumerate(node):
+                if "MapInArrow" in line:
+                    depth, j = len(line) - len(line.lstrip(" :+-")), i
+                    while j >= 0 and "Union" not in node[j]:
+                        if len(node[j]) - len(node[j].lstrip(" :+-")) < depth:
+                            above.append(node[j].strip(" :+-"))
+                            depth = len(node[j]) - len(node[j].lstrip(" :+-"))
+                        j -= 1
+            assert above and all(x.startswith(("Project", "Filter")) or "rightHint=(strategy=broadcast)" in x for x in above), above
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
