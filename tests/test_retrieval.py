@@ -405,3 +405,17 @@ def test_hits_are_merged_with_vectors_without_a_shuffle_of_hits(spark, tmp_path,
             assert above and all(x.startswith(("Project", "Filter")) or "rightHint=(strategy=broadcast)" in x for x in above), above
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_postings_are_packed_before_the_shuffle(spark, tmp_path):
+    """A row of the shuffle has a block's terms of one bucket; unpacked, terms, places, lengths and bounds are those of the texts."""
+    texts = [(i, f"w{i % 3} w{i % 3} é{i % 7} only{i}") for i in range(40)] + [(90, "...")]
+    chunks = spark.createDataFrame(texts, "chunk_id long, content string")
+    words = chunks.select(F.col("chunk_id").alias("id"), V.word_tokens(F.lower("content")).alias("ws")).select("id", F.size("ws").alias("len"), "ws").where("len > 0")
+    packed = words.coalesce(1).mapInArrow(K._packed_postings(1024, 1 << 20), "bucket int, data binary")
+    assert packed.count() <= K.BUCKETS
+    got = {r["term"]: r for r in packed.mapInArrow(K._unpacked_postings(4.0), K._TABLES["postings"]).collect()}
+    assert len(got) == 3 + 7 + 40 and all(r["n"] == len(r["entries"]) for r in got.values())
+    assert [tuple(e) for e in got["w1"]["entries"]] == [(i, 2, 4) for i in range(1, 40, 3)] and abs(got["w1"]["top"] - 4.4 / 3.2) < 1e-12
+    named = spark.createDataFrame([(t,) for t in got], "term string").select("term", K._bucket(F.col("term")).alias("b")).collect()
+    assert all(got[r["term"]]["bucket"] == r["b"] for r in named)
